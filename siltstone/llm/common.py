@@ -48,12 +48,22 @@ def held_out(doc_id: Column, modulus: int, remainder: int) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % modulus == remainder, F.lit(False))
 
 
-def merge_slices(df: DataFrame, how: str) -> np.ndarray:
-    """Sum (``add``, uint32 counters) or unite (``or``, bits) the slices ``(part long, slice int, data binary)``.
+def merge_slices(df: DataFrame, how: str, floats: int = 0) -> np.ndarray:
+    """Sum or unite the slices ``(part long, slice int, data binary)`` of equally long arrays.
 
-    The result has a fixed size whatever the input; slices of at most 64 tasks meet at once on their way.
+    ``add``: uint32 counters; ``or``: bits; ``mixed``: ``floats`` float32 numbers, then uint32 counters.  The result
+    has a fixed size whatever the input; slices of at most 64 tasks meet at once on their way.
     """
-    dtype, merge = (np.uint32, np.add) if how == "add" else (np.uint8, np.bitwise_or)
+    dtype = {"add": np.uint32, "or": np.uint8, "mixed": np.float32}[how]
+
+    def merge(mine: np.ndarray, got: np.ndarray, at: int) -> None:
+        if how == "or":
+            np.bitwise_or(mine, got, out=mine)
+            return
+        cut = min(max(floats - at * SLICE_BYTES // 4, 0), len(mine)) if how == "mixed" else 0
+        mine[:cut] += got[:cut]
+        counters = mine[cut:].view(np.uint32)
+        counters += got[cut:].view(np.uint32)
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[tuple[int, int], np.ndarray] = {}
@@ -64,7 +74,7 @@ def merge_slices(df: DataFrame, how: str) -> np.ndarray:
                 if mine is None:
                     held[part, at] = got.copy()
                 else:
-                    merge(mine, got, out=mine)
+                    merge(mine, got, at)
         for (part, at), data in held.items():
             yield pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int64()), "slice": pa.array([at], pa.int32()), "data": pa.array([data.tobytes()], pa.binary())})
 
