@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -51,15 +52,25 @@ def held_out(doc_id: Column, modulus: int, remainder: int) -> Column:
 def merge_slices(df: DataFrame, how: str, floats: int = 0) -> np.ndarray:
     """Sum or unite the slices ``(part long, slice int, data binary)`` of equally long arrays.
 
-    ``add``: uint32 counters; ``or``: bits; ``mixed``: ``floats`` float32 numbers, then uint32 counters.  The result
-    has a fixed size whatever the input; slices of at most 64 tasks meet at once on their way.
+    ``add``: uint32 counters; ``or``: bits; ``mixed``: ``floats`` float32 numbers, then uint32 counters; ``sum``:
+    float64 numbers; ``sparse``: uint32 counters sent by ``sparse_slices_of``.  The result has a fixed size
+    whatever the input; slices of at most 64 tasks meet at once on their way.
     """
-    dtype = {"add": np.uint32, "or": np.uint8, "mixed": np.float32}[how]
+    dtype = {"add": np.uint32, "or": np.uint8, "mixed": np.float32, "sum": np.float64, "sparse": np.uint32}[how]
+
+    def unpacked(data: bytes) -> np.ndarray:
+        if how != "sparse":
+            return np.frombuffer(data, dtype=dtype)
+        raw = zlib.decompress(data)
+        return np.frombuffer(raw, dtype=np.uint8 if len(raw) == SLICE_BYTES // 4 else np.uint32).astype(np.uint32)
 
     def merge(mine: np.ndarray, got: np.ndarray, at: int) -> None:
         if how == "or":
             np.bitwise_or(mine, got, out=mine)
             return
+        if how in ("sum", "sparse"):
+            mine += got
+            return
         cut = min(max(floats - at * SLICE_BYTES // 4, 0), len(mine)) if how == "mixed" else 0
         mine[:cut] += got[:cut]
         counters = mine[cut:].view(np.uint32)
@@ -69,14 +80,14 @@ def merge_slices(df: DataFrame, how: str, floats: int = 0) -> np.ndarray:
         held: dict[tuple[int, int], np.ndarray] = {}
         for batch in batches:
             for part, at, data in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
-                got = np.frombuffer(data, dtype=dtype)
+                got = unpacked(data)
                 mine = held.get((part, at))
                 if mine is None:
                     held[part, at] = got.copy()
                 else:
                     merge(mine, got, at)
         for (part, at), data in held.items():
-            yield pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int64()), "slice": pa.array([at], pa.int32()), "data": pa.array([data.tobytes()], pa.binary())})
+            yield pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int64()), "slice": pa.array([at], pa.int32()), "data": pa.array([zlib.compress(data.tobytes(), 1) if how == "sparse" else data.tobytes()], pa.binary())})
 
     parts = df.rdd.getNumPartitions()
     while True:
@@ -85,7 +96,7 @@ def merge_slices(df: DataFrame, how: str, floats: int = 0) -> np.ndarray:
             break
         parts = -(-parts // 64)
     rows = sorted((r["slice"], bytes(r["data"])) for r in df.collect())
-    return np.frombuffer(b"".join(d for _, d in rows), dtype=dtype).copy() if rows else np.zeros(0, dtype=dtype)
+    return np.concatenate([unpacked(d) for _, d in rows]) if rows else np.zeros(0, dtype=dtype)
 
 
 def slices_of(data: np.ndarray, part: int) -> pa.RecordBatch:
@@ -94,6 +105,13 @@ def slices_of(data: np.ndarray, part: int) -> pa.RecordBatch:
     return pa.RecordBatch.from_pydict({"part": pa.array([part] * len(cut), pa.int64()), "slice": pa.array(range(len(cut)), pa.int32()), "data": pa.array(cut, pa.binary())})
 
 
+def sparse_slices_of(counters: np.ndarray, part: int) -> pa.RecordBatch:
+    """Slices of mostly small counters: saturated to a byte each and compressed.  Their number is a power of two."""
+    raw, size = np.minimum(counters, 255).astype(np.uint8).tobytes(), SLICE_BYTES // 4
+    cut = [zlib.compress(raw[k : k + size], 1) for k in range(0, len(raw), size)]
+    return pa.RecordBatch.from_pydict({"part": pa.array([part] * len(cut), pa.int64()), "slice": pa.array(range(len(cut)), pa.int32()), "data": pa.array(cut, pa.binary())})
+
+
 def whole_groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[tuple[pa.Table, np.ndarray]]:
     """Of batches sorted by ``keys``: tables that hold whole groups only, with the groups' row offsets."""
     held: list[pa.RecordBatch] = []

@@ -9,9 +9,13 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from siltstone.llm.jaccard_join import jaccard_join
 from siltstone.llm.language_model import score_documents
+from siltstone.llm.nearest import nearest
+from siltstone.llm.quality import quality
+from siltstone.llm.toxicity import toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -32,6 +36,25 @@ def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join(table(spark, sf_dir, "documents"), "doc_id", "text", width=3, threshold=(90, 100))
 
 
+@_query
+def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of every whole text of ``documents``, learned from ``labels`` outside the held-out fold."""
+    return quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), "doc_id", "text", "quality", cut=0.3)
+
+
+@_query
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every whole text of ``documents``, learned from ``labels`` outside the held-out fold."""
+    found = toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), "doc_id", "text", "toxic", cut=0.5)
+    return found.select("doc_id", "held_out", "score", "predicted", "n_sentences", F.size("spans").cast("long").alias("n_offending"))
+
+
+@_query
+def op7_permutation_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest of every twentieth vector of ``embeddings``, against all vectors."""
+    return nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
+
+
 @_query
 def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hashed maximum-entropy model of every whole text of ``documents``; crc32(doc_id) mod 7 = 2 is held out."""

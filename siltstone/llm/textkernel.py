@@ -58,10 +58,15 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _POWERS[0], _POWERS[1]
 
 
-def _word_bounds(data: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Start and end of each word; no word crosses one of the ascending positions ``cuts``."""
+def word_bounds(data: np.ndarray, cuts: np.ndarray, blank: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Start and end of each word; no word crosses one of the ascending positions ``cuts``.
+
+    ``blank`` marks the bytes between words, by default white space.
+    """
     n = len(data)
-    inside = ~_SPACE[data]
+    if not n:
+        return np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int64)
+    inside = ~(_SPACE if blank is None else blank)[data]
     first = inside.copy()
     first[1:] &= ~inside[:-1]
     last = inside.copy()
@@ -72,7 +77,7 @@ def _word_bounds(data: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, np.nda
     return np.flatnonzero(first), np.flatnonzero(last) + 1
 
 
-def _digests(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+def digests(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     up, down = _powers(len(data))
     sums = np.empty(len(data) + 1, dtype=np.uint64)
     sums[0] = 0
@@ -105,6 +110,23 @@ def pieces(texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]
         row = end
 
 
+def segments(texts: pa.Array, ends: np.ndarray) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, int]]:
+    """As pieces, but a long row comes in several segments, with the byte at which each begins in its row.
+
+    A segment ends after the last byte that ``ends`` marks, or else at white space, if there is any in it.
+    """
+    for row, end, data, offsets in pieces(texts):
+        at = 0
+        while len(data) - at > PIECE_BYTES:
+            window = data[at : at + PIECE_BYTES]
+            stops = np.flatnonzero(ends[window])
+            stops = stops if len(stops) else np.flatnonzero(_SPACE[window])
+            cut = at + (int(stops[-1]) + 1 if len(stops) else PIECE_BYTES)
+            yield row, end, data[at:cut], np.array([0, cut - at]), at
+            at = cut
+        yield row, end, data[at:], offsets - at if at == 0 else np.array([0, len(data) - at]), at
+
+
 def _long_words(data: np.ndarray) -> np.ndarray:
     out, at = [], 0
     while at < len(data):
@@ -116,7 +138,7 @@ def _long_words(data: np.ndarray) -> np.ndarray:
                 break
             end = min(end + PIECE_BYTES, len(data))
         part = data[at:end]
-        out.append(_digests(part, *_word_bounds(part, np.empty(0, dtype=np.int64))))
+        out.append(digests(part, *word_bounds(part, np.empty(0, dtype=np.int64))))
         at = end
     return np.concatenate(out) if out else np.empty(0, dtype=np.uint64)
 
@@ -128,8 +150,8 @@ def word_digests(texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.nda
             words = _long_words(data)
             yield row, end, words, np.array([0, len(words)])
         else:
-            starts, ends = _word_bounds(data, offsets)
-            yield row, end, _digests(data, starts, ends), np.searchsorted(starts, offsets)
+            starts, ends = word_bounds(data, offsets)
+            yield row, end, digests(data, starts, ends), np.searchsorted(starts, offsets)
 
 
 def shingles(words: np.ndarray, bounds: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
