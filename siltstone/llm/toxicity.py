@@ -26,9 +26,9 @@ from siltstone.llm.labelled import held, training_labels
 SAMPLE_ROWS = 16_384
 BITS, KEPT, ROUNDS, STEPS = 20, 4096, 3, 40
 #: Lengths in bytes of the word beginnings that are features beside the whole word.
-BEGINNINGS = (4, 5, 6)
-#: A feature is kept from this many standard errors and toxic documents on.
-LEAST_Z, LEAST_DOCS = 3.5, 3
+BEGINNINGS = (4, 5, 6, 7, 8, 10)
+#: A feature is kept if its likelihood ratio against chance reaches this (a chance of one in millions).
+LEAST_RATIO = 25.0
 START_BIAS = -6.0
 
 _BLANK = np.ones(256, dtype=bool)
@@ -74,6 +74,15 @@ def _presence(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield sparse_slices_of(counts, TaskContext.get().partitionId())
 
 
+def _likelihood_ratio(pos: np.ndarray, neg: np.ndarray, positive: int, other: int) -> np.ndarray:
+    """Twice the log likelihood ratio of the two-by-two table of feature and label."""
+    seen, every = pos + neg, positive + other
+    out = np.zeros(len(pos))
+    for part, row, column in ((pos, seen, positive), (neg, seen, other), (positive - pos, every - seen, positive), (other - neg, every - seen, other)):
+        out += 2 * part * np.log(np.maximum(part, 1e-12) * every / np.maximum(row * column, 1e-12))
+    return out
+
+
 def _chosen(data: np.ndarray, offsets: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Kept features met as (sentence, feature) pairs in order, then word starts and ends of sentences' bounds."""
     starts, ends, sentence, first = _sentences(data, offsets)
@@ -137,6 +146,7 @@ def _climb(weights_of, steps: int):
             g -= 0.02 * (w - np.where(np.arange(len(w)) == len(w) - 1, START_BIAS, 0.0))
             moved += g * g
             w += 0.3 * g / np.sqrt(moved)
+            w[:-1] = np.maximum(w[:-1], 0.0)  # a feature is evidence for toxicity or none
         yield slices_of(np.concatenate([w * len(rows), [float(len(rows))]]), TaskContext.get().partitionId())
 
     return run
@@ -196,10 +206,9 @@ def toxicity(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     table, weights = np.full(1 << BITS, -1, dtype=np.int16), np.array([-60.0])
     if positive and other:
         pos, neg = counts[: 1 << BITS], counts[1 << BITS :]
-        mean = (pos + neg) / every
-        z = (pos / positive - neg / other) / np.sqrt(np.maximum(mean * (1 - mean), 1e-12) * (1 / positive + 1 / other))
-        kept = np.flatnonzero((z >= LEAST_Z) & (pos >= LEAST_DOCS))
-        kept = kept[np.argsort(-z[kept], kind="stable")][:KEPT]
+        ratio = _likelihood_ratio(pos, neg, positive, other)
+        kept = np.flatnonzero((ratio >= LEAST_RATIO) & (pos * other > neg * positive))
+        kept = kept[np.argsort(-ratio[kept], kind="stable")][:KEPT]
         table[kept] = np.arange(len(kept), dtype=np.int16)
         odds = np.log((pos[kept] + 0.5) / (positive + 1)) - np.log((neg[kept] + 0.5) / (other + 1))
         weights = np.concatenate([0.5 * odds, [START_BIAS]])
