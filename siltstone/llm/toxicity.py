@@ -190,9 +190,42 @@ def toxicity(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     and never learned from; rows that repeat an id are rows of their own; of an id's several labels the largest counts.
     Without toxic or without other labels every score is 0.  Other columns are not read.
     """
-    spark = df.sparkSession
     kind = df.schema[id_col].dataType.simpleString()
     rows = df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+    model = _trained(rows, labels, id_col, label_col, sample_rows)
+    scored = rows.withColumn("held_out", held("id")).mapInArrow(_scored(model, locate), f"id {kind}, held_out boolean, score double, n_sentences long, spans array<struct<start:long,end:long,score:double>>")
+    return scored.select(F.col("id").alias(id_col), "held_out", "score", (F.col("score") >= cut).cast("int").alias("predicted"), "n_sentences", "spans")
+
+
+def without_toxic(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", cut: float = 0.5, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
+    """The rows of ``df``, all columns, whose score stays below ``cut``; scored where they are read, without a shuffle."""
+    rows = df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+    model = _trained(rows, labels, id_col, label_col, sample_rows)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table, w = model.value
+        for batch in batches:
+            clean = np.zeros(batch.num_rows)
+            for row, _, data, offsets, _ in tk.segments(batch.column(batch.num_columns - 1), _STOP):
+                sentence, feature, begin, _ = _chosen(data, offsets, table)
+                of = row + np.searchsorted(offsets, begin, side="right") - 1
+                z = w[-1] + np.bincount(sentence, weights=w[feature], minlength=len(begin))
+                clean -= np.bincount(of, weights=_softplus(z), minlength=batch.num_rows)
+            keep = pa.array(-np.expm1(np.minimum(clean, 0.0)) < cut)
+            kept = batch.filter(keep)
+            yield pa.RecordBatch.from_arrays(kept.columns[:-1], names=kept.schema.names[:-1])
+
+    # Positional names, as columns of ``df`` may have any; the text goes along once more as the last column.
+    plain = [f"c{k}" for k in range(len(df.columns))]
+    cast = df.toDF(*plain)
+    schema = ", ".join(f"{n} {f.dataType.simpleString()}" for n, f in zip(plain, df.schema.fields, strict=True))
+    at = df.columns.index(text_col)
+    return cast.withColumn("text_again", F.col(plain[at]).cast("string")).mapInArrow(run, schema).toDF(*df.columns)
+
+
+def _trained(rows: DataFrame, labels: DataFrame, id_col: str, label_col: str, sample_rows: int):
+    """Broadcast (bucket -> kept feature, weights and bias)."""
+    spark = rows.sparkSession
     known = training_labels(labels, id_col, label_col)
     total = known.count()
     share = min(1.0, sample_rows / max(total, 1))
@@ -218,6 +251,4 @@ def toxicity(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
             summed = merge_slices(bags.mapInArrow(_climb(spark.sparkContext.broadcast(weights), STEPS), slices), "sum")
             if len(summed):
                 weights = summed[:-1] / summed[-1]
-    model = spark.sparkContext.broadcast((table, weights))
-    scored = rows.withColumn("held_out", held("id")).mapInArrow(_scored(model, locate), f"id {kind}, held_out boolean, score double, n_sentences long, spans array<struct<start:long,end:long,score:double>>")
-    return scored.select(F.col("id").alias(id_col), "held_out", "score", (F.col("score") >= cut).cast("int").alias("predicted"), "n_sentences", "spans")
+    return spark.sparkContext.broadcast((table, weights))
