@@ -34,10 +34,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siltstone.llm import textkernel as tk
-from siltstone.llm.common import connected_components, lists_of, materialize, merge_slices, slices_of, whole_groups
+from siltstone.llm.common import connected_components, lists_of, materialize, merge_slices, slices_of, sparse_slices_of, whole_groups
 
 #: Most shared prefix shingles that a pair can be asked for.
 MAX_MULTI = 8
+#: Slots of the frequency sketch, as bits: it follows the rows up to this many (a broadcast of 64 MB).
+MAX_SKETCH_BITS = 25
 #: A unit's blocks hold about this many sets and shingles at most.
 BLOCK_SETS, BLOCK_SHINGLES = 1500, 2_000_000
 #: Elements compared in a verification weigh so much against a posting scanned.
@@ -50,16 +52,19 @@ def _overlap(n: np.ndarray, num: int, den: int) -> np.ndarray:
 
 
 def _sketch(df: DataFrame, width: int, bits: int) -> np.ndarray:
-    """Occurrences of shingle slots (the top ``bits`` of the digest) over all texts; one count for a text's set."""
+    """Texts that hold a shingle of each slot (the top ``bits`` of the digest), over all texts.
+
+    A task's count saturates at 255, which only evens out the order of very frequent shingles.
+    """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = np.zeros(1 << bits, dtype=np.uint32)
         for batch in batches:
             for *_, values, _ in tk.shingle_sets(batch.column("text"), width):
-                held += np.bincount((values >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits).astype(np.uint32)
-        yield slices_of(held, TaskContext.get().partitionId())
+                np.add.at(held, (values >> np.uint64(64 - bits)).astype(np.int64), np.uint32(1))
+        yield sparse_slices_of(held, TaskContext.get().partitionId())
 
-    return merge_slices(df.select("text").mapInArrow(count, "part long, slice int, data binary"), "add")
+    return merge_slices(df.select("text").mapInArrow(count, "part long, slice int, data binary"), "sparse")
 
 
 def _digest(values: np.ndarray) -> bytes:
@@ -78,7 +83,7 @@ def _signatures(df: DataFrame, width: int, num: int, den: int, ranks: object, bi
                 n = np.diff(bounds)
                 edges = bounds.tolist()
                 digests = [_digest(values[a:b]) for a, b in zip(edges[:-1], edges[1:], strict=True)]
-                ordered = (rank[(values >> np.uint64(64 - bits)).astype(np.int64)] << np.uint64(48)) | (values >> np.uint64(16))
+                ordered = (rank[(values >> np.uint64(64 - bits)).astype(np.int64)].astype(np.uint64) << np.uint64(48)) | (values >> np.uint64(16))
                 ordered, inner = tk.distinct(ordered, bounds)
                 keep = np.where(n > 0, n - _overlap(n, num, den) + MAX_MULTI, 0)
                 keep = np.minimum(keep, np.diff(inner))
@@ -271,10 +276,10 @@ def jaccard_join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     num, den = threshold
     spark = df.sparkSession
     df = df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    bits = min(24, max(16, math.ceil(math.log2(4 * df.count() + 1))))
+    bits = min(MAX_SKETCH_BITS, max(16, math.ceil(math.log2(64 * df.count() + 1))))
     counts = _sketch(df, width, bits)
     counts = counts if len(counts) else np.zeros(1 << bits, dtype=np.uint32)
-    ranks = spark.sparkContext.broadcast(np.floor(1000 * np.log2(1.0 + counts)).astype(np.uint64))
+    ranks = spark.sparkContext.broadcast(np.floor(1000 * np.log2(1.0 + counts)).astype(np.uint16))
     signed = materialize(_signatures(df, width, num, den, ranks, bits), "signed")
 
     classes = (
