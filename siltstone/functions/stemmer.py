@@ -7,6 +7,7 @@ import re
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StringType
 
 # The suffix tables of the published algorithm.
 STEP2 = dict(ational="ate", tional="tion", enci="ence", anci="ance", izer="ize", abli="able", alli="al", entli="ent", eli="e", ousli="ous", ization="ize", ation="ate", ator="ate", alism="al", iveness="ive", fulness="ful", ousness="ous", aliti="al", iviti="ive", biliti="ble")
@@ -80,7 +81,7 @@ def stem(word: str) -> str:
     return w
 
 
-@F.pandas_udf("array<string>")
+@F.pandas_udf(ArrayType(StringType()))
 def _stems(words: pd.Series) -> pd.Series:
     memo: dict[str, str] = {}
     return words.map(lambda ws: None if ws is None else [memo.setdefault(w, stem(w)) if w not in memo else memo[w] for w in ws])
