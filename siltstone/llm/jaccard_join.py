@@ -8,9 +8,9 @@ frequency; shingles are ordered by it, ties by digest, so that each set has its
 *Prefixes.*  With ``o = ceil(t * n)`` a partner of a set of ``n`` shingles shares at least ``o`` of them, so
 the first ``n - o + l`` shingles of both hold at least ``l`` common ones, for every ``l <= o``.  All sets post
 the prefix for the largest ``l``; a posting's *label* is the smallest ``l`` whose prefix contains it.  Postings
-of shingles that only one set has fall away.  From the true lengths of the remaining lists each set estimates,
-for every ``l``, the postings to scan plus the candidates to verify (no more than postings / l) and takes
-the cheapest ``l``.  A pair is compared with the smaller ``l`` of the two.
+of shingles that only one set has fall away, and so do those beyond the ``l``-th that the very same sets share.  From
+the true lengths of the remaining lists each set estimates, for every ``l``, the postings to scan plus the candidates
+to verify and takes the cheapest ``l``.  A pair is compared with the smaller ``l`` of the two.
 
 *Pairs.*  Pairs are never rows.  Sets that post a shingle meet in one unit; longer lists are cut into blocks by
 size band and digest, and each pair of blocks is a unit of bounded bytes.  A pair is verified in exactly one
@@ -30,7 +30,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from siltstone.llm import textkernel as tk
@@ -58,10 +58,11 @@ def _sketch(df: DataFrame, width: int, bits: int) -> np.ndarray:
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = np.zeros(1 << bits, dtype=np.uint32)
+        held = np.zeros(1 << bits, dtype=np.uint16)
         for batch in batches:
             for *_, values, _ in tk.shingle_sets(batch.column("text"), width):
-                np.add.at(held, (values >> np.uint64(64 - bits)).astype(np.int64), np.uint32(1))
+                np.add.at(held, (values >> np.uint64(64 - bits)).astype(np.int64), np.uint16(1))
+                np.minimum(held, 255, out=held)
         yield sparse_slices_of(held, TaskContext.get().partitionId())
 
     return merge_slices(df.select("text").mapInArrow(count, "part long, slice int, data binary"), "sparse")
@@ -163,7 +164,7 @@ class _Units:
 
     def __init__(self, table: pa.Table, num: int, den: int) -> None:
         self.table, self.num, self.den = table, num, den
-        self.token, self.node = table.column("u_token").to_numpy(), table.column("node").to_numpy()
+        self.token, self.node = table.column("u_id").to_numpy(), table.column("node").to_numpy()
         self.n, self.multi, self.side = (table.column(c).to_numpy() for c in ("n", "multi", "side"))
         self.tokens, self.bounds = lists_of(table.column("tokens"))
         self.labels, _ = lists_of(table.column("labels"))
@@ -295,15 +296,26 @@ def jaccard_join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     posted = posted.repartition("token").sortWithinPartitions("token").mapInArrow(_shared_only, posted.schema)
     posted = materialize(posted, "posted")
 
-    # The number l of shared shingles that each set asks for, by the true lengths of its lists.
-    lengths = posted.groupBy("token").agg(F.count("*").alias("length"), F.sum("n").alias("weight"))
-    scans = [F.sum(F.when(F.col("label") <= k, F.col("length") - 1).otherwise(0)).alias(f"scan{k}") for k in range(1, MAX_MULTI + 1)]
-    nodes = posted.join(lengths, "token").groupBy("node").agg(F.first("n").alias("n"), F.collect_list(F.struct("token", "label", "length", "weight")).alias("post"), *scans)
-    costs = [f"struct(if({k} <= {overlap}, scan{k} * (1 + {VERIFY_WEIGHT} * n / {k}), double('infinity')) as cost, {k} as multi)" for k in range(1, MAX_MULTI + 1)]
-    nodes = nodes.withColumn("multi", F.expr(f"array_min(array({', '.join(costs)})).multi"))
-    nodes = nodes.withColumn("post", F.expr("array_sort(filter(post, p -> p.label <= multi))"))
-    nodes = nodes.select("node", "n", "multi", F.expr("post.token").alias("tokens"), F.expr("post.label").alias("labels"), F.explode("post").alias("p"))
-    nodes = nodes.select("node", "n", "multi", "tokens", "labels", F.col("p.token").alias("u_token"), F.expr(f"p.length > {block_sets} or p.weight > {block_shingles}").alias("long"))
+    # Shingles that are posted by the same sets are a class: to a pair they are all common or none is.  A set therefore
+    # needs only the first l of those that lie in the shortest prefix of all their sets (label 1).
+    kinds = posted.groupBy("token").agg(F.count("*").alias("length"), F.sum("n").alias("weight"), F.bit_xor(F.xxhash64("node")).alias("kind"), F.max("label").alias("top"))
+    rows = posted.join(kinds, "token").withColumn("id", F.expr("cast(shiftright(xxhash64(token), 32) as int)")).withColumn("wide", F.col("top") > 1)
+    place = F.row_number().over(Window.partitionBy("node", "kind", "length").orderBy("wide", "id"))
+    rows = rows.withColumn("place", F.when(F.col("wide"), 0).otherwise(place))
+    # The number l of shared shingles that each set asks for, by the true lengths of its lists: postings to scan, and
+    # partners to verify; those of a class with fewer than l shingles rarely come up to it.
+    entry = F.struct("token", "id", "label", "place", F.expr(f"length > {block_sets} or weight > {block_shingles}").alias("long"))
+    levels = range(1, MAX_MULTI + 1)
+    shares = [F.count_if(F.col("label") <= k).alias(f"m{k}") for k in levels]
+    grouped = rows.groupBy("node", "kind", "length").agg(F.first("n").alias("n"), F.collect_list(entry).alias("post"), *shares)
+    costs = [F.sum((F.col("length") - 1) * (F.least(f"m{k}", F.lit(k)) + VERIFY_WEIGHT * F.col("n") * F.pow(F.least(F.lit(1.0), F.col(f"m{k}") / k), 2))).alias(f"cost{k}") for k in levels]
+    nodes = grouped.groupBy("node").agg(F.first("n").alias("n"), F.flatten(F.collect_list("post")).alias("post"), *costs)
+    choice = ", ".join(f"struct(if({k} <= {overlap}, cost{k}, double('infinity')) as cost, {k} as multi)" for k in levels)
+    ids = "transform(post, p -> p.id)"
+    nodes = nodes.withColumn("multi", F.expr(f"if(size(array_distinct({ids})) < size(post), 1, array_min(array({choice})).multi)"))
+    nodes = nodes.withColumn("post", F.expr("array_sort(transform(filter(post, p -> p.label <= multi and p.place <= multi), p -> struct(p.id, p.label, p.token, p.long)))"))
+    nodes = nodes.select("node", "n", "multi", F.expr("post.id").alias("tokens"), F.expr("transform(post, p -> cast(p.label as tinyint))").alias("labels"), F.explode("post").alias("p"))
+    nodes = nodes.select("node", "n", "multi", "tokens", "labels", F.col("p.token").alias("u_token"), F.col("p.id").alias("u_id"), F.col("p.long").alias("long"))
     nodes = materialize(nodes, "listed")
 
     # Units: a short list is one; a long list is cut by size band and digest, and pairs of near blocks meet.
@@ -314,8 +326,8 @@ def jaccard_join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     near = cut.select("u_token", F.col("band").alias("other"), F.col("blocks").alias("others"))
     met = mine.withColumn("other", F.explode(F.expr("array(band - 1, band, band + 1)"))).join(near, ["u_token", "other"]).withColumn("theirs", F.explode(F.expr("sequence(0L, others - 1)")))
     a, b = "band * 1000000000 + mine", "other * 1000000000 + theirs"
-    met = met.select("node", "n", "multi", "tokens", "labels", "u_token", F.expr(f"least({a}, {b}) + 1").alias("u_a"), F.expr(f"greatest({a}, {b}) + 1").alias("u_b"), F.expr(f"cast({a} > {b} as int)").alias("side"))
-    units = nodes.where("not long").select("node", "n", "multi", "tokens", "labels", "u_token", F.lit(0).cast("long").alias("u_a"), F.lit(0).cast("long").alias("u_b"), F.lit(0).alias("side")).unionByName(met)
+    met = met.select("node", "n", "multi", "tokens", "labels", "u_token", "u_id", F.expr(f"least({a}, {b}) + 1").alias("u_a"), F.expr(f"greatest({a}, {b}) + 1").alias("u_b"), F.expr(f"cast({a} > {b} as int)").alias("side"))
+    units = nodes.where("not long").select("node", "n", "multi", "tokens", "labels", "u_token", "u_id", F.lit(0).cast("long").alias("u_a"), F.lit(0).cast("long").alias("u_b"), F.lit(0).alias("side")).unionByName(met)
     active = units.repartition(*_UNIT).sortWithinPartitions(*_UNIT).mapInArrow(_active(num, den), units.schema)
     active = materialize(active, "active")
 

@@ -16,7 +16,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Bytes of text taken at once; working memory is about 60 times that.
-PIECE_BYTES = 1 << 20
+PIECE_BYTES = 1 << 19
 
 _M1 = np.uint64(0x9E3779B97F4A7C15)
 _M2 = np.uint64(0xBF58476D1CE4E5B9)
