@@ -6,6 +6,7 @@ are also citations, customers sit in a region-nation-customer ontology, parts ar
 
 from __future__ import annotations
 
+import tempfile
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -298,9 +299,8 @@ def _ppr_sql(rounds: int) -> str:
 def _ppr(t) -> DataFrame:
     spark = t("region").sparkSession
     if spark.sparkContext.getCheckpointDir() is None:
-        import tempfile
-
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="siltstone-"))
+        # The folder that the cluster names; a temporary one only where none is named (local tests).
+        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="siltstone-"))
     return graph.personalised_pagerank(graph.symmetric(graph.entity_graph(brand_members(t), "chunk", "entity")), _SEEDS, 10)
 
 
