@@ -40,6 +40,8 @@ from siltstone.llm.common import connected_components, lists_of, materialize, me
 MAX_MULTI = 8
 #: Slots of the frequency sketch, as bits: it follows the rows up to this many (a broadcast of 64 MB).
 MAX_SKETCH_BITS = 25
+#: Rows of one token that a task holds at once.
+RUN_ROWS = 200_000
 #: A unit's blocks hold about this many sets and shingles at most.
 BLOCK_SETS, BLOCK_SHINGLES = 1500, 2_000_000
 #: Elements compared in a verification weigh so much against a posting scanned.
@@ -65,7 +67,9 @@ def _sketch(df: DataFrame, width: int, bits: int) -> np.ndarray:
                 np.minimum(held, 255, out=held)
         yield sparse_slices_of(held, TaskContext.get().partitionId())
 
-    return merge_slices(df.select("text").mapInArrow(count, "part long, slice int, data binary"), "sparse")
+    # A sketch has the same size for any input, so fewer and larger tasks combine more of it before the shuffle.
+    tasks = max(2 * df.sparkSession.sparkContext.defaultParallelism, df.rdd.getNumPartitions() // 4)
+    return merge_slices(df.select("text").coalesce(tasks).mapInArrow(count, "part long, slice int, data binary"), "sparse")
 
 
 def _digest(values: np.ndarray) -> bytes:
@@ -97,27 +101,43 @@ def _signatures(df: DataFrame, width: int, num: int, den: int, ranks: object, bi
     return df.select("id", "text").mapInArrow(sign, f"id {kind}, n long, digest binary, tokens array<long>")
 
 
-def _shared_only(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of batches sorted by token: the rows whose token has another row."""
-    held: pa.RecordBatch | None = None  # the last row, whose token may go on
-    owed = False  # that row's token had a row before it
+def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of batches sorted by token: the rows whose token has another row, with facts about all rows of the token.
+
+    length: rows; weight: their shingles; kind: digest of the sets that post the token; top: largest label.  The facts are
+    null for a token of more than RUN_ROWS rows, which is never held whole.
+    """
+    held: pa.Table | None = None
+    long_token = None
+
+    def out(table: pa.Table) -> pa.RecordBatch:
+        token, node, pack = (table.column(c).to_numpy() for c in ("token", "node", "pack"))
+        first = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))
+        length = np.diff(np.concatenate([first, [len(token)]]))
+        n, label = pack >> 4, (pack & 15).astype(np.int32)
+        facts = [length, np.add.reduceat(n, first), np.bitwise_xor.reduceat(tk.mix(node.view(np.uint64) + np.uint64(1)).view(np.int64), first), np.maximum.reduceat(label, first)]
+        is_long = token[first] == long_token if long_token is not None else np.zeros(len(first), dtype=bool)
+        keep, null = np.repeat((length > 1) | is_long, length), np.repeat(is_long, length)
+        columns = [token[keep], node[keep], n[keep], label[keep]]
+        spread = [pa.array(np.repeat(f, length)[keep], mask=null[keep]) for f in facts]
+        return pa.RecordBatch.from_arrays([*map(pa.array, columns), *spread], names=["token", "node", "n", "label", "length", "weight", "kind", "top"])
+
     for batch in batches:
         if not batch.num_rows:
             continue
-        if held is not None:
-            batch = pa.Table.from_batches([held, batch]).combine_chunks().to_batches()[0]
-        token = batch.column("token").to_numpy()
-        same = token[1:] == token[:-1]
-        keep = np.zeros(len(token), dtype=bool)
-        keep[1:] |= same
-        keep[:-1] |= same
-        keep[0] |= owed
-        owed, held = bool(keep[-1]), batch.slice(len(token) - 1)
-        keep[-1] = False
-        if keep.any():
-            yield batch.filter(pa.array(keep))
-    if held is not None and owed:
-        yield held
+        table = pa.Table.from_batches([batch])
+        table = pa.concat_tables([held, table]) if held is not None else table
+        token = table.column("token").to_numpy()
+        last = int(np.searchsorted(token, token[-1]))
+        if last:
+            yield out(table.slice(0, last))
+        held = table.slice(last)
+        if held.num_rows > RUN_ROWS:
+            long_token = token[-1]
+            yield out(held)
+            held = None
+    if held is not None:
+        yield out(held)
 
 
 def _candidates(token: int, tokens: np.ndarray, labels: np.ndarray, bounds: np.ndarray, multi: np.ndarray, n: np.ndarray, side: np.ndarray, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
@@ -292,14 +312,18 @@ def jaccard_join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     overlap = f"-floor(-n * {num} / {den})"
     posted = classes.select("node", "n", F.posexplode("tokens").alias("at", "token"))
-    posted = posted.select("token", "node", "n", F.expr(f"cast(greatest(1, at + 1 - (n - {overlap})) as int)").alias("label")).where(F.expr(f"label <= {overlap}"))
-    posted = posted.repartition("token").sortWithinPartitions("token").mapInArrow(_shared_only, posted.schema)
+    posted = posted.select("token", "node", F.expr(f"cast(n as long) * 16 + greatest(1, at + 1 - (n - {overlap}))").alias("pack")).where(F.expr(f"pack % 16 <= -floor(-floor(pack / 16) * {num} / {den})"))
+    posted = posted.repartition("token").sortWithinPartitions("token").mapInArrow(_runs, "token long, node long, n long, label int, length long, weight long, kind long, top int")
     posted = materialize(posted, "posted")
+    if not posted.where("length is null").isEmpty():
+        bare = posted.where("length is null").select("token", "node", "n", "label")
+        facts = bare.groupBy("token").agg(F.count("*").alias("length"), F.sum("n").alias("weight"), F.bit_xor(F.xxhash64("node")).alias("kind"), F.max("label").alias("top"))
+        posted = posted.where("length is not null").unionByName(bare.join(facts, "token"))
 
     # Shingles that are posted by the same sets are a class: to a pair they are all common or none is.  A set therefore
-    # needs only the first l of those that lie in the shortest prefix of all their sets (label 1).
-    kinds = posted.groupBy("token").agg(F.count("*").alias("length"), F.sum("n").alias("weight"), F.bit_xor(F.xxhash64("node")).alias("kind"), F.max("label").alias("top"))
-    rows = posted.join(kinds, "token").withColumn("id", F.expr("cast(shiftright(xxhash64(token), 32) as int)")).withColumn("wide", F.col("top") > 1)
+    # needs only the first l of those that lie in the shortest prefix of all their sets (label 1).  All that follows up
+    # to the lists is grouped by set, so it needs one shuffle.
+    rows = posted.repartition("node").withColumn("id", F.expr("cast(shiftright(xxhash64(token), 32) as int)")).withColumn("wide", F.col("top") > 1)
     place = F.row_number().over(Window.partitionBy("node", "kind", "length").orderBy("wide", "id"))
     rows = rows.withColumn("place", F.when(F.col("wide"), 0).otherwise(place))
     # The number l of shared shingles that each set asks for, by the true lengths of its lists: postings to scan, and
