@@ -37,15 +37,15 @@ from siltstone.llm import textkernel as tk
 from siltstone.llm.common import connected_components, lists_of, materialize, merge_slices, slices_of, sparse_slices_of, whole_groups
 
 #: Most shared prefix shingles that a pair can be asked for.
-MAX_MULTI = 8
+MAX_MULTI = 12
 #: Slots of the frequency sketch, as bits: it follows the rows up to this many (a broadcast of 64 MB).
 MAX_SKETCH_BITS = 25
 #: Rows of one token that a task holds at once.
 RUN_ROWS = 200_000
 #: A unit's blocks hold about this many sets and shingles at most.
 BLOCK_SETS, BLOCK_SHINGLES = 1500, 2_000_000
-#: Elements compared in a verification weigh so much against a posting scanned.
-VERIFY_WEIGHT = 0.25
+#: A shingle sent and compared for a verification weighs so much against a posting scanned.
+VERIFY_WEIGHT = 1.0
 _UNIT = ["u_token", "u_a", "u_b"]
 
 
@@ -370,8 +370,9 @@ def jaccard_join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     wanted = merge_slices(need.select(F.expr(hashed.replace("(id)", "(rep)")).alias("slot")).mapInArrow(mark, "part long, slice int, data binary"), "or")
     sets = _sets(df, width, wanted if len(wanted) else np.zeros(size >> 3, dtype=np.uint8), hashed)
-    sets = sets.join(need.withColumnRenamed("rep", "id"), ["id", "digest"]).groupBy("node").agg(F.first("copies").alias("copies"), F.first("shingles").alias("shingles"))
-    full = active.join(sets, "node")
+    # Sets are shuffled once to meet their classes, and once more as often as their units need them.
+    sets = sets.groupBy("id", "digest").agg(F.first("shingles").alias("shingles"))
+    full = active.join(need.withColumnRenamed("rep", "id"), "node").join(sets, ["id", "digest"]).drop("id", "digest")
     found = full.repartition(*_UNIT).sortWithinPartitions(*_UNIT).mapInArrow(_links(num, den), "a long, b long, links long")
     found = materialize(found, "links")
 
