@@ -319,6 +319,9 @@ def score_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     # Class weights: in each round all tasks update from the common weights.  Pair counts go along.
     weights, by_pair = np.zeros((FEATURES, CLASSES), dtype=np.float32), np.zeros((max(head, 1), CLASSES))
+    mass = np.bincount(classes, weights=numbers[:head], minlength=CLASSES) if head else np.zeros(CLASSES)
+    mass[-1] += total - mass.sum() + 1
+    weights[0] = np.log((mass + 1e-3) / (mass + 1e-3).sum())  # the bias begins at the classes' frequencies
     for k in range(ROUNDS if head else 0):
         now = shared((table.keys, table.slots, classes, weights))
         rate = 0.7 if k == 0 else 0.5 if k == 1 else 0.3
