@@ -67,8 +67,8 @@ class Mix:
     def __init__(self, documents: DataFrame, id_col: str, text_col: str, source_col: str) -> None:
         self.id_col, self.text_col, self.source_col = id_col, text_col, source_col
         size = n_words(F.col(text_col))
-        slim = documents.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), size.alias("size"))
-        self.slim = slim = materialize(slim.select("id", _key(F.col("source")).alias("key"), "source", "size", _order("id", "size").alias("h")), "sizes")
+        slim = documents.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), size.alias("size"), F.monotonically_increasing_id().alias("row"))
+        self.slim = slim = materialize(slim.select("row", "id", _key(F.col("source")).alias("key"), "source", "size", _order("id", "size").alias("h")), "sizes")
         sizes = slim.groupBy("key").agg(F.first("source").alias("source"), F.sum("size").alias("source_size"), F.count("*").alias("rows"))
         sizes = materialize(sizes, "sources")
         self.n_sources, most = sizes.agg(F.count("*"), F.coalesce(F.max("rows"), F.lit(0))).first()
@@ -116,11 +116,9 @@ class Mix:
         rows = self.slim.join(_small(self.sources.drop("source"), self.n_sources), "key")
         return rows.select("id", "source", "size", "source_size", "target", self.copies().alias("copies")).withColumn("taken", F.col("size") * F.col("copies"))
 
-    def ordered(self, documents: DataFrame) -> DataFrame:
-        """The columns of ``documents`` with mix_pass and mix_position: a row for each occurrence, range-sorted."""
-        columns = [F.col(f"`{c}`") for c in documents.columns if c not in ("mix_pass", "mix_position")]
-        rows = documents.select(F.struct(*columns).alias("kept"), n_words(F.col(self.text_col)).alias("size"), _key(F.col(self.source_col)).alias("key"), F.col(self.id_col).alias("id"))
-        rows = rows.select("kept", "size", "key", _order("id", "size").alias("h"))
+    def occurrences(self, rows: DataFrame) -> DataFrame:
+        """``rows`` (with key, size and h) once for each time they are taken, with mix_pass and mix_position."""
+        columns = rows.columns
         rows = rows.withColumn("range", self.range_of()).join(_small(self.ranges, self.n_ranges), ["key", "range"])
         rows = rows.join(_small(self.sources.drop("source"), self.n_sources), "key")
         within = F.expr(f"(h - shiftleft(range, {64 - self.bits})) / pow(2, {64 - self.bits})")
@@ -130,12 +128,42 @@ class Mix:
         for weight, a in SLOPES.items():
             slope = F.when(F.col("weight") == weight, F.lit(a)).otherwise(slope)
         root = F.when(slope == 0, share).otherwise((slope - 1 + F.sqrt(F.pow(1 - slope, 2) + 4 * slope * share)) / (2 * slope))
-        rows = rows.select("kept.*", "mix_pass", root.alias("mix_position"))
+        return rows.select(*columns, "mix_pass", root.alias("mix_position"))
+
+    def ordered(self, documents: DataFrame) -> DataFrame:
+        """The columns of ``documents`` with mix_pass and mix_position: a row for each occurrence, range-sorted."""
+        columns = [F.col(f"`{c}`") for c in documents.columns if c not in ("mix_pass", "mix_position")]
+        rows = documents.select(F.struct(*columns).alias("kept"), n_words(F.col(self.text_col)).alias("size"), _key(F.col(self.source_col)).alias("key"), F.col(self.id_col).alias("id"))
+        rows = self.occurrences(rows.select("kept", "size", "key", _order("id", "size").alias("h")))
+        rows = rows.select("kept.*", "mix_pass", "mix_position")
         return rows.repartitionByRange("mix_position").sortWithinPartitions("mix_position")
 
+    def placed(self) -> DataFrame:
+        """``planned`` from the occurrences themselves, with mix_positions and mix_places, both by pass.
+
+        A place counts the occurrences before it in the range-sorted order of training; a document that is never taken
+        has empty lists.
+        """
+        rows = self.occurrences(self.slim.select("row", "key", "size", "h")).repartitionByRange("mix_position").sortWithinPartitions("mix_position", "h", "mix_pass", "row")
+        rows = rows.select("row", "size", "mix_pass", "mix_position", F.monotonically_increasing_id().alias("at"))
+        # The id of an occurrence is its partition, in the order of ranges, and its number in it.
+        rows = materialize(rows.select("*", F.shiftright("at", 33).alias("part")), "ordered")
+        starts = rows.groupBy("part").agg(F.count("*").alias("rows"))
+        starts = starts.select("part", F.coalesce(F.sum("rows").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("start"))
+        place = F.col("start") + F.col("at").bitwiseAND(F.lit((1 << 33) - 1))
+        taken = rows.join(F.broadcast(starts), "part").groupBy("row").agg(
+            F.sum("size").alias("taken"),
+            F.count("*").alias("copies"),
+            F.array_sort(F.collect_list(F.struct("mix_pass", "mix_position", place.alias("place")))).alias("given"),
+        )
+        every = self.slim.join(_small(self.sources.select("key", "target", "source_size"), self.n_sources), "key").join(taken, "row", "left")
+        none = F.coalesce("given", F.array().cast("array<struct<mix_pass:int,mix_position:double,place:bigint>>"))
+        counts = [F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("copies", "taken")]
+        return every.select("id", "source", "size", "source_size", "target", *counts, none["mix_position"].alias("mix_positions"), none["place"].alias("mix_places"))
+
 
 def mix(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> Mix:
-    """Plan the mix of ``documents``; see ``Mix.planned`` and ``Mix.ordered``.
+    """Plan the mix of ``documents``; see ``Mix.planned``, ``Mix.ordered`` and ``Mix.placed``.
 
     Sizes count words of whole texts; a null or empty text has size 0 and occurs as often as its source is passed
     over.  Null is a source of its own and stands last.  Rows that repeat id and size are taken or left together.

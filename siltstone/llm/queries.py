@@ -106,9 +106,9 @@ def op8_extendible_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Words that the mix takes of every document, and the target of its source."""
-    planned = mix(table(spark, sf_dir, "documents"), "doc_id", "text", "source").planned()
-    return planned.select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken", "copies")
+    """Words that the mix takes of every document, the target of its source, and where in training it stands."""
+    placed = mix(table(spark, sf_dir, "documents"), "doc_id", "text", "source").placed()
+    return placed.select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken", "copies", "mix_positions", "mix_places")
 
 
 @_query
