@@ -33,11 +33,27 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group linked by five-word shingles at 0.8 or more, the document with the smallest id stays, once."""
-    groups = materialize(jaccard_join(docs, "doc_id", "text", width=5, threshold=(80, 100)).select("doc_id", "component_id"), "groups")
-    kept = _without(docs, groups.where("doc_id <> component_id").select("doc_id"))
-    again = groups.where("doc_id = component_id").groupBy("doc_id").count().where("count > 1")
-    return kept if again.isEmpty() else kept.dropDuplicates(["doc_id"])
+    """Of each group linked by five-word shingles at 0.8 or more, the document with the smallest id stays, once.
+
+    Groups and survivors are of rows: a reused id does not join texts that are not linked, and a null id, which stands
+    last, is a document of its own.  Rows without words are in no group; of those that repeat an id and text one stays.
+    """
+    # A row is known by a key that is written down, as a second reading of ``docs`` may come in another order.
+    plain = [f"c{k}" for k in range(len(docs.columns))]
+    rows = materialize(docs.toDF(*plain).withColumn("row", F.monotonically_increasing_id()), "rows")
+    doc_id, text = (F.col(plain[docs.columns.index(c)]) for c in ("doc_id", "text"))
+    groups = jaccard_join(rows.select("row", text.alias("text")), "row", "text", width=5, threshold=(80, 100))
+    groups = materialize(groups.where("n_links > 0").select("row", F.col("component_id").alias("group")), "groups")
+    linked = groups.join(rows.select("row", doc_id.alias("id")), "row")
+    stays = linked.groupBy("group").agg(F.min(F.struct(F.col("id").isNull().alias("last"), "id", "row"))["row"].alias("row"))
+
+    bare = rows.where(doc_id.isNotNull() & ~F.coalesce(text.cast("string").rlike(r"[^\x20\x09-\x0D]"), F.lit(False)))
+    bare = bare.select("row", doc_id.alias("id"), text.cast("string").alias("text"))
+    stays = stays.select("row").unionByName(bare.groupBy("id", "text").agg(F.min("row").alias("row")).select("row"))
+    dropped = groups.select("row").unionByName(bare.select("row")).join(stays, "row", "left_anti")
+    dropped = materialize(dropped, "dropped")
+    dropped = F.broadcast(dropped) if dropped.count() <= BROADCAST_IDS else dropped
+    return rows.join(dropped, "row", "left_anti").select(*plain).toDF(*docs.columns)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
