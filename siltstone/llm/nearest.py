@@ -58,6 +58,15 @@ class Files:
             return met
         return met[np.argpartition(-gain[met], keep - 1)[:keep]]
 
+    def topped(self, order: np.ndarray, least: int) -> np.ndarray:
+        """Rows met in as many of the query's files, nearest first, as hold ``least`` rows; all rows if there are fewer."""
+        met = np.zeros(self.n, dtype=bool)
+        for pivot in order.tolist():
+            met[self.files[pivot][0]] = True
+            if np.count_nonzero(met) >= least:
+                break
+        return np.flatnonzero(met)
+
 
 def _calibrated(sample: np.ndarray, extra: np.ndarray, pivots: np.ndarray, pivot_extra: np.ndarray, k: int, recall: float) -> tuple[int, float]:
     """Files to read and share to rerank: the least work that reaches ``recall`` on the sample."""
@@ -156,6 +165,8 @@ def nearest(df: DataFrame, queries: Column, k: int = 20, id_col: str = "vec_id",
                     at, of_query, best = [], [], []
                     for i in range(len(some)):
                         met = files.ranked(orders[i], probes, share, k + 1)
+                        if len(met) < k + 1:
+                            met = files.topped(orders[i], k + 1)
                         s = scores[met, i]
                         if len(s) > k + 1:
                             cut = np.partition(s, len(s) - k - 1)[len(s) - k - 1]
