@@ -13,8 +13,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from siltstone.llm.common import materialize
+
 #: Item shingles are broadcast to the scan up to this number (about 20 MB), and joined by a shuffle beyond it.
 BROADCAST_SHINGLES = 400_000
+#: Pairs of candidates are broadcast up to this number (about 30 MB), and joined by a shuffle beyond it.
+BROADCAST_PAIRS = 1_000_000
 
 
 def _words(text: Column) -> Column:
@@ -31,6 +35,12 @@ def _runs(hashes: str, width: int) -> Column:
     return F.expr(f"if(size({hashes}) < {width}, array(), transform(sequence(0, greatest(size({hashes}) - {width}, 0)), i -> xxhash64({at}, {width})))").cast("array<long>")
 
 
+def candidates(shingles: DataFrame, signatures: DataFrame) -> DataFrame:
+    """(doc, item) where the shingles (doc, h) hold ``least`` or more of a signature (h, item, least)."""
+    met = shingles.join(signatures, "h").groupBy("doc", "item", "h").agg(F.first("least").alias("least"))
+    return met.groupBy("doc", "item").agg(F.first("least").alias("least"), F.count("*").alias("hits")).where("hits >= least").select("doc", "item")
+
+
 def contaminated(documents: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text", width: int = 5, threshold: float = 0.8) -> DataFrame:
     """(``id_col``, ``item_id_col``, n_item_shingles, n_shared, containment) of the documents that contain items.
 
@@ -54,15 +64,21 @@ def contaminated(documents: DataFrame, items: DataFrame, id_col: str = "doc_id",
     largest = f"cast(pow(2, ceil(log2({n}))) as int)"
     spare = lambda size: f"({size} - cast(ceil({threshold} * {size} - 1e-9) as int))"
     items = items.select("item", "s", F.expr(f"{n}").alias("n"), F.expr(f"slice(array_sort(s), 1, {spare(largest)} + 1)").alias("signature"), F.expr(spare(n)).alias("spare"))
-    entries = items.select(F.explode("s").alias("h"), "item", "n", F.expr("greatest(size(signature) - spare, 1)").alias("least"), "signature")
-    entries = entries.select("h", "item", "n", "least", F.array_contains("signature", F.col("h")).cast("int").alias("signed"))
-    number = items.agg(F.sum("n")).first()[0]
-    entries = F.broadcast(entries) if number <= BROADCAST_SHINGLES else entries
-
-    docs = documents.select(F.col(id_col).alias("doc"), _hashes(F.coalesce(F.col(text_col), F.lit(""))).alias("w")).where("doc is not null")
-    runs = F.concat(*(_runs("w", k) for k in used)) if len(used) > 1 else _runs("w", used[0])
-    met = docs.select("doc", F.explode(runs).alias("h")).join(entries, "h")
-    met = met.groupBy("doc", "item", "h").agg(F.first("n").alias("n"), F.first("least").alias("least"), F.first("signed").alias("signed"))
-    met = met.groupBy("doc", "item").agg(F.first("n").alias("n"), F.first("least").alias("least"), F.sum("signed").alias("hits"), F.count("*").alias("shared"))
-    met = met.where("hits >= least").withColumn("containment", F.col("shared") / F.col("n")).where(F.col("containment") >= threshold)
+    small = items.agg(F.sum("n")).first()[0] <= BROADCAST_SHINGLES
+    bounded = lambda df: F.broadcast(df) if small else df
+    signatures = bounded(items.select(F.explode("signature").alias("h"), "item", F.expr("greatest(size(signature) - spare, 1)").alias("least")))
+    entries = bounded(items.select(F.explode("s").alias("h"), "item", "n"))
+
+    def shingles(docs: DataFrame) -> DataFrame:
+        hashed = docs.select("doc", _hashes(F.coalesce(F.col("text"), F.lit(""))).alias("w"))
+        return hashed.select("doc", F.explode(F.concat(*(_runs("w", k) for k in used)) if len(used) > 1 else _runs("w", used[0])).alias("h"))
+
+    docs = documents.select(F.col(id_col).alias("doc"), F.col(text_col).alias("text")).where("doc is not null")
+    pairs = materialize(candidates(shingles(docs), signatures), "pairs")
+    pairs = F.broadcast(pairs) if pairs.count() <= BROADCAST_PAIRS else pairs
+    # Only texts of candidates are hashed again, and their shingles meet those of the items they are candidates for.
+    met = shingles(docs.join(pairs.select("doc"), "doc", "left_semi")).join(entries, "h").join(pairs, ["doc", "item"], "left_semi")
+    met = met.groupBy("doc", "item", "h").agg(F.first("n").alias("n"))
+    met = met.groupBy("doc", "item").agg(F.first("n").alias("n"), F.count("*").alias("shared"))
+    met = met.withColumn("containment", F.col("shared") / F.col("n")).where(F.col("containment") >= threshold)
     return met.select(F.col("doc").alias(id_col), F.col("item").alias(item_id_col), F.col("n").cast("long").alias("n_item_shingles"), F.col("shared").alias("n_shared"), "containment")
