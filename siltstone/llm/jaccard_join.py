@@ -30,7 +30,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from siltstone.llm import textkernel as tk
@@ -49,6 +49,11 @@ VERIFY_WEIGHT = 1.0
 _UNIT = ["u_token", "u_a", "u_b"]
 
 
+def _ids(token: Column) -> Column:
+    """Number by which tokens are ordered and compared: all 64 bits, and one to one, so no two tokens share it."""
+    return F.xxhash64(token)
+
+
 def _overlap(n: np.ndarray, num: int, den: int) -> np.ndarray:
     return -(-n * num // den)
 
@@ -323,7 +328,7 @@ def jaccard_join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     # Shingles that are posted by the same sets are a class: to a pair they are all common or none is.  A set therefore
     # needs only the first l of those that lie in the shortest prefix of all their sets (label 1).  All that follows up
     # to the lists is grouped by set, so it needs one shuffle.
-    rows = posted.repartition("node").withColumn("id", F.expr("cast(shiftright(xxhash64(token), 32) as int)")).withColumn("wide", F.col("top") > 1)
+    rows = posted.repartition("node").withColumn("id", _ids(F.col("token"))).withColumn("wide", F.col("top") > 1)
     place = F.row_number().over(Window.partitionBy("node", "kind", "length").orderBy("wide", "id"))
     rows = rows.withColumn("place", F.when(F.col("wide"), 0).otherwise(place))
     # The number l of shared shingles that each set asks for, by the true lengths of its lists: postings to scan, and
@@ -335,8 +340,7 @@ def jaccard_join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     costs = [F.sum((F.col("length") - 1) * (F.least(f"m{k}", F.lit(k)) + VERIFY_WEIGHT * F.col("n") * F.pow(F.least(F.lit(1.0), F.col(f"m{k}") / k), 2))).alias(f"cost{k}") for k in levels]
     nodes = grouped.groupBy("node").agg(F.first("n").alias("n"), F.flatten(F.collect_list("post")).alias("post"), *costs)
     choice = ", ".join(f"struct(if({k} <= {overlap}, cost{k}, double('infinity')) as cost, {k} as multi)" for k in levels)
-    ids = "transform(post, p -> p.id)"
-    nodes = nodes.withColumn("multi", F.expr(f"if(size(array_distinct({ids})) < size(post), 1, array_min(array({choice})).multi)"))
+    nodes = nodes.withColumn("multi", F.expr(f"array_min(array({choice})).multi"))
     nodes = nodes.withColumn("post", F.expr("array_sort(transform(filter(post, p -> p.label <= multi and p.place <= multi), p -> struct(p.id, p.label, p.token, p.long)))"))
     nodes = nodes.select("node", "n", "multi", F.expr("post.id").alias("tokens"), F.expr("transform(post, p -> cast(p.label as tinyint))").alias("labels"), F.explode("post").alias("p"))
     nodes = nodes.select("node", "n", "multi", "tokens", "labels", F.col("p.token").alias("u_token"), F.col("p.id").alias("u_id"), F.col("p.long").alias("long"))
