@@ -375,7 +375,7 @@ def score_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     model = shared((keys, Lookup(keys).slots, numbers if len(numbers) else np.zeros(1), head, classes, weights, words, tail, denominator))
 
     scored = df.mapInArrow(_score(model), f"id {df.schema['id'].dataType.simpleString()}, held boolean, n_tokens long, known long, base double, score double, rare array<long>")
-    scored = materialize(scored, "scored").withColumn("row", F.monotonically_increasing_id())
+    scored = materialize(scored.withColumn("row", F.monotonically_increasing_id()), "scored")
     rare = scored.select("row", F.explode("rare").alias("word")).groupBy("row", "word").agg(F.count("*").alias("times"))
     rare = rare.join(counts.where(F.col("n") < least), "word").groupBy("row").agg(F.sum("times").alias("more"), F.sum(F.col("times") * F.log10(F.col("n") + 1)).alias("gain"))
     return scored.join(rare, "row", "left").select(

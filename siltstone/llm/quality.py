@@ -38,38 +38,55 @@ _SUMS = 2 + len(_CLASSES) + 1 + 7
 
 
 def _sums(texts: pa.Array) -> np.ndarray:
+    """Sums of whole texts; a long text is taken in segments, and what they share is settled over all of its words."""
     out = np.zeros((len(texts), _SUMS))
-    for row, end, data, offsets, _ in tk.segments(texts, _NEWLINE):
+    c = 3 + len(_CLASSES)
+    for row, end, data, offsets, cuts in tk.segments(texts, _NEWLINE):
         if not len(data):
             continue
-        full = np.flatnonzero(np.diff(offsets))
-        at = offsets[full]
-        add = np.zeros((len(full), _SUMS))
-        add[:, 0] = np.diff(offsets)[full]
-        kinds = _CLASS_OF[data]
-        for k in range(len(_CLASSES) + 1):
-            add[:, 1 + k] = np.add.reduceat((kinds == k).view(np.uint8), at, dtype=np.int64)
-        add[:, 2 + len(_CLASSES)] = np.add.reduceat((data == 10).view(np.uint8), at, dtype=np.int64)
-        starts, ends = tk.word_bounds(data, offsets)
-        words = tk.digests(data, starts, ends)
-        bounds = np.searchsorted(starts, offsets)
-        of = np.repeat(np.arange(len(offsets) - 1), np.diff(bounds))
-        n, c = len(offsets) - 1, 3 + len(_CLASSES)
-        count = lambda mask: np.bincount(of[mask], minlength=n)[full]
-        add[:, c] = np.diff(bounds)[full]
+        several, every = len(cuts) > 1, []
+        for begin, stop in cuts:
+            part = data[begin:stop]
+            bounds = np.array([0, len(part)]) if several else offsets
+            words, of = _add_sums(out[row:end], part, bounds)
+            every.append(words)
+        words = np.concatenate(every) if several else words
+        of = np.zeros(len(words), dtype=np.int64) if several else of
+        n = end - row
         for k in (1, 2):
             same = np.zeros(len(words), dtype=bool)
             same[k:] = (words[k:] == words[:-k]) & (of[k:] == of[:-k])
-            add[:, c + 1 + k] = count(same)
-        last = kinds[ends - 1]
-        add[:, c + 4] = count((last == 5) | (last == 7))
-        add[:, c + 5] = count(kinds[starts] == 0)
-        add[:, c + 6] = np.bincount(of, weights=(ends - starts).astype(np.float64) ** 2, minlength=n)[full]
-        add[:, c + 1] = np.diff(tk.distinct(words.copy(), bounds)[1])[full]
-        out[row + full] += add
+            out[row:end, c + 1 + k] = np.bincount(of[same], minlength=n)
+        bounds = np.searchsorted(of, np.arange(n + 1))
+        out[row:end, c + 1] = np.diff(tk.distinct(words.copy(), bounds)[1])
     return out
 
 
+def _add_sums(out: np.ndarray, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Adds the sums that segments add up to, and returns the digests and rows of the words."""
+    full = np.flatnonzero(np.diff(offsets))
+    at = offsets[full]
+    add = np.zeros((len(full), _SUMS))
+    add[:, 0] = np.diff(offsets)[full]
+    kinds = _CLASS_OF[data]
+    for k in range(len(_CLASSES) + 1):
+        add[:, 1 + k] = np.add.reduceat((kinds == k).view(np.uint8), at, dtype=np.int64)
+    add[:, 2 + len(_CLASSES)] = np.add.reduceat((data == 10).view(np.uint8), at, dtype=np.int64)
+    starts, ends = tk.word_bounds(data, offsets)
+    words = tk.digests(data, starts, ends)
+    bounds = np.searchsorted(starts, offsets)
+    n, c = len(offsets) - 1, 3 + len(_CLASSES)
+    of = np.repeat(np.arange(n), np.diff(bounds))
+    count = lambda mask: np.bincount(of[mask], minlength=n)[full]
+    add[:, c] = np.diff(bounds)[full]
+    last = kinds[ends - 1]
+    add[:, c + 4] = count((last == 5) | (last == 7))
+    add[:, c + 5] = count(kinds[starts] == 0)
+    add[:, c + 6] = np.bincount(of, weights=(ends - starts).astype(np.float64) ** 2, minlength=n)[full]
+    out[full] += add
+    return words, of
+
+
 def _statistics(s: np.ndarray) -> np.ndarray:
     """Statistics of documents from their sums; all zero for an empty text."""
     size, words = np.maximum(s[:, :1], 1), np.maximum(s[:, 3 + len(_CLASSES)], 1)

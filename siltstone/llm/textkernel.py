@@ -110,21 +110,40 @@ def pieces(texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]
         row = end
 
 
-def segments(texts: pa.Array, ends: np.ndarray) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, int]]:
-    """As pieces, but a long row comes in several segments, with the byte at which each begins in its row.
+def segments(texts: pa.Array, ends: np.ndarray) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, list[tuple[int, int]]]]:
+    """As pieces, with the segments (begin, end) in which the bytes are to be taken: one, or several of a long row.
 
-    A segment ends after the last byte that ``ends`` marks, or else at white space, if there is any in it.
+    A segment of a long row ends after its last byte that ``ends`` marks, else after its last white space; without
+    either it grows until there is one, so no word is ever cut.
     """
     for row, end, data, offsets in pieces(texts):
-        at = 0
+        cuts, at = [0], 0
         while len(data) - at > PIECE_BYTES:
-            window = data[at : at + PIECE_BYTES]
-            stops = np.flatnonzero(ends[window])
-            stops = stops if len(stops) else np.flatnonzero(_SPACE[window])
-            cut = at + (int(stops[-1]) + 1 if len(stops) else PIECE_BYTES)
-            yield row, end, data[at:cut], np.array([0, cut - at]), at
-            at = cut
-        yield row, end, data[at:], offsets - at if at == 0 else np.array([0, len(data) - at]), at
+            size = PIECE_BYTES
+            while True:
+                window = data[at : at + size]
+                stops = np.flatnonzero(ends[window])
+                stops = stops if len(stops) else np.flatnonzero(_SPACE[window])
+                if len(stops) or at + size >= len(data):
+                    break
+                size *= 2
+            at = at + int(stops[-1]) + 1 if len(stops) else len(data)
+            cuts.append(at)
+        if cuts[-1] < len(data) or len(cuts) == 1:
+            cuts.append(len(data))
+        yield row, end, data, offsets, list(zip(cuts[:-1], cuts[1:], strict=True))
+
+
+def chars_before(data: np.ndarray, positions: np.ndarray) -> np.ndarray:
+    """Characters of UTF-8 ``data`` before each of the ascending byte positions, counted piece by piece."""
+    out, at, count = np.empty(len(positions), dtype=np.int64), 0, 0
+    for k, p in enumerate(positions.tolist()):
+        while at < p:
+            to = min(p, at + PIECE_BYTES)
+            count += int(np.count_nonzero((data[at:to] & 0xC0) != 0x80))
+            at = to
+        out[k] = count
+    return out
 
 
 def _long_words(data: np.ndarray) -> np.ndarray:

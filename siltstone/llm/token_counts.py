@@ -109,5 +109,6 @@ def token_counts(df: DataFrame, model_path: str, cache_path: str | None = None,
     # A slot can be shared, so some rows were encoded beside the chosen ones; one count of each missing digest stays.
     fresh = fresh.dropDuplicates(["digest"]).join(wanted.select("digest"), "digest", "left_semi")
     fresh.write.mode("append").parquet(folder)
-    stored = spark.read.schema(schema).parquet(folder)
+    # Runs at the same time can append a digest more than once; their counts are equal.
+    stored = spark.read.schema(schema).parquet(folder).dropDuplicates(["digest"])
     return keyed.join(stored, "digest").select(F.col("id").alias(id_col), "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))

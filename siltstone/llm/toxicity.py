@@ -64,11 +64,13 @@ def _presence(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     counts = np.zeros(2 << BITS, dtype=np.uint32)
     for batch in batches:
         label = batch.column("label").to_numpy()
-        for row, _, data, offsets, _ in tk.segments(batch.column("text"), _STOP):
-            starts, ends, *_ = _sentences(data, offsets)
-            of = np.searchsorted(offsets, starts, side="right") - 1
-            pairs = np.concatenate([(of[w] << BITS) | b for w, b in _buckets(data, starts, ends)])
-            pairs = np.unique(pairs)
+        for row, _, data, offsets, cuts in tk.segments(batch.column("text"), _STOP):
+            pairs = np.empty(0, dtype=np.int64)
+            for begin, stop in cuts:
+                part, bounds = data[begin:stop], offsets if len(cuts) == 1 else np.array([0, stop - begin])
+                starts, ends, *_ = _sentences(part, bounds)
+                of = np.searchsorted(bounds, starts, side="right") - 1
+                pairs = np.unique(np.concatenate([pairs, *((of[w] << BITS) | b for w, b in _buckets(part, starts, ends))]))
             other = (label[row + (pairs >> BITS)] != 1).astype(np.int64)
             np.add.at(counts, (pairs & ((1 << BITS) - 1)) + (other << BITS), np.uint32(1))
     yield sparse_slices_of(counts, TaskContext.get().partitionId())
@@ -83,17 +85,46 @@ def _likelihood_ratio(pos: np.ndarray, neg: np.ndarray, positive: int, other: in
     return out
 
 
-def _chosen(data: np.ndarray, offsets: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Kept features met as (sentence, feature) pairs in order, then word starts and ends of sentences' bounds."""
+def _chosen(data: np.ndarray, offsets: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, bool]:
+    """Kept features met, as sentence * KEPT + feature, first and last byte of each sentence, and whether a stop leads."""
     starts, ends, sentence, first = _sentences(data, offsets)
     met = []
     for w, b in _buckets(data, starts, ends):
         f = table[b]
         ok = np.flatnonzero(f >= 0)
         met.append(sentence[w[ok]].astype(np.int64) * KEPT + f[ok])
-    met = np.unique(np.concatenate(met)) if met else np.empty(0, dtype=np.int64)
     last = np.concatenate([first[1:], [len(starts)]]) - 1 if len(first) else first
-    return met // KEPT, met % KEPT, starts[first], ends[last]
+    led = bool(len(starts)) and bool(_STOP[data[: starts[0]]].any())
+    return np.concatenate(met), starts[first], ends[last], led
+
+
+def _read(texts: pa.Array, table: np.ndarray) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """(first row, row after the last, bytes, row offsets, sentence and kept feature of each pair, row, begin and stop of each sentence).
+
+    A sentence that goes over the segments of a long row is one sentence.
+    """
+    for row, end, data, offsets, cuts in tk.segments(texts, _STOP):
+        if len(cuts) == 1:
+            met, begin, stop, _ = _chosen(data, offsets, table)
+        else:
+            mets, begins, stops, n, goes_on = [], [], [], 0, False
+            for a, b in cuts:
+                met, begin, stop, led = _chosen(data[a:b], np.array([0, b - a]), table)
+                if not len(begin):
+                    goes_on = goes_on and not _STOP[data[a:b]].any()
+                    continue
+                join = goes_on and not led
+                mets.append(met + (n - join) * KEPT)
+                if join:
+                    stops[-1][-1] = a + stop[0]
+                if len(stop) > join:
+                    begins.append(a + begin[int(join) :])
+                    stops.append(a + stop[int(join) :])
+                n += len(begin) - join
+                goes_on = not _STOP[data[a + stop[-1] : b]].any()
+            met, begin, stop = (np.concatenate(x) if x else np.empty(0, dtype=np.int64) for x in (mets, begins, stops))
+        met = np.unique(met)
+        yield row, end, data, offsets, met // KEPT, met % KEPT, row + np.searchsorted(offsets, begin, side="right") - 1, begin, stop
 
 
 def _bags(table_of):
@@ -101,15 +132,13 @@ def _bags(table_of):
         table = table_of.value
         for batch in batches:
             label = batch.column("label").to_numpy()
-            for row, end, data, offsets, _ in tk.segments(batch.column("text"), _STOP):
-                sentence, feature, begin, _ = _chosen(data, offsets, table)
-                of = np.searchsorted(offsets, begin, side="right") - 1
+            for row, end, _, _, sentence, feature, of, _, _ in _read(batch.column("text"), table):
                 rows = []
-                for r in range(end - row):
+                for r in range(row, end):
                     a, b = np.searchsorted(of, [r, r + 1])
                     lo, hi = np.searchsorted(sentence, [a, b])
                     _, sizes = np.unique(sentence[lo:hi], return_counts=True)
-                    rows.append((int(label[row + r]), int(b - a - len(sizes)), sizes.tolist(), feature[lo:hi].tolist()))
+                    rows.append((int(label[r]), int(b - a - len(sizes)), sizes.tolist(), feature[lo:hi].tolist()))
                 yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), (pa.int32(), pa.int32(), pa.list_(pa.int32()), pa.list_(pa.int32())), strict=True)], names=["label", "plain", "sizes", "features"])
 
     return run
@@ -141,7 +170,7 @@ def _climb(weights_of, steps: int):
             toxic = -np.expm1(clean)
             pull = np.where(y, np.exp(clean) / np.maximum(toxic, 1e-9), -1.0)
             dz = np.exp(z - _softplus(z)) * pull[doc]
-            g = np.bincount(features, weights=dz[sentence], minlength=len(w))
+            g = np.bincount(features, weights=dz[sentence], minlength=len(w)).astype(np.float64)  # of no features it is whole numbers
             g[-1] = dz.sum() + (np.exp(w[-1] - _softplus(w[-1])) * plain * pull).sum()
             g -= 0.02 * (w - np.where(np.arange(len(w)) == len(w) - 1, START_BIAS, 0.0))
             moved += g * g
@@ -159,23 +188,17 @@ def _scored(model_of, locate: float):
         for batch in batches:
             n = batch.num_rows
             clean, count, found = np.zeros(n), np.zeros(n, dtype=np.int64), [[] for _ in range(n)]
-            chars_before = np.zeros(n, dtype=np.int64)
-            for row, end, data, offsets, _ in tk.segments(batch.column("text"), _STOP):
-                sentence, feature, begin, stop = _chosen(data, offsets, table)
-                of = row + np.searchsorted(offsets, begin, side="right") - 1
+            for row, _, data, offsets, sentence, feature, of, begin, stop in _read(batch.column("text"), table):
                 z = w[-1] + np.bincount(sentence, weights=w[feature], minlength=len(begin))
                 clean -= np.bincount(of, weights=_softplus(z), minlength=n)
                 count += np.bincount(of, minlength=n)
                 p = np.exp(z - _softplus(z))
                 hot = np.flatnonzero(p >= locate)
-                if len(hot) or end - row == 1:
-                    chars = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])
-                    for s in hot.tolist():
-                        r = int(of[s])
-                        at = chars_before[r] - chars[offsets[r - row]]
-                        found[r].append({"start": int(at + chars[begin[s]]), "end": int(at + chars[stop[s]]), "score": float(p[s])})
-                    if end - row == 1:
-                        chars_before[row] += chars[-1]
+                if len(hot):
+                    base = tk.chars_before(data, offsets[of[hot] - row])
+                    spans = zip(of[hot].tolist(), tk.chars_before(data, begin[hot]) - base, tk.chars_before(data, stop[hot]) - base, p[hot].tolist(), strict=True)
+                    for r, a, b, score in spans:
+                        found[r].append({"start": int(a), "end": int(b), "score": score})
             yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("held_out"), pa.array(-np.expm1(np.minimum(clean, 0.0))), pa.array(count), pa.array(found, spans_type)], names=["id", "held_out", "score", "n_sentences", "spans"])
 
     return run
@@ -188,7 +211,8 @@ def toxicity(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     sentences with p_s >= ``locate``.  Only texts of at most about ``sample_rows`` labelled rows outside the held-out fold
     are learned from.  A null, empty or wordless text has score 0 and no sentence.  Rows with null ids are scored
     and never learned from; rows that repeat an id are rows of their own; of an id's several labels the largest counts.
-    Without toxic or without other labels every score is 0.  Other columns are not read.
+    Without toxic labels, without others, or if no feature tells them apart, every score is 0.  Labels of a repeated id
+    count once, with the row of the smallest text digest.  Other columns are not read.
     """
     kind = df.schema[id_col].dataType.simpleString()
     rows = df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
@@ -206,9 +230,7 @@ def without_toxic(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text
         table, w = model.value
         for batch in batches:
             clean = np.zeros(batch.num_rows)
-            for row, _, data, offsets, _ in tk.segments(batch.column(batch.num_columns - 1), _STOP):
-                sentence, feature, begin, _ = _chosen(data, offsets, table)
-                of = row + np.searchsorted(offsets, begin, side="right") - 1
+            for *_, sentence, feature, of, begin, _ in _read(batch.column(batch.num_columns - 1), table):
                 z = w[-1] + np.bincount(sentence, weights=w[feature], minlength=len(begin))
                 clean -= np.bincount(of, weights=_softplus(z), minlength=batch.num_rows)
             keep = pa.array(-np.expm1(np.minimum(clean, 0.0)) < cut)
@@ -230,7 +252,8 @@ def _trained(rows: DataFrame, labels: DataFrame, id_col: str, label_col: str, sa
     total = known.count()
     share = min(1.0, sample_rows / max(total, 1))
     known = known.where(F.expr(f"pmod(xxhash64(id), 1000000) < {int(share * 1_000_000)}"))
-    sample = materialize(rows.join(F.broadcast(known.select("id", "label")), "id").select("text", "label"), "labelled")
+    sample = rows.join(F.broadcast(known.select("id", "label")), "id").groupBy("id")
+    sample = materialize(sample.agg(F.min_by(F.struct("text", "label"), F.xxhash64("text")).alias("r")).select("r.*"), "labelled")
 
     slices = "part long, slice int, data binary"
     counts = merge_slices(sample.mapInArrow(_presence, slices), "sparse").astype(np.float64)
@@ -242,6 +265,7 @@ def _trained(rows: DataFrame, labels: DataFrame, id_col: str, label_col: str, sa
         ratio = _likelihood_ratio(pos, neg, positive, other)
         kept = np.flatnonzero((ratio >= LEAST_RATIO) & (pos * other > neg * positive))
         kept = kept[np.argsort(-ratio[kept], kind="stable")][:KEPT]
+    if positive and other and len(kept):
         table[kept] = np.arange(len(kept), dtype=np.int16)
         odds = np.log((pos[kept] + 0.5) / (positive + 1)) - np.log((neg[kept] + 0.5) / (other + 1))
         weights = np.concatenate([0.5 * odds, [START_BIAS]])

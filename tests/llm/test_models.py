@@ -97,3 +97,22 @@ def test_token_counts(spark, tmp_path, file):
         assert got == sorted((str(i), len((t or "").encode()), count(t or ""), count(t or "") > 4096) for i, t in texts)
     (version,) = [p for p in (tmp_path / "cache").iterdir()]
     assert spark.read.parquet(str(version)).count() == 5  # the second run found every digest stored
+
+
+def test_toxicity_without_telling_features(spark):
+    docs = spark.createDataFrame([(k, f"own{k} word{k}.") for k in range(1, 9)] + [(3, "again.")] * 3, "doc_id long, text string")
+    labels = spark.createDataFrame([(k, k % 2) for k in range(1, 9)], "doc_id long, toxic int")
+    got = toxicity(docs, labels).collect()
+    assert len(got) == 11 and all(r["score"] == 0 and r["predicted"] == 0 and r["spans"] == [] for r in got)
+
+
+def test_token_cache_with_repeated_digests(spark, tmp_path):
+    df = spark.createDataFrame([(1, "a b"), (2, "c")], "doc_id long, text string")
+    path, cache = TOKENIZERS.path("piece_bpe_32k.model"), str(tmp_path / "cache")
+    first = sorted(map(tuple, token_counts(df, path, cache).collect()))
+    (version,) = [p for p in (tmp_path / "cache").iterdir()]
+    spark.read.parquet(str(version)).write.parquet(str(tmp_path / "twice"))
+    spark.read.parquet(str(tmp_path / "twice")).write.mode("append").parquet(str(version))
+    again = token_counts(df.withColumn("digest", df["text"]).withColumn("n_tokens", df["doc_id"]), path, cache)
+    assert sorted(map(tuple, again.collect())) == first
+    assert token_counts(df.where("false"), path, cache).collect() == []
