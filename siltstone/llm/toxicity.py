@@ -259,7 +259,7 @@ def _trained(rows: DataFrame, labels: DataFrame, id_col: str, label_col: str, sa
     counts = merge_slices(sample.mapInArrow(_presence, slices), "sparse").astype(np.float64)
     positive, every = sample.agg(F.expr("count_if(label = 1)"), F.count("*")).first()
     other = every - positive
-    table, weights = np.full(1 << BITS, -1, dtype=np.int16), np.array([-60.0])
+    table, weights = np.full(1 << BITS, -1, dtype=np.int16), np.array([-1000.0])
     if positive and other:
         pos, neg = counts[: 1 << BITS], counts[1 << BITS :]
         ratio = _likelihood_ratio(pos, neg, positive, other)
