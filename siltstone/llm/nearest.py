@@ -1,16 +1,19 @@
 """Approximate nearest neighbours by a permutation index.
 
 A few *pivots* are drawn from the vectors.  A vector is represented by its nearest pivots in order and posted, with
-their positions, in the inverted file of each.  A query reads the files of its own nearest pivots, ranks
-what it meets by the induced footrule distance (the sum of differences of pivot positions, an absent pivot standing
-behind all present ones) and reranks the best by the exact inner product in double precision.
+that order, in the inverted files of its ``POSTED`` nearest.  A query reads the files of its own nearest pivots, ranks what
+it meets there by the footrule distance of the two orders (the sum of differences of pivot positions, an absent pivot
+standing behind all present ones), and only candidates within the calibrated footrule radius are reranked by the exact
+inner product in double precision.
+
+The pivot is the key by which files are dealt to tasks: a query is sent to the files it reads and to no other.  A file
+longer than a block is cut by a hash, and so are the queries of a file, so no task holds more than a block however
+common a pivot is.  A vector that a query meets in several files counts in the first of them only.
 
 Largest inner product is turned into nearness by one more coordinate that gives all vectors the same norm.  How many
-files are read and what share of the met vectors is reranked is calibrated on a bounded sample against brute
-force, for the wanted recall; all vectors are indexed and all queries run.  Vectors and queries are
-dealt into blocks by a hash, and each pair of blocks is one unit with inverted files of its own, so no task
-holds more than a block however common a pivot or vector is.  Equal vectors are one entry: only their k + 1
-smallest ids can be answers.
+files are read and the radius are calibrated on a bounded sample against brute force, for the wanted recall; all
+vectors are indexed and all queries run.  A query that found fewer than k others reads all files without a
+radius.  Equal vectors are one entry: only their k + 1 smallest ids can be answers.
 """
 
 from __future__ import annotations
@@ -22,75 +25,73 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as t
 
 from siltstone.llm.common import lists_of, materialize, whole_groups
 
-PIVOTS, POSTED = 64, 8
-#: Vectors and queries of a block; vectors and queries drawn for calibration.
-BLOCK, QUERY_BLOCK, SAMPLE, SAMPLE_QUERIES = 8192, 4096, 4096, 64
+#: Files a vector is posted in, and pivots of an order that the footrule distance looks at.
+POSTED, ORDER = 4, 32
+#: Fewest and most pivots; between them they grow with the square root of the vectors.
+LEAST_PIVOTS, MOST_PIVOTS = 64, 1024
+#: Vectors and queries of a unit; vectors and queries drawn for calibration.
+BLOCK, QUERY_BLOCK, SAMPLE, SAMPLE_QUERIES = 8192, 2048, 4096, 64
+#: Queries of a unit that are ranked at once.
+AT_ONCE = 128
+_UNIT = ["pivot", "part", "query_part"]
 
 
-def _ordered_pivots(vectors: np.ndarray, extra: np.ndarray, pivots: np.ndarray, pivot_extra: np.ndarray) -> np.ndarray:
+def _orders(vectors: np.ndarray, extra: np.ndarray, pivots: np.ndarray, pivot_extra: np.ndarray) -> np.ndarray:
     """Pivots of each vector, nearest first, ties to the earlier one."""
-    return np.argsort(-(vectors @ pivots.T + extra[:, None] * pivot_extra[None, :]), axis=1, kind="stable")
-
-
-class Files:
-    """Inverted files of one block."""
-
-    def __init__(self, order: np.ndarray, pivots: int, posted: int) -> None:
-        self.n, self.posted = len(order), posted
-        flat, rows = order[:, :posted].ravel(), np.repeat(np.arange(len(order)), min(posted, order.shape[1]))
-        places = np.tile(np.arange(min(posted, order.shape[1])), len(order))
-        by = np.argsort(flat, kind="stable")
-        cuts = np.searchsorted(flat[by], np.arange(pivots + 1))
-        self.files = [(rows[by[a:b]], places[by[a:b]]) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
-
-    def ranked(self, order: np.ndarray, probes: int, share: float, least: int) -> np.ndarray:
-        """Rows met in the query's first ``probes`` files; of these the best ``share`` by footrule, ``least`` at least."""
-        gain = np.zeros(self.n, dtype=np.int32)
-        for place, pivot in enumerate(order[:probes].tolist()):
-            rows, places = self.files[pivot]
-            gain[rows] += self.posted + probes + 1 - np.abs(places - place)  # what presence takes off the distance
-        met = np.flatnonzero(gain)
-        keep = max(least, math.ceil(share * len(met)))
-        if keep >= len(met):
-            return met
-        return met[np.argpartition(-gain[met], keep - 1)[:keep]]
-
-    def topped(self, order: np.ndarray, least: int) -> np.ndarray:
-        """Rows met in as many of the query's files, nearest first, as hold ``least`` rows; all rows if there are fewer."""
-        met = np.zeros(self.n, dtype=bool)
-        for pivot in order.tolist():
-            met[self.files[pivot][0]] = True
-            if np.count_nonzero(met) >= least:
-                break
-        return np.flatnonzero(met)
-
-
-def _calibrated(sample: np.ndarray, extra: np.ndarray, pivots: np.ndarray, pivot_extra: np.ndarray, k: int, recall: float) -> tuple[int, float]:
-    """Files to read and share to rerank: the least work that reaches ``recall`` on the sample."""
-    n = len(sample)
-    files = Files(_ordered_pivots(sample, extra, pivots, pivot_extra), len(pivots), POSTED)
-    step = max(1, n // SAMPLE_QUERIES)
-    asked = np.arange(0, n, step)[:SAMPLE_QUERIES]
+    near = -(vectors @ pivots.T + extra[:, None] * pivot_extra[None, :])
+    return np.argsort(near, axis=1, kind="stable").astype(np.int16)
+
+
+def _closeness(queries: np.ndarray, orders: np.ndarray, n_pivots: int, length: int) -> np.ndarray:
+    """What shared pivots take off the largest footrule distance, for all pairs of query orders and orders."""
+    length = min(length, queries.shape[1], orders.shape[1])
+    gain = np.zeros((len(queries), n_pivots, length), dtype=np.int16)
+    places = np.arange(length)
+    for j in range(length):
+        gain[np.arange(len(queries)), queries[:, j], :] = length + 1 - np.abs(places - j)
+    gain = gain.reshape(len(queries), -1)
+    out = np.zeros((len(queries), len(orders)), dtype=np.int16)
+    for j in range(length):
+        out += gain[:, orders[:, j].astype(np.int64) * length + j]
+    return out
+
+
+def _met(queries: np.ndarray, orders: np.ndarray, n_pivots: int, probes: int) -> np.ndarray:
+    """Place, in each query's order, of the first file in which it meets each vector; ``probes`` if in none."""
+    place = np.full((len(queries), n_pivots), probes, dtype=np.int16)
+    read = min(probes, queries.shape[1])
+    place[np.arange(len(queries))[:, None], queries[:, :read]] = np.arange(read, dtype=np.int16)
+    out = place[:, orders[:, 0]]
+    for j in range(1, min(POSTED, orders.shape[1])):
+        out = np.minimum(out, place[:, orders[:, j]])
+    return out
+
+
+def calibrated(sample: np.ndarray, orders: np.ndarray, query_orders: np.ndarray, asked: np.ndarray, k: int, recall: float) -> tuple[int, int, float, float]:
+    """(files to read, least closeness, share of pairs met, share scored): the least work that reaches ``recall``."""
+    n, n_pivots = len(sample), query_orders.shape[1]
     scores = sample[asked] @ sample.T
     scores[np.arange(len(asked)), asked] = -np.inf
     k = max(1, min(k, n - 1))
     best = np.argsort(-scores, axis=1)[:, :k]
-    orders = _ordered_pivots(sample[asked], np.zeros(len(asked)), pivots, pivot_extra)
+    close = _closeness(query_orders, orders, n_pivots, ORDER)
+    close_best = np.take_along_axis(close, best, axis=1)
+    need = math.ceil(recall * best.size)
     choices = []
-    for probes in sorted({min(p, len(pivots)) for p in (1, 2, 4, 6, 8, 10, 12, 16, 24, 32, len(pivots))}):
-        for share in (0.25, 0.5, 0.75, 1.0):
-            got, work = 0, 0
-            for i in range(len(asked)):
-                rows = files.ranked(orders[i], probes, share, k)
-                got += np.isin(best[i], rows).sum()
-                work += len(rows)
-            if got >= recall * best.size:
-                choices.append((work + 0.05 * probes * n, probes, share))
-                break
-    return min(choices)[1:] if choices else (len(pivots), 1.0)
+    for probes in sorted({min(p, n_pivots) for p in (1, 2, 4, 8, 12, 16, 24, 32, 48, 64, 96, 128, 192, 256, n_pivots)}):
+        met = _met(query_orders, orders, n_pivots, probes) < probes
+        found = np.sort(close_best[np.take_along_axis(met, best, axis=1)])[::-1]
+        if len(found) < need:
+            continue
+        radius = int(found[need - 1]) if need else 0
+        scored = float((met & (close >= radius)).mean())
+        # A pair met costs ORDER look-ups, a pair scored a row of a product.
+        choices.append((2 * float(met.mean()) + scored, probes, radius, float(met.mean()), scored))
+    return min(choices)[1:] if choices else (n_pivots, 0, 1.0, 1.0)
 
 
 def _usable(vector: Column) -> Column:
@@ -99,6 +100,79 @@ def _usable(vector: Column) -> Column:
     return vector.isNotNull() & F.coalesce(good, F.lit(False)) & F.exists(vector, lambda x: x != 0)
 
 
+def _with_orders(df: DataFrame, shared, is_query: bool, length: int, schema: str) -> DataFrame:
+    """``df`` (…, v) with ``ord``, the ``length`` nearest pivots of v."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pivots, pivot_extra, largest = shared.value
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            flat, _ = lists_of(batch.column("v"))
+            x = flat.reshape(batch.num_rows, -1).astype(np.float64)
+            extra = np.zeros(len(x)) if is_query else np.sqrt(np.maximum(largest - (x**2).sum(axis=1), 0.0))
+            orders = _orders(x, extra, pivots, pivot_extra)[:, :length]
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(0, orders.size + 1, orders.shape[1]).astype(np.int32)), pa.array(orders.ravel()))
+            yield pa.RecordBatch.from_arrays([*batch.columns, lists], names=[*batch.schema.names, "ord"])
+
+    return df.mapInArrow(run, f"{schema}, ord array<short>")
+
+
+def _search(entries: DataFrame, asked: DataFrame, n_pivots: int, probes: int, radius: int, k: int) -> DataFrame:
+    """(number, no, score): the k + 1 best entries, and those that tie with the last, of each query and unit."""
+    files = entries.select("no", "v", "ord", F.explode(F.slice("ord", 1, POSTED)).alias("pivot"))
+    reads = asked.select("number", "v", "ord", F.explode(F.slice("ord", 1, probes)).alias("pivot"))
+    # One row for each pivot: how many blocks its file and its queries are cut into.
+    sizes = files.groupBy("pivot").agg(F.count("*").alias("rows")).join(reads.groupBy("pivot").agg(F.count("*").alias("queries")), "pivot")
+    sizes = F.broadcast(sizes.select("pivot", F.ceil(F.col("rows") / BLOCK).alias("parts"), F.ceil(F.col("queries") / QUERY_BLOCK).alias("query_parts")))
+    every = lambda n: F.explode(F.expr(f"sequence(0L, {n} - 1L)"))
+    units = (
+        files.join(sizes, "pivot").select("pivot", F.expr("pmod(xxhash64(no), parts)").alias("part"), every("query_parts").alias("query_part"), F.lit(0).alias("side"), F.col("no").alias("name"), "v", "ord")
+        .unionByName(reads.join(sizes, "pivot").select("pivot", every("parts").alias("part"), F.expr("pmod(xxhash64(number), query_parts)").alias("query_part"), F.lit(1).alias("side"), F.col("number").alias("name"), "v", "ord"))
+    )
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table, groups in whole_groups(batches, _UNIT):
+            vectors, bounds = lists_of(table.column("v"))
+            vectors, side = vectors.reshape(table.num_rows, -1), table.column("side").to_numpy()
+            orders, starts = lists_of(table.column("ord"))
+            names, pivot = table.column("name").to_numpy(), table.column("pivot").to_numpy()
+
+            def rows_of(rows: np.ndarray, orders: np.ndarray = orders, starts: np.ndarray = starts) -> np.ndarray:
+                return orders[starts[rows][:, None] + np.arange(starts[rows[0] + 1] - starts[rows[0]])]
+
+            for a, b in zip(groups[:-1].tolist(), groups[1:].tolist(), strict=True):
+                here, ask = a + np.flatnonzero(side[a:b] == 0), a + np.flatnonzero(side[a:b] == 1)
+                if not len(here) or not len(ask):
+                    continue
+                own = rows_of(here)
+                out_query, out_entry, out_score = [], [], []
+                for c in range(0, len(ask), AT_ONCE):
+                    some = ask[c : c + AT_ONCE]
+                    theirs = rows_of(some)
+                    place = np.argmax(theirs == pivot[a], axis=1).astype(np.int16)
+                    mine = _met(theirs, own, n_pivots, probes) == place[:, None]
+                    if radius > 0:
+                        mine &= _closeness(theirs, own, n_pivots, ORDER) >= radius
+                    for i, row in enumerate(some.tolist()):
+                        near = here[np.flatnonzero(mine[i])]
+                        if not len(near):
+                            continue
+                        s = vectors[near].astype(np.float64) @ vectors[row].astype(np.float64)
+                        if len(s) > k + 1:
+                            best = s >= np.partition(s, len(s) - k - 1)[len(s) - k - 1]
+                            near, s = near[best], s[best]
+                        out_query.append(np.full(len(near), names[row]))
+                        out_entry.append(names[near])
+                        out_score.append(s)
+                if out_query:
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (out_query, out_entry, out_score)], names=["number", "no", "score"])
+
+    found = units.repartition(*_UNIT).sortWithinPartitions(*_UNIT).mapInArrow(search, "number long, no long, score double")
+    best = F.rank().over(Window.partitionBy("number").orderBy(F.desc("score")))
+    return found.withColumn("place", best).where(F.col("place") <= k + 1).drop("place")
+
+
 def nearest(df: DataFrame, queries: Column, k: int = 20, id_col: str = "vec_id", vector_col: str = "embedding", recall: float = 0.95) -> DataFrame:
     """(query_id, rank, ``id_col``, score): for each row that ``queries`` marks, its k nearest other rows.
 
@@ -109,6 +183,8 @@ def nearest(df: DataFrame, queries: Column, k: int = 20, id_col: str = "vec_id",
     """
     spark = df.sparkSession
     kind = df.schema[id_col].dataType.simpleString()
+    element = df.schema[vector_col].dataType.elementType
+    width = "float" if isinstance(element, (t.FloatType, t.ByteType, t.ShortType)) else "double"
     rows = df.select(F.col(id_col).alias("id"), F.col(vector_col).cast("array<double>").alias("v"), F.coalesce(queries, F.lit(False)).alias("asked")).where(F.col("id").isNotNull())
     rows = rows.where(_usable(F.col("v")))
     # Adding 0.0 makes -0.0 equal to 0.0; equal vectors then have equal digests.
@@ -116,94 +192,37 @@ def nearest(df: DataFrame, queries: Column, k: int = 20, id_col: str = "vec_id",
     rows = rows.groupBy("id").agg(F.min_by(F.struct("v", "same", "asked"), "same").alias("r")).select("id", "r.*")
     rows = materialize(rows, "vectors")
     sizes = rows.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), "d").limit(1).collect()
-    out = f"query_id {kind}, rank int, {id_col} {kind}, score double"
     if not sizes:
-        return spark.createDataFrame([], out)
+        return spark.createDataFrame([], f"query_id {kind}, rank int, {id_col} {kind}, score double")
     rows = rows.where(F.size("v") == sizes[0]["d"])
     first = Window.partitionBy("same").orderBy("id")
     members = materialize(rows.withColumn("at", F.row_number().over(first)).where(F.col("at") <= k + 1).select("same", "id", "v", "at"), "members")
-    entries = members.where("at = 1").select(F.col("id").alias("entry"), "same", "v")
-    norm = F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)
+    entries = members.where("at = 1").select(F.monotonically_increasing_id().alias("no"), "same", F.col("v").cast(f"array<{width}>").alias("v"))
+    norm = F.aggregate("v", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double"))
     total, largest = entries.agg(F.count("*"), F.max(norm)).first()
 
     drawn = entries.select("v").orderBy(F.xxhash64("same", F.lit(7))).limit(SAMPLE).toArrow().column("v").combine_chunks()
     flat, bounds = lists_of(drawn)
-    sample = flat.reshape(len(bounds) - 1, -1)
+    sample = flat.reshape(len(bounds) - 1, -1).astype(np.float64)
     extra = np.sqrt(np.maximum(largest - (sample**2).sum(axis=1), 0.0))
-    pivots, pivot_extra = sample[:PIVOTS], extra[:PIVOTS]
-    probes, share = _calibrated(sample, extra, pivots, pivot_extra, k, recall)
-    shared = spark.sparkContext.broadcast((pivots, pivot_extra, float(largest), probes, share))
-
-    blocks = max(1, -(-total // BLOCK))
-    asked = rows.where("asked")
-    query_blocks = max(1, -(-asked.count() // QUERY_BLOCK))
-    of = lambda c, n: F.expr(f"pmod(xxhash64({c}), {n})")
-    every = lambda n: F.explode(F.expr(f"sequence(0L, {n} - 1L)"))
-    units = (
-        entries.select(of("entry", blocks).alias("block"), every(query_blocks).alias("part"), F.lit(0).alias("side"), F.col("entry").alias("id"), "v", F.lit("").alias("same"))
-        .unionByName(asked.select(every(blocks).alias("block"), of("id", query_blocks).alias("part"), F.lit(1).alias("side"), "id", "v", "same"))
-    )
-    own = F.expr("same").alias("same")
-
-    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pivots, pivot_extra, largest, probes, share = shared.value
-        for table, groups in whole_groups(batches, ["block", "part"]):
-            flat, _ = lists_of(table.column("v"))
-            vectors, side = flat.reshape(table.num_rows, -1), table.column("side").to_numpy()
-            names = table.column("id")
-            for a, b in zip(groups[:-1].tolist(), groups[1:].tolist(), strict=True):
-                here = a + np.flatnonzero(side[a:b] == 0)
-                ask = a + np.flatnonzero(side[a:b] == 1)
-                if not len(here) or not len(ask):
-                    continue
-                x = vectors[here]
-                files = Files(_ordered_pivots(x, np.sqrt(np.maximum(largest - (x**2).sum(axis=1), 0.0)), pivots, pivot_extra), len(pivots), POSTED)
-                for c in range(0, len(ask), 512):
-                    some = ask[c : c + 512]
-                    scores = x @ vectors[some].T
-                    orders = _ordered_pivots(vectors[some], np.zeros(len(some)), pivots, pivot_extra)
-                    at, of_query, best = [], [], []
-                    for i in range(len(some)):
-                        met = files.ranked(orders[i], probes, share, k + 1)
-                        if len(met) < k + 1:
-                            met = files.topped(orders[i], k + 1)
-                        s = scores[met, i]
-                        if len(s) > k + 1:
-                            cut = np.partition(s, len(s) - k - 1)[len(s) - k - 1]
-                            met, s = met[s >= cut], s[s >= cut]
-                        at.append(here[met])
-                        of_query.append(np.full(len(met), some[i]))
-                        best.append(s)
-                    at, of_query, best = (np.concatenate(y) for y in (at, of_query, best))
-                    lengths = np.bincount(np.searchsorted(some, of_query), minlength=len(some))
-                    bounds = pa.array(np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32))
-                    yield pa.RecordBatch.from_arrays(
-                        [names.take(pa.array(some)).combine_chunks(), table.column("same").take(pa.array(some)).combine_chunks(), pa.ListArray.from_arrays(bounds, names.take(pa.array(at)).combine_chunks()), pa.ListArray.from_arrays(bounds, pa.array(best))],
-                        names=["query_id", "same", "entries", "scores"],
-                    )
-
-    found = units.repartition("block", "part").sortWithinPartitions("block", "part").mapInArrow(search, f"query_id {kind}, same string, entries array<{kind}>, scores array<double>")
-
-    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """The k + 1 best entries of each query, and those that tie with the last."""
-        for table, groups in whole_groups(batches, ["number"]):
-            scores, bounds = lists_of(table.column("scores"))
-            entries = table.column("entries").combine_chunks()
-            entries = (pa.concat_arrays(entries.chunks) if isinstance(entries, pa.ChunkedArray) else entries).flatten()
-            rows, keep = [], []
-            for a, b in zip(groups[:-1].tolist(), groups[1:].tolist(), strict=True):
-                at = np.arange(bounds[a], bounds[b])
-                s = scores[at]
-                if len(s) > k + 1:
-                    at = at[s >= np.partition(s, len(s) - k - 1)[len(s) - k - 1]]
-                keep.append(at)
-                rows.append(np.full(len(at), a))
-            at, row = pa.array(np.concatenate(keep)), pa.array(np.concatenate(rows))
-            yield pa.RecordBatch.from_arrays([table.column("query_id").take(row).combine_chunks(), entries.take(at), pa.array(scores[at.to_numpy()])], names=["query_id", "entry", "score"])
-
-    found = found.withColumn("number", F.xxhash64("query_id", "same")).repartition("number").sortWithinPartitions("number", "query_id", "same")
-    best = found.select("number", "query_id", own, "entries", "scores").mapInArrow(merge, f"query_id {kind}, entry {kind}, score double")
-    answers = best.join(entries.select("entry", "same"), "entry").join(members.select("same", F.col("id").alias("answer")), "same").where("answer <> query_id")
-    answers = answers.groupBy("query_id", "answer").agg(F.max("score").alias("score"))
+    n_pivots = min(max(LEAST_PIVOTS, 1 << math.ceil(math.log2(max(1.0, math.sqrt(total) / 2)))), MOST_PIVOTS, len(sample))
+    pivots, pivot_extra = sample[:n_pivots], extra[:n_pivots]
+    asked = np.arange(0, len(sample), max(1, len(sample) // SAMPLE_QUERIES))[:SAMPLE_QUERIES]
+    query_orders = _orders(sample[asked], np.zeros(len(asked)), pivots, pivot_extra)
+    probes, radius, _, _ = calibrated(sample, _orders(sample, extra, pivots, pivot_extra), query_orders, asked, k, recall)
+    shared = spark.sparkContext.broadcast((pivots, pivot_extra, float(largest)))
+
+    entries = materialize(_with_orders(entries, shared, False, ORDER, f"no long, same string, v array<{width}>"), "entries")
+    wanted = rows.where("asked").select(F.monotonically_increasing_id().alias("number"), F.col("id").alias("query_id"), F.col("v").cast(f"array<{width}>").alias("v"))
+    wanted = materialize(_with_orders(wanted, shared, True, n_pivots, f"number long, query_id {kind}, v array<{width}>"), "queries")
+    found = materialize(_search(entries, wanted, n_pivots, probes, radius, k), "found")
+    # The exact way for queries that met fewer than k others: all files, no radius.
+    enough = found.groupBy("number").agg(F.count("*").alias("n")).where(F.col("n") >= min(k + 1, total))
+    short = materialize(wanted.join(enough, "number", "left_anti"), "short")
+    if not short.isEmpty():
+        found = found.join(short.select("number"), "number", "left_anti").unionByName(_search(entries, short, n_pivots, n_pivots, 0, k))
+
+    answers = found.join(entries.select("no", "same"), "no").join(members.select("same", F.col("id").alias("answer")), "same")
+    answers = answers.join(wanted.select("number", "query_id"), "number").where("answer <> query_id")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "answer"))
     return answers.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", F.col("answer").alias(id_col), "score")
