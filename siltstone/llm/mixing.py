@@ -4,8 +4,9 @@
 most ``MAX_PASSES`` times its words, and what it cannot give is shared by the others by weight.
 
 *What is taken.*  A source's documents stand in the order of a hash.  It is passed over as often as its target holds
-its size; of the last, partial pass the documents before a threshold are taken, and one more document fills what is
-left if that comes nearer.  The threshold is found from sums by (source, hash range), then exactly inside one range.
+its size; of the last, partial pass the documents before a threshold are taken, and up to ``FILLS`` more documents fill
+what is left, each the one that comes nearest.  The threshold is found from sums by (source, hash range), then exactly
+inside one range.
 
 *Positions.*  A source's weight at training time t in [0, 1] is target * (1 + a * (2 t - 1)); its integral is its
 target.  A document taken when the source has given the share u of its target stands where the integral reaches u,
@@ -21,7 +22,7 @@ from pyspark.sql import functions as F
 
 from siltstone.llm.common import materialize
 
-MAX_PASSES = 3
+MAX_PASSES, FILLS = 3, 4
 #: Slope of a source's schedule, by its weight: light sources early, heavy ones late.
 SLOPES = {1: -0.5, 2: 0.0, 3: 0.5}
 #: Tables by source are broadcast up to this many rows (a few MB), and joined by a shuffle beyond it.
@@ -47,18 +48,35 @@ def _key(source: Column) -> Column:
     return F.coalesce(F.concat(F.lit("="), source.cast("string")), F.lit("null"))
 
 
+def numbered(df: DataFrame, *order: Column, name: str = "number") -> DataFrame:
+    """``df`` with its row's place, from 0, in a total order: ranges of it are sorted apart, and their sizes added up."""
+    rows = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id())
+    # The id of a row is its partition, in the order of ranges, and its number in it.
+    rows = materialize(rows.withColumn("_part", F.shiftright("_at", 33)), "numbered")
+    starts = rows.groupBy("_part").agg(F.count("*").alias("n"))  # a row for each partition
+    starts = starts.select("_part", F.coalesce(F.sum("n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_start"))
+    place = F.col("_start") + F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))
+    return rows.join(F.broadcast(starts), "_part").withColumn(name, place).drop("_part", "_start", "_at")
+
+
 def targets(sizes: DataFrame) -> DataFrame:
-    """Adds weight and target to (key, source, source_size), one row a source."""
-    # One row for each source, already summed: a window over all of them is a small sort.
-    w = sizes.withColumn("weight", F.pmod(F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1, F.lit(3)) + 1)
-    w = w.withColumn("most", F.lit(float(MAX_PASSES)) * F.col("source_size")).withColumn("ratio", F.col("most") / F.col("weight"))
-    every, below = Window.partitionBy(), Window.orderBy("ratio", "key").rowsBetween(Window.unboundedPreceding, 0)
-    w = w.withColumn("total", F.sum("source_size").over(every).cast("double"))
-    w = w.withColumn("heavier", F.sum("weight").over(every) - F.sum("weight").over(below)).withColumn("given", F.sum("most").over(below))
-    w = w.withColumn("full", F.col("given") + F.col("ratio") * F.col("heavier") <= F.col("total"))
-    rest = (F.col("total") - F.sum(F.when(F.col("full"), F.col("most")).otherwise(0.0)).over(every)) / F.sum(F.when(F.col("full"), 0).otherwise(F.col("weight"))).over(every)
-    w = w.withColumn("rest", F.when(F.col("full"), 0.0).otherwise(rest))
-    return w.select("key", "source", "source_size", "weight", F.when(F.col("full"), F.col("most")).otherwise(F.col("weight") * F.col("rest")).alias("target"))
+    """Adds weight and target to (key, source, source_size), one row a source.
+
+    A source is full where its weight times the common share exceeds what it can give.  The share over the sources that
+    are not full only grows as sources become full, so it is found by a few sums over the table of sources.
+    """
+    w = numbered(sizes, F.col("source").asc_nulls_last(), name="place").withColumn("weight", (F.pmod("place", F.lit(3)) + 1).cast("int"))
+    w = materialize(w.withColumn("most", F.lit(MAX_PASSES) * F.col("source_size")), "weights")
+    total, weights = w.agg(F.coalesce(F.sum("source_size"), F.lit(0)), F.coalesce(F.sum("weight"), F.lit(0))).first()
+    share, given, n_full = (total / weights if weights else 0.0), 0, -1
+    while weights:
+        full = F.col("weight") * share > F.col("most")
+        n, given, open_ = w.agg(F.count_if(full), F.coalesce(F.sum(F.when(full, F.col("most"))), F.lit(0)), F.coalesce(F.sum(F.when(~full, F.col("weight"))), F.lit(0))).first()
+        if n == n_full or not open_:
+            break
+        share, n_full = (total - given) / open_, n
+    target = F.least(F.col("weight") * F.lit(float(share)), F.col("most").cast("double"))
+    return w.select("key", "source", "source_size", "weight", target.alias("target"))
 
 
 class Mix:
@@ -92,11 +110,19 @@ class Mix:
         ends = ends.select("key", F.col("range").alias("end_range"), F.col("inner").alias("end_h"), F.coalesce("reached", "before").alias("reached"))
         plan = plan.join(ends, "key", "left").withColumn("gap", F.coalesce(F.col("left") - F.col("reached"), F.lit(0.0)))
         plan = materialize(plan, "ends")
-        # The document of the rest of that pass whose size is nearest to what is left, if it is nearer than none.
-        rest = slim.join(_small(plan.where("gap > 0").select("key", "end_range", "end_h", "gap"), self.n_sources), "key")
-        rest = rest.where(~self.before_end()).where("size > 0 and size < 2 * gap")
-        fill = rest.groupBy("key").agg(F.min(F.struct(F.abs(F.col("size") - F.col("gap")).alias("off"), F.col("h").alias("h"))).alias("best"))
-        self.sources = materialize(plan.join(fill.select("key", F.col("best.h").alias("fill_h")), "key", "left"), "plan")
+        plan = plan.withColumn("fills", F.array().cast("array<long>"))
+        for k in range(FILLS):
+            # The document of the rest of that pass that comes nearest to what is left: at first one that leaves room for
+            # another, if there is one, at last the nearest of all, if it is nearer than none.
+            wanting = plan.where("gap > 0").select("key", "end_range", "end_h", "gap", "fills")
+            rest = slim.join(_small(wanting, self.n_sources), "key").where(~self.before_end() & ~F.array_contains("fills", F.col("h")))
+            rest = rest.where("size > 0 and size < 2 * gap")
+            best = rest.groupBy("key").agg(F.min(F.struct((F.col("size") > F.col("gap")).alias("over") if k < FILLS - 1 else F.lit(False).alias("over"), F.abs(F.col("size") - F.col("gap")).alias("off"), "h", "size")).alias("best"))
+            plan = plan.join(best, "key", "left").withColumn("gap", F.when(F.col("best").isNull(), 0.0).otherwise(F.col("gap") - F.col("best.size")))
+            plan = materialize(plan.withColumn("fills", F.when(F.col("best").isNull(), F.col("fills")).otherwise(F.concat("fills", F.array("best.h")))).drop("best"), "plan")
+            if plan.where("gap > 0").isEmpty():
+                break
+        self.sources = plan
 
     def range_of(self) -> Column:
         """Range of the hash: its leading bits, in the hash's own (signed) order."""
@@ -108,7 +134,7 @@ class Mix:
         return F.coalesce((own < F.col("end_range")) | (own == F.col("end_range")) & (F.col("h") <= F.col("end_h")), own < F.col("end_range"), F.lit(False))
 
     def copies(self) -> Column:
-        extra = self.before_end() | F.coalesce(F.col("h") == F.col("fill_h"), F.lit(False))
+        extra = self.before_end() | F.array_contains("fills", F.col("h"))
         return F.when(F.col("size") > 0, F.col("passes") + extra.cast("long")).otherwise(F.least(F.col("passes") + extra.cast("long"), F.lit(MAX_PASSES)))
 
     def planned(self) -> DataFrame:
@@ -144,17 +170,11 @@ class Mix:
         A place counts the occurrences before it in the range-sorted order of training; a document that is never taken
         has empty lists.
         """
-        rows = self.occurrences(self.slim.select("row", "key", "size", "h")).repartitionByRange("mix_position").sortWithinPartitions("mix_position", "h", "mix_pass", "row")
-        rows = rows.select("row", "size", "mix_pass", "mix_position", F.monotonically_increasing_id().alias("at"))
-        # The id of an occurrence is its partition, in the order of ranges, and its number in it.
-        rows = materialize(rows.select("*", F.shiftright("at", 33).alias("part")), "ordered")
-        starts = rows.groupBy("part").agg(F.count("*").alias("rows"))
-        starts = starts.select("part", F.coalesce(F.sum("rows").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("start"))
-        place = F.col("start") + F.col("at").bitwiseAND(F.lit((1 << 33) - 1))
-        taken = rows.join(F.broadcast(starts), "part").groupBy("row").agg(
+        rows = numbered(self.occurrences(self.slim.select("row", "key", "size", "h")), F.col("mix_position"), F.col("h"), F.col("mix_pass"), F.col("row"), name="place")
+        taken = rows.groupBy("row").agg(
             F.sum("size").alias("taken"),
             F.count("*").alias("copies"),
-            F.array_sort(F.collect_list(F.struct("mix_pass", "mix_position", place.alias("place")))).alias("given"),
+            F.array_sort(F.collect_list(F.struct("mix_pass", "mix_position", "place"))).alias("given"),
         )
         every = self.slim.join(_small(self.sources.select("key", "target", "source_size"), self.n_sources), "key").join(taken, "row", "left")
         none = F.coalesce("given", F.array().cast("array<struct<mix_pass:int,mix_position:double,place:bigint>>"))
