@@ -56,42 +56,36 @@ def held_out(doc_id: Column, modulus: int, remainder: int) -> Column:
 def merge_slices(df: DataFrame, how: str, floats: int = 0) -> np.ndarray:
     """Sum or unite the slices ``(part long, slice int, data binary)`` of equally long arrays.
 
-    ``add``: uint32 counters; ``or``: bits; ``mixed``: ``floats`` float32 numbers, then uint32 counters; ``sum``:
-    float64 numbers; ``sparse``: uint32 counters sent by ``sparse_slices_of``.  The result has a fixed size
-    whatever the input; slices of at most 64 tasks meet at once on their way.
+    ``or``: bits; ``sum``: float64 numbers; ``sparse``: uint32 counters sent by ``sparse_slices_of``; ``wide``: uint64
+    counters sent by ``wide_slices_of``; ``mixed``: ``floats`` slices of float32 numbers, then wide ones, all returned as
+    float64.  The result has a fixed size whatever the input; slices of at most 64 tasks meet at once on their way.
     """
-    dtype = {"add": np.uint32, "or": np.uint8, "mixed": np.float32, "sum": np.float64, "sparse": np.uint32}[how]
-
-    def unpacked(data: bytes) -> np.ndarray:
-        if how != "sparse":
-            return np.frombuffer(data, dtype=dtype)
-        raw = zlib.decompress(data)
-        return np.frombuffer(raw, dtype=np.uint8 if len(raw) == SLICE_BYTES // 4 else np.uint32).astype(np.uint32)
-
-    def merge(mine: np.ndarray, got: np.ndarray, at: int) -> None:
-        if how == "or":
-            np.bitwise_or(mine, got, out=mine)
-            return
-        if how in ("sum", "sparse"):
-            mine += got
-            return
-        cut = min(max(floats - at * SLICE_BYTES // 4, 0), len(mine)) if how == "mixed" else 0
-        mine[:cut] += got[:cut]
-        counters = mine[cut:].view(np.uint32)
-        counters += got[cut:].view(np.uint32)
+    dtype = {"or": np.uint8, "sum": np.float64, "sparse": np.uint32, "wide": np.uint64, "mixed": np.float64}[how]
+    packed = lambda at: how in ("sparse", "wide") or (how == "mixed" and at >= floats)
+
+    def unpacked(data: bytes, at: int) -> np.ndarray:
+        if how == "sparse":
+            raw = zlib.decompress(data)
+            return np.frombuffer(raw, dtype=np.uint8 if len(raw) == SLICE_BYTES // 4 else np.uint32).astype(np.uint32)
+        if packed(at):
+            return np.frombuffer(zlib.decompress(data), dtype=np.uint64)
+        return np.frombuffer(data, dtype=np.float32 if how == "mixed" else dtype)
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[tuple[int, int], np.ndarray] = {}
         for batch in batches:
             for part, at, data in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
-                got = unpacked(data)
+                got = unpacked(data, at)
                 mine = held.get((part, at))
                 if mine is None:
                     held[part, at] = got.copy()
+                elif how == "or":
+                    np.bitwise_or(mine, got, out=mine)
                 else:
-                    merge(mine, got, at)
+                    mine += got
         for (part, at), data in held.items():
-            yield pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int64()), "slice": pa.array([at], pa.int32()), "data": pa.array([zlib.compress(data.tobytes(), 1) if how == "sparse" else data.tobytes()], pa.binary())})
+            raw = zlib.compress(data.tobytes(), 1) if packed(at) else data.tobytes()
+            yield pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int64()), "slice": pa.array([at], pa.int32()), "data": pa.array([raw], pa.binary())})
 
     parts = df.rdd.getNumPartitions()
     while True:
@@ -100,20 +94,28 @@ def merge_slices(df: DataFrame, how: str, floats: int = 0) -> np.ndarray:
             break
         parts = -(-parts // 64)
     rows = sorted((r["slice"], bytes(r["data"])) for r in df.collect())
-    return np.concatenate([unpacked(d) for _, d in rows]) if rows else np.zeros(0, dtype=dtype)
+    return np.concatenate([unpacked(d, at).astype(dtype) for at, d in rows]) if rows else np.zeros(0, dtype=dtype)
+
+
+def _batch(cut: list[bytes], part: int, first: int = 0) -> pa.RecordBatch:
+    return pa.RecordBatch.from_pydict({"part": pa.array([part] * len(cut), pa.int64()), "slice": pa.array(range(first, first + len(cut)), pa.int32()), "data": pa.array(cut, pa.binary())})
 
 
 def slices_of(data: np.ndarray, part: int) -> pa.RecordBatch:
     raw = data.tobytes()
-    cut = [raw[k : k + SLICE_BYTES] for k in range(0, len(raw), SLICE_BYTES)]
-    return pa.RecordBatch.from_pydict({"part": pa.array([part] * len(cut), pa.int64()), "slice": pa.array(range(len(cut)), pa.int32()), "data": pa.array(cut, pa.binary())})
+    return _batch([raw[k : k + SLICE_BYTES] for k in range(0, len(raw), SLICE_BYTES)], part)
+
+
+def wide_slices_of(counters: np.ndarray, part: int, first: int = 0) -> pa.RecordBatch:
+    """Compressed slices of uint64 counters, which no corpus fills; ``first`` is the number of the first slice."""
+    raw = counters.astype(np.uint64).tobytes()
+    return _batch([zlib.compress(raw[k : k + SLICE_BYTES], 1) for k in range(0, len(raw), SLICE_BYTES)], part, first)
 
 
 def sparse_slices_of(counters: np.ndarray, part: int) -> pa.RecordBatch:
     """Slices of mostly small counters: saturated to a byte each and compressed.  Their number is a power of two."""
     raw, size = np.minimum(counters, 255).astype(np.uint8).tobytes(), SLICE_BYTES // 4
-    cut = [zlib.compress(raw[k : k + size], 1) for k in range(0, len(raw), size)]
-    return pa.RecordBatch.from_pydict({"part": pa.array([part] * len(cut), pa.int64()), "slice": pa.array(range(len(cut)), pa.int32()), "data": pa.array(cut, pa.binary())})
+    return _batch([zlib.compress(raw[k : k + size], 1) for k in range(0, len(raw), size)], part)
 
 
 def whole_groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[tuple[pa.Table, np.ndarray]]:

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siltstone.llm import textkernel as tk
-from siltstone.llm.common import held_out, lists_of, materialize, merge_slices, slices_of
+from siltstone.llm.common import SLICE_BYTES, held_out, lists_of, materialize, merge_slices, slices_of, wide_slices_of
 
 HEAD, TABLE, CLASSES, CONTEXTS, ROUNDS = 1 << 15, 1 << 20, 32, 32, 3
 BATCH = 1 << 15
@@ -298,7 +298,7 @@ def score_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     table_of = shared((table.keys, table.slots))
 
     def preceding(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        find, held = Lookup(*table_of.value).find, np.zeros(head * CONTEXTS, dtype=np.uint32)
+        find, held = Lookup(*table_of.value).find, np.zeros(head * CONTEXTS, dtype=np.int64)
         for batch in batches:
             for *_, tokens, bounds in _tokens(batch.column("text")):
                 found = find(tokens).astype(np.int64)
@@ -307,12 +307,12 @@ def score_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
                 before[bounds[:-1]] = -1
                 before = np.where((before < 0) | (before >= CONTEXTS - 1), CONTEXTS - 1, before)
                 ok = found >= 0
-                held += np.bincount(found[ok] * CONTEXTS + before[ok], minlength=len(held)).astype(np.uint32)
-        yield slices_of(held, TaskContext.get().partitionId())
+                held += np.bincount(found[ok] * CONTEXTS + before[ok], minlength=len(held))
+        yield wide_slices_of(held, TaskContext.get().partitionId())
 
     slices = "part long, slice int, data binary"
     if head:
-        pairs = merge_slices(train.select("text").mapInArrow(preceding, slices), "add")
+        pairs = merge_slices(train.select("text").mapInArrow(preceding, slices), "wide")
         classes = _cluster(pairs.reshape(head, CONTEXTS).astype(np.float64), numbers[:head], end_at)
     else:
         classes = np.zeros(1, dtype=np.int64)
@@ -322,6 +322,7 @@ def score_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     mass = np.bincount(classes, weights=numbers[:head], minlength=CLASSES) if head else np.zeros(CLASSES)
     mass[-1] += total - mass.sum() + 1
     weights[0] = np.log((mass + 1e-3) / (mass + 1e-3).sum())  # the bias begins at the classes' frequencies
+    cut, per_slice = FEATURES * CLASSES + FEATURES, SLICE_BYTES // 4
     for k in range(ROUNDS if head else 0):
         now = shared((table.keys, table.slots, classes, weights))
         rate = 0.7 if k == 0 else 0.5 if k == 1 else 0.3
@@ -330,7 +331,7 @@ def score_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
             keys, slots, classes, start = now.value
             table = Lookup(keys, slots)
             mine, seen = start.copy(), np.zeros(FEATURES, dtype=np.float32)
-            held = np.zeros(head * CLASSES, dtype=np.uint32)
+            held = np.zeros(head * CLASSES, dtype=np.int64)
             wait: list = []
             size = 0
             for batch in batches:
@@ -343,7 +344,7 @@ def score_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
                     before[1:] = kind[:-1]
                     before[bounds[:-1]] = 0
                     ok = (found >= 0) & (found < head)
-                    held += np.bincount(found[ok].astype(np.int64) * CLASSES + before[ok], minlength=len(held)).astype(np.uint32)
+                    held += np.bincount(found[ok].astype(np.int64) * CLASSES + before[ok], minlength=len(held))
                     wait.append((*_features(*_history(tokens, bounds)), kind))
                     size += len(tokens)
                     if size >= BATCH:
@@ -358,16 +359,15 @@ def score_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
             mine -= start
             mine *= seen[:, None]
             part = TaskContext.get().partitionId()
-            both = np.concatenate([mine.reshape(-1), seen, held.view(np.float32)])
-            yield slices_of(both, part)
+            yield slices_of(np.concatenate([mine.reshape(-1), seen, np.zeros(-cut % per_slice, dtype=np.float32)]), part)
+            yield wide_slices_of(held, part, -(-cut // per_slice))
 
         part = train.where(F.pmod(F.xxhash64("id", "text"), F.lit(ROUNDS)) == k).select("text")
-        cut = FEATURES * CLASSES + FEATURES
-        merged = merge_slices(part.mapInArrow(learn, slices), "mixed", cut)
+        merged = merge_slices(part.mapInArrow(learn, slices), "mixed", -(-cut // per_slice))
         if len(merged):
             change, seen = merged[: FEATURES * CLASSES].reshape(FEATURES, CLASSES), merged[FEATURES * CLASSES : cut]
-            weights = weights + change / np.maximum(seen, 1.0)[:, None]
-            by_pair += merged[cut:].view(np.uint32).reshape(head, CLASSES)
+            weights = (weights + change / np.maximum(seen, 1.0)[:, None]).astype(np.float32)
+            by_pair += merged[-(-cut // per_slice) * per_slice :].reshape(head, CLASSES)
     words = _word_level(by_pair, numbers[:head], classes).astype(np.float32) if head else np.zeros((1, CLASSES), dtype=np.float32)
     if not head:
         weights[0, :-1] = -1e9  # nothing but unknown words
