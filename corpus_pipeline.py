@@ -2,6 +2,10 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; ``run`` writes it as Parquet into the shared folder and
 gives it to the next stage.  All stages but the last return the columns of ``documents``.
+
+In every stage a row is decided by its own text: rows that repeat an id are rows of their own, and null ids are as good as
+others.  A null or empty text is clean, near to nothing and of size 0.  Empty tables give empty results.  Other columns go
+along, whatever their names.
 """
 
 from __future__ import annotations
@@ -21,10 +25,10 @@ from siltstone.llm.toxicity import without_toxic
 BROADCAST_IDS = 1_000_000
 
 
-def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    ids = materialize(ids.where("doc_id is not null").distinct(), "dropped")
-    ids = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
-    return docs.join(ids, "doc_id", "left_anti").select(docs.columns)
+def _plain(docs: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """``docs`` with names of its own for the columns, and these by the old ones."""
+    names = {c: f"c{k}" for k, c in enumerate(docs.columns)}
+    return docs.toDF(*names.values()), names
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -39,9 +43,9 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     last, is a document of its own.  Rows without words are in no group; of those that repeat an id and text one stays.
     """
     # A row is known by a key that is written down, as a second reading of ``docs`` may come in another order.
-    plain = [f"c{k}" for k in range(len(docs.columns))]
-    rows = materialize(docs.toDF(*plain).withColumn("row", F.monotonically_increasing_id()), "rows")
-    doc_id, text = (F.col(plain[docs.columns.index(c)]) for c in ("doc_id", "text"))
+    rows, names = _plain(docs)
+    rows = materialize(rows.withColumn("row", F.monotonically_increasing_id()), "rows")
+    doc_id, text = F.col(names["doc_id"]), F.col(names["text"])
     groups = jaccard_join(rows.select("row", text.alias("text")), "row", "text", width=5, threshold=(80, 100))
     groups = materialize(groups.where("n_links > 0").select("row", F.col("component_id").alias("group")), "groups")
     linked = groups.join(rows.select("row", doc_id.alias("id")), "row")
@@ -53,17 +57,25 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     dropped = groups.select("row").unionByName(bare.select("row")).join(stays, "row", "left_anti")
     dropped = materialize(dropped, "dropped")
     dropped = F.broadcast(dropped) if dropped.count() <= BROADCAST_IDS else dropped
-    return rows.join(dropped, "row", "left_anti").select(*plain).toDF(*docs.columns)
+    return rows.join(dropped, "row", "left_anti").select(*names.values()).toDF(*docs.columns)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that contain a benchmark item go."""
-    return _without(docs, contaminated(docs, table(spark, sf_dir, "benchmark"), "doc_id", "text", "item_id", "text").select("doc_id"))
+    """Documents whose text contains a benchmark item go; equal texts, known by half a SHA-256, go together."""
+    rows, names = _plain(docs)
+    rows = rows.withColumn("key", F.substring(F.unhex(F.sha2(F.col(names["text"]).cast("binary"), 256)), 1, 16))
+    texts = rows.select("key", F.col(names["text"]).alias("text"))
+    found = contaminated(texts, table(spark, sf_dir, "benchmark"), "key", "text", "item_id", "text").select("key").distinct()
+    found = materialize(found, "contaminated")
+    found = F.broadcast(found) if found.count() <= BROADCAST_IDS else found
+    return rows.join(found, "key", "left_anti").select(*names.values()).toDF(*docs.columns)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix takes them, in the order of the curriculum."""
-    return mix(docs, "doc_id", "text", "source").ordered(docs).select(docs.columns)
+    rows, names = _plain(docs)
+    mixed = mix(rows, names["doc_id"], names["text"], names["source"]).ordered(rows)
+    return mixed.select(*names.values()).toDF(*docs.columns)
 
 
 def cut_shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
