@@ -93,8 +93,13 @@ class Mix:
         self.bits = min(RANGE_BITS, max(4, math.ceil(math.log2(max(most, 1) / RANGE_ROWS + 1))))
 
         ranges = slim.groupBy("key", self.range_of().alias("range")).agg(F.sum("size").alias("range_size"))
-        before = F.sum("range_size").over(Window.partitionBy("key").orderBy("range").rowsBetween(Window.unboundedPreceding, -1))
-        self.ranges = ranges = materialize(ranges.withColumn("before", F.coalesce(before, F.lit(0))), "ranges")
+        # Sums before each range in two levels, so that no window holds more than the square root of a source's ranges.
+        ranges = ranges.withColumn("block", F.expr(f"shiftright(range, {(self.bits + 1) // 2})"))
+        before = lambda keys, size, order: F.coalesce(F.sum(size).over(Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        blocks = ranges.groupBy("key", "block").agg(F.sum("range_size").alias("block_size")).withColumn("earlier", before(["key"], "block_size", "block"))
+        ranges = ranges.withColumn("inside", before(["key", "block"], "range_size", "range")).join(blocks, ["key", "block"])
+        ranges = ranges.select("key", "range", "range_size", (F.col("earlier") + F.col("inside")).alias("before"))
+        self.ranges = ranges = materialize(ranges, "ranges")
         self.n_ranges = ranges.count()
 
         plan = targets(sizes.drop("rows"))
