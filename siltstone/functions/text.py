@@ -21,10 +21,12 @@ DRUG_ENDINGS = [
     "oxalone", "carbamol", "cyclobenzaprine", "barbital", "azepam", "azolam", "phylline", "triptan", "glitazone", "gliflozin", "semide", "floxacin",
 ]
 # Words of a free-text question that do not describe an indication.
-REVERSE_STOP = (
-    "what which when where how does do is are the for with and or of to an from by in tell me show list find good best most drug drugs medication medications "
-    "medicine medicines treatment treatments therapy therapies compound compounds agent agents approved fda rx help helps treat treats used use useful available common modern"
-).split()
+REVERSE_STOP = [
+    "what", "which", "when", "where", "how", "does", "do", "is", "are", "the", "for", "with", "and", "or", "of", "to", "an", "from", "by", "in",
+    "tell", "me", "show", "list", "find", "good", "best", "most", "drug", "drugs", "medication", "medications", "medicine", "medicines", "treatment",
+    "treatments", "therapy", "therapies", "compound", "compounds", "agent", "agents", "approved", "fda", "rx", "help", "helps", "treat", "treats",
+    "used", "use", "useful", "available", "common", "modern",
+]
 # Section headings and their types.
 SECTIONS = {
     "introduction": "introduction", "background": "introduction", "intro": "introduction",

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -25,33 +28,41 @@ def fixed_windows(text: Column, size: int = SIZE, overlap: int = OVERLAP) -> Col
     return F.transform(F.sequence(F.lit(0).cast("long"), last), lambda i: F.struct((i * (size - overlap)).alias("start"), F.substring(text, (i * (size - overlap) + 1).cast("int"), F.lit(size)).alias("text")))
 
 
-def _windows(text: str, size: int, overlap: int) -> list[dict]:
-    out, start = [], 0
-    while start < len(text):
-        end = min(start + size, len(text))
-        if end < len(text):
-            low = start + (size - overlap) // 2
-            for mark in BOUNDARIES:
-                at = text.rfind(mark, low, end)
-                if at >= 0:
-                    end = at + len(mark)
-                    break
-        out.append({"start": start, "end": end, "text": text[start:end].strip()})
-        if end >= len(text):
-            break
-        start = max(end - overlap, start + 1)
-    return out
+class _Ends:
+    """Where windows of a text may end: for each kind of boundary, the sorted places behind it."""
+
+    def __init__(self, text: str) -> None:
+        self.kinds = [(len(mark), np.array([m.end() for m in re.finditer(re.escape(mark), text)])) for mark in BOUNDARIES]
+
+    def between(self, low: int, high: int) -> int:
+        """The last place up to ``high`` whose boundary begins at ``low`` or later, of the best kind that has one; else ``high``."""
+        for size, places in self.kinds:
+            k = int(np.searchsorted(places, high, side="right"))
+            if k and places[k - 1] >= low + size:
+                return int(places[k - 1])
+        return high
+
+
+def _cut(text: str, size: int, overlap: int) -> list[tuple[int, int, str]]:
+    ends, spans = _Ends(text), [(0, 0)]
+    while spans[-1][1] < len(text):
+        begin = max(spans[-1][1] - overlap, spans[-1][0] + 1) if len(spans) > 1 else 0
+        reach = begin + size
+        spans.append((begin, len(text) if reach >= len(text) else ends.between(begin + (size - overlap) // 2, reach)))
+    stripped = ((a, b, text[a:b].strip()) for a, b in spans[1:])
+    return [piece for piece in stripped if piece[2]]
 
 
 def snapped_windows(text: Column, size: int = SIZE, overlap: int = OVERLAP) -> Column:
     """array<struct<start, end, text>>: each window ends at the last boundary of the best kind in its later part.
 
-    Where a window begins depends on where the one before ended, so the recurrence runs in Arrow batches.
+    Texts are trimmed, offsets are not; blank windows are left out.  Where a window begins depends on where the one before
+    ended, so the recurrence runs in Arrow batches.
     """
 
     @F.pandas_udf("array<struct<start:int,end:int,text:string>>")
     def cut(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: _windows(t or "", size, overlap))
+        return texts.map(lambda t: [dict(zip(("start", "end", "text"), w, strict=True)) for w in _cut(t or "", size, overlap)])
 
     return cut(text)
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from siltstone.operators import lexical, vectors
+
 RRF_K, DYNAMIC_RATIO, LEAST_RESULTS, CHUNKS_EACH, GRAPH_WEIGHT = 60, 0.10, 5, 3, 0.3
 
 
@@ -46,6 +48,19 @@ def adaptive(fused: DataFrame, top_k: int, widen: int = 1, compat: bool = False)
     return placed.withColumn("target", target(F.col("pool"), top_k, compat=compat)).where(F.col("place") <= widen * F.col("target"))
 
 
+def retrieved(found: lexical.Index, terms: list[str], embedded: DataFrame, query: list[float] | None, id_col: str, vector_col: str, top_k: int = 20, allowed: DataFrame | None = None, widen: int = 1, least_share: float = 0.5, compat: bool = False) -> DataFrame:
+    """The fused pool of a question, cut to ``widen`` times its target: (doc, ranks, rrf, pool, place, target).
+
+    Half of the terms must match on the lexical side, which alone obeys ``allowed``; without a query vector it is the only one.
+    """
+    pool = pool_size(top_k)
+    bm25 = ranked(lexical.search(found, terms, pool, least_share=least_share, allowed=allowed), "doc", "score", "bm25_rank")
+    if query is None:
+        return adaptive(bm25.withColumn("dense_rank", F.lit(None).cast("int")).withColumn("rrf", rrf(F.col("bm25_rank"))), top_k, widen, compat)
+    dense = ranked(vectors.dense_topk(embedded, query, pool, id_col, vector_col), id_col, "similarity", "dense_rank")
+    return adaptive(fuse(bm25, dense, "bm25_rank", "dense_rank"), top_k, widen, compat)
+
+
 def first_chunks(chunks: DataFrame, doc: str, order: str, n: int = CHUNKS_EACH) -> DataFrame:
     """The first n chunks of each document by position."""
     return chunks.withColumn("chunk_place", F.row_number().over(Window.partitionBy(doc).orderBy(order))).where(F.col("chunk_place") <= n)
@@ -63,6 +78,18 @@ def boosted(kept: DataFrame, boosts: DataFrame, weight: float = GRAPH_WEIGHT) ->
     return placed.where(F.col("final_place") <= F.col("target"))
 
 
+def reranked(kept: DataFrame, chunks: DataFrame, boosts: DataFrame, weight: float = GRAPH_WEIGHT) -> DataFrame:
+    """``kept`` (doc, place, target, rrf) by score plus ``weight`` times the largest boost of a document's chunks, cut to the target.
+
+    ``chunks`` is (doc, chunk), ``boosts`` (chunk, boost).  ``kept`` should hold more than the target, so that the graph has
+    something to lift.
+    """
+    best = chunks.join(boosts, "chunk").groupBy("doc").agg(F.max("boost").alias("boost"))
+    return boosted(kept, best, weight)
+
+
 def page(found: DataFrame, order: list[Column], offset: int, limit: int) -> DataFrame:
-    """Rows offset + 1 to offset + limit of an ordered result."""
-    return found.withColumn("position", F.row_number().over(Window.orderBy(*order))).where(F.col("position").between(offset + 1, offset + limit))
+    """Rows offset + 1 to offset + limit of an ordered result, with ``total``: only the rows up to the page's end are numbered."""
+    total = found.agg(F.count("*").alias("total"))
+    head = found.orderBy(*order).limit(offset + limit).withColumn("position", F.row_number().over(Window.orderBy(*order)))
+    return head.where(F.col("position") > offset).crossJoin(F.broadcast(total))

@@ -26,6 +26,23 @@ def similarity(a: Column, b: Column) -> Column:
     return F.when(union > 0, F.size(F.array_intersect(a, b)) / union).otherwise(0.0)
 
 
+def similar_pairs(rows: DataFrame, key: str, words: Column, least: float) -> DataFrame:
+    """(a, b, similarity) of keys whose word sets have a Jaccard similarity of ``least`` or more, a < b.
+
+    Words are ordered from rare to frequent; two such sets share a word among the first n - ceil(least * n) + 1 of each, so
+    only these meet, and the frequent words hardly ever do.
+    """
+    sets = rows.select(key, F.array_distinct(words).alias("w")).where(F.size("w") > 0)
+    counts = sets.select(F.explode("w").alias("word")).groupBy("word").agg(F.count("*").alias("df"))
+    ordered = sets.select(key, F.explode("w").alias("word")).join(counts, "word").groupBy(key).agg(F.transform(F.sort_array(F.collect_list(F.struct("df", "word"))), lambda x: x["word"]).alias("w"))
+    kept = F.slice("w", F.lit(1), F.size("w") - F.ceil(least * F.size("w") - 1e-9).cast("int") + 1)
+    posted = ordered.select(key, "w", F.explode(kept).alias("word"))
+    a, b = posted.toDF("a", "wa", "word"), posted.toDF("b", "wb", "word")
+    near = (F.size("wa") >= least * F.size("wb")) & (F.size("wb") >= least * F.size("wa"))
+    met = a.join(b, "word").where((F.col("a") < F.col("b")) & near).select("a", "b", "wa", "wb").distinct()
+    return met.select("a", "b", similarity(F.col("wa"), F.col("wb")).alias("similarity")).where(F.col("similarity") >= least)
+
+
 def trigram_lookup(names: DataFrame, name: str, wanted: str, gate: float = GATE) -> DataFrame:
     """(name, similarity) of the distinct names that pass the gate, best first."""
     query = trigrams(F.lit(wanted))

@@ -1,16 +1,22 @@
 """Co-occurrence graphs, their maintenance, personalised PageRank and graph reranking.
 
-Edges are rows (a, b, weight, sources) with a < b.  Pairs inside a group (a paper, a chunk) come from a self-join on the
-group after its members are made distinct, so a group of m members gives m (m - 1) / 2 pairs; ``max_group`` can route larger
-groups to an error table instead of dropping them silently.
+A graph is kept as provenance rows (a, b, source), a < b, one for each source in which both ends occur: no cell grows with
+the sources of an edge, and an edge's weight is its number of rows.  Pairs inside a group (a paper, a chunk) come from a
+self-join on the group after its members are made distinct, so a group of m members gives m (m - 1) / 2 pairs.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-DAMPING, ROUNDS, TOP_ENTITIES = 0.9, 30, 50
+DAMPING, ROUNDS, TOP_ENTITIES, TOLERANCE, SECOND_TOLERANCE = 0.9, 30, 50, 1e-6, 1e-3
+#: Edges up to which a rank is iterated inside one task (about 100 MB); beyond it every round is a join.
+ONE_TASK_EDGES = 4_000_000
 
 
 def pairs(members: DataFrame, group: str, member: str) -> DataFrame:
@@ -20,39 +26,44 @@ def pairs(members: DataFrame, group: str, member: str) -> DataFrame:
     return one.withColumnRenamed("e", "a").join(other, "g").where("a < b")
 
 
-def heading_graph(links: DataFrame, names: DataFrame, paper: str, heading: str, name: str, least: int = 2) -> DataFrame:
-    """(a, b, weight, sources): heading pairs of a paper in id order, named canonically, in ``least`` papers or more."""
+def heading_rows(links: DataFrame, names: DataFrame, paper: str, heading: str, name: str) -> DataFrame:
+    """Provenance rows of heading pairs of a paper in id order, named canonically; equal names make a loop."""
     left = links.select(F.col(paper).alias("p"), F.col(heading).alias("x")).distinct()
     right = left.select("p", F.col("x").alias("y"))
     label = names.select(F.col(heading).alias("k"), F.lower(name).alias("label"))
     both = left.join(right, "p").where("x < y").join(label.toDF("x", "lx"), "x").join(label.toDF("y", "ly"), "y")
-    both = both.select("p", F.least("lx", "ly").alias("a"), F.greatest("lx", "ly").alias("b"))
-    found = both.groupBy("a", "b").agg(F.count_distinct("p").alias("weight"), F.sort_array(F.collect_set("p")).alias("sources"))
-    return found.where(F.col("weight") >= least)
+    return both.select(F.least("lx", "ly").alias("a"), F.greatest("lx", "ly").alias("b"), F.col("p").alias("source")).distinct()
+
+
+def entity_rows(members: DataFrame, group: str, member: str) -> DataFrame:
+    """Provenance rows of the entities of each chunk."""
+    return pairs(members, group, member).select("a", "b", F.col("g").alias("source"))
+
+
+def weighted(rows: DataFrame, least: int = 1) -> DataFrame:
+    """(a, b, weight) of provenance rows with ``least`` sources or more: partial counts meet, nothing is collected."""
+    return rows.groupBy("a", "b").agg(F.count("*").alias("weight")).where(F.col("weight") >= least)
 
 
-def entity_graph(members: DataFrame, group: str, member: str, source: str | None = None) -> DataFrame:
-    """(a, b, weight, sources): chunks in which both entities occur, without a minimum."""
-    found = pairs(members, group, member)
-    if source is None:
-        return found.groupBy("a", "b").agg(F.count("*").alias("weight"), F.sort_array(F.collect_set("g")).alias("sources"))
-    of = members.select(F.col(group).alias("g"), F.col(source).alias("s")).distinct()
-    return found.join(of, "g").groupBy("a", "b").agg(F.count_distinct("g").alias("weight"), F.sort_array(F.collect_set("s")).alias("sources"))
+def at_least(rows: DataFrame, least: int) -> DataFrame:
+    """The provenance rows of edges of that weight."""
+    return rows.join(weighted(rows, least).select("a", "b"), ["a", "b"], "left_semi")
 
 
-def merge_graphs(*graphs: DataFrame) -> DataFrame:
-    """Weights add up, sources unite; an edge given in both directions is one."""
-    every = graphs[0]
-    for g in graphs[1:]:
-        every = every.unionByName(g)
-    every = every.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "weight", "sources")
-    return every.groupBy("a", "b").agg(F.sum("weight").alias("weight"), F.sort_array(F.array_distinct(F.flatten(F.collect_list("sources")))).alias("sources"))
+def merged(*graphs: DataFrame) -> DataFrame:
+    """(a, b, weight, n_sources) of several graphs' rows: weights add up, sources unite, both directions are one edge."""
+    every = None
+    for k, g in enumerate(graphs):
+        part = g.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "source", F.lit(k).alias("graph"))
+        every = part if every is None else every.unionByName(part)
+    by_source = every.groupBy("a", "b", "source").agg(F.count("*").alias("n"))
+    return by_source.groupBy("a", "b").agg(F.sum("n").alias("weight"), F.count("*").alias("n_sources"))
 
 
-def increment(graph: DataFrame, members: DataFrame, group: str, member: str) -> DataFrame:
-    """The graph with the chunks of ``members`` that no edge has as a source yet: applying it twice changes nothing."""
-    known = graph.select(F.explode("sources").alias(group)).distinct()
-    return merge_graphs(graph, entity_graph(members.join(known, group, "left_anti"), group, member))
+def increment(rows: DataFrame, members: DataFrame, group: str, member: str) -> DataFrame:
+    """The rows with those of chunks that no row has as a source yet: applying it twice changes nothing."""
+    known = rows.select(F.col("source").alias(group)).distinct()
+    return rows.unionByName(entity_rows(members.join(known, group, "left_anti"), group, member))
 
 
 def symmetric(graph: DataFrame, least: int = 2) -> DataFrame:
@@ -62,29 +73,71 @@ def symmetric(graph: DataFrame, least: int = 2) -> DataFrame:
     return kept.select(F.col("a").alias("src"), F.col("b").alias("dst"), "weight").unionByName(back)
 
 
-def personalised_pagerank(edges: DataFrame, seeds: list[str], rounds: int = ROUNDS, damping: float = DAMPING, cut_every: int = 5) -> DataFrame:
+def personalised_pagerank(edges: DataFrame, seeds: list[str], rounds: int = ROUNDS, damping: float = DAMPING, tolerance: float = TOLERANCE, one_task_edges: int = ONE_TASK_EDGES) -> DataFrame:
     """(node, rank) by power iteration over (src, dst, weight), restarting uniformly at the seeds that are nodes.
 
-    Starts uniform over all nodes; what nodes without out-edges hold goes to the seeds.  Empty without a valid seed.
-    A round is one join and one aggregation by node; every ``cut_every`` rounds the ranks are checkpointed, which also
-    ends their lineage.
+    Starts uniform over all nodes; what nodes without out-edges hold goes to the seeds.  Ends when the ranks' summed change
+    falls below nodes * ``tolerance``, or after ``rounds``; a tolerance of 0 runs them all.  If the last change is above
+    nodes * 1e-3 too, it fails.  Empty without a valid seed.  ``edges`` should be a stored table: it is read in every round
+    of a large graph, and once for a small one, which is iterated in one task.
     """
+    seeds = sorted({s.lower() for s in seeds})
+    if edges.count() <= one_task_edges:
+        return _rank_in_one_task(edges, seeds, rounds, damping, tolerance)
+    return _rank_by_joins(edges, seeds, rounds, damping, tolerance)
+
+
+def _settled(change: float, nodes: int, last: bool, tolerance: float) -> bool:
+    if tolerance and last and change >= nodes * SECOND_TOLERANCE:
+        raise ValueError(f"ranks still move by {change}")
+    return last or change < nodes * tolerance
+
+
+def _rank_in_one_task(edges: DataFrame, seeds: list[str], rounds: int, damping: float, tolerance: float) -> DataFrame:
+    kind = edges.schema["src"].dataType.simpleString()
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        every = list(frames)
+        rows = pd.concat(every) if every else pd.DataFrame({"src": [], "dst": [], "weight": []})
+        codes, nodes = pd.factorize(pd.concat([rows["src"], rows["dst"]], ignore_index=True))
+        n, seed = len(nodes), np.isin(nodes.astype(str), seeds).astype(float) if len(nodes) else np.zeros(0)
+        if not seed.sum():
+            return
+        src, dst, seed = codes[: len(rows)], codes[len(rows) :], seed / seed.sum()
+        out = np.bincount(src, weights=rows["weight"], minlength=n)
+        share, dead, rank = rows["weight"].to_numpy() / out[src], out == 0, np.full(n, 1.0 / n)
+        for k in range(rounds):
+            flow = np.bincount(dst, weights=share * rank[src], minlength=n) + rank[dead].sum() * seed
+            new = damping * flow + (1 - damping) * seed
+            change, rank = np.abs(new - rank).sum(), new
+            if _settled(change, n, k == rounds - 1, tolerance):
+                break
+        yield pd.DataFrame({"node": nodes, "rank": rank})
+
+    return edges.select("src", "dst", F.col("weight").cast("double").alias("weight")).coalesce(1).mapInPandas(run, f"node {kind}, rank double")
+
+
+def _rank_by_joins(edges: DataFrame, seeds: list[str], rounds: int, damping: float, tolerance: float) -> DataFrame:
+    """A round is one join and one aggregation by node; its ranks are checkpointed, so no plan grows with the rounds."""
     nodes = edges.select(F.col("src").alias("node")).union(edges.select("dst")).distinct()
     out = edges.groupBy("src").agg(F.sum("weight").alias("total"))
     moves = edges.join(out, "src").select("src", "dst", (F.col("weight") / F.col("total")).alias("share")).checkpoint()
-    seeded = nodes.withColumn("seed", F.col("node").isin([s.lower() for s in seeds]).cast("double"))
+    seeded = nodes.withColumn("seed", F.col("node").isin(seeds).cast("double"))
     n, valid = seeded.agg(F.count("*"), F.coalesce(F.sum("seed"), F.lit(0.0))).first()
     if not valid:
         return nodes.where("false").withColumn("rank", F.lit(0.0))
-    base = seeded.join(out.select(F.col("src").alias("node"), F.lit(0.0).alias("dead")), "node", "left").select("node", (F.col("seed") / valid).alias("seed"), F.coalesce("dead", F.lit(1.0)).alias("dead")).checkpoint()
-    ranks = base.select("node", F.lit(1.0 / n).alias("rank"))
+    base = seeded.join(out.select(F.col("src").alias("node"), F.lit(False).alias("dead")), "node", "left").select("node", (F.col("seed") / valid).alias("seed"), F.coalesce("dead", F.lit(True)).alias("dead"))
+    ranks = base.withColumn("rank", F.lit(1.0 / n)).checkpoint()
+    lost = ranks.agg(F.coalesce(F.sum(F.when(F.col("dead"), F.col("rank"))), F.lit(0.0))).first()[0]
     for k in range(rounds):
-        flow = moves.join(ranks, moves["src"] == ranks["node"]).groupBy("dst").agg(F.sum(F.col("share") * F.col("rank")).alias("got"))
-        lost = base.join(ranks, "node").agg(F.sum(F.col("dead") * F.col("rank")).alias("lost"))
-        ranks = base.join(flow, base["node"] == flow["dst"], "left").crossJoin(F.broadcast(lost)).select("node", (damping * (F.coalesce("got", F.lit(0.0)) + F.col("lost") * F.col("seed")) + (1 - damping) * F.col("seed")).alias("rank"))
-        if (k + 1) % cut_every == 0:
-            ranks = ranks.checkpoint()
-    return ranks
+        flow = moves.join(ranks.select(F.col("node").alias("src"), "rank"), "src").groupBy(F.col("dst").alias("node")).agg(F.sum(F.col("share") * F.col("rank")).alias("got"))
+        new = damping * (F.coalesce("got", F.lit(0.0)) + lost * F.col("seed")) + (1 - damping) * F.col("seed")
+        ranks = ranks.withColumnRenamed("rank", "old").join(flow, "node", "left").select("node", "seed", "dead", "old", new.alias("rank")).checkpoint()
+        change, lost = ranks.agg(F.sum(F.abs(F.col("rank") - F.col("old"))), F.coalesce(F.sum(F.when(F.col("dead"), F.col("rank"))), F.lit(0.0))).first()
+        ranks = ranks.drop("old")
+        if _settled(change, n, k == rounds - 1, tolerance):
+            break
+    return ranks.select("node", "rank")
 
 
 def top_entities(ranks: DataFrame, n: int = TOP_ENTITIES) -> DataFrame:
@@ -124,3 +177,17 @@ def named_or_synonym(terms: DataFrame, name: str, synonyms: str, value: str) ->
     """Rows whose name or one of whose synonyms equals ``value``, case ignored."""
     same: Column = F.lower(name) == value.lower()
     return terms.where(same | F.coalesce(F.exists(synonyms, lambda s: F.lower(s) == value.lower()), F.lit(False)))
+
+
+def dictionary_entities(docs: DataFrame, id_col: str, text_col: str, names: DataFrame, name: str) -> DataFrame:
+    """(``id_col``, entity): the known one-word names that a text holds, case ignored; the stand-in for a model's tagger."""
+    words = docs.select(id_col, F.explode(F.array_distinct(F.regexp_extract_all(F.lower(text_col), F.lit("([a-z0-9]+)"), F.lit(1)))).alias("entity"))
+    return words.join(names.select(F.lower(name).alias("entity")).distinct(), "entity", "left_semi")
+
+
+def expand_terms(terms: DataFrame, tree: DataFrame, term: str, name: str, paths: str) -> DataFrame:
+    """(query_term, names): for each given name, itself and the names of all descriptors below it."""
+    roots = tree.join(terms.select(F.lower("query_term").alias("_q"), "query_term"), F.lower(name) == F.col("_q"))
+    below = descendants(tree, roots.select(term, paths).distinct(), term, paths).join(tree.select(term, F.col(name).alias("found")), term)
+    every = below.select("root", "found").unionByName(roots.select(F.col(term).alias("root"), F.col(name).alias("found")))
+    return roots.select(F.col(term).alias("root"), "query_term").join(every, "root").groupBy("query_term").agg(F.sort_array(F.collect_set("found")).alias("names"))

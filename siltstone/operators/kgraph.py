@@ -12,7 +12,9 @@ from siltstone.functions.text import slug
 
 ANSWER_CAP = 5000
 # Labels and predicates that say nothing, and the node types.
-VAGUE_LABELS = "protein proteins rna dna cell cells gene genes tissue tissues molecular cellular modification molecule molecules process pathway system physical chronic acute mechanical growth wasting".split()
+VAGUE_LABELS = [
+    "protein", "proteins", "rna", "dna", "cell", "cells", "gene", "genes", "tissue", "tissues", "molecular", "cellular", "modification", "molecule", "molecules", "process", "pathway", "system", "physical", "chronic", "acute", "mechanical", "growth", "wasting",
+]
 VAGUE_PREDICATES = [
     "is managed by", "is controlled by", "is involved in", "involves", "relates to", "is related to", "is associated with", "is increased by", "is decreased by",
     "is affected by", "affects", "depends on", "is dependent on", "interacts with", "interaction with", "is", "has", "are",
@@ -117,6 +119,14 @@ def merge_nodes(old: DataFrame, new: DataFrame) -> DataFrame:
     return every.groupBy("id").agg(label.alias("label"), kind.alias("type"), F.sort_array(F.array_distinct(F.flatten(F.collect_list("citations")))).alias("citations"))
 
 
+def merge_edges(old: DataFrame, new: DataFrame, known: DataFrame) -> DataFrame:
+    """(source, predicate, target, citations): equal edges unite their citations; edges with an unknown end (id) are dropped."""
+    every = old.select("source", "predicate", "target", "citations").unionByName(new.select("source", "predicate", "target", "citations"))
+    for end in ("source", "target"):
+        every = every.join(known.select(F.col("id").alias(end)), end, "left_semi")
+    return every.groupBy("source", "predicate", "target").agg(F.sort_array(F.array_distinct(F.flatten(F.collect_list("citations")))).alias("citations"))
+
+
 def valid_groups(groups: DataFrame, labels: DataFrame, group: str, order: str, member: str, canonical: str) -> DataFrame:
     """(group, canonical, members): members restricted to given labels without regard to case, two or more.
 

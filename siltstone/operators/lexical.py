@@ -1,17 +1,28 @@
-"""Lexical retrieval: analysed postings, BM25 over one or several fields, filters that do not score.
+"""Lexical retrieval: kept postings, BM25 over one or several fields, filters that do not score.
 
-An index is a DataFrame of postings (doc, field, term, tf) and of lengths (doc, field, len).  A search keeps the postings of
-the query's terms by a broadcast of those few terms, so the scan is the only pass over the corpus.
+An index is postings (bucket, term, field, doc, tf, len) and statistics (field, n, mean).  Written once, partitioned by the
+term's bucket and sorted by term, a search reads only the buckets of its terms, and of these the row groups that hold them.
 """
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-K1, B = 1.2, 0.75
+K1, B, BUCKETS = 1.2, 0.75, 16
 # English stop words of the analyser.
-STOP_WORDS = "a an and are as at be but by for if in into is it no not of on or such that the their then there these they this to was will with".split()
+STOP_WORDS = [
+    "a", "an", "and", "are", "as", "at", "be", "but", "by", "for", "if", "in", "into", "is", "it", "no", "not", "of", "on", "or", "such", "that", "the", "their", "then", "there",
+    "these", "they", "this", "to", "was", "will", "with",
+]
+
+
+@dataclass
+class Index:
+    postings: DataFrame
+    stats: DataFrame
 
 
 def tokens(text: Column) -> Column:
@@ -25,42 +36,81 @@ def analysed(text: Column, stop: bool = True, stem=None) -> Column:
     return stem(found) if stem else found
 
 
-def index(docs: DataFrame, id_col: str, fields: dict[str, Column]) -> DataFrame:
-    """(doc, field, tokens) of every document and field."""
-    return docs.select(F.col(id_col).alias("doc"), F.explode(F.array(*(F.struct(F.lit(f).alias("field"), c.alias("tokens")) for f, c in fields.items()))).alias("x")).select("doc", "x.*")
+def bucket_of(term: Column) -> Column:
+    return F.pmod(F.xxhash64(term), F.lit(BUCKETS)).cast("int")
+
+
+def _by_field(docs: DataFrame, id_col: str, fields: dict[str, Column]) -> DataFrame:
+    listed = F.explode(F.array(*(F.struct(F.lit(f).alias("field"), c.alias("tokens")) for f, c in fields.items())))
+    return docs.select(F.col(id_col).alias("doc"), listed.alias("x")).select("doc", "x.*")
+
+
+def postings(docs: DataFrame, id_col: str, fields: dict[str, Column]) -> DataFrame:
+    """(bucket, term, field, doc, tf, len), clustered by bucket and sorted by term: as it is to be written."""
+    rows = _by_field(docs, id_col, fields).select("doc", "field", F.size("tokens").alias("len"), F.explode("tokens").alias("term"))
+    counted = rows.groupBy("doc", "field", "len", "term").agg(F.count("*").alias("tf"))
+    # Terms of a bucket are spread over tasks by the document, so a frequent term does not land in one of them.
+    spread = counted.withColumn("bucket", bucket_of(F.col("term"))).repartition("bucket", F.pmod(F.xxhash64("doc"), F.lit(8)))
+    return spread.sortWithinPartitions("bucket", "term").select("term", "field", "doc", "tf", "len", "bucket")
 
 
-def bm25(indexed: DataFrame, terms: list[str], boosts: dict[str, float] | None = None, k1: float = K1, b: float = B) -> DataFrame:
+def statistics(docs: DataFrame, id_col: str, fields: dict[str, Column]) -> DataFrame:
+    """(field, n, mean): documents and mean length, a row a field."""
+    return _by_field(docs, id_col, fields).groupBy("field").agg(F.count("*").alias("n"), F.avg(F.size("tokens")).alias("mean"))
+
+
+def index(docs: DataFrame, id_col: str, fields: dict[str, Column]) -> Index:
+    """An index that is computed where it is used."""
+    return Index(postings(docs, id_col, fields), statistics(docs, id_col, fields))
+
+
+def bm25(found: Index, terms: DataFrame, boosts: dict[str, float] | None = None, k1: float = K1, b: float = B, blend: bool = False) -> DataFrame:
     """(doc, term, score): a document's best boosted field for each term it has; sum over terms is its BM25 score.
 
-    Document frequencies and mean lengths are those of all of ``indexed``, whatever filters a caller applies to the
-    result; documents without any of the terms are absent.
+    ``terms`` is (term, times), the few terms of a query; a repeated term counts as often.  Document frequencies and mean
+    lengths are those of the whole index, whatever filters a caller applies to the result; documents without any of the
+    terms are absent.  With ``blend`` a term's frequency is the largest of its fields', so that a field in which the term is
+    rare by accident does not outweigh the others.
     """
-    wanted = F.array(*(F.lit(t) for t in dict.fromkeys(terms)))
     boost = F.create_map(*(F.lit(x) for kv in (boosts or {}).items() for x in kv)) if boosts else None
-    stats = indexed.groupBy("field").agg(F.count("*").alias("n"), F.avg(F.size("tokens")).alias("mean"))
-    hits = indexed.select("doc", "field", F.size("tokens").alias("len"), F.filter("tokens", lambda t: F.array_contains(wanted, t)).alias("hit")).where(F.size("hit") > 0)
-    counted = hits.select("doc", "field", "len", F.explode("hit").alias("term")).groupBy("doc", "field", "len", "term").agg(F.count("*").alias("tf"))
-    df = counted.groupBy("field", "term").agg(F.count("*").alias("df"))
-    # Both are a handful of rows: one for each field, and one for each field and query term.
-    scored = counted.join(F.broadcast(df), ["field", "term"]).join(F.broadcast(stats), "field")
+    terms = terms.withColumn("bucket", bucket_of(F.col("term")))
+    # The terms of one query are few; the bucket prunes partitions and the term row groups.
+    hits = found.postings.join(F.broadcast(terms), ["bucket", "term"])
+    df = hits.groupBy("field", "term").agg(F.count("*").alias("df"))
+    if blend:
+        df = df.join(df.groupBy("term").agg(F.max("df").alias("most")), "term").select("field", "term", F.col("most").alias("df"))
+    scored = hits.join(F.broadcast(df), ["field", "term"]).join(F.broadcast(found.stats), "field")
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    score = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / F.col("mean")))
+    score = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / F.col("mean"))) * F.col("times")
     weight = F.coalesce(F.try_element_at(boost, F.col("field")), F.lit(1.0)) if boosts else F.lit(1.0)
     return scored.groupBy("doc", "term").agg(F.max(score * weight).alias("score"))
 
 
-def search(indexed: DataFrame, terms: list[str], top: int | None = None, boosts: dict[str, float] | None = None, least_share: float = 0.0, allowed: DataFrame | None = None) -> DataFrame:
+def search(found: Index, terms: list[str] | DataFrame, top: int | None = None, boosts: dict[str, float] | None = None, least_share: float = 0.0, allowed: DataFrame | None = None, blend: bool = False) -> DataFrame:
     """(doc, score, matched), best first, ties by doc.
 
-    ``least_share`` of the distinct terms, rounded down, must match; ``allowed`` (doc) filters without scoring.
+    ``terms`` is a list, or (term, times) of any origin.  ``least_share`` of the distinct terms, rounded down, must match;
+    ``allowed`` (doc) filters without scoring.
     """
-    per_term = bm25(indexed, terms, boosts)
-    found = per_term.groupBy("doc").agg(F.sum("score").alias("score"), F.count("*").alias("matched"))
-    found = found.where(F.col("matched") >= int(len(set(terms)) * least_share))
+    post = found.postings
+    if isinstance(terms, list):
+        wanted = list(dict.fromkeys(terms))
+        spark = post.sparkSession
+        buckets = [r[0] for r in spark.createDataFrame([(t,) for t in wanted], "term string").select(bucket_of(F.col("term"))).collect()] if wanted else []
+        post = post.where(F.col("bucket").isin(buckets) & F.col("term").isin(wanted))
+        terms = spark.createDataFrame([(t, 1) for t in wanted], "term string, times int")
+    per_term = bm25(Index(post, found.stats), terms, boosts, blend=blend)
+    scored = per_term.groupBy("doc").agg(F.sum("score").alias("score"), F.count("*").alias("matched"))
+    if least_share:
+        scored = scored.crossJoin(F.broadcast(terms.agg(F.count("*").alias("n_terms")))).where(F.col("matched") >= F.floor(F.col("n_terms") * least_share)).drop("n_terms")
     if allowed is not None:
-        found = found.join(allowed, "doc", "left_semi")
-    return found.orderBy(F.desc(F.round("score", 9)), "doc").limit(top) if top else found
+        scored = scored.join(allowed, "doc", "left_semi")
+    return scored.orderBy(F.desc(F.round("score", 9)), "doc").limit(top) if top else scored
+
+
+def terms_of(docs: DataFrame, text: Column) -> DataFrame:
+    """(term, times) of the texts of ``docs``, as a query."""
+    return docs.select(F.explode(tokens(text)).alias("term")).groupBy("term").agg(F.count("*").alias("times"))
 
 
 def highlight(text: Column, terms: list[str], before: str = "<em>", after: str = "</em>") -> Column:

@@ -6,48 +6,34 @@ are also citations, customers sit in a region-nation-customer ontology, parts ar
 
 from __future__ import annotations
 
-import tempfile
-from collections.abc import Callable
-
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from siltstone.functions import text as T
 from siltstone.functions.stemmer import stem_all
 from siltstone.operators import answer, chunking, fusion, fuzzy, graph, kgraph, lexical, upserts, vectors
+from siltstone.plans.registry import ORACLES, QUERIES, joined, longs, md5, query, r6
 from siltstone.sources import records, tables
 from siltstone.streaming import state
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+__all__ = ["ORACLES", "QUERIES"]
 TERMS = ["that", "onesen", "erblest", "thou"]
 IN_TERMS = ", ".join(f"'{t}'" for t in TERMS)
 TOK = "regexp_extract_all(lower(coalesce({c}, '')), '[a-z0-9]+')"
 
 
-def query(sql: str | None = None):
-    def register(f: Callable[[Callable[[str], DataFrame]], DataFrame]) -> Callable:
-        QUERIES[f.__name__] = lambda spark, folder: f(lambda name: tables.read_table(spark, folder, name))
-        if sql:
-            ORACLES[f.__name__] = sql
-        return f
-
-    return register
-
-
-def joined(c: Column | str, by: str = ",") -> Column:
-    return F.array_join(F.col(c).cast("array<string>") if isinstance(c, str) else c.cast("array<string>"), by)
-
-
-def r6(c: Column | str) -> Column:
-    return F.round(c, 6)
+# Lexical retrieval
 
 
-# Lexical retrieval
+def kept_index(t, name: str, table: str, id_col: str, columns: list[str]) -> lexical.Index:
+    """Postings and statistics of a table, written by the first query that needs them."""
+    fields = {c: lexical.tokens(F.col(c)) for c in columns}
+    post = t.kept(f"{name}-postings", lambda: lexical.postings(t(table), id_col, fields), "bucket")
+    return lexical.Index(post, t.kept(f"{name}-stats", lambda: lexical.statistics(t(table), id_col, fields)))
 
 
-def corpus(t) -> DataFrame:
-    return lexical.index(t("documents"), "doc_id", {"text": lexical.tokens(F.col("text"))})
+def corpus(t) -> lexical.Index:
+    return kept_index(t, "documents", "documents", "doc_id", ["text"])
 
 
 BM25 = f"""d AS (SELECT doc_id AS doc, {TOK.format(c="text")} AS t FROM documents), l AS (SELECT doc, len(t) AS len FROM d), s AS (SELECT count(*) AS n, avg(len) AS mean FROM l),
@@ -84,20 +70,42 @@ f AS (SELECT field, term, count(*) AS df FROM p GROUP BY ALL),
 b AS (SELECT doc, term, max(boost * ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len / mean))) AS v FROM p JOIN f USING (field, term) JOIN s USING (field) GROUP BY doc, term)
 SELECT doc, round(sum(v), 6) AS score FROM b GROUP BY doc""")
 def bm25_multifield(t):
-    fields = {f: lexical.tokens(F.col(f)) for f in _BOOSTS}
-    return lexical.search(lexical.index(t("part"), "p_partkey", fields), _MULTI, boosts=_BOOSTS).select("doc", r6("score").alias("score"))
+    return lexical.search(kept_index(t, "part", "part", "p_partkey", list(_BOOSTS)), _MULTI, boosts=_BOOSTS).select("doc", r6("score").alias("score"))
+
+
+@query(f"""WITH x AS ({_FIELD}), s AS (SELECT field, count(*) AS n, avg(len(t)) AS mean FROM x GROUP BY field),
+p AS (SELECT doc, field, boost, len, term, count(*) AS tf FROM (SELECT doc, field, boost, len(t) AS len, unnest(t) AS term FROM x) WHERE term IN ('red', 'plate', 'brass', 'brand') GROUP BY ALL),
+f AS (SELECT term, max(df) AS df FROM (SELECT field, term, count(*) AS df FROM p GROUP BY ALL) GROUP BY term),
+b AS (SELECT doc, term, max(boost * ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len / mean))) AS v FROM p JOIN f USING (term) JOIN s USING (field) GROUP BY doc, term)
+SELECT doc, round(sum(v), 6) AS score FROM b GROUP BY doc""")
+def bm25_blended(t):
+    return lexical.search(kept_index(t, "part", "part", "p_partkey", list(_BOOSTS)), _MULTI, boosts=_BOOSTS, blend=True).select("doc", r6("score").alias("score"))
 
 
 @query()
 def english_analyzer(t):
-    stemmed = stem_all(lexical.analysed(F.col("text")))
-    return t("benchmark").select("item_id", joined(stemmed, " ").alias("stems"))
+    return t("documents").select("doc_id", joined(stem_all(lexical.analysed(F.col("text"))), " ").alias("stems"))
+
 
+# Neighbouring hits share the character between them, so the rule is applied twice.
+_MARKED = r"""replace(replace(regexp_replace(regexp_replace({c}, '(?i)(^|[^a-z0-9])(that|thou)($|[^a-z0-9])', '\1' || chr(1) || '\2' || chr(2) || '\3', 'g'), '(?i)(^|[^a-z0-9\x01])(that|thou)($|[^a-z0-9\x02])', '\1' || chr(1) || '\2' || chr(2) || '\3', 'g'), chr(1), '<em>'), chr(2), '</em>')"""
 
-@query(r"SELECT item_id, regexp_replace(text, '(^|[^a-zA-Z0-9])(the|in)([^a-zA-Z0-9]|$)', '\1<em>\2</em>\3') IS NOT NULL AS marked, len(regexp_extract_all(lower(text), '[a-z0-9]+')) AS n FROM benchmark")
+
+@query(rf"SELECT doc_id, md5({_MARKED.format(c='text')}) AS h, CAST(len(regexp_extract_all(lower(text), '[a-z0-9]+')) AS BIGINT) AS n FROM documents WHERE regexp_matches(lower(text), '(^|[^a-z0-9])(that|thou)($|[^a-z0-9])')")
 def highlights(t):
-    marked = lexical.highlight(F.col("text"), ["the", "in"])
-    return t("benchmark").select("item_id", (F.length(marked) >= F.length("text")).alias("marked"), F.size(lexical.tokens(F.col("text"))).cast("long").alias("n"))
+    marked = lexical.highlight(F.col("text"), ["that", "thou"])
+    return t("documents").where(F.col("text") != marked).select("doc_id", md5(marked).alias("h"), F.size(lexical.tokens(F.col("text"))).cast("long").alias("n"))
+
+
+_WINDOW_HITS = "len([x for x in regexp_extract_all(lower(w), '[a-z0-9]+') if x IN ('that', 'thou')])"
+
+
+@query(rf"""WITH w AS (SELECT doc_id, i, substr(text, i * 200 + 1, 200) AS w FROM (SELECT doc_id, text, unnest(range(0, (length(text) + 199) // 200)) AS i FROM documents)),
+r AS (SELECT doc_id, i, w, row_number() OVER (PARTITION BY doc_id ORDER BY {_WINDOW_HITS} DESC, i) AS place FROM w WHERE {_WINDOW_HITS} > 0)
+SELECT doc_id, CAST(place AS BIGINT) AS place, md5({_MARKED.format(c='w')}) AS h FROM r WHERE place <= 2""")
+def highlight_fragments(t):
+    found = t("documents").select("doc_id", F.posexplode(lexical.fragments(F.col("text"), ["that", "thou"])).alias("at", "f"))
+    return found.select("doc_id", (F.col("at") + 1).cast("long").alias("place"), md5("f").alias("h"))
 
 
 # Dense, sparse, fused
@@ -189,29 +197,77 @@ def hydrate_chunks(t):
     return first.join(t("documents").select(F.col("doc_id").alias("doc"), "lang", "source"), "doc").select("doc", F.col("idx").cast("long"), F.col("chunk_place").cast("long").alias("rn"), F.md5(F.col("s").cast("binary")).alias("h"), "lang", "source")
 
 
-@query(f"""WITH {_PLACED}, {_PARA}, k AS (SELECT *, row_number() OVER (PARTITION BY doc ORDER BY idx) AS rn FROM c)
+_ALLOWED = "SELECT doc_id FROM documents WHERE lang IN ('en', 'fr') AND n_chars BETWEEN 200 AND 20000"
+
+
+def allowed(t) -> DataFrame:
+    """Filters of a search: any of the languages, and a range; they do not score."""
+    return t("documents").where(F.col("lang").isin("en", "fr") & F.col("n_chars").between(200, 20000)).select(F.col("doc_id").alias("doc"))
+
+
+# The lexical side obeys the filters, the dense side does not.
+_RANKED = f"""{BM25}, {_DENSE},
+b AS (SELECT doc, row_number() OVER (ORDER BY round(score, 9) DESC, doc) AS bm25_rank FROM sc WHERE matched >= 2 AND doc IN ({_ALLOWED}) ORDER BY 2 LIMIT 100),
+dn AS (SELECT doc, row_number() OVER (ORDER BY round(sim, 9) DESC, doc) AS dense_rank FROM v ORDER BY 2 LIMIT 100),
+u AS (SELECT coalesce(b.doc, dn.doc) AS doc, bm25_rank, dense_rank, coalesce(1.0 / (60 + bm25_rank), 0) + coalesce(1.0 / (60 + dense_rank), 0) AS rrf FROM b FULL JOIN dn ON b.doc = dn.doc),
+pl AS (SELECT *, count(*) OVER () AS pool, row_number() OVER (ORDER BY round(rrf, 9) DESC, doc) AS place FROM u),
+tg AS (SELECT *, least(greatest(5, least(20, CAST(floor(pool * 0.10) AS BIGINT))), 20) AS target FROM pl)"""
+
+
+def _pool(t, widen: int) -> DataFrame:
+    return fusion.retrieved(corpus(t), TERMS, t("embeddings"), _Q0, "vec_id", "embedding", 20, allowed(t), widen)
+
+
+@query(f"""WITH {_RANKED}, {_PARA}, k AS (SELECT *, row_number() OVER (PARTITION BY doc ORDER BY idx) AS rn FROM c)
 SELECT tg.doc, place, rn AS chunk_place, CAST(idx AS BIGINT) AS idx, round(least(rrf / (2.0 / 61), 1.0), 4) AS relevance, bm25_rank, dense_rank, lang, source
 FROM tg JOIN k ON k.doc = tg.doc AND rn <= 3 JOIN documents ON doc_id = tg.doc WHERE place <= target""")
 def retrieve_full(t):
-    kept = fusion.adaptive(fused(t), 20)
+    kept = _pool(t, 1)
+    # The kept documents are at most top_k.
     chunks = fusion.first_chunks(para_rows(t).join(F.broadcast(kept.select("doc")), "doc"), "doc", "idx")
     found = kept.join(chunks, "doc").join(t("documents").select(F.col("doc_id").alias("doc"), "lang", "source"), "doc")
-    longs = [F.col(c).cast("long").alias(c) for c in ("place", "chunk_place", "idx", "bm25_rank", "dense_rank")]
-    return found.select("doc", *longs, fusion.normalised(F.col("rrf")).alias("relevance"), "lang", "source")
+    return found.select("doc", *longs("place", "chunk_place", "idx", "bm25_rank", "dense_rank"), fusion.normalised(F.col("rrf")).alias("relevance"), "lang", "source")
+
+
+# Words of nine letters or more stand in for the tagged entities of a paragraph; the question's are those of its terms' best document.
+_DOC_GRAPH = """m AS (SELECT DISTINCT doc * 100000 + idx AS g, doc, e FROM (SELECT doc, idx, unnest(regexp_extract_all(lower(s), '[a-z0-9]+')) AS e FROM c) WHERE length(e) >= 9),
+ner AS (SELECT x.e AS a, y.e AS b, count(*) AS weight FROM m x JOIN m y ON x.g = y.g AND x.e < y.e GROUP BY ALL)"""
+_ASKED_FOR = ["thanedble", "worthless", "disgusting", "ofonrereer", "forrendsten"]
+
+
+def doc_members(t) -> DataFrame:
+    """(chunk, doc, entity) of all paragraphs."""
+    words = para_rows(t).select((F.col("doc") * 100000 + F.col("idx")).alias("chunk"), "doc", F.explode(lexical.tokens(F.col("s"))).alias("entity"))
+    return words.where(F.length("entity") >= 9).distinct()
 
 
-_SIM_TERMS = ["the", "was", "hathe", "thing"]
+def doc_edges(t) -> DataFrame:
+    return t.kept("document-edges", lambda: graph.symmetric(graph.weighted(graph.entity_rows(doc_members(t), "chunk", "entity")), 1))
 
 
-@query(f"WITH {BM25.replace(IN_TERMS, ', '.join(repr(x) for x in _SIM_TERMS))} SELECT doc, round(score, 6) AS score FROM sc WHERE doc <> 1 ORDER BY round(score, 9) DESC, doc LIMIT 20")
+@query(f"""SELECT doc_id, string_agg(DISTINCT e, ',' ORDER BY e) AS entities FROM (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS e FROM documents)
+WHERE e IN ({", ".join(repr(x) for x in _ASKED_FOR)}) GROUP BY doc_id""")
+def query_entities(t):
+    names = t.spark.createDataFrame([(e.upper(),) for e in _ASKED_FOR], "name string")
+    found = graph.dictionary_entities(t("documents"), "doc_id", "text", names, "name")
+    return found.groupBy("doc_id").agg(joined(F.sort_array(F.collect_set("entity"))).alias("entities"))
+
+
+@query(f"""WITH d AS (SELECT doc_id AS doc, {TOK.format(c="text")} AS t FROM documents), l AS (SELECT doc, len(t) AS len FROM d), s AS (SELECT count(*) AS n, avg(len) AS mean FROM l),
+q AS (SELECT term, count(*) AS times FROM (SELECT unnest(t) AS term FROM d WHERE doc = 1) GROUP BY term),
+p AS (SELECT doc, term, count(*) AS tf FROM (SELECT doc, unnest(t) AS term FROM d) JOIN q USING (term) GROUP BY doc, term), f AS (SELECT term, count(*) AS df FROM p GROUP BY term),
+sc AS (SELECT doc, sum(times * ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len / mean))) AS score FROM p JOIN q USING (term) JOIN f USING (term) JOIN l USING (doc) CROSS JOIN s GROUP BY doc)
+SELECT doc, round(score, 5) AS score FROM sc WHERE doc <> 1 ORDER BY round(score, 9) DESC, doc LIMIT 20""")
 def similar_docs(t):
-    found = lexical.search(corpus(t), _SIM_TERMS).where("doc <> 1")
-    return found.orderBy(F.desc(F.round("score", 9)), "doc").limit(20).select("doc", r6("score").alias("score"))
+    """The document's whole text is the query; the document itself is left out."""
+    terms = lexical.terms_of(t("documents").where("doc_id = 1"), F.col("text"))
+    found = lexical.search(corpus(t), terms).where("doc <> 1")
+    return found.orderBy(F.desc(F.round("score", 9)), "doc").limit(20).select("doc", F.round("score", 5).alias("score"))
 
 
-@query(f"WITH {BM25}, o AS (SELECT doc, row_number() OVER (ORDER BY round(score, 9) DESC, doc) AS position FROM sc) SELECT doc, position FROM o WHERE position BETWEEN 11 AND 30")
+@query(f"WITH {BM25}, o AS (SELECT doc, row_number() OVER (ORDER BY round(score, 9) DESC, doc) AS position, count(*) OVER () AS total FROM sc) SELECT doc, position, total FROM o WHERE position BETWEEN 11 AND 30")
 def search_page(t):
-    return fusion.page(lexical.search(corpus(t), TERMS), [F.desc(F.round("score", 9)), F.col("doc")], 10, 20).select("doc", F.col("position").cast("long"))
+    return fusion.page(lexical.search(corpus(t), TERMS), [F.desc(F.round("score", 9)), F.col("doc")], 10, 20).select("doc", F.col("position").cast("long"), "total")
 
 
 # Chunking
@@ -224,19 +280,29 @@ def window_chunks_fixed(t):
     return rows.select("doc_id", F.col("chunk_index").cast("long"), F.col("start_char").cast("long"), F.length("chunk_text").cast("long").alias("n"))
 
 
-@query()
+_LAST = "CASE WHEN instr(reverse(seg), {r}) > 0 THEN low + length(seg) - instr(reverse(seg), {r}) + 1 END"
+_SNAP = "coalesce(" + ", ".join(_LAST.format(r=r) for r in ("' .'", "' ?'", "' !'", "chr(10)")) + ", e)"
+
+
+@query(f"""WITH RECURSIVE w(doc_id, text, n, start, stop) AS (
+  SELECT doc_id, text, length(text), 0, CASE WHEN e < length(text) THEN {_SNAP} ELSE e END FROM (SELECT doc_id, text, least(2048, length(text)) AS e, 768 AS low, substr(text, 769, least(2048, length(text)) - 768) AS seg FROM documents WHERE length(text) > 0)
+  UNION ALL SELECT doc_id, text, n, s, CASE WHEN e < n THEN {_SNAP} ELSE e END FROM (SELECT doc_id, text, n, s, least(s + 2048, n) AS e, s + 768 AS low, substr(text, s + 769, least(s + 2048, n) - s - 768) AS seg
+    FROM (SELECT doc_id, text, n, greatest(stop - 512, start + 1) AS s FROM w WHERE stop < n)))
+SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY start) - 1 AS chunk_index, CAST(start AS BIGINT) AS start_char, CAST(stop AS BIGINT) AS end_char, md5(trim(substr(text, start + 1, stop - start), ' ' || chr(9) || chr(10) || chr(13))) AS h
+FROM w WHERE trim(substr(text, start + 1, stop - start), ' ' || chr(9) || chr(10) || chr(13)) <> ''""")
 def window_chunks_snap(t):
     cut = t("documents").select("doc_id", F.posexplode(chunking.snapped_windows(F.col("text"))).alias("chunk_index", "w"))
-    return cut.select("doc_id", "chunk_index", F.col("w.start").alias("start_char"), F.col("w.end").alias("end_char"), F.md5(F.col("w.text").cast("binary")).alias("h"))
+    return cut.select("doc_id", F.col("chunk_index").cast("long"), F.col("w.start").cast("long").alias("start_char"), F.col("w.end").cast("long").alias("end_char"), md5("w.text").alias("h"))
 
 
-@query(f"WITH {_PARA} SELECT doc, md5(s) AS h FROM c GROUP BY doc, s")
+@query(f"WITH {_PARA}, f AS (SELECT doc, s, min(idx) AS idx FROM c GROUP BY doc, s) SELECT doc, row_number() OVER (PARTITION BY doc ORDER BY idx) - 1 AS chunk_index, md5(s) AS h FROM f")
 def append_chunks(t):
+    first = para_rows(t).groupBy("doc", "s").agg(F.min("idx").alias("idx"))
     place = F.row_number().over(Window.partitionBy("doc").orderBy("idx")) - 1
-    every = para_rows(t).dropDuplicates(["doc", "s"]).withColumn("chunk_index", place).select("doc", "chunk_index", F.col("s").alias("chunk_text"))
+    every = first.withColumn("chunk_index", place).select("doc", "chunk_index", F.col("s").alias("chunk_text"))
     both = chunking.append_chunks(every.where("chunk_index < 2"), every, "doc")
     both = chunking.append_chunks(both, every, "doc")  # the second run adds nothing
-    return both.select("doc", F.md5(F.col("chunk_text").cast("binary")).alias("h"))
+    return both.select("doc", F.col("chunk_index").cast("long"), md5("chunk_text").alias("h"))
 
 
 # Graphs
@@ -251,32 +317,37 @@ _MESH = """h AS (SELECT DISTINCT l_orderkey AS p, l_partkey AS k, lower(p_name)
 mesh AS (SELECT least(x.label, y.label) AS a, greatest(x.label, y.label) AS b, count(DISTINCT x.p) AS weight, list(DISTINCT x.p) AS sources FROM h x JOIN h y ON x.p = y.p AND x.k < y.k GROUP BY 1, 2 HAVING count(DISTINCT x.p) >= 2)"""
 
 
-def part_graph(t) -> DataFrame:
-    return graph.heading_graph(t("lineitem"), t("part").withColumnRenamed("p_partkey", "l_partkey"), "l_orderkey", "l_partkey", "p_name")
+def part_rows(t) -> DataFrame:
+    rows = graph.heading_rows(t("lineitem"), t("part").withColumnRenamed("p_partkey", "l_partkey"), "l_orderkey", "l_partkey", "p_name")
+    return graph.at_least(rows, 2)
+
+
+def brand_rows(t) -> DataFrame:
+    return graph.entity_rows(brand_members(t), "chunk", "entity")
 
 
 @query(f"WITH {_MESH} SELECT a, b, weight, CAST(list_sum(sources) AS BIGINT) AS source_sum FROM mesh")
 def mesh_cooccurrence(t):
-    return part_graph(t).select("a", "b", "weight", F.aggregate("sources", F.lit(0).cast("long"), lambda s, x: s + x).alias("source_sum"))
+    rows = graph.heading_rows(t("lineitem"), t("part").withColumnRenamed("p_partkey", "l_partkey"), "l_orderkey", "l_partkey", "p_name")
+    return rows.groupBy("a", "b").agg(F.count("*").alias("weight"), F.sum("source").alias("source_sum")).where("weight >= 2")
 
 
 @query(f"WITH {_BRANDS} SELECT a, b, weight FROM ner")
 def ner_cooccurrence(t):
-    return graph.entity_graph(brand_members(t), "chunk", "entity").select("a", "b", "weight")
+    return graph.weighted(brand_rows(t))
 
 
 @query(f"WITH {_BRANDS}, {_MESH}, u AS (SELECT a, b, weight, sources FROM ner UNION ALL SELECT a, b, weight, sources FROM mesh) SELECT a, b, CAST(sum(weight) AS BIGINT) AS weight, CAST(len(list_distinct(flatten(list(sources)))) AS BIGINT) AS n_sources FROM u GROUP BY a, b")
 def graph_merge(t):
-    merged = graph.merge_graphs(graph.entity_graph(brand_members(t), "chunk", "entity"), part_graph(t))
-    return merged.select("a", "b", "weight", F.size("sources").cast("long").alias("n_sources"))
+    return graph.merged(brand_rows(t), part_rows(t))
 
 
 @query(f"WITH {_BRANDS} SELECT a, b, weight FROM ner")
 def graph_incremental(t):
     members = brand_members(t)
-    base = graph.entity_graph(members.where("chunk % 3 <> 0"), "chunk", "entity")
+    base = graph.entity_rows(members.where("chunk % 3 <> 0"), "chunk", "entity")
     # The whole table arrives: chunks that edges already cite are skipped.
-    return graph.increment(base, members, "chunk", "entity").select("a", "b", "weight")
+    return graph.weighted(graph.increment(base, members, "chunk", "entity"))
 
 
 @query("SELECT p_brand, string_agg(CAST(k AS VARCHAR), ',' ORDER BY k) AS orders FROM (SELECT DISTINCT p_brand, l_orderkey AS k FROM lineitem JOIN part ON l_partkey = p_partkey) GROUP BY p_brand")
@@ -287,21 +358,22 @@ def provenance_lists(t):
 _SEEDS = ["brand#11", "brand#23", "nothing"]
 
 
-def _ppr_sql(rounds: int) -> str:
-    steps = [f"WITH {_BRANDS}, e AS (SELECT a AS src, b AS dst, weight FROM ner WHERE weight >= 2 UNION ALL SELECT b, a, weight FROM ner WHERE weight >= 2), o AS (SELECT src, sum(weight) AS total FROM e GROUP BY src), mv AS MATERIALIZED (SELECT e.src, dst, weight / total AS share FROM e JOIN o USING (src))"]
-    steps.append("nd AS (SELECT DISTINCT src AS node FROM e), sd AS (SELECT node, CASE WHEN node IN ('brand#11', 'brand#23') THEN 1.0 ELSE 0.0 END / (SELECT count(*) FROM nd WHERE node IN ('brand#11', 'brand#23')) AS seed FROM nd)")
+def _ppr_sql(rounds: int, members: str = _BRANDS, seeds: list[str] = _SEEDS, least: int = 2) -> str:
+    some = ", ".join(f"'{x}'" for x in seeds)
+    steps = [f"WITH {members}, e AS (SELECT a AS src, b AS dst, weight FROM ner WHERE weight >= {least} UNION ALL SELECT b, a, weight FROM ner WHERE weight >= {least}), o AS (SELECT src, sum(weight) AS total FROM e GROUP BY src), mv AS MATERIALIZED (SELECT e.src, dst, weight / total AS share FROM e JOIN o USING (src))"]
+    steps.append(f"nd AS (SELECT DISTINCT src AS node FROM e), sd AS (SELECT node, CASE WHEN node IN ({some}) THEN 1.0 ELSE 0.0 END / (SELECT count(*) FROM nd WHERE node IN ({some})) AS seed FROM nd)")
     steps.append("r0 AS MATERIALIZED (SELECT node, 1.0 / (SELECT count(*) FROM nd) AS rank FROM nd)")
     for k in range(rounds):
         steps.append(f"r{k + 1} AS MATERIALIZED (SELECT sd.node, 0.9 * coalesce(sum(share * rank), 0) + 0.1 * any_value(seed) AS rank FROM sd LEFT JOIN mv ON mv.dst = sd.node LEFT JOIN r{k} ON r{k}.node = mv.src GROUP BY sd.node)")
     return ", ".join(steps)
 
 
+def brand_edges(t) -> DataFrame:
+    return t.kept("brand-edges", lambda: graph.symmetric(graph.weighted(brand_rows(t)), 2))
+
+
 def _ppr(t) -> DataFrame:
-    spark = t("region").sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        # The folder that the cluster names; a temporary one only where none is named (local tests).
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="siltstone-"))
-    return graph.personalised_pagerank(graph.symmetric(graph.entity_graph(brand_members(t), "chunk", "entity")), _SEEDS, 10)
+    return graph.personalised_pagerank(brand_edges(t), _SEEDS, 10, tolerance=0)
 
 
 @query(_ppr_sql(10) + " SELECT node, round(rank, 6) AS rank FROM r10")
@@ -309,11 +381,29 @@ def ppr(t):
     return _ppr(t).select("node", r6("rank").alias("rank"))
 
 
+@query(_ppr_sql(10) + " SELECT node, round(rank, 6) AS rank FROM r10")
+def ppr_joins(t):
+    """The same ranks by the way that large graphs take."""
+    return graph.personalised_pagerank(brand_edges(t), _SEEDS, 10, tolerance=0, one_task_edges=0).select("node", r6("rank").alias("rank"))
+
+
 @query(_ppr_sql(10) + ", tp AS (SELECT * FROM r10 ORDER BY round(rank, 12) DESC, node LIMIT 10) SELECT g AS chunk, round(sum(rank), 6) AS boost FROM m JOIN tp ON node = e GROUP BY g")
 def ppr_rerank(t):
     return graph.chunk_boosts(brand_members(t), graph.top_entities(_ppr(t), 10), "chunk", "entity").withColumn("boost", r6("boost"))
 
 
+@query(f"""{_ppr_sql(10, f"{_PARA}, {_DOC_GRAPH}", _ASKED_FOR, 1)}, tp AS (SELECT * FROM r10 ORDER BY round(rank, 12) DESC, node LIMIT 50), bo AS (SELECT doc, max(boost) AS boost FROM (SELECT doc, g, sum(rank) AS boost FROM m JOIN tp ON node = e GROUP BY doc, g) GROUP BY doc),
+{_RANKED}, w AS (SELECT tg.*, row_number() OVER (ORDER BY round(rrf + 0.3 * coalesce(boost, 0), 9) DESC, place) AS final_place FROM tg LEFT JOIN bo USING (doc) WHERE place <= 3 * target)
+SELECT doc, place, final_place, round(least(rrf / (2.0 / 61), 1.0), 4) AS relevance FROM w WHERE final_place <= target""")
+def retrieve_graph(t):
+    """Three times the target is fetched, boosted by the graph and cut to the target."""
+    ranks = graph.top_entities(graph.personalised_pagerank(doc_edges(t), _ASKED_FOR, 10, tolerance=0))
+    members = doc_members(t)
+    boosts = graph.chunk_boosts(members, ranks, "chunk", "entity")
+    found = fusion.reranked(_pool(t, 3), members.select("doc", "chunk").distinct(), boosts)
+    return found.select("doc", *longs("place", "final_place"), fusion.normalised(F.col("rrf")).alias("relevance"))
+
+
 # Ontology and citations
 
 
@@ -366,14 +456,16 @@ def citation_rows(t) -> DataFrame:
     return rows.join(n1, F.col("c_nationkey") == F.col("k1"), "left").join(n2, F.col("s_nationkey") == F.col("k2"), "left").select(F.col("c_custkey").alias("citing"), F.col("s_suppkey").alias("cited"), "citing_nation", "cited_nation", "y")
 
 
-@query(f"SELECT DISTINCT citing, cited, cited_nation FROM ({_CITED}) WHERE citing % 97 = 5")
+@query(f"SELECT DISTINCT citing, cited, cited_nation FROM ({_CITED})")
 def references(t):
-    return citation_rows(t).where("citing % 97 = 5").select("citing", "cited", "cited_nation").distinct()
+    return citation_rows(t).select("citing", "cited", "cited_nation").distinct()
 
 
-@query(f"SELECT cited, citing, citing_nation, CAST(max(y) AS BIGINT) AS y FROM ({_CITED}) WHERE cited = 7 GROUP BY ALL")
+@query(f"SELECT cited, citing, citing_nation, CAST(max(y) AS BIGINT) AS y, row_number() OVER (ORDER BY max(y) DESC, citing) AS place FROM ({_CITED}) WHERE cited = 7 GROUP BY cited, citing, citing_nation")
 def cited_by(t):
-    return citation_rows(t).where("cited = 7").groupBy("cited", "citing", "citing_nation").agg(F.max("y").cast("long").alias("y"))
+    """Newest first; the list of one paper's citers."""
+    found = citation_rows(t).where("cited = 7").groupBy("cited", "citing", "citing_nation").agg(F.max("y").cast("long").alias("y"))
+    return found.withColumn("place", F.row_number().over(Window.partitionBy("cited").orderBy(F.desc("y"), "citing")).cast("long"))
 
 
 # Names and indications
@@ -396,7 +488,7 @@ def weighted_fts(t):
     return t("part").select("p_partkey", r6(fuzzy.weighted_rank(["red", "plate", "brass"], F.col("p_name"), F.col("p_type"), F.col("p_brand"))).alias("rank"))
 
 
-@query("SELECT p_partkey, CASE WHEN lower(p_name || ' ' || p_type) LIKE '%red%plate%' THEN 1.0 ELSE 0.0 END AS hit FROM part")
+@query("SELECT p_partkey, CASE WHEN lower(p_name || ' ' || p_type) LIKE '%red%plate%' THEN 1::DOUBLE ELSE 0::DOUBLE END AS hit FROM part")
 def phrase_boost(t):
     return t("part").select("p_partkey", fuzzy.phrase_hit(["%red%plate%"], F.concat_ws(" ", "p_name", "p_type")).alias("hit"))
 
@@ -410,22 +502,24 @@ def reverse_lookup(t):
 # Scalar functions
 
 _OPENERS = ["what is", "how do", "why does", "tell me about", "compared to", "define"]
-_ASKED = "a AS (SELECT conv_id, turn, o || ' ' || left(text, 60) AS q FROM conversations, (SELECT unnest(['what is', 'how do', 'why does', 'tell me about', 'compared to', 'define']) AS o))"
+_ASKED = "a AS (SELECT conv_id, turn, o || ' ' || text AS q FROM conversations, (SELECT unnest(['what is', 'how do', 'why does', 'tell me about', 'compared to', 'define']) AS o))"
 
 
 def asked(t) -> DataFrame:
-    return t("conversations").select("conv_id", "turn", F.explode(F.array(*(F.lit(o) for o in _OPENERS))).alias("o"), "text").select("conv_id", "turn", F.concat("o", F.lit(" "), F.left("text", F.lit(60))).alias("q"))
+    return t("conversations").select("conv_id", "turn", F.explode(F.array(*(F.lit(o) for o in _OPENERS))).alias("o"), "text").select("conv_id", "turn", F.concat("o", F.lit(" "), "text").alias("q"))
+
+
+_COMPARED = r"(^|[^\pL\pN_])(vs|versus|compare (to|with|against)|compared (to|with|against)|better than|worse than|more effective|less effective|difference between|superior to)($|[^\pL\pN_])|(^|[^\pL\pN_])over([^\pL\pN_]).*([^\pL\pN_])or($|[^\pL\pN_])"
 
 
-@query(f"WITH {_ASKED} SELECT CASE WHEN starts_with(lower(q), 'compared to') THEN 'comparative' WHEN starts_with(lower(q), 'what is') OR starts_with(lower(q), 'define') THEN 'factual' ELSE 'exploratory' END AS query_type, count(*) AS n FROM a GROUP BY 1")
+@query(rf"""WITH {_ASKED} SELECT CASE WHEN regexp_matches(lower(q), '{_COMPARED}') THEN 'comparative' WHEN starts_with(lower(q), 'what is') OR starts_with(lower(q), 'define') THEN 'factual' ELSE 'exploratory' END AS query_type, count(*) AS n FROM a GROUP BY 1""")
 def classify(t):
     return asked(t).select(T.classify(F.col("q")).alias("c")).groupBy("c.query_type").agg(F.count("*").alias("n"))
 
 
-@query(rf"WITH {_ASKED} SELECT conv_id, turn, md5(trim(regexp_replace(q, '(?i)^\s*(what is|how do|why does|tell me about)\s+', ''), ' ?.!,')) AS h FROM a WHERE NOT (starts_with(q, 'define') OR starts_with(q, 'compared'))")
+@query(rf"WITH {_ASKED} SELECT conv_id, turn, o, md5(trim(regexp_replace(q, '(?i)^\s*(what is|how do|why does|tell me about)\s+', ''), ' ?.!,')) AS h FROM (SELECT conv_id, turn, q, substr(q, 1, 6) AS o FROM a)")
 def filler_strip(t):
-    rows = asked(t).where(~(F.startswith("q", F.lit("define")) | F.startswith("q", F.lit("compared"))))
-    return rows.select("conv_id", "turn", F.md5(T.strip_filler(F.col("q")).cast("binary")).alias("h"))
+    return asked(t).select("conv_id", "turn", F.substring("q", 1, 6).alias("o"), md5(T.strip_filler(F.col("q"))).alias("h"))
 
 
 @query("SELECT p_partkey, coalesce(nullif(trim(regexp_replace(lower(p_name || ' (' || p_brand || ')'), '[^a-z0-9]+', '-', 'g'), '-'), ''), 'node') AS slug FROM part")
@@ -469,11 +563,16 @@ def json_props(t):
     return t("events").select("event_id", F.get_json_object("props", "$.k").cast("long").alias("k"))
 
 
-@query("SELECT c_custkey, CASE WHEN regexp_full_match(CAST(c_custkey AS VARCHAR), '[0-9]{1,20}') THEN 1 ELSE 0 END AS pmid_ok, CASE WHEN c_custkey % 2 = 0 THEN 1 ELSE 0 END AS pmcid_ok FROM customer")
+_ORCID = "CASE c_custkey % 4 WHEN 0 THEN 'https://orcid.org/0000-0002-1825-009X' WHEN 1 THEN '0000-0001-5109-3700 0000-0002-1694-233X' WHEN 2 THEN '0000-0001' ELSE '' END"
+
+
+@query(f"""SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 THEN 1 ELSE 0 END AS pmid_ok, CASE WHEN c_custkey % 2 = 0 THEN 1 ELSE 0 END AS pmcid_ok,
+CASE c_custkey % 4 WHEN 0 THEN '0000-0002-1825-009X' WHEN 1 THEN '0000-0002-1694-233X' END AS orcid FROM customer""")
 def id_validators(t):
-    k = F.col("c_custkey").cast("string")
+    k, m = F.col("c_custkey").cast("string"), F.col("c_custkey") % 3
+    pmid = F.when(m == 0, k).when(m == 1, F.concat(F.lit("x"), k)).otherwise(F.repeat(F.lit("9"), F.lit(21)))
     pmcid = F.concat(F.when(F.col("c_custkey") % 2 == 0, "PMC").otherwise("pmc"), k)
-    return t("customer").select("c_custkey", T.valid_pmid(k).cast("int").alias("pmid_ok"), T.valid_pmcid(pmcid).cast("int").alias("pmcid_ok"))
+    return t("customer").select("c_custkey", T.valid_pmid(pmid).cast("int").alias("pmid_ok"), T.valid_pmcid(pmcid).cast("int").alias("pmcid_ok"), T.clean_orcid(F.expr(_ORCID)).alias("orcid"))
 
 
 # Answers
@@ -491,27 +590,40 @@ def extractive_answer(t):
 
 
 def _answers(t) -> DataFrame:
-    """One claim a turn citing passages 1, 2 and 9 of three."""
-    said = F.concat(F.left(F.replace(F.replace(F.replace("text", F.lit("."), F.lit("")), F.lit("!"), F.lit("")), F.lit("?"), F.lit("")), F.lit(80)), F.lit(" [1][2]. Then [9]."))
+    """Whole assistant turns, which cite passages 1, 2 and 9 of three at their end."""
+    said = F.concat("text", F.lit(" [1][2]. Then [9]."))
     return t("conversations").where("role = 'assistant'").select((F.col("conv_id") * 100 + F.col("turn")).alias("answer"), said.alias("response"))
 
 
-@query(r"""WITH a AS (SELECT conv_id * 100 + turn AS answer, left(regexp_replace(text, '[.!?]', '', 'g'), 80) AS claim FROM conversations WHERE role = 'assistant'),
-w AS (SELECT answer, list_distinct([lower(x) for x in regexp_extract_all(claim, '[\p{L}\p{M}\p{N}_]+') if regexp_full_match(x, '[a-zA-Z]{4,}')]) AS c FROM a),
-k AS (SELECT item_id + 1 AS n, list_distinct([lower(x) for x in regexp_extract_all(text, '[\p{L}\p{M}\p{N}_]+') if regexp_full_match(x, '[a-zA-Z]{4,}')]) AS ws FROM benchmark WHERE item_id < 2)
-SELECT answer, 0 AS place, n AS citation, 'weak' AS severity FROM w, k WHERE len(c) > 0 AND len(ws) > 0 AND len(list_intersect(c, ws)) / len(c) < 0.05
-UNION ALL SELECT answer, 1, 9, 'invalid' FROM a""")
+def _passages(t, answers: DataFrame) -> DataFrame:
+    """(answer, number, item_id, text): three benchmark items dealt to each answer by its number."""
+    place = F.row_number().over(Window.orderBy("item_id")) - 1  # the benchmark's items are few
+    items = t("benchmark").withColumn("k", place)
+    n = items.count()
+    asked = answers.select("answer", F.explode(F.sequence(F.lit(1).cast("long"), F.lit(3).cast("long"))).alias("number"))
+    return asked.withColumn("k", F.pmod(F.col("answer") * 3 + F.col("number"), F.lit(n))).join(F.broadcast(items), "k").select("answer", "number", "item_id", "text")
+
+
+_SAID = r"a AS (SELECT conv_id * 100 + turn AS answer, text || ' [1][2]. Then [9].' AS response FROM conversations WHERE role = 'assistant')"
+_WORD4 = r"list_distinct([lower(x) for x in regexp_extract_all({c}, '[\p{{L}}\p{{M}}\p{{N}}_]+') if regexp_full_match(x, '[a-zA-Z]{{4,}}')])"
+
+
+@query(rf"""WITH {_SAID}, s AS (SELECT answer, generate_subscripts(x, 1) - 1 AS place, unnest(x) AS sentence FROM (SELECT answer, string_split(regexp_replace(response, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)) AS x FROM a)),
+m AS (SELECT answer, place, sentence, unnest(list_distinct([CAST(y AS BIGINT) for y in regexp_extract_all(sentence, '\[(\d+)\]', 1)])) AS citation FROM s),
+w AS (SELECT answer, place, citation, {_WORD4.format(c="replace(sentence, '[' || citation || ']', '')")} AS c FROM m),
+i AS (SELECT row_number() OVER (ORDER BY item_id) - 1 AS k, count(*) OVER () AS n, {_WORD4.format(c="text")} AS ws FROM benchmark),
+j AS (SELECT w.*, ws FROM w LEFT JOIN i ON citation BETWEEN 1 AND 3 AND (w.answer * 3 + citation) % i.n = i.k)
+SELECT answer, place, citation, CASE WHEN citation NOT BETWEEN 1 AND 3 THEN 'invalid' ELSE 'weak' END AS severity FROM j
+WHERE citation NOT BETWEEN 1 AND 3 OR len(c) > 0 AND len(ws) > 0 AND len(list_intersect(c, ws)) / len(c) < 0.05""")
 def citation_verify(t):
     rows = _answers(t)
-    passages = t("benchmark").where("item_id < 2").select((F.col("item_id") + 1).alias("number"), "text").unionByName(t("benchmark").where("item_id = 2").select(F.lit(3).cast("long").alias("number"), F.lit("").alias("text")))
-    chunks = rows.select("answer").crossJoin(F.broadcast(passages))  # three passages for every answer
-    return answer.verify(rows, chunks, "answer", "response", "number", "text").select("answer", F.col("place").cast("long"), "citation", "severity")
+    return answer.verify(rows, _passages(t, rows), "answer", "response", "number", "text").select("answer", F.col("place").cast("long"), "citation", "severity")
 
 
-@query("SELECT conv_id * 100 + turn AS answer, md5(left(regexp_replace(text, '[.!?]', '', 'g'), 80) || ' [2][1]. Then [9].') AS h FROM conversations WHERE role = 'assistant'")
+@query("SELECT conv_id * 100 + turn AS answer, md5(text || ' [2][1]. Then [9].') AS h FROM conversations WHERE role = 'assistant'")
 def marker_rewrite(t):
     swap = F.create_map(F.lit(1), F.lit(2), F.lit(2), F.lit(1))
-    return _answers(t).select("answer", F.md5(answer.renumbered(F.col("response"), swap).cast("binary")).alias("h"))
+    return _answers(t).select("answer", md5(answer.renumbered(F.col("response"), swap)).alias("h"))
 
 
 @query("SELECT conv_id, turn, md5(coalesce(string_agg(text, chr(10)) OVER w, '')) AS h FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN 6 PRECEDING AND 1 PRECEDING)")
@@ -529,29 +641,65 @@ def history_clean(t):
 
 
 def _relations(t) -> DataFrame:
-    """Lines as triples: part name, return flag as predicate, brand; the order is the graph and cites its line."""
-    rows = t("lineitem").where("l_orderkey % 10 = 1").join(t("part"), F.col("l_partkey") == F.col("p_partkey"))
-    return rows.select(F.col("l_orderkey").alias("graph"), (F.col("l_linenumber") * 100000 + F.col("l_partkey")).alias("at"), F.initcap("p_name").alias("subject"), F.concat(F.lit("flows "), "l_returnflag", F.lit(" by the way")).alias("predicate"), F.col("p_brand").alias("object"), F.array(F.col("l_linenumber").cast("long")).alias("citations"))
+    """Lines as triples: part name, a predicate by return flag, brand; the order is the graph and cites its line."""
+    rows = t("lineitem").join(t("part"), F.col("l_partkey") == F.col("p_partkey"))
+    subject = F.when(F.col("l_linenumber") == 5, "Cells").otherwise(F.upper("p_name"))
+    predicate = F.when(F.col("l_returnflag") == "A", " Affects ").otherwise(F.concat(F.lit("Flows "), "l_returnflag", F.lit(" by the way")))
+    return rows.select(F.col("l_orderkey").alias("graph"), (F.col("l_linenumber") * 10000000 + F.col("l_partkey")).alias("at"), subject.alias("subject"), predicate.alias("predicate"), F.col("p_brand").alias("object"), F.array(F.col("l_linenumber").cast("long")).alias("citations"))
 
 
-_REL = "rel AS (SELECT l_orderkey AS graph, lower(p_name) AS s, lower(p_brand) AS o, 'flows ' || lower(l_returnflag) || ' by' AS pred, l_linenumber AS c FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_orderkey % 10 = 1)"
+_REL = "rel AS (SELECT l_orderkey AS graph, CASE WHEN l_linenumber = 5 THEN 'Cells' ELSE upper(p_name) END AS s, p_brand AS o, CASE WHEN l_returnflag = 'A' THEN 'affects' ELSE 'flows ' || lower(l_returnflag) || ' by' END AS pred, l_linenumber AS c FROM lineitem JOIN part ON l_partkey = p_partkey)"
+_LAB = "lab AS (SELECT DISTINCT graph, x AS label, lower(x) AS label_lc FROM (SELECT graph, s AS x FROM rel UNION ALL SELECT graph, o FROM rel) WHERE x <> 'Cells' AND NOT (starts_with(x, 'Brand') AND x LIKE '%4'))"
 _SLUG = "trim(regexp_replace({c}, '[^a-z0-9]+', '-', 'g'), '-')"
+_KG_EDGES = f"ed AS (SELECT rel.graph, {_SLUG.format(c='lower(s)')} AS source, pred AS predicate, {_SLUG.format(c='lower(o)')} AS target, c FROM rel JOIN lab a ON a.graph = rel.graph AND a.label = s JOIN lab b ON b.graph = rel.graph AND b.label = o WHERE pred <> 'affects')"
 
 
 def _nodes(t) -> DataFrame:
+    """The answer's text leaves out the brands that end in 4: relations about them are not grounded."""
     rel = _relations(t)
-    answers = rel.groupBy("graph").agg(F.concat_ws(" ", F.array_sort(F.collect_set("subject")), F.array_sort(F.collect_set("object"))).alias("answer"))
-    return kgraph.nodes(rel, answers, "graph", "at")
+    said = F.filter(F.array_distinct(F.flatten(F.collect_list(F.array("subject", "object")))), lambda x: ~(F.startswith(x, F.lit("Brand")) & F.endswith(x, F.lit("4"))))
+    answers = rel.groupBy("graph").agg(F.array_join(F.array_sort(said), " ").alias("answer"))
+    types = rel.where("subject LIKE 'RED%'").select("graph", F.lower("subject").alias("label_lc"), F.lit("DRUG").alias("type")).distinct()
+    return kgraph.nodes(rel, answers, "graph", "at", types)
 
 
-@query(f"WITH {_REL} SELECT DISTINCT graph, {_SLUG.format(c='x')} AS id, x AS label_lc FROM (SELECT graph, s AS x FROM rel UNION ALL SELECT graph, o FROM rel)")
+@query(f"WITH {_REL}, {_LAB} SELECT graph, {_SLUG.format(c='label_lc')} AS id, label, label_lc, CASE WHEN starts_with(label_lc, 'red') THEN 'DRUG' ELSE 'OTHER' END AS type FROM lab")
 def kg_nodes(t):
-    return _nodes(t).select("graph", "id", "label_lc").distinct()
+    return _nodes(t)
 
 
-@query(f"WITH {_REL} SELECT graph, {_SLUG.format(c='s')} AS source, pred AS predicate, {_SLUG.format(c='o')} AS target, count(DISTINCT c) AS n FROM rel GROUP BY ALL")
+@query(f"WITH {_REL}, {_LAB}, {_KG_EDGES} SELECT graph, source, predicate, target, string_agg(DISTINCT CAST(c AS VARCHAR), ',' ORDER BY CAST(c AS VARCHAR)) AS citations FROM ed GROUP BY ALL")
 def kg_edges(t):
-    return kgraph.edges(_relations(t), _nodes(t), "graph", "at").select("graph", "source", "predicate", "target", F.size("citations").cast("long").alias("n"))
+    return kgraph.edges(_relations(t), _nodes(t), "graph", "at").select("graph", "source", "predicate", "target", joined("citations").alias("citations"))
+
+
+@query(f"""WITH {_REL}, {_LAB}, {_KG_EDGES}, tc AS (SELECT graph, source AS id, c FROM ed UNION SELECT graph, target, c FROM ed)
+SELECT tc.graph, id, label, CASE WHEN starts_with(label_lc, 'red') THEN 'DRUG' ELSE 'OTHER' END AS type, string_agg(CAST(c AS VARCHAR), ',' ORDER BY c) AS citations FROM tc JOIN lab ON lab.graph = tc.graph AND {_SLUG.format(c='label_lc')} = id GROUP BY ALL""")
+def kg_assembly(t):
+    """Nodes that an edge touches, with the citations of their edges."""
+    nodes = _nodes(t)
+    found = kgraph.connected(nodes, kgraph.edges(_relations(t), nodes, "graph", "at"), "graph")
+    return found.select("graph", "id", "label", "type", joined("citations").alias("citations"))
+
+
+@query(f"""WITH {_REL}, {_LAB}, {_KG_EDGES}, n AS (SELECT graph, count(*) AS n FROM ed GROUP BY graph), g AS (SELECT graph, count(*) AS lines FROM rel GROUP BY graph)
+SELECT graph, CASE WHEN n > 0 THEN NULL WHEN lines >= 6 THEN 'truncated input' ELSE 'no relations' END AS diagnosis FROM g LEFT JOIN n USING (graph)""")
+def kg_diagnosis(t):
+    """Orders of six lines or more have an answer over the cap."""
+    n = kgraph.edges(_relations(t), _nodes(t), "graph", "at").groupBy("graph").agg(F.count("*").alias("n"))
+    long = F.when(F.count("*") >= 6, F.repeat(F.lit("x"), F.lit(kgraph.ANSWER_CAP + 1))).otherwise("x")
+    return _relations(t).groupBy("graph").agg(long.alias("answer")).join(n, "graph", "left").select("graph", kgraph.diagnosis(F.col("answer"), F.coalesce("n", F.lit(0))).alias("diagnosis"))
+
+
+@query(f"WITH {_REL}, {_LAB}, {_KG_EDGES} SELECT graph, source, predicate, target FROM ed WHERE source LIKE '%red%' AND target LIKE '%brand-2%' GROUP BY ALL")
+def kg_search(t):
+    """Edges whose ends both match, the label being searched for ``red`` or ``brand#2``."""
+    nodes = _nodes(t)
+    found = kgraph.edges(_relations(t), nodes, "graph", "at")
+    key = lambda df, c: df.withColumn(c, F.concat_ws("|", "graph", c))
+    hits = key(nodes, "id").where(F.contains("label_lc", F.lit("red")) | F.contains("label_lc", F.lit("brand#2")))
+    kept = kgraph.induced(key(key(found, "source"), "target"), hits, "")
+    return kept.select("graph", F.substring_index("source", "|", -1).alias("source"), "predicate", F.substring_index("target", "|", -1).alias("target"))
 
 
 _HALF = "SELECT p_name AS id, p_name || repeat('x', CAST(min(p_size) AS INTEGER)) AS label, CASE WHEN min(p_size) < 5 THEN 'OTHER' ELSE 'GENE' END AS type, list(DISTINCT p_size) AS c FROM part WHERE p_partkey % 2 = {k} GROUP BY p_name"
@@ -568,42 +716,67 @@ def kg_merge(t):
 
 
 _CANON = "regexp_replace({c}, '[0-9]$', 'x')"
+_EDGE_HALF = "SELECT p_name AS source, lower(p_type) AS predicate, p_brand AS target, list(DISTINCT p_size) AS c FROM part WHERE p_partkey % 2 = {k} AND p_brand <> 'Brand#11' GROUP BY ALL"
+
+
+@query(f"""WITH a AS ({_EDGE_HALF.format(k=0)}), b AS ({_EDGE_HALF.format(k=1)}), u AS (SELECT * FROM a UNION ALL SELECT * FROM b)
+SELECT source, predicate, target, array_to_string(list_sort(list_distinct(flatten(list(c)))), ',') AS citations FROM u GROUP BY source, predicate, target""")
+def kg_merge_edges(t):
+    """Equal edges unite their citations; an edge with an end that the session does not know is dropped."""
+    def half(k: int) -> DataFrame:
+        return t("part").where(f"p_partkey % 2 = {k}").groupBy(F.col("p_name").alias("source"), F.lower("p_type").alias("predicate"), F.col("p_brand").alias("target")).agg(F.collect_set("p_size").alias("citations"))
 
+    known = t("part").select(F.col("p_name").alias("id")).union(t("part").where("p_brand <> 'Brand#11'").select("p_brand")).distinct()
+    return kgraph.merge_edges(half(0), half(1), known).select("source", "predicate", "target", joined("citations").alias("citations"))
 
-@query(f"WITH {_REL}, e AS (SELECT DISTINCT s AS source, pred AS predicate, {_CANON.format(c='o')} AS target, c FROM rel) SELECT source, predicate, target, count(DISTINCT c) AS n FROM e GROUP BY ALL")
+
+@query(f"WITH {_REL}, e AS (SELECT DISTINCT lower(s) AS source, pred AS predicate, {_CANON.format(c='lower(o)')} AS target, c FROM rel) SELECT source, predicate, target, string_agg(CAST(c AS VARCHAR), ',' ORDER BY c) AS citations FROM e GROUP BY ALL")
 def kg_apply_groups(t):
-    rel = _relations(t).select(F.lower("subject").alias("source"), F.array_join(F.slice(F.split(F.lower("predicate"), " "), 1, 3), " ").alias("predicate"), F.lower("object").alias("target"), "citations")
+    predicate = F.array_join(F.slice(F.split(F.lower(F.trim("predicate")), " "), 1, 3), " ")
+    rel = _relations(t).select(F.lower("subject").alias("source"), predicate.alias("predicate"), F.lower("object").alias("target"), "citations")
     brands = t("part").select(F.lower("p_brand").alias("label")).distinct().withColumn("canonical", F.regexp_replace("label", "[0-9]$", "x"))
-    return kgraph.redirect(rel, brands).select("source", "predicate", "target", F.size("citations").cast("long").alias("n"))
+    return kgraph.redirect(rel, brands).select("source", "predicate", "target", joined("citations").alias("citations"))
 
 
-@query("SELECT p_brand AS grp, min(p_name) AS canonical, count(DISTINCT p_name) AS n FROM part WHERE p_size < 3 GROUP BY p_brand HAVING count(DISTINCT p_name) >= 2")
+@query("SELECT p_brand AS grp, min(p_name) AS canonical, string_agg(DISTINCT p_name, ',' ORDER BY p_name) AS members FROM part WHERE starts_with(p_name, 'red') OR starts_with(p_name, 'blue') GROUP BY p_brand HAVING count(DISTINCT p_name) >= 2")
 def kg_groups(t):
-    rows = t("part").where("p_size < 3").select(F.col("p_brand").alias("grp"), F.upper("p_name").alias("member"), F.col("p_name").alias("order_key"))
-    low = rows.groupBy("grp").agg(F.upper(F.min("order_key")).alias("canonical"))
-    found = kgraph.valid_groups(rows.join(low, "grp"), t("part").select(F.col("p_name").alias("label")), "grp", "order_key", "member", "canonical")
-    return found.select("grp", "canonical", F.size("members").cast("long").alias("n"))
+    """Proposed groups hold all names of a brand; only red and blue ones are labels of the graph."""
+    rows = t("part").select(F.col("p_brand").alias("grp"), F.upper("p_name").alias("member"), F.col("p_name").alias("order_key"))
+    known = t("part").where("p_name LIKE 'red%' OR p_name LIKE 'blue%'")
+    low = known.groupBy(F.col("p_brand").alias("grp")).agg(F.upper(F.min("p_name")).alias("canonical"))
+    found = kgraph.valid_groups(rows.join(low, "grp"), known.select(F.col("p_name").alias("label")), "grp", "order_key", "member", "canonical")
+    return found.select("grp", "canonical", joined(F.sort_array("members")).alias("members"))
 
 
-@query("SELECT part.p_partkey, CAST(3 AS BIGINT) AS n, p_partkey % 2 = 1 AS truncated FROM part")
+@query("""SELECT p_partkey, CAST(3 AS BIGINT) AS n, p_partkey % 2 = 1 AS truncated, repeat('a {' || p_name || '|b"}|c|1,2;', 3) AS relations FROM part""")
 def json_salvage(t):
     one = F.concat(F.lit('{"subject": "a {'), F.col("p_name"), F.lit('", "predicate": "b\\"}", "object": "c", "citations": [1, 2]}'))
     whole = F.concat(F.lit('Sure:\n```json\n{"relations": ['), F.array_join(F.array_repeat(one, 3), ", "))
     raw = F.concat(whole, F.when(F.col("p_partkey") % 2 == 1, ', {"subject": "cut of').otherwise("]}\n```"))
-    return t("part").select("p_partkey", kgraph.salvage(raw).alias("s")).select("p_partkey", F.size("s.relations").cast("long").alias("n"), "s.truncated")
+    flat = F.array_join(F.transform("s.relations", lambda r: F.concat_ws("|", r["subject"], r["predicate"], r["object"], F.concat(joined(r["citations"]), F.lit(";")))), "")
+    return t("part").select("p_partkey", kgraph.salvage(raw).alias("s")).select("p_partkey", F.size("s.relations").cast("long").alias("n"), "s.truncated", flat.alias("relations"))
+
 
+_LABEL = "p_name || ' ' || p_type || ' ' || p_brand"
 
-@query(f"WITH n AS (SELECT DISTINCT p_name, {TOK.format(c='p_name')} AS w FROM part) SELECT x.p_name AS a, y.p_name AS b FROM n x JOIN n y ON x.p_name < y.p_name WHERE len(list_intersect(x.w, y.w)) / len(list_distinct(list_concat(x.w, y.w))) >= 0.3")
+
+@query(f"WITH n AS (SELECT DISTINCT {_LABEL} AS label FROM part), w AS (SELECT label, list_distinct({TOK.format(c='label')}) AS w FROM n) SELECT x.label AS a, y.label AS b FROM w x JOIN w y ON x.label < y.label WHERE len(list_intersect(x.w, y.w)) / len(list_distinct(list_concat(x.w, y.w))) >= 0.7")
 def jaccard_dups(t):
-    names = t("part").select("p_name").distinct().withColumn("w", lexical.tokens(F.col("p_name")))
-    words = names.select("p_name", "w", F.explode("w").alias("k"))
-    both = words.toDF("a", "wa", "k").join(words.toDF("b", "wb", "k"), "k").where("a < b").select("a", "b", "wa", "wb").distinct()
-    return both.where(F.size(F.array_intersect("wa", "wb")) / F.size(F.array_union("wa", "wb")) >= 0.3).select("a", "b")
+    labels = t("part").select(F.concat_ws(" ", "p_name", "p_type", "p_brand").alias("label")).distinct()
+    return fuzzy.similar_pairs(labels, "label", lexical.tokens(F.col("label")), 0.7).select("a", "b")
+
 
+_TITLES = ", ".join(f"('{k}', '{v}')" for k, v in T.SECTIONS.items())
+_BARE = r"trim(regexp_replace(regexp_replace({c}, '<[^>]*>', ' ', 'g'), '\s+', ' ', 'g'))"
 
-@query(r"SELECT page_id, len(regexp_extract_all(html, '(?is)<h[1-6][^>]*>.*?</h[1-6]>')) AS n FROM pages")
+
+@query(rf"""WITH p AS (SELECT page_id, regexp_extract_all(html, '(?is)<h[1-6][^>]*>.*?</h[1-6]>') AS h, regexp_split_to_array(html, '(?is)<h[1-6][^>]*>.*?</h[1-6]>') AS x FROM pages),
+s AS (SELECT page_id, i, h[i] AS head, x[i + 1] AS body FROM (SELECT *, unnest(range(1, len(h) + 1)) AS i FROM p)), k(title, kind) AS (VALUES {_TITLES})
+SELECT page_id, CAST(i - 1 AS BIGINT) AS place, CAST(regexp_extract(head, '(?i)<h([1-6])', 1) AS BIGINT) AS level, {_BARE.format(c='head')} AS title, coalesce(kind, 'other') AS section_type, md5({_BARE.format(c='body')}) AS h
+FROM s LEFT JOIN k ON k.title = rtrim(lower({_BARE.format(c='head')}), '.')""")
 def heading_sections(t):
-    return t("pages").select("page_id", F.size(records.html_headings(F.col("html"))).cast("long").alias("n"))
+    found = t("pages").select("page_id", F.posexplode(records.html_sections(F.col("html"))).alias("place", "s"))
+    return found.select("page_id", F.col("place").cast("long"), F.col("s.level").cast("long").alias("level"), "s.title", "s.section_type", md5("s.text").alias("h"))
 
 
 # Queue, cache and table state
@@ -727,7 +900,12 @@ def session_gap(t):
     return state.sessions(t("events"), "user_id", "ts", "6 hours")
 
 
-@query()
+_IN = "(SELECT sum(n) FROM d WHERE day BETWEEN a AND b)"
+
+
+@query(f"""WITH RECURSIVE d AS (SELECT CAST(ts AS DATE) AS day, count(*) AS n FROM events GROUP BY 1), r(a, b) AS (SELECT min(day), max(day) FROM d UNION ALL
+SELECT CASE WHEN h = 0 THEN a ELSE m + 1 END, CASE WHEN h = 0 THEN m ELSE b END FROM (SELECT a, b, a + CAST((b - a) // 2 AS INTEGER) AS m FROM r WHERE a < b AND {_IN} > 300), (SELECT unnest([0, 1]) AS h))
+SELECT a AS date_from, b AS date_to, CAST(least(n, 300) AS BIGINT) AS n, n > 300 AS truncated FROM (SELECT a, b, {_IN} AS n FROM r) WHERE n > 0 AND (n <= 300 OR a = b)""")
 def date_windows(t):
     daily = t("events").groupBy(F.to_date("ts").alias("day")).agg(F.count("*").alias("n"))
-    return t("region").sparkSession.createDataFrame(tables.split_windows(daily, 1000), "date_from date, date_to date, n long")
+    return t.spark.createDataFrame(tables.split_windows(daily, 300), "date_from date, date_to date, n long, truncated boolean")

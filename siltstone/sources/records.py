@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from siltstone.functions.text import SECTIONS
+from siltstone.functions.text import SECTIONS, section_type
 from siltstone.sources.tables import first_element, first_text
 
 ARTICLE = (
@@ -124,11 +124,19 @@ def sections(docs: DataFrame, id_col: str, xml: str) -> DataFrame:
     return docs.select(id_col, xml).mapInPandas(run, f"{id_col} {kind}, {SECTION}")
 
 
-def html_headings(html: Column) -> Column:
-    """array<struct<level, title>> of h1 to h6, tags inside them removed."""
-    level = F.regexp_extract_all(html, F.lit(r"(?is)<h([1-6])[^>]*>(.*?)</h\1>"), F.lit(1))
-    title = F.regexp_extract_all(html, F.lit(r"(?is)<h([1-6])[^>]*>(.*?)</h\1>"), F.lit(2))
-    return F.zip_with(level, title, lambda n, t: F.struct(n.cast("int").alias("level"), F.btrim(F.regexp_replace(t, "<[^>]*>", "")).alias("title")))
+_HEADING = r"(?is)<h[1-6][^>]*>.*?</h[1-6]>"
+
+
+def _bare(html: Column) -> Column:
+    return F.btrim(F.regexp_replace(F.regexp_replace(html, "<[^>]*>", " "), r"\s+", " "))
+
+
+def html_sections(html: Column) -> Column:
+    """array<struct<level, title, section_type, text>>: each heading h1 to h6 with the text up to the next, without tags."""
+    heads, bodies = F.regexp_extract_all(html, F.lit(_HEADING), F.lit(0)), F.split(html, _HEADING)
+    level = lambda h: F.regexp_extract(h, "(?i)<h([1-6])", 1).cast("int")
+    one = lambda h, i: F.struct(level(h).alias("level"), _bare(h).alias("title"), section_type(_bare(h)).alias("section_type"), _bare(bodies[i + 1]).alias("text"))
+    return F.transform(heads, one)
 
 
 def drug_labels(raw: DataFrame) -> DataFrame:

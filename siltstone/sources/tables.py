@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import bisect
 import datetime as dt
+import itertools
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,28 +20,24 @@ def pending(work: DataFrame, done: DataFrame, key: str | list[str]) -> DataFrame
     return work.join(done.select(*([key] if isinstance(key, str) else key)), key, "left_anti")
 
 
-def split_windows(daily: DataFrame, cap: int) -> list[tuple[dt.date, dt.date, int]]:
-    """Halve a date range until each window has at most ``cap`` rows; a single day over the cap stays whole.
+def split_windows(daily: DataFrame, cap: int) -> list[tuple[dt.date, dt.date, int, bool]]:
+    """(from, to, rows, truncated): a date range halved until each window has at most ``cap`` rows; empty windows go.
 
-    ``daily`` is (day date, n long).  Counts come from prefix sums of days, so each split is arithmetic on a list with
-    an entry a day, a size that the calendar bounds.
+    A single day over the cap cannot be halved: of it ``cap`` rows can be had, and the window is marked.  ``daily`` is (day
+    date, n long).  Counts of windows are differences of running sums over a list with an entry a day, a size that the
+    calendar bounds.
     """
     rows = sorted((r["day"], r["n"]) for r in daily.groupBy("day").agg(F.sum("n").alias("n")).collect())
-    out: list[tuple[dt.date, dt.date, int]] = []
-
-    def go(a: dt.date, b: dt.date) -> None:
-        n = sum(k for d, k in rows if a <= d <= b)
-        if n == 0:
-            return
-        if n <= cap or a == b:
-            out.append((a, b, n))
-            return
-        middle = a + (b - a) // 2
-        go(a, middle)
-        go(middle + dt.timedelta(days=1), b)
-
-    if rows:
-        go(rows[0][0], rows[-1][0])
+    days, sums = [d for d, _ in rows], [0, *itertools.accumulate(n for _, n in rows)]
+    out, waiting = [], [(days[0], days[-1])] if rows else []
+    while waiting:
+        a, b = waiting.pop()
+        n = sums[bisect.bisect_right(days, b)] - sums[bisect.bisect_left(days, a)]
+        if n > cap and a < b:
+            middle = a + (b - a) // 2
+            waiting += [(middle + dt.timedelta(days=1), b), (a, middle)]
+        elif n:
+            out.append((a, b, min(n, cap), n > cap))
     return out
 
 

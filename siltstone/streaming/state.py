@@ -1,7 +1,8 @@
 """Queue, cache and slot state: batch replay over event tables, and the same rules as Structured Streaming.
 
 Rules in which a refused event leaves no trace (a slot that was not granted, a hit that does not renew a time to live)
-are folds, not windows.  They run per key in Arrow groups; keys are independent, and the state of a key is a few numbers.
+are folds, not windows.  Rows are sorted by key inside partitions and folded batch by batch; what a fold carries from one
+batch to the next is the state of one key, a few numbers, so no key's history is ever held.
 """
 
 from __future__ import annotations
@@ -33,37 +34,53 @@ def claim(states: DataFrame, key: str, queued: str = "queued", n: int = 200) ->
     return states.where(F.col("status") == queued).orderBy("ts", key).limit(n)
 
 
-def cache_replay(events: DataFrame, key: str, second: str, order: str, ttl: float = CACHE_SECONDS) -> DataFrame:
-    """(key, order, hit): a hit within ``ttl`` of the key's last miss, its end excluded; a hit does not renew it."""
+def _folded(rows: DataFrame, key: str, order: list[str], step, begin, out: list[tuple[str, str]], keep: list[str]) -> DataFrame:
+    """``keep`` and ``out`` of every row: ``step(state, row) -> (state, values)`` runs over each key's rows in order."""
+    kinds = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
+    schema = ", ".join([f"`{c}` {kinds[c]}" for c in keep] + [f"`{c}` {kind}" for c, kind in out])
 
-    def fold(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values([second, order])
-        filled, hits = None, []
-        for now in rows[second]:
-            hit = filled is not None and now < filled + ttl
-            filled = filled if hit else now
-            hits.append(hit)
-        return pd.DataFrame({key: rows[key], order: rows[order], "hit": hits})
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        last, state = None, begin
+        for frame in frames:
+            found: list[tuple] = []
+            for k, row in zip(frame[key].tolist(), frame.itertuples(index=False), strict=True):
+                if last is None or k != last[0]:
+                    last, state = (k,), begin
+                state, values = step(state, row)
+                found.append(values)
+            got = pd.DataFrame(found, columns=[c for c, _ in out], index=frame.index)
+            yield pd.concat([frame[keep], got], axis=1)
+
+    return rows.repartition(key).sortWithinPartitions(key, *order).mapInPandas(run, schema)
+
+
+def cache_replay(events: DataFrame, key: str, second: str, order: str, ttl: float = CACHE_SECONDS, action: str | None = None) -> DataFrame:
+    """(key, order, hit): a hit within ``ttl`` of the key's last fill, its end excluded; a hit does not renew it.
 
-    kinds = {f.name: f.dataType.simpleString() for f in events.schema.fields}
-    return events.select(key, second, order).groupBy(key).applyInPandas(fold, f"{key} {kinds[key]}, {order} {kinds[order]}, hit boolean")
+    With ``action`` a row may be ``missing`` (a lookup that finds nothing: never cached, and what was cached goes if it is
+    over) or ``invalidate`` (what is cached goes; never a hit); others are lookups that find the key.
+    """
+
+    def step(until: float | None, row) -> tuple[float | None, tuple[bool]]:
+        now, what = row[1], row[3]
+        hit = what != "invalidate" and until is not None and now < until
+        if what == "invalidate":
+            return None, (False,)
+        return (until if hit else None if what == "missing" else now + ttl), (hit,)
+
+    rows = events.select(key, second, order, F.coalesce(F.col(action), F.lit("")).alias("_action") if action else F.lit("").alias("_action"))
+    return _folded(rows, key, [second, order], step, None, [("hit", "boolean")], [key, order])
 
 
 def slot_replay(events: DataFrame, key: str, action: str, order: str, slots: int = SLOTS) -> DataFrame:
     """(key, order, granted, held): ``acquire`` is refused while ``slots`` are held; other actions release one."""
 
-    def fold(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(order)
-        held, granted, after = 0, [], []
-        for what in rows[action]:
-            ok = held < slots if what == "acquire" else held > 0
-            held += (1 if what == "acquire" else -1) if ok else 0
-            granted.append(ok)
-            after.append(held)
-        return pd.DataFrame({key: rows[key], order: rows[order], "granted": granted, "held": after})
+    def step(held: int, row) -> tuple[int, tuple[bool, int]]:
+        ok = held < slots if row[1] == "acquire" else held > 0
+        held += (1 if row[1] == "acquire" else -1) if ok else 0
+        return held, (ok, held)
 
-    kinds = {f.name: f.dataType.simpleString() for f in events.schema.fields}
-    return events.select(key, action, order).groupBy(key).applyInPandas(fold, f"{key} {kinds[key]}, {order} {kinds[order]}, granted boolean, held int")
+    return _folded(events.select(key, action, order), key, [order], step, 0, [("granted", "boolean"), ("held", "int")], [key, order])
 
 
 def gaps(events: DataFrame, key: str, ts: str, order: str, least_seconds: float) -> DataFrame:
@@ -84,10 +101,16 @@ def last_token(results: DataFrame, key: str, token: str, value: str) -> DataFram
     return results.groupBy(key).agg(F.max_by(value, token).alias(value))
 
 
-def slot_stream(events: DataFrame, key: str, action: str, slots: int = SLOTS) -> DataFrame:
-    """(key, action, granted, held) of a stream, by arbitrary state for each key; rows are taken in arrival order."""
+def slot_stream(events: DataFrame, key: str, action: str, slots: int = SLOTS, idle_ms: int = 86_400_000) -> DataFrame:
+    """(key, action, granted, held) of a stream, by arbitrary state for each key; rows are taken in arrival order.
+
+    The state of a key without events for ``idle_ms`` of processing time is dropped: its holders count as gone.
+    """
 
     def step(k: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         held = state.get[0] if state.exists else 0
         for frame in frames:
             granted, after = [], []
@@ -98,13 +121,14 @@ def slot_stream(events: DataFrame, key: str, action: str, slots: int = SLOTS) ->
                 after.append(held)
             yield pd.DataFrame({key: frame[key], action: frame[action], "granted": granted, "held": after})
         state.update((held,))
+        state.setTimeoutDuration(idle_ms)
 
     kind = events.schema[key].dataType.simpleString()
-    return events.groupBy(key).applyInPandasWithState(step, f"{key} {kind}, {action} string, granted boolean, held int", "held int", "append", GroupStateTimeout.NoTimeout)
+    return events.groupBy(key).applyInPandasWithState(step, f"{key} {kind}, {action} string, granted boolean, held int", "held int", "append", GroupStateTimeout.ProcessingTimeTimeout)
 
 
 def windowed_counts(events: DataFrame, ts: str, kind: str, width: str, slide: str | None = None, late: str | None = None) -> DataFrame:
-    """(window_start, kind, n, total): tumbling or sliding counts; with ``late`` a watermark lets a stream end its windows."""
+    """(window_start, kind, n): tumbling or sliding counts; with ``late`` a watermark lets a stream end its windows."""
     rows = events.withWatermark(ts, late) if late else events
     return rows.groupBy(F.window(ts, width, slide) if slide else F.window(ts, width), kind).agg(F.count("*").alias("n")).select(F.col("window.start").alias("window_start"), kind, "n")
 
