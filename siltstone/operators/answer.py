@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from siltstone.functions.text import markers, sentences, word_set
+from siltstone.functions.text import markers, provider_spec, sentences, word_set
 
 LEAST_CHARS, SENTENCES_EACH, TOP_CHUNKS, WEAK = 30, 2, 5, 0.05
 
@@ -39,7 +42,7 @@ def renumbered(text: Column, old_to_new: Column) -> Column:
 def citation_order(cited: DataFrame, answer: str, chunk: str, position: str) -> DataFrame:
     """(answer, chunk, number): first occurrences numbered from 1 in the order of ``position``."""
     first = cited.groupBy(answer, chunk).agg(F.min(position).alias("at"))
-    return first.withColumn("number", F.row_number().over(Window.partitionBy(answer).orderBy("at"))).drop("at")
+    return first.withColumn("number", F.row_number().over(Window.partitionBy(answer).orderBy("at", chunk))).drop("at")
 
 
 def verify(answers: DataFrame, chunks: DataFrame, answer: str, response: str, number: str, text: str, threshold: float = WEAK) -> DataFrame:
@@ -72,3 +75,84 @@ def context_block(chunks: DataFrame, query: str, number: str, source: Column, te
     line = F.concat(F.lit("["), F.col(number).cast("string"), F.lit("] Source: "), source, F.lit("\n"), F.col(text))
     listed = F.sort_array(F.collect_list(F.struct(F.col(number).alias("i"), line.alias("line"))))
     return chunks.groupBy(query).agg(F.array_join(F.transform(listed, lambda x: x["line"]), "\n\n").alias("context"))
+
+
+# Intents of a question.
+INTENTS = ("about_specific_drug", "find_drugs_by_effect", "general")
+
+
+def links(pmid: Column, pmcid: Column) -> Column:
+    """struct<pubmed_url, pmc_url> of a record's ids."""
+    return F.struct(
+        F.concat(F.lit("https://pubmed.ncbi.nlm.nih.gov/"), pmid, F.lit("/")).alias("pubmed_url"),
+        F.when(F.coalesce(pmcid, F.lit("")) != "", F.concat(F.lit("https://www.ncbi.nlm.nih.gov/pmc/articles/"), pmcid, F.lit("/"))).alias("pmc_url"),
+    )
+
+
+def assembled(answers: DataFrame, chunks: DataFrame, answer: str, response: str, cited: str, number: str, chunk: str) -> DataFrame:
+    """(answer, response, citations): citations numbered from 1 in the order in which ``cited`` (chunk ids) first names them.
+
+    ``chunks`` is (answer, number, chunk), number being the N of ``[N]`` in the text.  Markers are rewritten to the new
+    numbers; markers of chunks that are not cited, or of none, stay.  Nothing cited means all chunks, as numbered.
+    citations is array<struct<number, chunk>>.
+    """
+    named = answers.where(F.size(F.coalesce(cited, F.array())) > 0).select(answer, F.posexplode(cited).alias("at", "chunk_id"))
+    known = chunks.select(answer, F.col(chunk).alias("chunk_id"), F.col(number).cast("int").alias("old"))
+    explicit = citation_order(named.join(known.select(answer, "chunk_id").distinct(), [answer, "chunk_id"], "left_semi"), answer, "chunk_id", "at")
+    none = answers.where(F.size(F.coalesce(cited, F.array())) == 0).select(answer)
+    every = explicit.unionByName(known.join(none, answer, "left_semi").select(answer, "chunk_id", F.col("old").alias("number")))
+    numbered = every.groupBy(answer).agg(F.sort_array(F.collect_list(F.struct("number", "chunk_id"))).alias("citations"))
+    moves = every.join(known, [answer, "chunk_id"]).groupBy(answer).agg(F.map_from_entries(F.collect_list(F.struct("old", F.col("number").cast("int")))).alias("moves"))
+    joined = answers.join(numbered, answer, "left").join(moves, answer, "left")
+    moved = F.when(F.col("moves").isNull(), F.col(response)).otherwise(renumbered(F.col(response), F.col("moves")))
+    return joined.select(answer, moved.alias("response"), F.coalesce("citations", F.array().cast("array<struct<number:int,chunk_id:bigint>>")).alias("citations"))
+
+
+def intent(raw: Column) -> Column:
+    """struct<intent, drug_names, indication_terms> of a model's text; whatever cannot be read is the general intent.
+
+    The JSON object may stand in other text; an unknown intent is general, names are trimmed and lower-cased, terms trimmed,
+    and parts that are no strings are left out.
+    """
+    whole = F.regexp_extract(raw, r"(?s)\{.*\}", 0)
+    given = F.get_json_object(whole, "$.intent")
+    strings = lambda path: F.filter(F.coalesce(F.from_json(F.get_json_object(whole, path), "array<string>"), F.array().cast("array<string>")), lambda x: x.isNotNull())
+    trimmed = lambda path: F.transform(strings(path), lambda x: F.btrim(x))
+    known = F.coalesce(given.isin(*INTENTS), F.lit(False))
+    return F.struct(
+        F.when(known, given).otherwise("general").alias("intent"),
+        F.transform(trimmed("$.drug_names"), lambda x: F.lower(x)).alias("drug_names"),
+        trimmed("$.indication_terms").alias("indication_terms"),
+    )
+
+
+def asked_model(rows: DataFrame, text: str, build: Callable[[], Callable[[str], str]], out: str = "raw") -> DataFrame:
+    """``rows`` with the answer of an injected model to each text; a call that fails gives null, so that a default follows."""
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields), f"`{out}` string"])
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        model = build()
+
+        def safe(t: str) -> str | None:
+            try:
+                return model(t)
+            except Exception:  # noqa: BLE001 - any failure of a remote model means the default
+                return None
+
+        for frame in frames:
+            yield frame.assign(**{out: [safe(t) for t in frame[text]]})
+
+    return rows.mapInPandas(run, schema)
+
+
+def synthesised(rows: DataFrame, spec: Column, prompt: str, providers: dict[str, Callable[[], Callable[[str], str]]], out: str = "response") -> DataFrame:
+    """``rows`` with the answer of the provider that each row's spec names; an unknown provider gives null.
+
+    ``providers`` are builders of injected models by name; each sees only its own rows.
+    """
+    marked, every = rows.withColumn("_provider", provider_spec(spec)["provider"]), None
+    for name, build in providers.items():
+        part = asked_model(marked.where(F.col("_provider") == name).drop("_provider"), prompt, build, out)
+        every = part if every is None else every.unionByName(part)
+    rest = marked.where(~F.col("_provider").isin(*providers)).drop("_provider").withColumn(out, F.lit(None).cast("string"))
+    return rest if every is None else every.unionByName(rest)

@@ -9,9 +9,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from siltstone.functions.text import slug
+from siltstone.operators.answer import synthesised
+from siltstone.operators.fuzzy import similar_pairs
 
 ANSWER_CAP = 5000
-# Labels and predicates that say nothing, and the node types.
+# Types of nodes.
+TYPES = ("DRUG", "DISEASE", "GENE", "ANATOMY", "SYMPTOM", "OTHER")
+# Labels and predicates that say nothing.
 VAGUE_LABELS = [
     "protein", "proteins", "rna", "dna", "cell", "cells", "gene", "genes", "tissue", "tissues", "molecular", "cellular", "modification", "molecule", "molecules", "process", "pathway", "system", "physical", "chronic", "acute", "mechanical", "growth", "wasting",
 ]
@@ -66,6 +70,53 @@ def salvage(raw: Column) -> Column:
     return read(raw)
 
 
+def node_types(raw: Column) -> Column:
+    """map<label_lc, type> of a model's text: labels trimmed and lower-cased, types clamped to the known ones, else OTHER.
+
+    The object of types may be absent or not an object, or the text cut off: then the map is empty.
+    """
+    given = F.from_json(F.get_json_object(F.regexp_extract(raw, r"(?s)\{.*\}", 0), "$.types"), "map<string,string>")
+    pairs = F.filter(F.map_entries(given), lambda e: e["value"].isNotNull())
+    clean = F.transform(pairs, lambda e: F.struct(F.lower(F.btrim(e["key"])).alias("key"), F.upper(F.btrim(e["value"])).alias("value")))
+    last = F.filter(clean, lambda e, i: ~F.exists(F.slice(clean, i + 2, F.size(clean)), lambda later: later["key"] == e["key"]))
+    clamped = F.transform(last, lambda e: F.struct(e["key"].alias("key"), F.when(e["value"].isin(*TYPES), e["value"]).otherwise("OTHER").alias("value")))
+    return F.coalesce(F.map_from_entries(clamped), F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<string>")))
+
+
+def prompt(answer: Column) -> Column:
+    """struct<text, truncated>: the part of an answer that an extraction is asked about."""
+    return F.struct(F.left(answer, F.lit(ANSWER_CAP)).alias("text"), (F.length(answer) > ANSWER_CAP).alias("truncated"))
+
+
+def has_duplicates(labels: DataFrame, graph: str, label: str, words: Column, least: float = 0.7) -> DataFrame:
+    """(graph, hint): whether any two labels of a graph are as similar as ``least``; asked before labels are grouped."""
+    keyed = labels.select(graph, F.concat_ws("|", F.col(graph).cast("string"), F.col(label)).alias("k"), F.transform(words, lambda w: F.concat_ws("|", F.col(graph).cast("string"), w)).alias("w"))
+    hit = similar_pairs(keyed, "k", F.col("w"), least).select(F.substring_index("a", "|", 1).alias("_g")).distinct()
+    every = labels.select(graph, F.col(graph).cast("string").alias("_g")).distinct()
+    return every.join(hit.withColumn("hint", F.lit(True)), "_g", "left").select(graph, F.coalesce("hint", F.lit(False)).alias("hint"))
+
+
+def grouped(labels: DataFrame, graph: str, label: str, spec: str, providers: dict) -> DataFrame:
+    """(graph, groups): the raw answer of the provider that a graph's spec names to its labels; fewer than two give none."""
+    listed = labels.groupBy(graph).agg(F.array_join(F.sort_array(F.collect_set(label)), "\n").alias("labels"), F.count_distinct(label).alias("n"), F.first(spec).alias("_spec"))
+    return synthesised(listed.where("n >= 2"), F.col("_spec"), "labels", providers, "groups").select(graph, "groups")
+
+
+def exported(found: DataFrame, labelled: DataFrame, graph: str) -> DataFrame:
+    """(graph, payload): the session's nodes and edges as one JSON text, in order of their ids."""
+    listed = lambda df, cols: df.groupBy(graph).agg(F.sort_array(F.collect_list(F.struct(*cols))).alias("x"))
+    n = listed(labelled, ["id", "label", "type"]).withColumnRenamed("x", "nodes")
+    e = listed(found, ["source", "predicate", "target", "citations"]).withColumnRenamed("x", "edges")
+    return n.join(e, graph, "left").select(graph, F.to_json(F.struct("nodes", "edges")).alias("payload"))
+
+
+def restored(payloads: DataFrame, graph: str) -> tuple[DataFrame, DataFrame]:
+    """(edges, nodes) of exported payloads; a text that cannot be read gives none."""
+    kind = "struct<nodes:array<struct<id:string,label:string,type:string>>,edges:array<struct<source:string,predicate:string,target:string,citations:array<bigint>>>>"
+    read = payloads.select(graph, F.from_json("payload", kind).alias("p"))
+    return read.select(graph, F.explode("p.edges").alias("e")).select(graph, "e.*"), read.select(graph, F.explode("p.nodes").alias("n")).select(graph, "n.*")
+
+
 def nodes(relations: DataFrame, answers: DataFrame, graph: str, order: str, types: DataFrame | None = None) -> DataFrame:
     """(graph, id, label, label_lc, type): ends of relations that the answer's text contains, first spelling wins.
 

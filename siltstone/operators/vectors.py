@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -66,3 +67,40 @@ def encode(df: DataFrame, text_col: str, build: Callable[[], Callable[[list[str]
             yield out
 
     return df.mapInPandas(run, schema)
+
+
+LISTS, CENTRE_SAMPLE = 64, 8192
+
+
+def inverted_lists(vectors: DataFrame, id_col: str, vector_col: str, lists: int = LISTS, rounds: int = 8, seed: int = 7) -> tuple[DataFrame, np.ndarray]:
+    """(``id_col``, ``vector_col``, list) with every vector in the list of its nearest centre, and the centres.
+
+    Centres are fitted by spherical k-means on at most ``CENTRE_SAMPLE`` vectors, chosen by a hash; every vector is listed.
+    """
+    usable = vectors.where(F.col(vector_col).isNotNull() & (norm(F.col(vector_col)) > 0))
+    drawn = usable.select(vector_col).orderBy(F.xxhash64(id_col, F.lit(seed))).limit(CENTRE_SAMPLE).toPandas()[vector_col]
+    unit = np.array(drawn.tolist(), dtype=np.float64).reshape(len(drawn), -1)
+    unit /= np.maximum(np.linalg.norm(unit, axis=1, keepdims=True), 1e-12)
+    centres = unit[: min(lists, len(unit))].copy()
+    for _ in range(rounds):
+        near = np.argmax(unit @ centres.T, axis=1) if len(centres) else np.zeros(0, dtype=int)
+        for c in range(len(centres)):
+            if (near == c).any():
+                centre = unit[near == c].mean(axis=0)
+                centres[c] = centre / max(np.linalg.norm(centre), 1e-12)
+    shared = vectors.sparkSession.sparkContext.broadcast(centres)
+    kinds = {f.name: f.dataType.simpleString() for f in vectors.schema.fields}
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            if len(frame):
+                x = np.array(frame[vector_col].tolist(), dtype=np.float64)
+                yield frame.assign(list=np.argmax(x @ shared.value.T, axis=1).astype(np.int32))
+
+    return usable.select(id_col, vector_col).mapInPandas(run, f"{id_col} {kinds[id_col]}, {vector_col} {kinds[vector_col]}, list int"), centres
+
+
+def listed_topk(listed: DataFrame, centres: np.ndarray, query: list[float], k: int, id_col: str, vector_col: str, probes: int = 16) -> DataFrame:
+    """The k nearest by cosine among the vectors of the ``probes`` lists nearest to the query; stored by list, only these are read."""
+    near = np.argsort(-(centres @ np.array(query)), kind="stable")[:probes].tolist()
+    return dense_topk(listed.where(F.col("list").isin([int(x) for x in near])), query, k, id_col, vector_col)

@@ -909,3 +909,7 @@ SELECT a AS date_from, b AS date_to, CAST(least(n, 300) AS BIGINT) AS n, n > 300
 def date_windows(t):
     daily = t("events").groupBy(F.to_date("ts").alias("day")).agg(F.count("*").alias("n"))
     return t.spark.createDataFrame(tables.split_windows(daily, 300), "date_from date, date_to date, n long, truncated boolean")
+
+
+# The other modules register their queries when they are imported; some build on what stands above.
+from siltstone.plans import ingest_queries, lookup_queries  # noqa: E402, F401
