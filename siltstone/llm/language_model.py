@@ -113,6 +113,25 @@ def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield out()
 
 
+class _Tally:
+    """Counts of keys below ``size``, added up in large portions."""
+
+    def __init__(self, size: int) -> None:
+        self.counts, self.wait, self.waiting = np.zeros(size, dtype=np.int64), [], 0
+
+    def add(self, keys: np.ndarray) -> None:
+        self.wait.append(keys)
+        self.waiting += len(keys)
+        if self.waiting > 2 * len(self.counts):
+            self.total()
+
+    def total(self) -> np.ndarray:
+        if self.wait:
+            self.counts += np.bincount(np.concatenate(self.wait), minlength=len(self.counts))
+            self.wait, self.waiting = [], 0
+        return self.counts
+
+
 def _history(tokens: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Digests of the words at -1 and -2; before a document stand end marks."""
     one, two = np.empty_like(tokens), np.empty_like(tokens)
@@ -298,7 +317,7 @@ def score_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     table_of = shared((table.keys, table.slots))
 
     def preceding(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        find, held = Lookup(*table_of.value).find, np.zeros(head * CONTEXTS, dtype=np.int64)
+        find, held = Lookup(*table_of.value).find, _Tally(head * CONTEXTS)
         for batch in batches:
             for *_, tokens, bounds in _tokens(batch.column("text")):
                 found = find(tokens).astype(np.int64)
@@ -307,8 +326,8 @@ def score_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
                 before[bounds[:-1]] = -1
                 before = np.where((before < 0) | (before >= CONTEXTS - 1), CONTEXTS - 1, before)
                 ok = found >= 0
-                held += np.bincount(found[ok] * CONTEXTS + before[ok], minlength=len(held))
-        yield wide_slices_of(held, TaskContext.get().partitionId())
+                held.add((found[ok] * CONTEXTS + before[ok]).astype(np.int32))
+        yield wide_slices_of(held.total(), TaskContext.get().partitionId())
 
     slices = "part long, slice int, data binary"
     if head:
@@ -331,7 +350,7 @@ def score_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
             keys, slots, classes, start = now.value
             table = Lookup(keys, slots)
             mine, seen = start.copy(), np.zeros(FEATURES, dtype=np.float32)
-            held = np.zeros(head * CLASSES, dtype=np.int64)
+            held = _Tally(head * CLASSES)
             wait: list = []
             size = 0
             for batch in batches:
@@ -344,7 +363,7 @@ def score_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
                     before[1:] = kind[:-1]
                     before[bounds[:-1]] = 0
                     ok = (found >= 0) & (found < head)
-                    held += np.bincount(found[ok].astype(np.int64) * CLASSES + before[ok], minlength=len(held))
+                    held.add((found[ok].astype(np.int64) * CLASSES + before[ok]).astype(np.int32))
                     wait.append((*_features(*_history(tokens, bounds)), kind))
                     size += len(tokens)
                     if size >= BATCH:
@@ -360,7 +379,7 @@ def score_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
             mine *= seen[:, None]
             part = TaskContext.get().partitionId()
             yield slices_of(np.concatenate([mine.reshape(-1), seen, np.zeros(-cut % per_slice, dtype=np.float32)]), part)
-            yield wide_slices_of(held, part, -(-cut // per_slice))
+            yield wide_slices_of(held.total(), part, -(-cut // per_slice))
 
         part = train.where(F.pmod(F.xxhash64("id", "text"), F.lit(ROUNDS)) == k).select("text")
         merged = merge_slices(part.mapInArrow(learn, slices), "mixed", -(-cut // per_slice))
