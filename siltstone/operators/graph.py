@@ -27,12 +27,15 @@ def pairs(members: DataFrame, group: str, member: str) -> DataFrame:
 
 
 def heading_rows(links: DataFrame, names: DataFrame, paper: str, heading: str, name: str) -> DataFrame:
-    """Provenance rows of heading pairs of a paper in id order, named canonically; equal names make a loop."""
+    """Provenance rows of heading pairs of a paper in id order, named canonically; equal names make a loop.
+
+    Pairs of headings with the same names repeat a row.
+    """
     left = links.select(F.col(paper).alias("p"), F.col(heading).alias("x")).distinct()
     right = left.select("p", F.col("x").alias("y"))
     label = names.select(F.col(heading).alias("k"), F.lower(name).alias("label"))
     both = left.join(right, "p").where("x < y").join(label.toDF("x", "lx"), "x").join(label.toDF("y", "ly"), "y")
-    return both.select(F.least("lx", "ly").alias("a"), F.greatest("lx", "ly").alias("b"), F.col("p").alias("source")).distinct()
+    return both.select(F.least("lx", "ly").alias("a"), F.greatest("lx", "ly").alias("b"), F.col("p").alias("source"))
 
 
 def entity_rows(members: DataFrame, group: str, member: str) -> DataFrame:
@@ -45,19 +48,27 @@ def weighted(rows: DataFrame, least: int = 1) -> DataFrame:
     return rows.groupBy("a", "b").agg(F.count("*").alias("weight")).where(F.col("weight") >= least)
 
 
-def at_least(rows: DataFrame, least: int) -> DataFrame:
-    """The provenance rows of edges of that weight."""
-    return rows.join(weighted(rows, least).select("a", "b"), ["a", "b"], "left_semi")
+def merged(*graphs: DataFrame, least: list[int] | None = None) -> DataFrame:
+    """(a, b, weight, n_sources) of several graphs' rows: weights add up, sources unite, both directions are one edge.
 
-
-def merged(*graphs: DataFrame) -> DataFrame:
-    """(a, b, weight, n_sources) of several graphs' rows: weights add up, sources unite, both directions are one edge."""
+    An edge of graph k counts from ``least[k]`` sources on.  Rows may repeat.  Sources are told apart by which graphs have
+    them, and only these few counts of an edge meet.
+    """
     every = None
     for k, g in enumerate(graphs):
-        part = g.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "source", F.lit(k).alias("graph"))
+        part = g.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "source", F.lit(1 << k).alias("mask"))
         every = part if every is None else every.unionByName(part)
-    by_source = every.groupBy("a", "b", "source").agg(F.count("*").alias("n"))
-    return by_source.groupBy("a", "b").agg(F.sum("n").alias("weight"), F.count("*").alias("n_sources"))
+    by_mask = every.groupBy("a", "b", "source").agg(F.bit_or("mask").alias("mask")).groupBy("a", "b", "mask").agg(F.count("*").alias("n"))
+    bits = [(1 << k, (least or [1] * len(graphs))[k]) for k in range(len(graphs))]
+    has = lambda bit: F.col("mask").bitwiseAND(F.lit(bit)) != 0
+    edges = by_mask.groupBy("a", "b").agg(F.collect_list(F.struct("mask", "n")).alias("counts"), *(F.coalesce(F.sum(F.when(has(bit), F.col("n"))), F.lit(0)).alias(f"w{bit}") for bit, _ in bits))
+    kept, weight = F.lit(0), F.lit(0).cast("long")
+    for bit, low in bits:
+        kept = kept + F.when(F.col(f"w{bit}") >= low, bit).otherwise(0)
+        weight = weight + F.when(F.col(f"w{bit}") >= low, F.col(f"w{bit}")).otherwise(0)
+    edges = edges.select("a", "b", weight.alias("weight"), "counts", kept.alias("kept")).where("kept <> 0")
+    n = F.aggregate("counts", F.lit(0).cast("long"), lambda x, c: x + F.when(c["mask"].bitwiseAND(F.col("kept")) != 0, c["n"]).otherwise(0))
+    return edges.select("a", "b", "weight", n.alias("n_sources"))
 
 
 def increment(rows: DataFrame, members: DataFrame, group: str, member: str) -> DataFrame:

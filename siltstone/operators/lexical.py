@@ -6,6 +6,7 @@ term's bucket and sorted by term, a search reads only the buckets of its terms,
 
 from __future__ import annotations
 
+import zlib
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -37,7 +38,7 @@ def analysed(text: Column, stop: bool = True, stem=None) -> Column:
 
 
 def bucket_of(term: Column) -> Column:
-    return F.pmod(F.xxhash64(term), F.lit(BUCKETS)).cast("int")
+    return (F.crc32(term.cast("binary")) % BUCKETS).cast("int")
 
 
 def _by_field(docs: DataFrame, id_col: str, fields: dict[str, Column]) -> DataFrame:
@@ -96,9 +97,9 @@ def search(found: Index, terms: list[str] | DataFrame, top: int | None = None, b
     if isinstance(terms, list):
         wanted = list(dict.fromkeys(terms))
         spark = post.sparkSession
-        buckets = [r[0] for r in spark.createDataFrame([(t,) for t in wanted], "term string").select(bucket_of(F.col("term"))).collect()] if wanted else []
-        post = post.where(F.col("bucket").isin(buckets) & F.col("term").isin(wanted))
-        terms = spark.createDataFrame([(t, 1) for t in wanted], "term string, times int")
+        post = post.where(F.col("bucket").isin([zlib.crc32(t.encode()) % BUCKETS for t in wanted]) & F.col("term").isin(wanted))
+        listed = F.array(*(F.lit(t) for t in wanted)).cast("array<string>")
+        terms = spark.range(1).select(F.explode(listed).alias("term"), F.lit(1).alias("times"))
     per_term = bm25(Index(post, found.stats), terms, boosts, blend=blend)
     scored = per_term.groupBy("doc").agg(F.sum("score").alias("score"), F.count("*").alias("matched"))
     if least_share:

@@ -318,8 +318,7 @@ mesh AS (SELECT least(x.label, y.label) AS a, greatest(x.label, y.label) AS b, c
 
 
 def part_rows(t) -> DataFrame:
-    rows = graph.heading_rows(t("lineitem"), t("part").withColumnRenamed("p_partkey", "l_partkey"), "l_orderkey", "l_partkey", "p_name")
-    return graph.at_least(rows, 2)
+    return graph.heading_rows(t("lineitem"), t("part").withColumnRenamed("p_partkey", "l_partkey"), "l_orderkey", "l_partkey", "p_name")
 
 
 def brand_rows(t) -> DataFrame:
@@ -328,8 +327,7 @@ def brand_rows(t) -> DataFrame:
 
 @query(f"WITH {_MESH} SELECT a, b, weight, CAST(list_sum(sources) AS BIGINT) AS source_sum FROM mesh")
 def mesh_cooccurrence(t):
-    rows = graph.heading_rows(t("lineitem"), t("part").withColumnRenamed("p_partkey", "l_partkey"), "l_orderkey", "l_partkey", "p_name")
-    return rows.groupBy("a", "b").agg(F.count("*").alias("weight"), F.sum("source").alias("source_sum")).where("weight >= 2")
+    return part_rows(t).distinct().groupBy("a", "b").agg(F.count("*").alias("weight"), F.sum("source").alias("source_sum")).where("weight >= 2")
 
 
 @query(f"WITH {_BRANDS} SELECT a, b, weight FROM ner")
@@ -339,7 +337,7 @@ def ner_cooccurrence(t):
 
 @query(f"WITH {_BRANDS}, {_MESH}, u AS (SELECT a, b, weight, sources FROM ner UNION ALL SELECT a, b, weight, sources FROM mesh) SELECT a, b, CAST(sum(weight) AS BIGINT) AS weight, CAST(len(list_distinct(flatten(list(sources)))) AS BIGINT) AS n_sources FROM u GROUP BY a, b")
 def graph_merge(t):
-    return graph.merged(brand_rows(t), part_rows(t))
+    return graph.merged(brand_rows(t), part_rows(t), least=[1, 2])
 
 
 @query(f"WITH {_BRANDS} SELECT a, b, weight FROM ner")
