@@ -93,13 +93,9 @@ class Mix:
         self.bits = min(RANGE_BITS, max(4, math.ceil(math.log2(max(most, 1) / RANGE_ROWS + 1))))
 
         ranges = slim.groupBy("key", self.range_of().alias("range")).agg(F.sum("size").alias("range_size"))
-        # Sums before each range in two levels, so that no window holds more than the square root of a source's ranges.
-        ranges = ranges.withColumn("block", F.expr(f"shiftright(range, {(self.bits + 1) // 2})"))
-        before = lambda keys, size, order: F.coalesce(F.sum(size).over(Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-        blocks = ranges.groupBy("key", "block").agg(F.sum("range_size").alias("block_size")).withColumn("earlier", before(["key"], "block_size", "block"))
-        ranges = ranges.withColumn("inside", before(["key", "block"], "range_size", "range")).join(blocks, ["key", "block"])
-        ranges = ranges.select("key", "range", "range_size", (F.col("earlier") + F.col("inside")).alias("before"))
-        self.ranges = ranges = materialize(ranges, "ranges")
+        # A source has at most 2 ** RANGE_BITS ranges, so a window of one source holds no more rows.
+        before = F.sum("range_size").over(Window.partitionBy("key").orderBy("range").rowsBetween(Window.unboundedPreceding, -1))
+        self.ranges = ranges = materialize(ranges.withColumn("before", F.coalesce(before, F.lit(0))), "ranges")
         self.n_ranges = ranges.count()
 
         plan = targets(sizes.drop("rows"))
@@ -111,9 +107,9 @@ class Mix:
         inside = slim.withColumn("range", self.range_of()).join(_small(last.select("key", "range", "before", "left"), self.n_sources), ["key", "range"])
         inside = inside.withColumn("upto", F.col("before") + F.sum("size").over(Window.partitionBy("key").orderBy("h").rangeBetween(Window.unboundedPreceding, 0)))
         inside = inside.where("upto <= left").groupBy("key").agg(F.max("h").alias("inner"), F.max("upto").alias("reached"))
-        ends = last.select("key", "range", "before", "left").join(inside, "key", "left")
+        ends = last.select("key", "range", "before", "left").join(_small(inside, self.n_sources), "key", "left")
         ends = ends.select("key", F.col("range").alias("end_range"), F.col("inner").alias("end_h"), F.coalesce("reached", "before").alias("reached"))
-        plan = plan.join(ends, "key", "left").withColumn("gap", F.coalesce(F.col("left") - F.col("reached"), F.lit(0.0)))
+        plan = plan.join(_small(ends, self.n_sources), "key", "left").withColumn("gap", F.coalesce(F.col("left") - F.col("reached"), F.lit(0.0)))
         plan = materialize(plan, "ends")
         plan = plan.withColumn("fills", F.array().cast("array<long>"))
         for k in range(FILLS):
@@ -123,7 +119,7 @@ class Mix:
             rest = slim.join(_small(wanting, self.n_sources), "key").where(~self.before_end() & ~F.array_contains("fills", F.col("h")))
             rest = rest.where("size > 0 and size < 2 * gap")
             best = rest.groupBy("key").agg(F.min(F.struct((F.col("size") > F.col("gap")).alias("over") if k < FILLS - 1 else F.lit(False).alias("over"), F.abs(F.col("size") - F.col("gap")).alias("off"), "h", "size")).alias("best"))
-            plan = plan.join(best, "key", "left").withColumn("gap", F.when(F.col("best").isNull(), 0.0).otherwise(F.col("gap") - F.col("best.size")))
+            plan = plan.join(_small(best, self.n_sources), "key", "left").withColumn("gap", F.when(F.col("best").isNull(), 0.0).otherwise(F.col("gap") - F.col("best.size")))
             plan = materialize(plan.withColumn("fills", F.when(F.col("best").isNull(), F.col("fills")).otherwise(F.concat("fills", F.array("best.h")))).drop("best"), "plan")
             if plan.where("gap > 0").isEmpty():
                 break
