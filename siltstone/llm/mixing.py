@@ -4,8 +4,8 @@
 most ``MAX_PASSES`` times its words, and what it cannot give is shared by the others by weight.
 
 *What is taken.*  A source's documents stand in the order of a hash.  It is passed over as often as its target holds
-its size; of the last, partial pass the documents before a threshold are taken, and up to ``FILLS`` more documents fill
-what is left, each the one that comes nearest.  The threshold is found from sums by (source, hash range), then exactly
+its size; of the last, partial pass the documents before a threshold are taken, and a few more documents fill what is left.
+The threshold is found from sums by (source, hash range), then exactly
 inside one range.
 
 *Positions.*  A source's weight at training time t in [0, 1] is target * (1 + a * (2 t - 1)); its integral is its
@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from siltstone.llm.common import materialize
 
-MAX_PASSES, FILLS = 3, 4
+MAX_PASSES = 3
 #: Slope of a source's schedule, by its weight: light sources early, heavy ones late.
 SLOPES = {1: -0.5, 2: 0.0, 3: 0.5}
 #: Tables by source are broadcast up to this many rows (a few MB), and joined by a shuffle beyond it.
@@ -66,7 +66,7 @@ def targets(sizes: DataFrame) -> DataFrame:
     are not full only grows as sources become full, so it is found by a few sums over the table of sources.
     """
     w = numbered(sizes, F.col("source").asc_nulls_last(), name="place").withColumn("weight", (F.pmod("place", F.lit(3)) + 1).cast("int"))
-    w = materialize(w.withColumn("most", F.lit(MAX_PASSES) * F.col("source_size")), "weights")
+    w = w.withColumn("most", F.lit(MAX_PASSES) * F.col("source_size"))
     total, weights = w.agg(F.coalesce(F.sum("source_size"), F.lit(0)), F.coalesce(F.sum("weight"), F.lit(0))).first()
     share, given, n_full = (total / weights if weights else 0.0), 0, -1
     while weights:
@@ -101,7 +101,6 @@ class Mix:
         plan = targets(sizes.drop("rows"))
         plan = plan.withColumn("passes", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.greatest("source_size", F.lit(1)) + 1e-12)).otherwise(0).cast("long"))
         plan = plan.withColumn("left", F.greatest(F.col("target") - F.col("passes") * F.col("source_size"), F.lit(0.0)))
-        plan = materialize(plan, "targets")
         # The range in which the last pass ends, and inside it the last document before the end.
         last = ranges.join(_small(plan.select("key", "left"), self.n_sources), "key").where("before <= left and left < before + range_size")
         inside = slim.withColumn("range", self.range_of()).join(_small(last.select("key", "range", "before", "left"), self.n_sources), ["key", "range"])
@@ -111,19 +110,25 @@ class Mix:
         ends = ends.select("key", F.col("range").alias("end_range"), F.col("inner").alias("end_h"), F.coalesce("reached", "before").alias("reached"))
         plan = plan.join(_small(ends, self.n_sources), "key", "left").withColumn("gap", F.coalesce(F.col("left") - F.col("reached"), F.lit(0.0)))
         plan = materialize(plan, "ends")
-        plan = plan.withColumn("fills", F.array().cast("array<long>"))
-        for k in range(FILLS):
-            # The document of the rest of that pass that comes nearest to what is left: at first one that leaves room for
-            # another, if there is one, at last the nearest of all, if it is nearer than none.
-            wanting = plan.where("gap > 0").select("key", "end_range", "end_h", "gap", "fills")
-            rest = slim.join(_small(wanting, self.n_sources), "key").where(~self.before_end() & ~F.array_contains("fills", F.col("h")))
-            rest = rest.where("size > 0 and size < 2 * gap")
-            best = rest.groupBy("key").agg(F.min(F.struct((F.col("size") > F.col("gap")).alias("over") if k < FILLS - 1 else F.lit(False).alias("over"), F.abs(F.col("size") - F.col("gap")).alias("off"), "h", "size")).alias("best"))
-            plan = plan.join(_small(best, self.n_sources), "key", "left").withColumn("gap", F.when(F.col("best").isNull(), 0.0).otherwise(F.col("gap") - F.col("best.size")))
-            plan = materialize(plan.withColumn("fills", F.when(F.col("best").isNull(), F.col("fills")).otherwise(F.concat("fills", F.array("best.h")))).drop("best"), "plan")
-            if plan.where("gap > 0").isEmpty():
-                break
-        self.sources = plan
+        self.sources = materialize(plan.join(_small(self._fills(plan), self.n_sources), "key", "left"), "plan")
+
+    def _fills(self, plan: DataFrame) -> DataFrame:
+        """(key, fills): hashes of documents of the rest of the last pass that together come nearest to what is left.
+
+        Of each power of two of sizes the smallest and the largest document that fits are candidates, a number that the
+        bits of a size bound; they are taken from large to small while they fit.  One that is too large is taken alone if
+        it comes nearer.
+        """
+        wanting = plan.where("gap > 0").select("key", "end_range", "end_h", "gap")
+        rest = self.slim.join(_small(wanting, self.n_sources), "key").where(~self.before_end() & (F.col("size") > 0) & (F.col("size") < 2 * F.col("gap")))
+        one, fits = F.struct("size", "h"), F.col("size") <= F.col("gap")
+        by_size = rest.groupBy("key", F.floor(F.log2("size")).alias("power")).agg(F.first("gap").alias("gap"), F.min(F.when(fits, one)).alias("low"), F.max(F.when(fits, one)).alias("high"), F.min(F.when(~fits, one)).alias("over"))
+        listed = by_size.groupBy("key").agg(F.first("gap").alias("gap"), F.array_distinct(F.array_compact(F.flatten(F.collect_list(F.array("high", "low"))))).alias("some"), F.min("over").alias("over"))
+        begin = F.struct(F.col("gap").alias("left"), F.array().cast("array<long>").alias("fills"))
+        taken = lambda got, c: F.struct((got["left"] - c["size"]).alias("left"), F.concat(got["fills"], F.array(c["h"])).alias("fills"))
+        listed = listed.withColumn("got", F.aggregate(F.sort_array("some", False), begin, lambda got, c: F.when(c["size"] <= got["left"], taken(got, c)).otherwise(got)))
+        alone = F.coalesce(F.col("over.size") - F.col("gap") < F.col("got.left"), F.lit(False))
+        return listed.select("key", F.when(alone, F.array("over.h")).otherwise(F.col("got.fills")).alias("fills"))
 
     def range_of(self) -> Column:
         """Range of the hash: its leading bits, in the hash's own (signed) order."""
@@ -135,7 +140,7 @@ class Mix:
         return F.coalesce((own < F.col("end_range")) | (own == F.col("end_range")) & (F.col("h") <= F.col("end_h")), own < F.col("end_range"), F.lit(False))
 
     def copies(self) -> Column:
-        extra = self.before_end() | F.array_contains("fills", F.col("h"))
+        extra = self.before_end() | F.coalesce(F.array_contains("fills", F.col("h")), F.lit(False))
         return F.when(F.col("size") > 0, F.col("passes") + extra.cast("long")).otherwise(F.least(F.col("passes") + extra.cast("long"), F.lit(MAX_PASSES)))
 
     def planned(self) -> DataFrame:
