@@ -42,6 +42,8 @@ MAX_MULTI = 12
 MAX_SKETCH_BITS = 25
 #: Rows of one token that a task holds at once.
 RUN_ROWS = 200_000
+#: Postings that one task groups by set, so that tasks grow in number and not in length; tasks at most.
+TASK_POSTINGS, MAX_TASKS = 75_000, 20_000
 #: A unit's blocks hold about this many sets and shingles at most.
 BLOCK_SETS, BLOCK_SHINGLES = 1500, 2_000_000
 #: A shingle sent and compared for a verification weighs so much against a posting scanned.
@@ -328,7 +330,8 @@ def jaccard_join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     # Shingles that are posted by the same sets are a class: to a pair they are all common or none is.  A set therefore
     # needs only the first l of those that lie in the shortest prefix of all their sets (label 1).  All that follows up
     # to the lists is grouped by set, so it needs one shuffle.
-    rows = posted.repartition("node").withColumn("id", _ids(F.col("token"))).withColumn("wide", F.col("top") > 1)
+    tasks = min(MAX_TASKS, max(1, math.ceil(posted.count() / TASK_POSTINGS)))
+    rows = posted.repartition(tasks, "node").withColumn("id", _ids(F.col("token"))).withColumn("wide", F.col("top") > 1)
     place = F.row_number().over(Window.partitionBy("node", "kind", "length").orderBy("wide", "id"))
     rows = rows.withColumn("place", F.when(F.col("wide"), 0).otherwise(place))
     # The number l of shared shingles that each set asks for, by the true lengths of its lists: postings to scan, and
