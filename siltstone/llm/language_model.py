@@ -7,7 +7,8 @@ probabilities of all words and "unknown" sum to one after any history:
 
     P(w | h) = P(class | h) * P(w | class, class of the word before)
 
-Class level: a softmax over hashed features of the words at -1 (bigram), -2 (skip) and (-2, -1) (trigram).
+Class level: a softmax over hashed features of the words at -1 (bigram), -2 (skip) and (-2, -1) (trigram), whose
+buckets grow with the square root of the training tokens, from 2^13 to 2^18 a template, twice as many for trigrams.
 Training documents are dealt into ``ROUNDS`` parts; in a round each task makes gradient updates in mini-batches
 over its documents of that part, starting from the common weights, and the tasks' updates are averaged by the
 times that each feature was seen.  Every training document is used once.  Word level: a softmax whose features
@@ -34,12 +35,10 @@ from siltstone.llm.common import SLICE_BYTES, held_out, lists_of, materialize, m
 
 HEAD, TABLE, CLASSES, CONTEXTS, ROUNDS = 1 << 15, 1 << 20, 32, 32, 3
 BATCH = 1 << 15
-#: Buckets of the bias, bigram, skip and trigram features, as bits.
-BITS = (13, 13, 14)
+#: Least and most buckets of the bigram and skip features as bits, of which half those of the training tokens and so
+#: many more are taken; trigrams have one bit more.
+MIN_BITS, MAX_BITS, GROWTH = 13, 18, 2
 END = np.uint64(0x9D5C1F27E3B80A41)
-_SIZES = [1 << b for b in BITS]
-_STARTS = [1, 1 + _SIZES[0], 1 + _SIZES[0] + _SIZES[1]]
-FEATURES = 1 + sum(_SIZES)
 
 
 class Lookup:
@@ -143,37 +142,54 @@ def _history(tokens: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.nda
     return one, two
 
 
-def _features(one: np.ndarray, two: np.ndarray) -> list[np.ndarray]:
-    """Bucket of each feature inside its template."""
+def _bits(tokens: int) -> int:
+    """Bits of the bigram and skip buckets after so many training tokens."""
+    return min(MAX_BITS, max(MIN_BITS, round(math.log2(tokens + 1) / 2) + GROWTH))
+
+
+def _rows(bits: int) -> int:
+    """Rows of the weights: the bias, then the bigram, skip and trigram buckets."""
+    return 1 + (4 << bits)
+
+
+def _features(one: np.ndarray, two: np.ndarray, bits: int) -> list[np.ndarray]:
+    """Row of each feature in the weights, by template."""
+    shift, start = np.uint64(64 - bits), 1 << bits
     return [
-        (one >> np.uint64(64 - BITS[0])).astype(np.uint16),
-        (tk.mix(two + np.uint64(7)) >> np.uint64(64 - BITS[1])).astype(np.uint16),
-        (tk.mix(one * np.uint64(0x9E3779B97F4A7C15) + two) >> np.uint64(64 - BITS[2])).astype(np.uint16),
+        (one >> shift).astype(np.int32) + np.int32(1),
+        (tk.mix(two + np.uint64(7)) >> shift).astype(np.int32) + np.int32(1 + start),
+        (tk.mix(one * np.uint64(0x9E3779B97F4A7C15) + two) >> (shift - np.uint64(1))).astype(np.int32) + np.int32(1 + 2 * start),
     ]
 
 
 def _log_softmax(weights: np.ndarray, features: list[np.ndarray]) -> np.ndarray:
-    z = weights[features[0].astype(np.int64) + _STARTS[0]]
-    z += weights[features[1].astype(np.int64) + _STARTS[1]]
-    z += weights[features[2].astype(np.int64) + _STARTS[2]]
+    z = weights[features[0]]
+    z += weights[features[1]]
+    z += weights[features[2]]
     z += weights[0]
     z -= z.max(axis=1, keepdims=True)
     z -= np.log(np.exp(z).sum(axis=1, keepdims=True))
     return z
 
 
+def _order(rows: np.ndarray) -> np.ndarray:
+    """Stable order of rows below 2^24, by two radix passes."""
+    low = np.argsort(rows.astype(np.uint16), kind="stable")
+    return low[np.argsort((rows[low] >> 16).astype(np.uint8), kind="stable")]
+
+
 def _update(weights: np.ndarray, seen: np.ndarray, features: list[np.ndarray], classes: np.ndarray, rate: float) -> None:
     """One gradient step on a mini-batch; a feature moves by its mean gradient, less if it was hardly seen."""
     step = -np.exp(_log_softmax(weights, features))
     step[np.arange(len(classes)), classes] += 1
     weights[0] += rate * step.mean(axis=0)
     seen[0] += len(classes)
-    for f, start in zip(features, _STARTS, strict=True):
-        order = np.argsort(f, kind="stable")
+    for f in features:
+        order = _order(f)
         at = f[order]
         new = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
         times = np.diff(np.concatenate([new, [len(at)]]))
-        at = at[new].astype(np.int64) + start
+        at = at[new]
         weights[at] += np.add.reduceat(step[order], new, axis=0) * (rate / (times + 3.0)).astype(np.float32)[:, None]
         seen[at] += times
 
@@ -230,10 +246,10 @@ def _classes_of(found: np.ndarray, head: int, classes: np.ndarray) -> np.ndarray
 
 
 def _score(model_of):
-    """model_of: broadcast plain arrays, bounded by HEAD, TABLE and FEATURES."""
+    """model_of: broadcast plain arrays, bounded by HEAD, TABLE and MAX_BITS."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, slots, counts, n_head, classes, weights, words, tail, denominator = model_of.value
+        keys, slots, counts, n_head, classes, bits, weights, words, tail, denominator = model_of.value
         table = Lookup(keys, slots)
         logs = np.log10(counts + 1.0)
         ln10 = math.log(10)
@@ -249,7 +265,7 @@ def _score(model_of):
                 before[bounds[:-1]] = 0
                 log_p = np.empty(len(tokens))
                 one, two = _history(tokens, bounds)
-                features = _features(one, two)
+                features = _features(one, two, bits)
                 for a in range(0, len(tokens), BATCH):
                     part = slice(a, a + BATCH)
                     z = _log_softmax(weights, [f[part] for f in features])
@@ -313,7 +329,9 @@ def score_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     table = Lookup(keys[:head])
     shared = spark.sparkContext.broadcast
 
-    # Which words precede which: the classes.
+    # Which words precede which: the classes.  Updates and pair counts have the same size whatever a task reads, so
+    # fewer and larger tasks gather them.
+    tasks = max(2 * spark.sparkContext.defaultParallelism, train.rdd.getNumPartitions() // 4)
     table_of = shared((table.keys, table.slots))
 
     def preceding(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -331,17 +349,19 @@ def score_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     slices = "part long, slice int, data binary"
     if head:
-        pairs = merge_slices(train.select("text").mapInArrow(preceding, slices), "wide")
+        pairs = merge_slices(train.select("text").coalesce(tasks).mapInArrow(preceding, slices), "wide")
         classes = _cluster(pairs.reshape(head, CONTEXTS).astype(np.float64), numbers[:head], end_at)
     else:
         classes = np.zeros(1, dtype=np.int64)
 
     # Class weights: in each round all tasks update from the common weights.  Pair counts go along.
-    weights, by_pair = np.zeros((FEATURES, CLASSES), dtype=np.float32), np.zeros((max(head, 1), CLASSES))
+    bits = _bits(total)
+    features = _rows(bits)
+    weights, by_pair = np.zeros((features, CLASSES), dtype=np.float32), np.zeros((max(head, 1), CLASSES))
     mass = np.bincount(classes, weights=numbers[:head], minlength=CLASSES) if head else np.zeros(CLASSES)
     mass[-1] += total - mass.sum() + 1
     weights[0] = np.log((mass + 1e-3) / (mass + 1e-3).sum())  # the bias begins at the classes' frequencies
-    cut, per_slice = FEATURES * CLASSES + FEATURES, SLICE_BYTES // 4
+    cut, per_slice = features * CLASSES + features, SLICE_BYTES // 4
     for k in range(ROUNDS if head else 0):
         now = shared((table.keys, table.slots, classes, weights))
         rate = 0.7 if k == 0 else 0.5 if k == 1 else 0.3
@@ -349,7 +369,7 @@ def score_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
         def learn(batches: Iterator[pa.RecordBatch], now=now, rate=rate) -> Iterator[pa.RecordBatch]:
             keys, slots, classes, start = now.value
             table = Lookup(keys, slots)
-            mine, seen = start.copy(), np.zeros(FEATURES, dtype=np.float32)
+            mine, seen = start.copy(), np.zeros(features, dtype=np.float32)
             held = _Tally(head * CLASSES)
             wait: list = []
             size = 0
@@ -364,7 +384,7 @@ def score_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
                     before[bounds[:-1]] = 0
                     ok = (found >= 0) & (found < head)
                     held.add((found[ok].astype(np.int64) * CLASSES + before[ok]).astype(np.int32))
-                    wait.append((*_features(*_history(tokens, bounds)), kind))
+                    wait.append((*_features(*_history(tokens, bounds), bits), kind))
                     size += len(tokens)
                     if size >= BATCH:
                         parts = [np.concatenate(x) for x in zip(*wait, strict=True)]
@@ -381,17 +401,17 @@ def score_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
             yield slices_of(np.concatenate([mine.reshape(-1), seen, np.zeros(-cut % per_slice, dtype=np.float32)]), part)
             yield wide_slices_of(held.total(), part, -(-cut // per_slice))
 
-        part = train.where(F.pmod(F.xxhash64("id", "text"), F.lit(ROUNDS)) == k).select("text")
+        part = train.where(F.pmod(F.xxhash64("id", "text"), F.lit(ROUNDS)) == k).select("text").coalesce(tasks)
         merged = merge_slices(part.mapInArrow(learn, slices), "mixed", -(-cut // per_slice))
         if len(merged):
-            change, seen = merged[: FEATURES * CLASSES].reshape(FEATURES, CLASSES), merged[FEATURES * CLASSES : cut]
+            change, seen = merged[: features * CLASSES].reshape(features, CLASSES), merged[features * CLASSES : cut]
             weights = (weights + change / np.maximum(seen, 1.0)[:, None]).astype(np.float32)
             by_pair += merged[-(-cut // per_slice) * per_slice :].reshape(head, CLASSES)
     words = _word_level(by_pair, numbers[:head], classes).astype(np.float32) if head else np.zeros((1, CLASSES), dtype=np.float32)
     if not head:
         weights[0, :-1] = -1e9  # nothing but unknown words
     tail = math.log10(total - numbers[:head].sum() + distinct - head + 1)
-    model = shared((keys, Lookup(keys).slots, numbers if len(numbers) else np.zeros(1), head, classes, weights, words, tail, denominator))
+    model = shared((keys, Lookup(keys).slots, numbers if len(numbers) else np.zeros(1), head, classes, bits, weights, words, tail, denominator))
 
     scored = df.mapInArrow(_score(model), f"id {df.schema['id'].dataType.simpleString()}, held boolean, n_tokens long, known long, base double, score double, rare array<long>")
     scored = materialize(scored.withColumn("row", F.monotonically_increasing_id()), "scored")
