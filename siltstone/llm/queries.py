@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from siltstone.llm.chat import CONTROL, MEDIA, format_chats, read_loss, read_turns, text_parts
 from siltstone.llm.decontamination import contaminated
+from siltstone.llm.fill_middle import fill_in_middle, restored
 from siltstone.llm.jaccard_join import jaccard_join
 from siltstone.llm.language_model import score_documents
 from siltstone.llm.mixing import mix
@@ -21,6 +22,7 @@ from siltstone.llm.quality import quality
 from siltstone.llm.sharding import shard
 from siltstone.llm.token_counts import token_counts
 from siltstone.llm.toxicity import toxicity
+from siltstone.llm.tries import resample
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -119,6 +121,20 @@ def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_documents(table(spark, sf_dir, "documents"), "doc_id", "text")
 
 
+@_query
+def op11_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every whole text of ``documents`` cut by code points; digests of the output and of the text rebuilt from it."""
+    cut = fill_in_middle(table(spark, sf_dir, "documents"), "doc_id", "text")
+    sha = lambda c: F.sha2(c.cast("binary"), 256)
+    return cut.select("doc_id", "n", "form", "prefix_chars", "middle_chars", sha(F.col("output")).alias("output_sha256"), sha(restored(F.col("output"), F.col("form"))).alias("restored_sha256"))
+
+
+@_query
+def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Weights of all ``documents`` towards ``benchmark`` by words in 10,000 buckets, and the tenth that is drawn."""
+    return resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), "doc_id", "text", "text", most=1, buckets=10_000, least_words=20, percent=10)
+
+
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _WORDS = rf"regexp_extract_all({_LOWER}, '[^\x20\x09-\x0D]+')"
 
@@ -166,3 +182,39 @@ bs AS (SELECT id, k, len(gs) AS n, unnest(gs) AS g FROM bl)
 SELECT ds.id AS doc_id, bs.id AS item_id, CAST(bs.n AS BIGINT) AS n_item_shingles, count(*) AS n_shared, count(*) / bs.n AS containment
 FROM ds JOIN bs USING (k, g) GROUP BY ds.id, bs.id, bs.n HAVING count(*) >= 0.8 * bs.n - 1e-9
 """
+
+ORACLES["op11_fill_middle"] = r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, sha256('1:' || doc_id) AS x FROM documents),
+h AS (SELECT doc_id, t, length(t) AS n, ('0x' || x[1:8])::BIGINT AS h1, ('0x' || x[9:16])::BIGINT AS h2, ('0x' || x[17:24])::BIGINT AS h3, ('0x' || x[25:32])::BIGINT AS h4 FROM d),
+f AS (SELECT doc_id, t, n, least(h1 % (n + 1), h2 % (n + 1)) AS a, greatest(h1 % (n + 1), h2 % (n + 1)) AS b,
+  CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h3 % 100 >= 90 THEN 'plain' WHEN h4 % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM h)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN a END AS prefix_chars, CASE WHEN form <> 'plain' THEN b - a END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || substr(t, 1, a) || '<S>' || substr(t, b + 1) || '<M>' || substr(t, a + 1, b - a)
+    ELSE '<S>' || substr(t, b + 1) || '<P>' || substr(t, 1, a) || '<M>' || substr(t, a + 1, b - a) END) AS output_sha256,
+  sha256(t) AS restored_sha256
+FROM f
+"""
+
+# CRC-32 by its table of 256 entries, which the recursion derives from the polynomial.
+ORACLES["op13_importance_resampling"] = rf"""
+WITH RECURSIVE r(n, c, k) AS (
+  SELECT n, n, 0 FROM range(256) t(n)
+  UNION ALL SELECT n, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384::BIGINT) ELSE c >> 1 END, k + 1 FROM r WHERE k < 8),
+tab AS (SELECT list(c ORDER BY n) AS tab FROM r WHERE k = 8),
+d AS (SELECT doc_id, regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM documents),
+dw AS (SELECT doc_id, unnest(ws) AS w FROM d),
+bw AS (SELECT unnest(regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS w FROM benchmark),
+h AS (SELECT w, hex(encode(w)) AS x FROM (SELECT w FROM dw UNION SELECT w FROM bw)),
+b AS (SELECT w, xor(list_reduce(list_concat([4294967295::BIGINT], [('0x' || substr(x, 2 * i - 1, 2))::BIGINT for i in range(1, length(x) // 2 + 1)]),
+  lambda c, y: xor(c >> 8, tab[(xor(c, y) & 255) + 1])), 4294967295::BIGINT) % 10000 AS bucket FROM h, tab),
+s AS (SELECT bucket, count(*) AS n FROM dw JOIN b USING (w) GROUP BY bucket),
+t AS (SELECT bucket, count(*) AS n FROM bw JOIN b USING (w) GROUP BY bucket),
+g AS (SELECT bucket, CAST(floor(1000 * ln((coalesce(t.n, 0) + 1)::DOUBLE * ((SELECT coalesce(sum(n), 0) FROM s) + 10000) / ((coalesce(s.n, 0) + 1)::DOUBLE * ((SELECT coalesce(sum(n), 0) FROM t) + 10000)))) AS BIGINT) AS gain
+  FROM s FULL JOIN t USING (bucket)),
+w AS (SELECT doc_id, sum(gain) AS weight FROM dw JOIN b USING (w) JOIN g USING (bucket) GROUP BY doc_id),
+e AS (SELECT d.doc_id, CAST(len(ws) AS BIGINT) AS n_features, CAST(coalesce(weight, 0) AS BIGINT) AS weight,
+  CAST(coalesce(weight, 0) + floor(-1000 * ln(-ln((('0x' || sha256('2024:' || d.doc_id)[1:8])::BIGINT + 0.5::DOUBLE) / 4294967296::DOUBLE))) AS BIGINT) AS score FROM d LEFT JOIN w USING (doc_id)),
+p AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS place FROM e WHERE n_features >= 20)
+SELECT e.doc_id, n_features, weight, score, CASE WHEN place <= (SELECT count(*) FROM p) * 10 // 100 THEN place END AS rank
+FROM e LEFT JOIN p USING (doc_id)
+"""
