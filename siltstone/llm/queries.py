@@ -20,6 +20,7 @@ from siltstone.llm.mixing import mix
 from siltstone.llm.nearest import nearest
 from siltstone.llm.quality import quality
 from siltstone.llm.sharding import shard
+from siltstone.llm.suffixes import remove_repeats
 from siltstone.llm.token_counts import token_counts
 from siltstone.llm.toxicity import toxicity
 from siltstone.llm.tries import resample
@@ -129,6 +130,13 @@ def op11_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cut.select("doc_id", "n", "form", "prefix_chars", "middle_chars", sha(F.col("output")).alias("output_sha256"), sha(restored(F.col("output"), F.col("form"))).alias("restored_sha256"))
 
 
+@_query
+def op12_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every whole text of ``documents`` without the bytes that a repeated string of 400 bytes covers."""
+    kept = remove_repeats(table(spark, sf_dir, "documents"), "doc_id", "text", length=400)
+    return kept.select("doc_id", "n_bytes", F.col("n_removed").cast("long").alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 @_query
 def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Weights of all ``documents`` towards ``benchmark`` by words in 10,000 buckets, and the tenth that is drawn."""
@@ -195,6 +203,23 @@ SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN a END AS prefix_chars, CA
 FROM f
 """
 
+# Every start of 400 bytes as hexadecimal digits, two a byte; runs of covered bytes by gaps between starts.
+ORACLES["op12_suffix_dedup"] = r"""
+WITH d AS (SELECT row_number() OVER () AS nr, doc_id, hex(encode(coalesce(text, ''))) AS x FROM documents),
+s AS (SELECT nr, unnest(range(0, length(x) // 2 - 399)) AS pos, x FROM d WHERE length(x) >= 800),
+p AS (SELECT nr, pos, md5(substr(x, 2 * pos + 1, 800)) AS print FROM s),
+r AS (SELECT nr, pos FROM p QUALIFY count(*) OVER (PARTITION BY print) > 1),
+g AS (SELECT nr, pos, CASE WHEN pos <= lag(pos) OVER (PARTITION BY nr ORDER BY pos) + 400 THEN 0 ELSE 1 END AS new FROM r),
+n AS (SELECT nr, pos, sum(new) OVER (PARTITION BY nr ORDER BY pos) AS run FROM g),
+u AS (SELECT nr, run, min(pos) AS first, max(pos) + 400 AS last FROM n GROUP BY nr, run),
+k AS (SELECT nr, first, last, lead(first) OVER (PARTITION BY nr ORDER BY first) AS next FROM u),
+c AS (SELECT d.nr, count(*) AS n_spans, sum(last - first) AS n_removed,
+  substr(any_value(x), 1, 2 * min(first)) || string_agg(substr(x, 2 * last + 1, 2 * (coalesce(next, length(x) // 2) - last)), '' ORDER BY first) AS kept
+  FROM k JOIN d USING (nr) GROUP BY d.nr)
+SELECT doc_id, length(x) // 2 AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(kept, x))) AS kept_sha256
+FROM d LEFT JOIN c USING (nr)
+"""
+
 # CRC-32 by its table of 256 entries, which the recursion derives from the polynomial.
 ORACLES["op13_importance_resampling"] = rf"""
 WITH RECURSIVE r(n, c, k) AS (
