@@ -6,7 +6,8 @@ most ``MAX_PASSES`` times its words, and what it cannot give is shared by the ot
 *What is taken.*  A source's documents stand in the order of a hash.  It is passed over as often as its target holds
 its size; of the last, partial pass the documents before a threshold are taken, and a few more documents fill what is left.
 The threshold is found from sums by (source, hash range), then exactly
-inside one range.
+inside one range.  Rows with one hash, as rows that share id and size have, follow each other in the order of their
+numbers: where the threshold falls among them, as many are taken as fit.
 
 *Positions.*  A source's weight at training time t in [0, 1] is target * (1 + a * (2 t - 1)); its integral is its
 target.  A document taken when the source has given the share u of its target stands where the integral reaches u,
@@ -82,10 +83,11 @@ def targets(sizes: DataFrame) -> DataFrame:
 class Mix:
     """The plan: ``sources`` (a row a source) and ``ranges`` (a row a source and hash range), of known sizes."""
 
-    def __init__(self, documents: DataFrame, id_col: str, text_col: str, source_col: str) -> None:
-        self.id_col, self.text_col, self.source_col = id_col, text_col, source_col
+    def __init__(self, documents: DataFrame, id_col: str, text_col: str, source_col: str, row_col: str | None = None) -> None:
+        self.id_col, self.text_col, self.source_col, self.row_col = id_col, text_col, source_col, row_col
         size = n_words(F.col(text_col))
-        slim = documents.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), size.alias("size"), F.monotonically_increasing_id().alias("row"))
+        row = F.monotonically_increasing_id() if row_col is None else F.col(row_col)
+        slim = documents.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), size.alias("size"), row.alias("row"))
         self.slim = slim = materialize(slim.select("row", "id", _key(F.col("source")).alias("key"), "source", "size", _order("id", "size").alias("h")), "sizes")
         sizes = slim.groupBy("key").agg(F.first("source").alias("source"), F.sum("size").alias("source_size"), F.count("*").alias("rows"))
         sizes = materialize(sizes, "sources")
@@ -101,34 +103,53 @@ class Mix:
         plan = targets(sizes.drop("rows"))
         plan = plan.withColumn("passes", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.greatest("source_size", F.lit(1)) + 1e-12)).otherwise(0).cast("long"))
         plan = plan.withColumn("left", F.greatest(F.col("target") - F.col("passes") * F.col("source_size"), F.lit(0.0)))
-        # The range in which the last pass ends, and inside it the last document before the end.
+        # The range in which the last pass ends, and inside it the last hash before the end.
         last = ranges.join(_small(plan.select("key", "left"), self.n_sources), "key").where("before <= left and left < before + range_size")
         inside = slim.withColumn("range", self.range_of()).join(_small(last.select("key", "range", "before", "left"), self.n_sources), ["key", "range"])
-        inside = inside.withColumn("upto", F.col("before") + F.sum("size").over(Window.partitionBy("key").orderBy("h").rangeBetween(Window.unboundedPreceding, 0)))
-        inside = inside.where("upto <= left").groupBy("key").agg(F.max("h").alias("inner"), F.max("upto").alias("reached"))
-        ends = last.select("key", "range", "before", "left").join(_small(inside, self.n_sources), "key", "left")
-        ends = ends.select("key", F.col("range").alias("end_range"), F.col("inner").alias("end_h"), F.coalesce("reached", "before").alias("reached"))
+        inside = inside.groupBy("key", "h").agg(F.first("before").alias("before"), F.first("left").alias("left"), F.sum("size").alias("s"), F.count("*").alias("n"))
+        inside = inside.withColumn("upto", F.col("before") + F.sum("s").over(Window.partitionBy("key").orderBy("h").rowsBetween(Window.unboundedPreceding, 0)))
+        fits = F.col("upto") <= F.col("left")
+        inside = inside.groupBy("key").agg(F.max(F.when(fits, F.col("h"))).alias("inner"), F.max(F.when(fits, F.col("upto"))).alias("reached"), F.min(F.when(~fits, F.struct("h", "s", "n"))).alias("over"))
+        ends = last.select("key", F.col("range").alias("end_range"), "before", "left").join(_small(inside, self.n_sources), "key", "left")
+        ends = ends.withColumn("reached", F.coalesce("reached", "before")).withColumn("each", F.col("over.s") / F.col("over.n"))
+        # Of several rows with the hash that is too much, those that fit.
+        fit = F.when(F.col("over.n") > 1, F.floor((F.col("left") - F.col("reached")) / F.col("each")))
+        ends = ends.select("key", "end_range", F.col("inner").alias("end_h"), "reached", "each", F.col("over.h").alias("tie_h"), F.coalesce(fit, F.lit(0)).alias("fit"))
+        ends = self._ties(materialize(ends, "last"))
         plan = plan.join(_small(ends, self.n_sources), "key", "left").withColumn("gap", F.coalesce(F.col("left") - F.col("reached"), F.lit(0.0)))
         plan = materialize(plan, "ends")
         self.sources = materialize(plan.join(_small(self._fills(plan), self.n_sources), "key", "left"), "plan")
 
+    def _ties(self, ends: DataFrame) -> DataFrame:
+        """``ends`` with tie_row, the last row that is taken of those with the hash ``tie_h``, and what is reached by it."""
+        some = ends.where("fit > 0").select("key", "tie_h", "fit")
+        if some.isEmpty():
+            return ends.withColumn("tie_row", F.lit(None).cast("long"))
+        # Ties can be any share of a source, so they are numbered over ranges of the table.
+        ties = self.slim.join(_small(some, self.n_sources), "key").where("h = tie_h").select("key", "row", "fit")
+        ties = numbered(ties, F.col("key"), F.col("row"), name="place")
+        least = ties.groupBy("key").agg(F.min("place").alias("least"))
+        ties = ties.join(_small(least, self.n_sources), "key").where("place - least = fit - 1").select("key", F.col("row").alias("tie_row"))
+        reached = F.col("reached") + F.when(F.col("tie_row").isNotNull(), F.col("fit") * F.col("each")).otherwise(0)
+        return ends.join(_small(ties, self.n_sources), "key", "left").withColumn("reached", reached)
+
     def _fills(self, plan: DataFrame) -> DataFrame:
-        """(key, fills): hashes of documents of the rest of the last pass that together come nearest to what is left.
+        """(key, fills): rows of documents of the rest of the last pass that together come nearest to what is left.
 
         Of each power of two of sizes the smallest and the largest document that fits are candidates, a number that the
         bits of a size bound; they are taken from large to small while they fit.  One that is too large is taken alone if
         it comes nearer.
         """
-        wanting = plan.where("gap > 0").select("key", "end_range", "end_h", "gap")
+        wanting = plan.where("gap > 0").select("key", "end_range", "end_h", "tie_h", "tie_row", "gap")
         rest = self.slim.join(_small(wanting, self.n_sources), "key").where(~self.before_end() & (F.col("size") > 0) & (F.col("size") < 2 * F.col("gap")))
-        one, fits = F.struct("size", "h"), F.col("size") <= F.col("gap")
+        one, fits = F.struct("size", "h", "row"), F.col("size") <= F.col("gap")
         by_size = rest.groupBy("key", F.floor(F.log2("size")).alias("power")).agg(F.first("gap").alias("gap"), F.min(F.when(fits, one)).alias("low"), F.max(F.when(fits, one)).alias("high"), F.min(F.when(~fits, one)).alias("over"))
         listed = by_size.groupBy("key").agg(F.first("gap").alias("gap"), F.array_distinct(F.array_compact(F.flatten(F.collect_list(F.array("high", "low"))))).alias("some"), F.min("over").alias("over"))
         begin = F.struct(F.col("gap").alias("left"), F.array().cast("array<long>").alias("fills"))
-        taken = lambda got, c: F.struct((got["left"] - c["size"]).alias("left"), F.concat(got["fills"], F.array(c["h"])).alias("fills"))
+        taken = lambda got, c: F.struct((got["left"] - c["size"]).alias("left"), F.concat(got["fills"], F.array(c["row"])).alias("fills"))
         listed = listed.withColumn("got", F.aggregate(F.sort_array("some", False), begin, lambda got, c: F.when(c["size"] <= got["left"], taken(got, c)).otherwise(got)))
         alone = F.coalesce(F.col("over.size") - F.col("gap") < F.col("got.left"), F.lit(False))
-        return listed.select("key", F.when(alone, F.array("over.h")).otherwise(F.col("got.fills")).alias("fills"))
+        return listed.select("key", F.when(alone, F.array("over.row")).otherwise(F.col("got.fills")).alias("fills"))
 
     def range_of(self) -> Column:
         """Range of the hash: its leading bits, in the hash's own (signed) order."""
@@ -137,10 +158,12 @@ class Mix:
     def before_end(self) -> Column:
         """Whether the last pass takes the row, by order; no end: it takes none."""
         own = self.range_of()
-        return F.coalesce((own < F.col("end_range")) | (own == F.col("end_range")) & (F.col("h") <= F.col("end_h")), own < F.col("end_range"), F.lit(False))
+        inside = (own == F.col("end_range")) & (F.col("h") <= F.col("end_h"))
+        tied = (F.col("h") == F.col("tie_h")) & (F.col("row") <= F.col("tie_row"))
+        return F.coalesce(own < F.col("end_range"), F.lit(False)) | F.coalesce(inside, F.lit(False)) | F.coalesce(tied, F.lit(False))
 
     def copies(self) -> Column:
-        extra = self.before_end() | F.coalesce(F.array_contains("fills", F.col("h")), F.lit(False))
+        extra = self.before_end() | F.coalesce(F.array_contains("fills", F.col("row")), F.lit(False))
         return F.when(F.col("size") > 0, F.col("passes") + extra.cast("long")).otherwise(F.least(F.col("passes") + extra.cast("long"), F.lit(MAX_PASSES)))
 
     def planned(self) -> DataFrame:
@@ -149,7 +172,7 @@ class Mix:
         return rows.select("id", "source", "size", "source_size", "target", self.copies().alias("copies")).withColumn("taken", F.col("size") * F.col("copies"))
 
     def occurrences(self, rows: DataFrame) -> DataFrame:
-        """``rows`` (with key, size and h) once for each time they are taken, with mix_pass and mix_position."""
+        """``rows`` (with row, key, size and h) once for each time they are taken, with mix_pass and mix_position."""
         columns = rows.columns
         rows = rows.withColumn("range", self.range_of()).join(_small(self.ranges, self.n_ranges), ["key", "range"])
         rows = rows.join(_small(self.sources.drop("source"), self.n_sources), "key")
@@ -163,12 +186,18 @@ class Mix:
         return rows.select(*columns, "mix_pass", root.alias("mix_position"))
 
     def ordered(self, documents: DataFrame) -> DataFrame:
-        """The columns of ``documents`` with mix_pass and mix_position: a row for each occurrence, range-sorted."""
-        columns = [F.col(f"`{c}`") for c in documents.columns if c not in ("mix_pass", "mix_position")]
-        rows = documents.select(F.struct(*columns).alias("kept"), n_words(F.col(self.text_col)).alias("size"), _key(F.col(self.source_col)).alias("key"), F.col(self.id_col).alias("id"))
-        rows = self.occurrences(rows.select("kept", "size", "key", _order("id", "size").alias("h")))
-        rows = rows.select("kept.*", "mix_pass", "mix_position")
-        return rows.repartitionByRange("mix_position").sortWithinPartitions("mix_position")
+        """The columns of ``documents`` with mix_pass and mix_position: a row for each occurrence, range-sorted.
+
+        A row is known by the column ``row_col``; without one the rows are written with numbers first.
+        """
+        if self.row_col is None:
+            return ordered_mix(documents, self.id_col, self.text_col, self.source_col)
+        columns = [F.col(f"`{c}`") for c in documents.columns if c not in ("mix_pass", "mix_position", self.row_col)]
+        rows = documents.select(F.struct(*columns).alias("kept"), F.col(self.row_col).alias("row"), n_words(F.col(self.text_col)).alias("size"), _key(F.col(self.source_col)).alias("key"), F.col(self.id_col).alias("id"))
+        rows = self.occurrences(rows.select("kept", "row", "size", "key", _order("id", "size").alias("h")))
+        # Rows that share id and size share a position, so the number of the row deals them to ranges.
+        rows = rows.repartitionByRange("mix_position", "row").sortWithinPartitions("mix_position", "row")
+        return rows.select("kept.*", "mix_pass", "mix_position")
 
     def placed(self) -> DataFrame:
         """``planned`` from the occurrences themselves, with mix_positions and mix_places, both by pass.
@@ -188,11 +217,22 @@ class Mix:
         return every.select("id", "source", "size", "source_size", "target", *counts, none["mix_position"].alias("mix_positions"), none["place"].alias("mix_places"))
 
 
-def mix(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> Mix:
+def mix(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", row_col: str | None = None) -> Mix:
     """Plan the mix of ``documents``; see ``Mix.planned``, ``Mix.ordered`` and ``Mix.placed``.
 
     Sizes count words of whole texts; a null or empty text has size 0 and occurs as often as its source is passed
-    over.  Null is a source of its own and stands last.  Rows that repeat id and size are taken or left together.
-    Reruns agree.  An empty table gives an empty plan.  Clashing columns: mix_pass and mix_position are replaced.
+    over.  Null is a source of its own and stands last.  Rows are told apart by ``row_col`` (long, no two alike) or by
+    the order in which they are read: rows that share id, null ones too, and size are as many documents, of which as
+    many are taken as the target asks for.  Reruns agree on ids, sizes and words taken, whichever of such rows come first.  An empty table
+    gives an empty plan.  Clashing columns: mix_pass and mix_position are replaced.
     """
-    return Mix(documents, id_col, text_col, source_col)
+    return Mix(documents, id_col, text_col, source_col, row_col)
+
+
+def ordered_mix(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """``Mix.ordered`` of ``documents``, which are written once with numbers that tell their rows apart."""
+    names = {c: f"c{k}" for k, c in enumerate(documents.columns) if c not in ("mix_pass", "mix_position")}
+    rows = documents.select(*(F.col(f"`{c}`").alias(n) for c, n in names.items()), F.monotonically_increasing_id().alias("row"))
+    rows = materialize(rows, "numbered-documents")
+    mixed = Mix(rows, names[id_col], names[text_col], names[source_col], "row").ordered(rows)
+    return mixed.toDF(*names, "mix_pass", "mix_position")

@@ -89,8 +89,9 @@ def test_mix(spark, case):
     for s, t in filled(sizes).items():
         assert abs(t - target[s]) < 1e-6 * max(1, t)
         assert abs(taken[s] - t) <= (3 if case == "tiny" else 8)
-    again = {(r["id"], r["size"]): r["taken"] for r in mix(df.repartition(3)).planned().collect()}
-    assert again == {(r["id"], r["size"]): r["taken"] for r in got}
+    # Rows that share id and size may be taken a different number of times; which of them comes first is not told.
+    again = collections.Counter((r["id"], r["size"], r["taken"]) for r in mix(df.repartition(3)).planned().collect())
+    assert again == collections.Counter((r["id"], r["size"], r["taken"]) for r in got)
     placed = m.ordered(df).collect()
     assert [r["mix_position"] for r in placed] == sorted(r["mix_position"] for r in placed) and len(placed) == sum(r["copies"] for r in got)
     assert all(0 <= r["mix_position"] <= 1 for r in placed)
