@@ -43,6 +43,8 @@ PIECE_BYTES, RUN_BYTES = 1 << 21, 48 << 20
 PART_BYTES, LEVEL_ROWS = 32 << 20, 1 << 15
 #: Suffixes with one beginning, above which its strings are counted by fingerprints.
 HOT = 1 << 16
+#: Strings that a task holds while it folds them by fingerprint, about 200 bytes each.
+HELD_PRINTS = 1 << 19
 #: Splitters come from about this many beginnings.
 SAMPLE = 1 << 14
 #: Tables of spans are broadcast up to this many bytes, and joined by a shuffle beyond it.
@@ -433,25 +435,43 @@ def repeated_spans(texts: DataFrame, length: int = 400, hot: int = HOT) -> DataF
 def _counted_one_by_one(texts: DataFrame, hots, g: Geometry) -> DataFrame:
     """(digest, first, last) of repeated strings whose anchors have a hot beginning, by fingerprints of each string."""
 
+    names, kinds = ["print", "digest", "first", "n"], [pa.binary(), pa.binary(), pa.int64(), pa.int64()]
+
+    def folded(held: dict[bytes, list[tuple[bytes, int]]]) -> pa.RecordBatch:
+        """A row for each string; strings that occur twice here are known to repeat, so their places need no join."""
+        rows = []
+        for print_, places in held.items():
+            if len(places) == 1:
+                rows.append((print_, *places[0], 1))
+            else:
+                rows.append((print_, None, None, len(places)))
+                rows += [(None, *place, len(places)) for place in set(places)]
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
+
     def prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[bytes, list[tuple[bytes, int]]] = {}
+        n = 0
         for data, ends, digests, shifts, anchors in _pieces(batches, g):
             take = _marked(hots.value, anchors.key)
             raw, first, last = data.tobytes(), anchors.first[take], anchors.last[take]
             which = np.searchsorted(ends, first, side="right")
             begins = np.r_[0, ends[:-1]][which] - shifts[which]
-            rows = [
-                (hashlib.blake2b(raw[p : p + g.length], digest_size=16).digest(), digests[text], p - begin)
-                for a, b, text, begin in zip(first.tolist(), last.tolist(), which.tolist(), begins.tolist(), strict=True) for p in range(a, b + 1)
-            ]
-            if rows:
-                prints_, keys, at = zip(*rows, strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array(prints_, pa.binary()), pa.array(keys, pa.binary()), pa.array(at, pa.int64())], names=["print", "digest", "first"])
-
-    rows = texts.mapInArrow(prints, "print binary, digest binary, first long")
-    # A string of equal texts is one row with a count, and of the rows of a string a sum is all that is kept.
-    rows = materialize(rows.groupBy("print", "digest", "first").agg(F.count("*").alias("n")), "prints")
-    twice = rows.groupBy("print").agg(F.sum("n").alias("n")).where("n > 1").select("print")
-    return rows.join(twice, "print", "left_semi").select("digest", "first", (F.col("first") + g.length).alias("last"))
+            for a, b, text, begin in zip(first.tolist(), last.tolist(), which.tolist(), begins.tolist(), strict=True):
+                n += b + 1 - a
+                for p in range(a, b + 1):
+                    held.setdefault(hashlib.blake2b(raw[p : p + g.length], digest_size=16).digest(), []).append((digests[text], p - begin))
+            if n > HELD_PRINTS:
+                yield folded(held)
+                held, n = {}, 0
+        if held:
+            yield folded(held)
+
+    rows = materialize(texts.mapInArrow(prints, "print binary, digest binary, first long, n long"), "prints")
+    # Of a string there is at most a row for each time a task folded, whatever the number of its places.
+    single = rows.where("print is not null and digest is not null")
+    twice = rows.where("print is not null").groupBy("print").agg(F.sum("n").alias("n")).where("n > 1").select("print")
+    found = rows.where("print is null").unionByName(single.join(twice, "print", "left_semi").select(rows.columns))
+    return found.select("digest", "first", (F.col("first") + g.length).alias("last"))
 
 
 def united(spans: Column) -> Column:
