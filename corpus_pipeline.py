@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from siltstone.llm.common import materialize
 from siltstone.llm.decontamination import contaminated
 from siltstone.llm.jaccard_join import jaccard_join
-from siltstone.llm.mixing import mix
+from siltstone.llm.mixing import ordered_mix
 from siltstone.llm.queries import SHARD_BYTES, table
 from siltstone.llm.sharding import shard
 from siltstone.llm.toxicity import without_toxic
@@ -74,7 +74,7 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix takes them, in the order of the curriculum."""
     rows, names = _plain(docs)
-    mixed = mix(rows, names["doc_id"], names["text"], names["source"]).ordered(rows)
+    mixed = ordered_mix(rows, names["doc_id"], names["text"], names["source"])
     return mixed.select(*names.values()).toDF(*docs.columns)
 
 
