@@ -9,9 +9,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 MESSAGE_CHARS, LEAST_ENTITY, LEAST_SCORE = 2000, 3, 0.5
-# Labels of the tagger and the entity types they stand for; other labels are dropped.
+# Labels of the tagger and the entity types they stand for; null: too general, dropped, as are other labels.
 ENTITY_TYPES = {
     "DISEASE_DISORDER": "DISEASE", "SIGN_SYMPTOM": "SYMPTOM", "MEDICATION": "CHEMICAL", "BIOLOGICAL_STRUCTURE": "ANATOMY", "DIAGNOSTIC_PROCEDURE": "PROCEDURE", "THERAPEUTIC_PROCEDURE": "PROCEDURE",
+    "DETAILED_DESCRIPTION": None, "BIOLOGICAL_ATTRIBUTE": None, "CLINICAL_EVENT": None, "LAB_VALUE": None, "FAMILY_HISTORY": None, "HISTORY": None, "AGE": None, "SEX": None, "DURATION": None, "FREQUENCY": None,
+    "DATE": None, "TIME": None, "AREA": None, "VOLUME": None, "MASS": None, "DISTANCE": None, "DOSAGE": None, "OUTCOME": None, "ADMINISTRATION": None, "PERSONAL_BACKGROUND": None, "ACTIVITY": None, "SUBJECT": None,
+    "SEVERITY": None, "COREFERENCE": None,
     "DISEASE": "DISEASE", "CHEMICAL": "CHEMICAL", "GENE": "GENE_OR_GENE_PRODUCT", "PROTEIN": "GENE_OR_GENE_PRODUCT", "CELL": "CELL_TYPE", "ORGANISM": "ORGANISM",
 }
 SPAN = "struct<label:string,start:int,end:int,score:double>"

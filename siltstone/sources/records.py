@@ -2,126 +2,152 @@
 
 from __future__ import annotations
 
-import hashlib
-import re
-import xml.etree.ElementTree as ET
-from collections.abc import Iterator
-
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from siltstone.functions.text import SECTIONS, section_type
 from siltstone.sources.tables import first_element, first_text
 
-ARTICLE = (
-    "pmid string, title string, abstract string, sections map<string,string>, pub_date string, journal string, language string, "
-    "authors array<struct<last:string,initials:string,orcid:string>>, headings array<struct<ui:string,name:string,major:boolean>>, "
-    "agencies array<string>, references array<string>, checksum string"
-)
-SECTION = "section_order int, section_type string, title string, content string"
-# Month names, and elements whose text is not prose.
+# Month names, marks inside a text of a literature record, and elements of a full text that are not prose.
 MONTHS = {m: k + 1 for k, m in enumerate("jan feb mar apr may jun jul aug sep oct nov dec".split())}
-NOT_PROSE = {"fig", "table-wrap", "table", "ref", "ref-list", "xref"}
+INLINE = r"</?(?:b|i|u|sub|sup|DispFormula|mml:\w+)(?:\s[^<>]*)?/?>"
+NOT_PROSE = ("fig", "table-wrap", "table", "ref-list", "ref", "xref")
+
+_VALUE = "struct<_VALUE:string,_Label:string,_UI:string,_MajorTopicYN:string,_IdType:string>"
+_DATE = "struct<Year:string,Month:string,Day:string,MedlineDate:string>"
+_ABSTRACT = f"struct<AbstractText:array<{_VALUE}>>"
+#: What is read of an article element; the fields may also stand directly below it, as in excerpts.
+ARTICLE_XML = (
+    f"PMID {_VALUE}, ArticleTitle string, Abstract {_ABSTRACT}, PubDate {_DATE}, MedlineCitation struct<PMID:{_VALUE},"
+    f"Article:struct<ArticleTitle:string,Abstract:{_ABSTRACT},Journal:struct<Title:string,JournalIssue:struct<PubDate:{_DATE}>>,Language:array<string>,"
+    "AuthorList:struct<Author:array<struct<LastName:string,Initials:string,Identifier:array<string>>>>,GrantList:struct<Grant:array<struct<Agency:string>>>>,"
+    f"MeshHeadingList:struct<MeshHeading:array<struct<DescriptorName:{_VALUE}>>>>,"
+    f"PubmedData struct<ReferenceList:array<struct<Reference:array<struct<ArticleIdList:array<struct<ArticleId:array<{_VALUE}>>>>>>>>"
+)
 
 
-def _flat(node: ET.Element | None) -> str | None:
-    return None if node is None else re.sub(r"\s+", " ", "".join(node.itertext())).strip() or None
+def _flat(text: Column) -> Column:
+    """Runs of white space as one space; null for nothing."""
+    return F.nullif(F.btrim(F.regexp_replace(text, r"\s+", " ")), F.lit(""))
 
 
-def _date(node: ET.Element | None) -> str | None:
+def _date(d: Column) -> Column:
     """Year[-Month[-Day]] with a numeric month, or the first four characters of a free-form date."""
-    if node is None:
-        return None
-    year, month, day = (node.findtext(k) for k in ("Year", "Month", "Day"))
-    if not year:
-        return (node.findtext("MedlineDate") or "")[:4] or None
-    number = MONTHS.get((month or "")[:3].lower(), int(month) if (month or "").isdigit() else None)
-    parts = [year] + ([f"{number:02d}"] if number else []) + ([f"{int(day):02d}"] if number and (day or "").isdigit() else [])
-    return "-".join(parts)
-
-
-def parse_article(node: ET.Element) -> dict | None:
-    """A record of one article element; None without a valid id or title."""
-    pmid = node.findtext(".//PMID") or ""
-    title = _flat(node.find(".//ArticleTitle"))
-    if not re.fullmatch(r"\d{1,20}", pmid) or not title:
-        return None
-    parts = [(p.get("Label"), _flat(p)) for p in node.findall(".//Abstract/AbstractText")]
-    parts = [(label, text) for label, text in parts if text]
-    orcid = lambda a: re.search(r"(\d{4}-\d{4}-\d{4}-\d{3}[\dX])\s*$", a.findtext("Identifier") or "")
-    return {
-        "pmid": pmid, "title": title,
-        "abstract": " ".join(f"{label}: {text}" if label else text for label, text in parts) or None,
-        "sections": {label: text for label, text in parts if label},
-        "pub_date": _date(node.find(".//PubDate")), "journal": node.findtext(".//Journal/Title"), "language": node.findtext(".//Language") or "eng",
-        "authors": [{"last": a.findtext("LastName"), "initials": (a.findtext("Initials") or "")[:20] or None, "orcid": m[1] if (m := orcid(a)) else None} for a in node.findall(".//AuthorList/Author")],
-        "headings": [{"ui": h.get("UI"), "name": h.text, "major": h.get("MajorTopicYN") == "Y"} for h in node.findall(".//MeshHeading/DescriptorName")],
-        "agencies": sorted({g.text for g in node.findall(".//Grant/Agency") if g.text}),
-        "references": [r.text for r in node.findall(".//ReferenceList//ArticleId[@IdType='pubmed']") if re.fullmatch(r"\d{1,20}", r.text or "")],
-        "checksum": hashlib.sha256(ET.tostring(node)).hexdigest(),
-    }
-
-
-def articles(batches: DataFrame, xml: str) -> DataFrame:
-    """Typed rows of all article elements in the XML documents of column ``xml``; a malformed document raises."""
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        columns = [c.split()[0] for c in re.split(r", (?=\w+ (?:string|map|array))", ARTICLE)]
-        for frame in frames:
-            rows = [r for doc in frame[xml] for a in ET.fromstring(doc).iter("PubmedArticle") if (r := parse_article(a))]
-            yield pd.DataFrame(rows, columns=columns)
+    months = F.create_map(*(F.lit(x) for kv in MONTHS.items() for x in kv))
+    digits = lambda c: F.when(c.rlike(r"^\d+$"), c.cast("int"))
+    month = F.coalesce(F.try_element_at(months, F.lower(F.left(d["Month"], F.lit(3)))), digits(d["Month"]))
+    two = lambda n: F.lpad(n.cast("string"), 2, "0")
+    day = F.when(month.isNotNull(), two(digits(d["Day"])))
+    free = F.nullif(F.left(d["MedlineDate"], F.lit(4)), F.lit(""))
+    return F.when(F.coalesce(d["Year"], F.lit("")) != "", F.concat_ws("-", d["Year"], two(month), day)).otherwise(free)
 
-    return batches.select(xml).mapInPandas(run, ARTICLE)
 
+def raw_articles(batches: DataFrame, xml: str) -> DataFrame:
+    """(raw): the article elements in the documents of column ``xml``, byte for byte."""
+    return batches.select(F.explode(F.regexp_extract_all(xml, F.lit(r"(?s)<PubmedArticle[\s>].*?</PubmedArticle>"), F.lit(0))).alias("raw"))
 
-def _section_type(node: ET.Element) -> str:
-    given = (node.get("sec-type") or "").lower()
-    for name in sorted(set(SECTIONS.values())):
-        if name in given:
-            return name
-    return SECTIONS.get((_flat(node.find("title")) or "").lower().rstrip("."), "other")
 
-
-def _prose(node: ET.Element) -> str:
-    own = [node.text or ""]
-    for child in node:
-        if child.tag not in NOT_PROSE and child.tag != "sec":
-            own.append(_prose(child))
-        own.append(child.tail or "")
-    return re.sub(r"\s+", " ", " ".join(own)).strip()
-
-
-def full_text_sections(node: ET.Element) -> list[dict]:
-    """Sections of a body in document order, nested ones after their parent."""
-    out: list[dict] = []
-
-    def walk(sec: ET.Element) -> None:
-        text = " ".join(_prose(p) for p in sec if p.tag not in ("title", "sec") and p.tag not in NOT_PROSE).strip()
-        if text:
-            out.append({"section_order": len(out), "section_type": _section_type(sec), "title": _flat(sec.find("title")), "content": text})
-        for child in sec.findall("sec"):
-            walk(child)
-
-    for sec in node.findall("sec"):
-        walk(sec)
-    return out
+def articles(batches: DataFrame, xml: str) -> DataFrame:
+    """Typed rows of all article elements in the documents of column ``xml``, with the digest of the element's own bytes.
+
+    A record that is not well-formed, or has no valid id or title, is left out, the others of its document are not.
+    """
+    # Marks inside a text would make its element a structure; without them it is read as a value.
+    rows = raw_articles(batches, xml).select("raw", F.from_xml(F.regexp_replace("raw", INLINE, ""), ARTICLE_XML).alias("r"))
+    m, a = F.col("r.MedlineCitation"), F.col("r.MedlineCitation.Article")
+    pmid = F.coalesce(m["PMID"]["_VALUE"], F.col("r.PMID._VALUE"))
+    title = _flat(F.coalesce(a["ArticleTitle"], F.col("r.ArticleTitle")))
+    texts = F.coalesce(a["Abstract"], F.col("r.Abstract"))["AbstractText"]
+    parts = F.filter(F.transform(texts, lambda t: F.struct(t["_Label"].alias("label"), _flat(t["_VALUE"]).alias("text"))), lambda t: t["text"].isNotNull())
+    labelled = F.filter(parts, lambda t: t["label"].isNotNull())
+    orcid = lambda x: F.nullif(F.regexp_extract(F.coalesce(F.try_element_at(x["Identifier"], F.lit(1)), F.lit("")), r"(\d{4}-\d{4}-\d{4}-\d{3}[\dX])\s*$", 1), F.lit(""))
+    author = lambda x: F.struct(x["LastName"].alias("last"), F.nullif(F.left(x["Initials"], F.lit(20)), F.lit("")).alias("initials"), orcid(x).alias("orcid"))
+    heading = lambda h: F.struct(h["DescriptorName"]["_UI"].alias("ui"), h["DescriptorName"]["_VALUE"].alias("name"), (h["DescriptorName"]["_MajorTopicYN"] == "Y").alias("major"))
+    none = F.array()
+    cited = _cited(F.col("r.PubmedData.ReferenceList"))
+    return rows.select(
+        F.btrim(pmid).alias("pmid"), title.alias("title"),
+        F.nullif(F.array_join(F.transform(parts, lambda t: F.concat_ws(": ", t["label"], t["text"])), " "), F.lit("")).alias("abstract"),
+        F.map_from_entries(F.array_distinct(F.coalesce(_last_of(labelled), none.cast("array<struct<label:string,text:string>>")))).alias("sections"),
+        _date(F.coalesce(a["Journal"]["JournalIssue"]["PubDate"], F.col("r.PubDate"))).alias("pub_date"),
+        a["Journal"]["Title"].alias("journal"), F.coalesce(F.try_element_at(a["Language"], F.lit(1)), F.lit("eng")).alias("language"),
+        F.coalesce(F.transform(a["AuthorList"]["Author"], author), none.cast("array<struct<last:string,initials:string,orcid:string>>")).alias("authors"),
+        F.coalesce(F.transform(m["MeshHeadingList"]["MeshHeading"], heading), none.cast("array<struct<ui:string,name:string,major:boolean>>")).alias("headings"),
+        F.array_sort(F.array_distinct(F.filter(F.coalesce(a["GrantList"]["Grant"]["Agency"], none.cast("array<string>")), lambda g: F.coalesce(g, F.lit("")) != ""))).alias("agencies"),
+        cited.alias("references"), F.sha2(F.col("raw").cast("binary"), 256).alias("checksum"),
+    ).where(F.col("pmid").rlike(r"^\d{1,20}$") & F.col("title").isNotNull())
+
+
+def _last_of(labelled: Column) -> Column:
+    """Of entries that share a label the last one, as a map keeps it."""
+    later = lambda t, i: ~F.exists(F.slice(labelled, i + 2, F.size(labelled)), lambda u: u["label"] == t["label"])
+    return F.filter(labelled, later)
+
+
+def _cited(lists: Column) -> Column:
+    """Ids of the cited records; citations whose text stands in place of an id are none."""
+    references = F.flatten(F.filter(F.transform(lists, lambda x: x["Reference"]), lambda x: x.isNotNull()))
+    ids = F.flatten(F.filter(F.transform(references, lambda x: F.flatten(x["ArticleIdList"]["ArticleId"])), lambda x: x.isNotNull()))
+    good = F.filter(ids, lambda i: (i["_IdType"] == "pubmed") & i["_VALUE"].rlike(r"^\d{1,20}$"))
+    return F.coalesce(F.transform(good, lambda i: i["_VALUE"]), F.array().cast("array<string>"))
+
+
+def books(batches: DataFrame, xml: str) -> DataFrame:
+    """(pmid): entries that are no articles, so that they can be marked as skipped."""
+    raw = F.explode(F.regexp_extract_all(xml, F.lit(r"(?s)<PubmedBookArticle[\s>].*?</PubmedBookArticle>"), F.lit(0)))
+    return batches.select(raw.alias("raw")).select(F.regexp_extract("raw", r"<PMID[^>]*>\s*(\d{1,20})\s*</PMID>", 1).alias("pmid")).where("pmid <> ''")
+
+
+def _prose(xml: Column) -> Column:
+    """The text of XML without elements that are not prose and without marks, entities as characters."""
+    kept = xml
+    for tag in NOT_PROSE:
+        kept = F.regexp_replace(kept, rf"(?s)<{tag}(?:\s[^<>]*)?/>|<{tag}(?:\s[^<>]*)?>.*?</{tag}\s*>", " ")
+    kept = F.regexp_replace(kept, r"<[^<>]*>", " ")
+    for entity, char in (("lt", "<"), ("gt", ">"), ("quot", '"'), ("apos", "'"), ("amp", "&")):
+        kept = F.replace(kept, F.lit(f"&{entity};"), F.lit(char))
+    return F.coalesce(_flat(kept), F.lit(""))
+
+
+#: The title that a section begins with, and the marks where sections begin and end.
+_TITLE = r"(?s)^\s*(?:<label(?:\s[^<>]*)?>.*?</label\s*>\s*)?<title(?:\s[^<>]*)?>(.*?)</title\s*>"
+_SEC = r"<sec(?:\s[^<>]*[^/<>])?>|</sec\s*>"
 
 
 def sections(docs: DataFrame, id_col: str, xml: str) -> DataFrame:
-    """(``id_col``, section_order, section_type, title, content); texts without an article element give no rows."""
-    kind = docs.schema[id_col].dataType.simpleString()
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            rows = []
-            for key, doc in zip(frame[id_col], frame[xml], strict=True):
-                if doc and "<article" in doc:
-                    body = ET.fromstring(doc).find(".//body")
-                    rows += [{id_col: key, **s} for s in full_text_sections(body)] if body is not None else []
-            yield pd.DataFrame(rows, columns=[id_col, *(c.split()[0] for c in SECTION.split(", "))])
-
-    return docs.select(id_col, xml).mapInPandas(run, f"{id_col} {kind}, {SECTION}")
+    """(``id_col``, section_order, section_type, title, content) of the sections of a body, nested ones after their parent.
+
+    Sections nest to any depth; what stands in one belongs to it wherever its own sections stand.  Sections without prose and
+    texts without an article's body give no rows.
+    """
+    body = F.regexp_extract(F.regexp_replace(xml, r"(?s)<!--.*?-->", ""), r"(?s)<article[\s>].*?<body(?:\s[^<>]*)?>(.*)</body\s*>", 1)
+    rows = docs.where(F.col(xml).isNotNull()).select(id_col, body.alias("_b")).where("_b <> ''")
+    rows = rows.select(id_col, F.regexp_extract_all("_b", F.lit(_SEC), F.lit(0)).alias("_tags"), F.split("_b", _SEC).alias("_texts"))
+    # Which section each piece of text is in: the innermost one that is open, by a stack of their numbers.
+    begin = F.struct(F.array().cast("array<int>").alias("open"), F.lit(0).alias("n"), F.array().cast("array<int>").alias("of"))
+
+    def step(got: Column, tag: Column) -> Column:
+        down = F.startswith(tag, F.lit("<sec"))
+        n = got["n"] + F.when(down, 1).otherwise(0)
+        open_ = F.when(down, F.concat(got["open"], F.array(n))).otherwise(F.slice(got["open"], 1, F.greatest(F.size(got["open"]) - 1, F.lit(0))))
+        return F.struct(open_.alias("open"), n.alias("n"), F.concat(got["of"], F.array(F.coalesce(F.try_element_at(open_, F.lit(-1)), F.lit(0)))).alias("of"))
+
+    of = F.aggregate("_tags", begin, step, lambda got: got["of"])
+    piece = F.posexplode(F.arrays_zip(of.alias("of"), F.col("_tags").alias("tag"), F.slice("_texts", 2, F.size("_tags")).alias("text")))
+    pieces = rows.select(id_col, piece.alias("at", "p")).where("p.of > 0")
+    listed = F.sort_array(F.collect_list(F.struct("at", F.col("p.tag").alias("tag"), F.col("p.text").alias("text"))))
+    found = pieces.groupBy(id_col, F.col("p.of").alias("n")).agg(listed.alias("s"))
+    own = F.array_join(F.transform("s", lambda x: x["text"]), " ")
+    title_xml = F.regexp_extract(own, _TITLE, 1)
+    content = _prose(F.regexp_replace(own, _TITLE, " "))
+    title = F.nullif(_prose(title_xml), F.lit(""))
+    given = F.lower(F.regexp_extract(F.col("s")[0]["tag"], r"""sec-type\s*=\s*["']([^"']*)""", 1))
+    kind = section_type(F.regexp_replace(F.coalesce(title, F.lit("")), r"\.$", ""))
+    for name in reversed(sorted(set(SECTIONS.values()))):
+        kind = F.when(F.contains(given, F.lit(name)), name).otherwise(kind)
+    some = found.select(id_col, "n", kind.alias("section_type"), title.alias("title"), content.alias("content")).where("content <> ''")
+    order = F.row_number().over(Window.partitionBy(id_col).orderBy("n")) - 1
+    return some.select(id_col, order.alias("section_order"), "section_type", "title", "content")
 
 
 _HEADING = r"(?is)<h[1-6][^>]*>.*?</h[1-6]>"
