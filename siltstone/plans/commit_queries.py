@@ -1,4 +1,4 @@
-"""Registered queries over tables with versions: claims of a queue, commits of several tables."""
+"""Registered queries over tables with versions: claims of a queue, commits of several tables, graph upkeep, bulk writes."""
 
 from __future__ import annotations
 
@@ -7,9 +7,10 @@ import uuid
 from pyspark.sql import functions as F
 
 from siltstone.plans.registry import query
+from siltstone.sources import index_sink
 from siltstone.sources.store import shared_folder
 from siltstone.sources.versioned import VersionedTables
-from siltstone.streaming import state
+from siltstone.streaming import state, upkeep
 
 
 def versioned(t) -> VersionedTables:
@@ -43,3 +44,30 @@ def merge_commit(t):
     now = tables.at()
     of = now.read("links").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.count("part").alias("links"), F.sum("part").alias("parts"))
     return now.read("papers").join(of, "o_orderkey", "left").select("o_orderkey", "status", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("parts", F.lit(0)).alias("parts"))
+
+
+@query("WITH m AS (SELECT DISTINCT l_orderkey AS g, lower(p_brand) AS e FROM lineitem JOIN part ON l_partkey = p_partkey) SELECT x.e AS a, y.e AS b, count(*) AS weight FROM m x JOIN m y ON x.g = y.g AND x.e < y.e GROUP BY ALL")
+def graph_stream(t):
+    """The graph of brands after three arrivals of orders, of which one is delivered again and one comes again as another batch."""
+    members = t("lineitem").join(t("part"), F.col("l_partkey") == F.col("p_partkey")).select(F.col("l_orderkey").alias("chunk"), F.col("p_brand").alias("entity"))
+    folder, tables = f"{shared_folder(t.spark)}/siltstone/streams/{uuid.uuid4().hex}", versioned(t)
+    apply = upkeep.upkeep(tables, "chunk", "entity", compact_every=2)
+    for k in range(3):
+        members.where(F.pmod("chunk", F.lit(3)) == k).write.mode("append").parquet(f"{folder}/in")
+        arriving = t.spark.readStream.schema(members.schema).parquet(f"{folder}/in")
+        arriving.writeStream.foreachBatch(apply).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    again = members.where(F.pmod("chunk", F.lit(3)) == 1)
+    apply(again, 1)
+    apply(again, 7)
+    return upkeep.edges(tables)
+
+
+@query("SELECT user_id, arg_max(event_type, (CASE event_type WHEN 'purchase' THEN 2 WHEN 'error' THEN 1 ELSE 0 END, event_id)) AS event_type, max(CASE event_type WHEN 'purchase' THEN 2 WHEN 'error' THEN 1 ELSE 0 END) AS run FROM events GROUP BY user_id")
+def bulk_index(t):
+    """Three bulk writes to an index, of which a later one wins for its keys."""
+    path = f"file://{folder}" if "://" not in (folder := f"{shared_folder(t.spark)}/siltstone/index/{uuid.uuid4().hex}") else folder
+    run = F.when(F.col("event_type") == "purchase", 2).when(F.col("event_type") == "error", 1).otherwise(0)
+    rows = t("events").select("user_id", "event_id", "event_type", run.alias("run"))
+    for k in range(3):
+        index_sink.bulk_write(rows.where(F.col("run") == k), path)
+    return index_sink.read_index(t.spark, path, rows.schema, "user_id", "event_id").select("user_id", "event_type", "run")

@@ -85,6 +85,11 @@ class Version:
     def files(self, table: str) -> dict[int, list[str]]:
         return {int(b): names for b, names in self.manifest["tables"][table]["files"].items()}
 
+    def touched(self, table: str, rows: DataFrame) -> list[int]:
+        """Buckets in which the keys of ``rows`` are."""
+        entry = self.manifest["tables"][table]
+        return sorted(r[0] for r in rows.select(_bucket(entry["key"], entry["buckets"]).alias("b")).distinct().collect())
+
     def read(self, table: str, buckets: list[int] | None = None) -> DataFrame:
         """The rows of ``table``, or those of some buckets: only their files are opened."""
         entry = self.manifest["tables"][table]
@@ -109,9 +114,11 @@ class VersionedTables:
         manifest = json.loads(self.store.read(self._log(number))) if number else {"version": 0, "tables": {}}
         return Version(self.spark, self.folder, manifest)
 
-    def commit(self, change: Callable[[Version], dict[str, DataFrame]], keys: dict[str, list[str]] | None = None, buckets: int = BUCKETS, attempts: int = ATTEMPTS) -> tuple[int, dict[str, DataFrame]]:
+    def commit(self, change: Callable[[Version], dict[str, DataFrame]], keys: dict[str, list[str]] | None = None, buckets: int = BUCKETS, attempts: int = ATTEMPTS, append: tuple[str, ...] = ()) -> tuple[int, dict[str, DataFrame]]:
         """(version, changed rows by table): upserts of all tables that ``change`` names, in one version.
 
+        Rows of the tables in ``append`` are added to their buckets, whose files stay as they are.
+
         ``change`` sees the version before and gives the new rows of each table, one a key; it is asked again if another
         writer came first.  ``keys`` has the key columns of tables that are new.  Without rows nothing is committed, and the
         version is the one that was seen.
@@ -120,7 +127,7 @@ class VersionedTables:
             before = self.at()
             mark = uuid.uuid4().hex
             try:
-                tables, changed = self._written(before, change(before), keys or {}, buckets, f"data/{mark}")
+                tables, changed = self._written(before, change(before), keys or {}, buckets, f"data/{mark}", append)
             except BaseException:
                 self.store.delete(f"{self.folder}/data/{mark}")
                 raise
@@ -142,10 +149,30 @@ class VersionedTables:
 
         return self.commit(change)[1][table]
 
+    def compact(self, table: str, most: int = 8) -> int:
+        """Buckets of more than ``most`` files get one file; the rows stay, and so does every other bucket."""
+        for _ in range(ATTEMPTS):
+            before = self.at()
+            many = [b for b, names in before.files(table).items() if len(names) > most]
+            if not many:
+                return before.number
+            entry, data = before.manifest["tables"][table], f"data/{uuid.uuid4().hex}"
+            files = entry["files"] | self._stored(before.read(table, many), entry, f"{data}/{table}", many)
+            manifest = {"version": before.number + 1, "tables": before.manifest["tables"] | {table: entry | {"files": files}}}
+            if self.store.put_if_absent(self._log(before.number + 1), json.dumps(manifest)):
+                return before.number + 1
+            self.store.delete(f"{self.folder}/{data}")
+        raise Conflict(f"{ATTEMPTS} attempts lost to other writers")
+
+    def _stored(self, rows: DataFrame, entry: dict, where: str, buckets: list[int]) -> dict[str, list[str]]:
+        """Files of ``rows`` by bucket, written below ``where``."""
+        rows.withColumn("_bucket", _bucket(entry["key"], entry["buckets"])).repartition("_bucket").write.partitionBy("_bucket").parquet(f"{self.folder}/{where}")
+        return {str(b): [f"{where}/_bucket={b}/{n}" for n in self.store.names(f"{self.folder}/{where}/_bucket={b}") if n.endswith(".parquet")] for b in buckets}
+
     def _log(self, number: int) -> str:
         return f"{self.folder}/log/{number:012d}.json"
 
-    def _written(self, before: Version, changes: dict[str, DataFrame], keys: dict[str, list[str]], buckets: int, data: str) -> tuple[dict, dict[str, DataFrame]]:
+    def _written(self, before: Version, changes: dict[str, DataFrame], keys: dict[str, list[str]], buckets: int, data: str, append: tuple[str, ...] = ()) -> tuple[dict, dict[str, DataFrame]]:
         """Manifest entries of the changed tables, whose files are written, and their changed rows."""
         tables, changed = {}, {}
         for table, rows in changes.items():
@@ -158,13 +185,13 @@ class VersionedTables:
             touched = sorted(r[0] for r in rows.select(bucket.alias("b")).distinct().collect())
             if not touched:
                 continue
-            files = {b: ns for b, ns in entry["files"].items() if int(b) not in touched}
-            old = before.read(table, touched) if table in before.manifest["tables"] else self.spark.createDataFrame([], schema)
-            merged = old.join(rows.select(*entry["key"]), entry["key"], "left_anti").select(*schema.names).unionByName(rows)
-            merged.withColumn("_bucket", bucket).repartition("_bucket").write.partitionBy("_bucket").parquet(f"{self.folder}/{data}/{table}")
-            for b in touched:
-                where = f"{data}/{table}/_bucket={b}"
-                files[str(b)] = [f"{where}/{n}" for n in self.store.names(f"{self.folder}/{where}") if n.endswith(".parquet")]
+            if table in append:
+                added = self._stored(rows, entry, f"{data}/{table}", touched)
+                files = entry["files"] | {b: entry["files"].get(b, []) + names for b, names in added.items()}
+            else:
+                old = before.read(table, touched) if table in before.manifest["tables"] else self.spark.createDataFrame([], schema)
+                merged = old.join(rows.select(*entry["key"]), entry["key"], "left_anti").select(*schema.names).unionByName(rows)
+                files = entry["files"] | self._stored(merged, entry, f"{data}/{table}", touched)
             tables[table] = entry | {"files": files}
         return tables, changed
 
