@@ -21,7 +21,8 @@ ONE_TASK_EDGES = 4_000_000
 
 def pairs(members: DataFrame, group: str, member: str) -> DataFrame:
     """(group, a, b) for the distinct lower-cased members of each group, a < b."""
-    one = members.where(F.col(member).isNotNull()).select(F.col(group).alias("g"), F.lower(member).alias("e")).distinct()
+    # Dealt by group once: the distinct rows and both sides of the join lie as they are needed.
+    one = members.where(F.col(member).isNotNull()).select(F.col(group).alias("g"), F.lower(member).alias("e")).repartition("g").distinct()
     other = one.select("g", F.col("e").alias("b"))
     return one.withColumnRenamed("e", "a").join(other, "g").where("a < b")
 
@@ -31,10 +32,11 @@ def heading_rows(links: DataFrame, names: DataFrame, paper: str, heading: str, n
 
     Pairs of headings with the same names repeat a row.
     """
-    left = links.select(F.col(paper).alias("p"), F.col(heading).alias("x")).distinct()
-    right = left.select("p", F.col("x").alias("y"))
-    label = names.select(F.col(heading).alias("k"), F.lower(name).alias("label"))
-    both = left.join(right, "p").where("x < y").join(label.toDF("x", "lx"), "x").join(label.toDF("y", "ly"), "y")
+    label = names.select(F.col(heading).alias("x"), F.lower(name).alias("lx"))
+    # Dealt by paper once, with the names: a heading is named before its pairs are made, not after.
+    left = links.select(F.col(paper).alias("p"), F.col(heading).alias("x")).distinct().join(label, "x").repartition("p")
+    right = left.select("p", F.col("x").alias("y"), F.col("lx").alias("ly"))
+    both = left.join(right, "p").where("x < y")
     return both.select(F.least("lx", "ly").alias("a"), F.greatest("lx", "ly").alias("b"), F.col("p").alias("source"))
 
 

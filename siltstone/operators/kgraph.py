@@ -122,28 +122,35 @@ def nodes(relations: DataFrame, answers: DataFrame, graph: str, order: str, type
 
     ``relations`` is (graph, order, subject, predicate, object), ``answers`` (graph, answer), ``types`` (graph, label_lc, type).
     """
-    ends = relations.select(graph, order, F.explode(F.array(F.struct(F.lit(0).alias("side"), F.btrim("subject").alias("label")), F.struct(F.lit(1).alias("side"), F.btrim("object").alias("label")))).alias("x"))
+    ends = relations.repartition(graph).select(graph, order, F.explode(F.array(F.struct(F.lit(0).alias("side"), F.btrim("subject").alias("label")), F.struct(F.lit(1).alias("side"), F.btrim("object").alias("label")))).alias("x"))
     ends = ends.select(graph, F.struct(order, "x.side").alias("at"), "x.label", F.lower("x.label").alias("label_lc")).where("label <> ''")
     first = ends.groupBy(graph, "label_lc").agg(F.min_by("label", "at").alias("label"), F.min("at").alias("at"))
     grounded = first.join(answers, graph).where(F.contains(F.lower("answer"), F.col("label_lc")) & ~F.col("label_lc").isin(VAGUE_LABELS))
     if types is not None:
-        grounded = grounded.join(types, [graph, "label_lc"], "left")
+        # A graph's types are a map beside its rows, so all that is asked of a graph needs it dealt by the graph alone.
+        known = _by_graph(types, graph, "label_lc", "type", "types")
+        grounded = grounded.join(known, graph, "left").withColumn("type", F.try_element_at("types", F.col("label_lc"))).drop("types")
     kind = F.coalesce("type", F.lit("OTHER")) if types is not None else F.lit("OTHER")
     named = grounded.select(graph, "label_lc", "label", "at", slug(F.col("label")).alias("id"), kind.alias("type"))
     lead = Window.partitionBy(graph, "id").orderBy("at")
     return named.select(graph, "id", F.first("label").over(lead).alias("label"), "label_lc", F.first("type").over(lead).alias("type"))
 
 
+def _by_graph(rows: DataFrame, graph: str, key: str, value: str, name: str) -> DataFrame:
+    """(graph, name): a map of each graph's keys; a graph is what one answer gave, so the map is small."""
+    one = rows.groupBy(graph, key).agg(F.min(value).alias(value))
+    return one.groupBy(graph).agg(F.map_from_entries(F.collect_list(F.struct(key, value))).alias(name))
+
+
 def edges(relations: DataFrame, labelled: DataFrame, graph: str, order: str) -> DataFrame:
     """(graph, source, predicate, target, citations): both ends known and different, no vague predicate, three words at most.
 
     ``relations`` has citations as array<long>; citations of equal edges unite in the order first seen.
     """
-    side = lambda c: labelled.select(graph, F.col("label_lc").alias(f"{c}_lc"), F.col("id").alias(c))
     pred = F.lower(F.btrim("predicate"))
-    rows = relations.select(graph, order, F.lower(F.btrim("subject")).alias("source_lc"), F.lower(F.btrim("object")).alias("target_lc"), pred.alias("pred"), "citations")
-    rows = rows.where((F.col("pred") != "") & ~F.col("pred").isin(VAGUE_PREDICATES))
-    rows = rows.join(side("source"), [graph, "source_lc"]).join(side("target"), [graph, "target_lc"]).where("source <> target")
+    rows = relations.repartition(graph).select(graph, order, F.lower(F.btrim("subject")).alias("source_lc"), F.lower(F.btrim("object")).alias("target_lc"), pred.alias("pred"), "citations")
+    rows = rows.where((F.col("pred") != "") & ~F.col("pred").isin(VAGUE_PREDICATES)).join(_by_graph(labelled, graph, "label_lc", "id", "ids"), graph)
+    rows = rows.select(graph, order, F.try_element_at("ids", F.col("source_lc")).alias("source"), F.try_element_at("ids", F.col("target_lc")).alias("target"), "pred", "citations").where("source <> target")
     short = F.array_join(F.slice(F.split("pred", r"\s+"), 1, 3), " ")
     listed = F.sort_array(F.collect_list(F.struct(order, "citations")))
     united = F.array_distinct(F.flatten(F.transform(listed, lambda x: F.coalesce(x["citations"], F.array().cast("array<bigint>")))))

@@ -134,7 +134,8 @@ w AS (SELECT doc_id, line, term, ln(1 + count(*)) AS w FROM (SELECT doc_id, line
 
 
 def line_weights(t) -> DataFrame:
-    lines = t("documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("line", "s"))
+    # Texts are dealt by document, so that their words need no shuffle until terms are counted over documents.
+    lines = t("documents").repartition("doc_id").select("doc_id", F.posexplode(F.split("text", "\n")).alias("line", "s"))
     counted = lines.select("doc_id", "line", F.explode(lexical.tokens(F.col("s"))).alias("term")).groupBy("doc_id", "line", "term").agg(F.count("*").alias("tf"))
     return counted.withColumn("w", vectors.saturate(F.col("tf")))
 
