@@ -30,12 +30,10 @@ def arrived(t, rows: DataFrame, process: Callable[[DataFrame], DataFrame]) -> Da
     return t.spark.read.parquet(f"{folder}/out")
 
 
-_WHAT = F.when(F.col("event_type") == "purchase", "invalidate").when(F.col("event_type") == "error", "missing").otherwise("")
-
-
 def key_cache_stream(t):
     """As ``key_cache_invalidate``, by a value state and timers."""
-    rows = t("events").select("user_id", "event_id", "ts", _WHAT.alias("what"))
+    what = F.when(F.col("event_type") == "purchase", "invalidate").when(F.col("event_type") == "error", "missing").otherwise("")
+    rows = t("events").select("user_id", "event_id", "ts", what.alias("what"))
     return arrived(t, rows, lambda s: processors.key_cache_stream(s, "user_id", "ts", "event_id", "what", 43200))
 
 
