@@ -11,12 +11,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark import StorageLevel
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 DAMPING, ROUNDS, TOP_ENTITIES, TOLERANCE, SECOND_TOLERANCE = 0.9, 30, 50, 1e-6, 1e-3
-#: Edges up to which a rank is iterated inside one task (about 100 MB); beyond it every round is a join.
-ONE_TASK_EDGES = 4_000_000
+#: Nodes of a block of ranks (1 MB) and edges of a unit (about 10 MB), on average.
+BLOCK_NODES, UNIT_EDGES, SLOT_BITS = 1 << 17, 1 << 19, 32
 
 
 def pairs(members: DataFrame, group: str, member: str) -> DataFrame:
@@ -86,18 +88,21 @@ def symmetric(graph: DataFrame, least: int = 2) -> DataFrame:
     return kept.select(F.col("a").alias("src"), F.col("b").alias("dst"), "weight").unionByName(back)
 
 
-def personalised_pagerank(edges: DataFrame, seeds: list[str], rounds: int = ROUNDS, damping: float = DAMPING, tolerance: float = TOLERANCE, one_task_edges: int = ONE_TASK_EDGES) -> DataFrame:
-    """(node, rank) by power iteration over (src, dst, weight), restarting uniformly at the seeds that are nodes.
+def personalised_pagerank(edges: DataFrame, seeds: list[str], rounds: int = ROUNDS, damping: float = DAMPING, tolerance: float = TOLERANCE, one_task_edges: int = UNIT_EDGES, block_nodes: int = BLOCK_NODES, unit_edges: int = UNIT_EDGES) -> DataFrame:
+    """(node, rank) by power iteration over (src, dst, weight), weights above 0, restarting uniformly at the seeds that are nodes.
 
     Starts uniform over all nodes; what nodes without out-edges hold goes to the seeds.  Ends when the ranks' summed change
     falls below nodes * ``tolerance``, or after ``rounds``; a tolerance of 0 runs them all.  If the last change is above
-    nodes * 1e-3 too, it fails.  Empty without a valid seed.  ``edges`` should be a stored table: it is read in every round
-    of a large graph, and once for a small one, which is iterated in one task.
+    nodes * 1e-3 too, it fails.  Empty without a valid seed.  Edges with a null end are left out, repeated edges add up.
+
+    A graph is iterated by units of edges (``_rank_by_blocks``).  One of a single unit has nothing to exchange and runs its
+    rounds inside that unit's task, with the same ranks.
     """
     seeds = sorted({s.lower() for s in seeds})
+    edges = edges.where("src IS NOT NULL AND dst IS NOT NULL")
     if edges.count() <= one_task_edges:
-        return _rank_in_one_task(edges, seeds, rounds, damping, tolerance)
-    return _rank_by_joins(edges, seeds, rounds, damping, tolerance)
+        return _rank_one_unit(edges, seeds, rounds, damping, tolerance)
+    return _rank_by_blocks(edges, seeds, rounds, damping, tolerance, block_nodes, unit_edges)
 
 
 def _settled(change: float, nodes: int, last: bool, tolerance: float) -> bool:
@@ -106,7 +111,7 @@ def _settled(change: float, nodes: int, last: bool, tolerance: float) -> bool:
     return last or change < nodes * tolerance
 
 
-def _rank_in_one_task(edges: DataFrame, seeds: list[str], rounds: int, damping: float, tolerance: float) -> DataFrame:
+def _rank_one_unit(edges: DataFrame, seeds: list[str], rounds: int, damping: float, tolerance: float) -> DataFrame:
     kind = edges.schema["src"].dataType.simpleString()
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -130,27 +135,94 @@ def _rank_in_one_task(edges: DataFrame, seeds: list[str], rounds: int, damping:
     return edges.select("src", "dst", F.col("weight").cast("double").alias("weight")).coalesce(1).mapInPandas(run, f"node {kind}, rank double")
 
 
-def _rank_by_joins(edges: DataFrame, seeds: list[str], rounds: int, damping: float, tolerance: float) -> DataFrame:
-    """A round is one join and one aggregation by node; its ranks are checkpointed, so no plan grows with the rounds."""
-    nodes = edges.select(F.col("src").alias("node")).union(edges.select("dst")).distinct()
-    out = edges.groupBy("src").agg(F.sum("weight").alias("total"))
-    moves = edges.join(out, "src").select("src", "dst", (F.col("weight") / F.col("total")).alias("share")).checkpoint()
-    seeded = nodes.withColumn("seed", F.col("node").isin(seeds).cast("double"))
-    n, valid = seeded.agg(F.count("*"), F.coalesce(F.sum("seed"), F.lit(0.0))).first()
-    if not valid:
-        return nodes.where("false").withColumn("rank", F.lit(0.0))
-    base = seeded.join(out.select(F.col("src").alias("node"), F.lit(False).alias("dead")), "node", "left").select("node", (F.col("seed") / valid).alias("seed"), F.coalesce("dead", F.lit(True)).alias("dead"))
-    ranks = base.withColumn("rank", F.lit(1.0 / n)).checkpoint()
-    lost = ranks.agg(F.coalesce(F.sum(F.when(F.col("dead"), F.col("rank"))), F.lit(0.0))).first()[0]
+def _products(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """What each unit of edges sends to the blocks of its targets: sorted slots and their sums."""
+    for batch in batches:
+        held = {c: batch.column(c) for c in ("src", "dst", "weight", "flow")}
+        for k in range(batch.num_rows):
+            src, dst, weight, flow = (held[c][k].values.to_numpy() for c in held)
+            new = np.flatnonzero(np.concatenate([[True], dst[1:] != dst[:-1]]))
+            sums, to = np.add.reduceat(weight * flow[src], new), dst[new]
+            block = (to >> SLOT_BITS).astype(np.int32)
+            cut = np.flatnonzero(np.concatenate([[True], block[1:] != block[:-1]]))
+            offsets = pa.array(np.append(cut, len(to)).astype(np.int32))
+            lists = [pa.ListArray.from_arrays(offsets, pa.array(x)) for x in ((to & ((1 << SLOT_BITS) - 1)).astype(np.int32), sums)]
+            origin = np.full(len(cut), batch.column("unit")[k].as_py(), dtype=np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(block[cut]), pa.array(origin), *lists], names=["block", "origin", "slots", "sums"])
+
+
+def _rank_by_blocks(edges: DataFrame, seeds: list[str], rounds: int, damping: float, tolerance: float, block_nodes: int, unit_edges: int) -> DataFrame:
+    """Ranks lie in blocks of about ``block_nodes`` nodes, edges in units of about ``unit_edges`` with one block of sources.
+
+    Nodes get numbers once, so no name is moved in a round.  A block with many edges, as that of a hub, has several units,
+    dealt by target.  In a round the units, which stay where they are, meet the ranks of their block, and only sums by
+    target, already added up in each unit, are exchanged.  The ranks of every round are checkpointed.
+    """
+    nodes = edges.select(F.col("src").alias("node")).union(edges.select("dst")).distinct().checkpoint()
+    n = nodes.count()
+    blocks = -(-n // block_nodes)
+    in_block = Window.partitionBy("block").orderBy("node")
+    nodes = nodes.withColumn("block", F.pmod(F.xxhash64("node"), F.lit(blocks)).cast("int")).withColumn("slot", F.row_number().over(in_block) - 1).checkpoint()
+    # As many rows as there are seeds.
+    seeded: dict[int, list[int]] = {}
+    for r in nodes.where(F.col("node").cast("string").isin(seeds)).select("block", "slot").collect():
+        seeded.setdefault(r["block"], []).append(r["slot"])
+    if not seeded:
+        return nodes.where("false").select("node", F.lit(0.0).alias("rank"))
+    restart = 1.0 / sum(len(x) for x in seeded.values())
+
+    code = F.shiftleft(F.col("block").cast("long"), SLOT_BITS) + F.col("slot")
+    coded = edges.join(nodes.select(F.col("node").alias("src"), F.col("block"), F.col("slot").alias("s")), "src")
+    coded = coded.join(nodes.select(F.col("node").alias("dst"), code.alias("d")), "dst").select("block", "s", "d", F.col("weight").cast("double").alias("weight")).checkpoint()
+    sizes = coded.groupBy("block").agg(F.ceil(F.count("*") / unit_edges).alias("parts")).checkpoint()
+    unit = F.shiftleft(F.col("block").cast("long"), SLOT_BITS) + F.pmod(F.xxhash64("d"), F.col("parts"))
+    sorted_edges = F.sort_array(F.collect_list(F.struct("d", "s", "weight")))
+    units = coded.join(sizes, "block").groupBy(unit.alias("unit")).agg(sorted_edges.alias("e"))
+    units = units.select("unit", F.col("e.s").alias("src"), F.col("e.d").alias("dst"), F.col("e.weight").alias("weight")).persist(StorageLevel.MEMORY_AND_DISK)
+
+    out = nodes.join(coded.groupBy("block", F.col("s").alias("slot")).agg(F.sum("weight").alias("out")), ["block", "slot"], "left")
+    out = out.groupBy("block").agg(F.sort_array(F.collect_list(F.struct("slot", F.coalesce("out", F.lit(0.0)).alias("out")))).alias("o"))
+    state = out.select("block", F.col("o.out").alias("out"), F.transform("o", lambda _: F.lit(1.0 / n)).alias("ranks")).checkpoint()
+    dead_mass = F.aggregate(F.zip_with("out", "ranks", lambda o, r: F.when(o == 0, r).otherwise(0.0)), F.lit(0.0), lambda x, y: x + y)
+    lost = state.agg(F.sum(dead_mass)).first()[0]
     for k in range(rounds):
-        flow = moves.join(ranks.select(F.col("node").alias("src"), "rank"), "src").groupBy(F.col("dst").alias("node")).agg(F.sum(F.col("share") * F.col("rank")).alias("got"))
-        new = damping * (F.coalesce("got", F.lit(0.0)) + lost * F.col("seed")) + (1 - damping) * F.col("seed")
-        ranks = ranks.withColumnRenamed("rank", "old").join(flow, "node", "left").select("node", "seed", "dead", "old", new.alias("rank")).checkpoint()
-        change, lost = ranks.agg(F.sum(F.abs(F.col("rank") - F.col("old"))), F.coalesce(F.sum(F.when(F.col("dead"), F.col("rank"))), F.lit(0.0))).first()
-        ranks = ranks.drop("old")
+        flow = F.zip_with("ranks", "out", lambda r, o: F.when(o > 0, r / o).otherwise(0.0))
+        sent = state.join(sizes, "block").select(F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"), "block", flow.alias("flow"))
+        sent = sent.select((F.shiftleft(F.col("block").cast("long"), SLOT_BITS) + F.col("part")).alias("unit"), "flow")
+        sums = units.join(sent, "unit").mapInArrow(_products, "block int, origin long, slots array<int>, sums array<double>")
+        every = sums.unionByName(state.select("block", F.lit(-1).cast("long").alias("origin"), "out", "ranks"), allowMissingColumns=True)
+
+        def settle(batches: Iterator[pa.RecordBatch], lost=lost) -> Iterator[pa.RecordBatch]:
+            block = out = old = flow = None
+
+            def done() -> pa.RecordBatch:
+                seed = np.zeros(len(old))
+                seed[seeded.get(block, [])] = restart
+                new = damping * (flow + lost * seed) + (1 - damping) * seed
+                lists = [pa.array([x], pa.list_(pa.float64())) for x in (out, new)]
+                return pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), *lists, pa.array([np.abs(new - old).sum()]), pa.array([new[out == 0].sum()])], names=["block", "out", "ranks", "change", "lost"])
+
+            for batch in batches:
+                held = {c: batch.column(c) for c in batch.schema.names}
+                for k in range(batch.num_rows):
+                    if held["origin"][k].as_py() < 0:  # a block's own row comes first
+                        if block is not None:
+                            yield done()
+                        block, out, old = held["block"][k].as_py(), *(held[c][k].values.to_numpy() for c in ("out", "ranks"))
+                        flow = np.zeros(len(old))
+                    else:
+                        flow[held["slots"][k].values.to_numpy()] += held["sums"][k].values.to_numpy()
+            if block is not None:
+                yield done()
+
+        every = every.repartition("block").sortWithinPartitions("block", "origin")
+        state = every.mapInArrow(settle, "block int, out array<double>, ranks array<double>, change double, lost double").checkpoint()
+        change, lost = state.agg(F.sum("change"), F.sum("lost")).first()
+        state = state.drop("change", "lost")
         if _settled(change, n, k == rounds - 1, tolerance):
             break
-    return ranks.select("node", "rank")
+    units.unpersist()
+    return state.select("block", F.posexplode("ranks").alias("slot", "rank")).join(nodes, ["block", "slot"]).select("node", "rank")
 
 
 def top_entities(ranks: DataFrame, n: int = TOP_ENTITIES) -> DataFrame:

@@ -46,6 +46,21 @@ def test_pagerank_stops_and_fails(spark):
         graph.personalised_pagerank(lone, ["a"], 2).collect()
 
 
+def test_pagerank_by_blocks(spark):
+    """A hub with more edges than a unit, nodes without out-edges, repeated edges and null ends: all ways give the same ranks."""
+    rows = [("hub", f"n{k}", 1 + k % 3) for k in range(90)] + [(f"n{k}", f"n{k * 7 % 90}", 2) for k in range(60)] + [(f"n{k}", "hub", 1) for k in range(0, 90, 9)]
+    rows += [("n1", "n7", 2), (None, "n1", 4), ("n2", None, 4)]
+    edges = spark.createDataFrame(rows, "src string, dst string, weight long")
+    ranked = lambda **how: {r["node"]: r["rank"] for r in graph.personalised_pagerank(edges, ["hub", "N3", "none"], 9, tolerance=0, **how).collect()}
+    one = ranked()
+    assert len(one) == 91 and abs(sum(one.values()) - 1) < 1e-9
+    for how in ({"block_nodes": 10, "unit_edges": 20}, {"block_nodes": 1000, "unit_edges": 1000}, {"block_nodes": 1, "unit_edges": 1}):
+        other = ranked(one_task_edges=0, **how)
+        assert one.keys() == other.keys() and all(abs(one[k] - other[k]) < 1e-12 for k in one)
+    assert graph.personalised_pagerank(edges, ["none"], 2, one_task_edges=0).count() == 0
+    assert graph.personalised_pagerank(edges.where("false"), ["hub"], 2).count() == 0
+
+
 def test_graph_increment_is_idempotent(spark):
     m = spark.createDataFrame([(1, "A"), (1, "b"), (1, "B"), (2, "a"), (2, "b"), (2, "c")], "chunk long, e string")
     base = graph.entity_rows(m.where("chunk = 1"), "chunk", "e")
