@@ -64,22 +64,23 @@ def bucket_of(heading: Column) -> Column:
     return out
 
 
-def page_sections(pages: DataFrame, id_col: str, raw: str, depth: int = 6) -> DataFrame:
+def page_sections(pages: DataFrame, id_col: str, raw: str) -> DataFrame:
     """(``id_col``, bucket, texts): texts over 15 characters under recognised headings of a nested JSON page, in the page's order.
 
-    A section is {TOCHeading, Information: [{Value: {StringWithMarkup: [{String}]}}], Section: [...]}; levels beyond ``depth``
-    are not read.
+    A section is {TOCHeading, Information: [{Value: {StringWithMarkup: [{String}]}}], Section: [...]}.  Levels are walked until
+    no page has one left, which a look at each level decides.
     """
     info = "Information:array<struct<Value:struct<StringWithMarkup:array<struct<String:string>>>>>"
     kind = f"struct<TOCHeading:string,{info},Section:array<string>>"
     level = pages.select(id_col, F.array().cast("array<int>").alias("at"), F.from_json(raw, kind).alias("s"))
     found = None
-    for k in range(depth):
+    while True:
         here = level.select(id_col, "at", bucket_of(F.col("s.TOCHeading")).alias("bucket"), F.flatten(F.col("s.Information.Value.StringWithMarkup")).alias("t")).where("bucket is not null")
         here = here.select(id_col, "at", "bucket", F.filter(F.col("t.String"), lambda x: F.length(x) > 15).alias("t"))
         found = here if found is None else found.unionByName(here)
-        if k < depth - 1:
-            level = level.select(id_col, "at", F.posexplode("s.Section").alias("i", "j")).select(id_col, F.concat("at", F.array("i")).alias("at"), F.from_json("j", kind).alias("s"))
+        if level.where(F.size("s.Section") > 0).isEmpty():
+            break
+        level = level.select(id_col, "at", F.posexplode("s.Section").alias("i", "j")).select(id_col, F.concat("at", F.array("i")).alias("at"), F.from_json("j", kind).alias("s"))
     listed = F.sort_array(F.collect_list(F.struct("at", "t")))
     return found.where(F.size("t") > 0).groupBy(id_col, "bucket").agg(F.flatten(F.transform(listed, lambda x: x["t"])).alias("texts"))
 

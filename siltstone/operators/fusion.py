@@ -93,3 +93,11 @@ def page(found: DataFrame, order: list[Column], offset: int, limit: int) -> Data
     total = found.agg(F.count("*").alias("total"))
     head = found.orderBy(*order).limit(offset + limit).withColumn("position", F.row_number().over(Window.orderBy(*order)))
     return head.where(F.col("position") > offset).crossJoin(F.broadcast(total))
+
+
+def shown_order(found: DataFrame, relevance: str, place: str) -> DataFrame:
+    """``found`` (at most a result page) with ``shown``: by the rounded score, equal scores in the order they had.
+
+    Scores are those before the graph's boost, so the graph decides which documents are shown and the order of equal ones.
+    """
+    return found.withColumn("shown", F.row_number().over(Window.orderBy(F.desc(relevance), place)))

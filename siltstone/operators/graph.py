@@ -270,6 +270,27 @@ def dictionary_entities(docs: DataFrame, id_col: str, text_col: str, names: Data
     return words.join(names.select(F.lower(name).alias("entity")).distinct(), "entity", "left_semi")
 
 
+def phrase_entities(docs: DataFrame, id_col: str, text_col: str, names: DataFrame, name: str) -> DataFrame:
+    """(``id_col``, entity, times): the known names, of any number of words, that a text holds, case and marks ignored.
+
+    Runs of as many words as some name has meet the names by an equality join; a name inside a longer one counts too.
+    Names without a word are never found.
+    """
+    words = lambda c: F.regexp_extract_all(F.lower(c), F.lit("([a-z0-9]+)"), F.lit(1))
+    known = names.select(words(F.col(name)).alias("w")).where(F.size("w") > 0).select(F.array_join("w", " ").alias("entity"), F.size("w").alias("width")).distinct()
+    # As many rows as there are numbers of words in a name.
+    widths = sorted(r["width"] for r in known.select("width").distinct().collect())
+    texts = docs.select(id_col, words(F.col(text_col)).alias("w"))
+    runs = lambda n: F.transform(F.sequence(F.lit(1), F.size("w") - n + 1), lambda i: F.array_join(F.slice("w", i, F.lit(n)), " "))
+    every = None
+    for n in widths:
+        part = texts.where(F.size("w") >= n).select(id_col, F.explode(runs(n)).alias("entity"))
+        every = part if every is None else every.unionByName(part)
+    if every is None:
+        return texts.where("false").select(id_col, F.lit("").alias("entity"), F.lit(0).cast("long").alias("times"))
+    return every.join(known.select("entity"), "entity", "left_semi").groupBy(id_col, "entity").agg(F.count("*").alias("times"))
+
+
 def expand_terms(terms: DataFrame, tree: DataFrame, term: str, name: str, paths: str) -> DataFrame:
     """(query_term, names): for each given name, itself and the names of all descriptors below it."""
     roots = tree.join(terms.select(F.lower("query_term").alias("_q"), "query_term"), F.lower(name) == F.col("_q"))

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 MESSAGE_CHARS, LEAST_ENTITY, LEAST_SCORE = 2000, 3, 0.5
+MOST_CHUNKS, MOST_LABELS, MOST_CHARS = 20, 200, 20_000
 # Labels of the tagger and the entity types they stand for; null: too general, dropped, as are other labels.
 ENTITY_TYPES = {
     "DISEASE_DISORDER": "DISEASE", "SIGN_SYMPTOM": "SYMPTOM", "MEDICATION": "CHEMICAL", "BIOLOGICAL_STRUCTURE": "ANATOMY", "DIAGNOSTIC_PROCEDURE": "PROCEDURE", "THERAPEUTIC_PROCEDURE": "PROCEDURE",
@@ -147,8 +148,26 @@ def point(papers: DataFrame, journals: DataFrame, key: str, wanted: str, journal
     return papers.where(F.col(key) == wanted).join(F.broadcast(journals), journal, "left")
 
 
-def checked_request(requests: DataFrame, query: str, top_k: str, strategies: tuple[str, ...] = ("bm25", "hybrid", "hipporag", "full")) -> DataFrame:
-    """``requests`` with ``problem``: why a request is refused, null if it is not."""
+def checked_request(requests: DataFrame, query: str, top_k: str, strategies: tuple[str, ...] = ("bm25", "hybrid", "hipporag", "full"), roles: str | None = None) -> DataFrame:
+    """``requests`` with ``problem``: why a request is refused, null if it is not.
+
+    ``roles`` is an array of the roles of earlier messages, each of which must be user or assistant.
+    """
     size = F.length(F.coalesce(F.col(query), F.lit("")))
     problem = F.when(~size.between(3, 2000), "query length").when(~F.coalesce(F.col(top_k).between(1, 50), F.lit(False)), "top_k").when(~F.coalesce(F.col("strategy").isin(*strategies), F.lit(False)), "strategy")
+    if roles:
+        problem = problem.when(F.exists(roles, lambda r: ~F.coalesce(r.isin("user", "assistant"), F.lit(False))), "role")
+    return requests.withColumn("problem", problem)
+
+
+def checked_graph_request(requests: DataFrame, query: str, answer: str, chunks: str, labels: str) -> DataFrame:
+    """``requests`` with ``problem``: a graph is asked of a question, an answer, at most 20 chunks and at most 200 labels.
+
+    Chunks and answers have at most 20,000 characters; missing lists are empty.
+    """
+    size = lambda c: F.length(F.coalesce(F.col(c), F.lit("")))
+    many = lambda c, n: F.coalesce(F.size(c) > n, F.lit(False))
+    long = F.coalesce(F.exists(chunks, lambda x: F.length(x) > MOST_CHARS), F.lit(False))
+    problem = F.when(~size(query).between(3, 2000), "query length").when(~size(answer).between(1, MOST_CHARS), "answer length")
+    problem = problem.when(many(chunks, MOST_CHUNKS), "chunks").when(long, "chunk length").when(many(labels, MOST_LABELS), "labels")
     return requests.withColumn("problem", problem)

@@ -913,3 +913,4 @@ def date_windows(t):
 # The other modules register their queries when they are imported; some build on what stands above.
 from siltstone.plans import commit_queries, ingest_queries, lookup_queries, record_queries, search_queries  # noqa: E402, F401
 from siltstone.plans import stream_queries  # noqa: E402, F401  (takes oracles of the modules above)
+from siltstone.plans import detail_queries  # noqa: E402, F401

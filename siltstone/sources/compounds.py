@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+NAMES_EACH = 5
+
 
 def by_gene(targets: DataFrame, gene: Column, organism: str, kind: str = "SINGLE PROTEIN", species: str = "Homo sapiens", kind_col: str = "target_type") -> DataFrame:
     """Single proteins of the species of which ``gene`` (a condition on the target's components) holds."""
@@ -25,6 +27,23 @@ def first_activities(activities: DataFrame, target: str, compound: str, order: l
     return activities.withColumn("_place", place).where("_place = 1").drop("_place")
 
 
+def target_run(activities: DataFrame, literature: DataFrame, log: DataFrame, target: str, compound: str, order: list[str], paper: str, names: int = NAMES_EACH) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """What a run over targets writes: links, counts (target, n_compounds, n_ids) and the papers it queues.
+
+    A target is linked to each of its compounds by the first activity.  Papers are those of its ``names`` first compounds in
+    that order, united; a paper that ``log`` has, or that several targets find, is queued once or not at all.
+    ``literature`` (compound, paper) holds what a look-up of each compound's name found.
+    """
+    links = first_activities(activities, target, compound, order)
+    place = F.row_number().over(Window.partitionBy(target).orderBy(*order, compound))
+    asked = links.select(target, compound, *(c for c in order if c not in (target, compound))).withColumn("_place", place).where(F.col("_place") <= names).select(target, compound)
+    # Each pair of a target and a paper once, before anything is counted or queued.
+    found = asked.join(literature.select(compound, paper).distinct(), compound).select(target, paper).distinct()
+    counts = links.groupBy(target).agg(F.count("*").alias("n_compounds")).join(found.groupBy(target).agg(F.count("*").alias("n_ids")), target, "left")
+    queued = found.select(paper).distinct().join(log.select(paper), paper, "left_anti").withColumn("status", F.lit("queued"))
+    return links, counts.withColumn("n_ids", F.coalesce("n_ids", F.lit(0))), queued
+
+
 def compound_record(raw: Column) -> Column:
     """struct<chembl_id, name, max_phase, formula, weight, synonyms> of a compound's JSON; absent parts are null."""
     text = lambda path: F.get_json_object(raw, path)

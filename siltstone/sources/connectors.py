@@ -15,11 +15,17 @@ from pyspark.sql.types import StructType
 PAGE_CAP, PAGE, BATCH, ATTEMPTS, WAIT_SECONDS, LEAST_CHARS, MENTIONS = 9999, 10_000, 200, 3, 5.0, 200, 200
 
 
-def retried(call: Callable[[], object], attempts: int = ATTEMPTS, wait: Callable[[int], float] = lambda k: WAIT_SECONDS * k, sleep: Callable[[float], None] = time.sleep):
-    """The result of ``call``; after a failure it waits ``wait(attempt)`` seconds and tries again, and the last failure is raised."""
+def retried(call: Callable[[], object], attempts: int = ATTEMPTS, wait: Callable[[int], float] = lambda k: WAIT_SECONDS * k, sleep: Callable[[float], None] = time.sleep, refused: Callable[[object], str | None] = lambda _: None):
+    """The result of ``call``; after a failure it waits ``wait(attempt)`` seconds and tries again, and the last failure is raised.
+
+    ``refused`` tells an error that stands inside an answer: its message, or None.
+    """
     for k in range(1, attempts + 1):
         try:
-            return call()
+            got = call()
+            if (problem := refused(got)) is not None:
+                raise ValueError(f"the source answered with an error: {problem}")
+            return got
         except Exception:
             if k == attempts:
                 raise
@@ -65,8 +71,8 @@ def paged_source(name: str, schema: str, total: Callable[[], int], fetch: Callab
     return Paged
 
 
-def discover(spark: SparkSession, count: Callable[[dt.date, dt.date], int], fetch: Callable[[dt.date, dt.date, int, int], list[str]], first: dt.date, last: dt.date, cap: int = PAGE_CAP, page: int = PAGE) -> DataFrame:
-    """(id) of all records between two dates.
+def discover(spark: SparkSession, count: Callable[[dt.date, dt.date], int], fetch: Callable[[dt.date, dt.date, int, int], list[str]], first: dt.date, last: dt.date, cap: int = PAGE_CAP, page: int = PAGE, refused: Callable[[object], str | None] = lambda _: None) -> DataFrame:
+    """(id) of all records between two dates; answers that ``refused`` gives a message for are asked again.
 
     A range with more than ``cap`` records is halved, the later half beginning a day after the middle; a single day over the
     cap is cut to it.  The driver asks for counts only; the pages of the windows are fetched by tasks.  A record that two
@@ -75,7 +81,7 @@ def discover(spark: SparkSession, count: Callable[[dt.date, dt.date], int], fetc
     windows, waiting = [], [(first, last)]
     while waiting:
         a, b = waiting.pop()
-        n = retried(lambda a=a, b=b: count(a, b))
+        n = retried(lambda a=a, b=b: count(a, b), refused=refused)
         if n > cap and a < b:
             middle = a + (b - a) // 2
             waiting += [(middle + dt.timedelta(days=1), b), (a, middle)]
@@ -85,7 +91,7 @@ def discover(spark: SparkSession, count: Callable[[dt.date, dt.date], int], fetc
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             for a, b, at, size in frame.itertuples(index=False):
-                yield pd.DataFrame({"id": retried(lambda a=a, b=b, at=at, size=size: fetch(a, b, at, size))[:size]})
+                yield pd.DataFrame({"id": retried(lambda a=a, b=b, at=at, size=size: fetch(a, b, at, size), refused=refused)[:size]})
 
     if not windows:
         return spark.createDataFrame([], "id string")

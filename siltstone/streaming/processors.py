@@ -14,10 +14,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming.stateful_processor import ExpiredTimerInfo, StatefulProcessor, StatefulProcessorHandle, TimerValues
 
 from siltstone.operators.keys import KEEPALIVE_SECONDS
-from siltstone.streaming.state import CACHE_SECONDS
+from siltstone.streaming.state import CACHE_SECONDS, STALE_MINUTES, TRANSITIONAL
 
 PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 FINAL = ("done", "error")
+#: What an action makes of a queued id; indexed and skipped ids are final, errors are tried again.
+MOVES = {
+    ("queued", "claim"): "fetching", ("error", "claim"): "fetching", ("fetching", "parse"): "parsing", ("fetching", "skip"): "skipped",
+    ("fetching", "fail"): "error", ("parsing", "fail"): "error", ("parsing", "index"): "indexed",
+}
 
 
 def with_state_store(spark: SparkSession) -> SparkSession:
@@ -170,6 +175,54 @@ def keepalive_stream(events: DataFrame, key: str, ts: str, order: str, seconds:
     return events.groupBy(key).transformWithStateInPandas(KeepAlive(key, ts, order, seconds), out, "Append", "None")
 
 
+class WorkQueue(StatefulProcessor):
+    """The state of each queued id after every event, by the moves that a state allows; other events change nothing.
+
+    A claim that hears nothing for ``stale`` seconds goes back to the queue.  Every error counts a retry.
+    """
+
+    def __init__(self, key: str, ts: str, order: str, action: str, stale: float = STALE_MINUTES * 60) -> None:
+        self.key, self.ts, self.order, self.action, self.stale = key, ts, order, action, stale
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle, self.held = handle, handle.getValueState("held", "status string, retries long, since double")
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:
+        frame = _in_order(rows, [self.ts, self.order])
+        before = status, retries, since = self.held.get() if self.held.exists() else ("queued", 0, 0.0)
+        found = []
+        for now, action in zip(_seconds(frame[self.ts]), frame[self.action], strict=True):
+            if status in TRANSITIONAL and now - since > self.stale:
+                status = "queued"
+            to = MOVES.get((status, action))
+            if to:
+                status, retries, since = to, retries + (to == "error"), now
+            found.append((status, retries, to is not None))
+        if (status, retries, since) != before:
+            self.held.update((status, retries, since))
+            if status in TRANSITIONAL:
+                self.handle.registerTimer(int((since + self.stale) * 1000) + 1)
+        got = pd.DataFrame(found, columns=["status", "retries", "moved"])
+        yield pd.concat([pd.DataFrame({self.key: key[0], self.order: frame[self.order]}), got], axis=1)
+
+    def handleExpiredTimer(self, key: tuple, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[pd.DataFrame]:
+        status, retries, since = self.held.get()
+        # A claim made since then has a timer of its own.
+        if status in TRANSITIONAL and (since + self.stale) * 1000 < expiredTimerInfo.getExpiryTimeInMs():
+            self.held.update(("queued", retries, since))
+        return iter(())
+
+    def close(self) -> None:
+        pass
+
+
+def queue_stream(events: DataFrame, key: str, ts: str, order: str, action: str, stale: float = STALE_MINUTES * 60) -> DataFrame:
+    """(key, order, status, retries, moved) after each event of the stream, which has a watermark on ``ts``."""
+    kinds = {f.name: f.dataType.simpleString() for f in events.schema.fields}
+    out = f"{key} {kinds[key]}, {order} {kinds[order]}, status string, retries long, moved boolean"
+    return events.groupBy(key).transformWithStateInPandas(WorkQueue(key, ts, order, action, stale), out, "Append", "EventTime")
+
+
 def run_available(stream: DataFrame, sink: str, checkpoint: str) -> None:
     """Everything that has arrived, into Parquet files below ``sink``; run again it goes on from ``checkpoint``."""
     stream.writeStream.format("parquet").option("path", sink).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start().awaitTermination()
