@@ -117,6 +117,30 @@ def clean_history(role: Column, content: Column) -> Column:
     return F.when(role == "assistant", F.regexp_replace(bare, r"^\s+|\s+$", "")).otherwise(content)
 
 
+# Phrases that head the part of an answer that proposes further questions.
+FOLLOW_UPS = (r"you\s+might\s+also\s+want\s+to\s+know", r"follow[-\s]?up\s+questions", r"suggested\s+questions", r"related\s+questions")
+
+
+def answer_prose(text: Column) -> Column:
+    """An answer as plain prose: without the part of further questions, the information-only notice and markers.
+
+    The part begins at a line that starts with one of ``FOLLOW_UPS``, perhaps marked as bold or as a heading, and goes to the
+    end.  Blanks and tabs collapse to one blank, three line ends or more to two.
+    """
+    bare = F.coalesce(text, F.lit(""))
+    bare = F.regexp_replace(bare, rf"(?is)(?:\n|^)\s*(?:\*+|#+)?\s*(?:{'|'.join(FOLLOW_UPS)}).*", "")
+    bare = F.regexp_replace(bare, r"(?i)this is for information only[^\n]*", "")
+    for pattern, to in ((r"\[\d+\]", ""), (r"[ \t]+", " "), (r"\n{3,}", "\n\n"), (r"^\s+|\s+$", "")):
+        bare = F.regexp_replace(bare, pattern, to)
+    return bare
+
+
+def history_entry(text: Column, least: int = 6) -> Column:
+    """What is kept of an answer for later turns; null if hardly anything is left."""
+    bare = answer_prose(text)
+    return F.when(F.length(bare) >= least, bare)
+
+
 def prose(text: Column, most: int) -> Column:
     """White space collapsed; over ``most`` characters cut at the last ". " within 200 of the end, else at a blank, with "…"."""
     flat = F.btrim(F.regexp_replace(text, r"\s+", " "))

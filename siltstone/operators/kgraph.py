@@ -157,6 +157,16 @@ def edges(relations: DataFrame, labelled: DataFrame, graph: str, order: str) ->
     return rows.withColumn("predicate", short).groupBy(graph, "source", "predicate", "target").agg(united.alias("citations"))
 
 
+def evidence(citations: Column, by_index: Column) -> Column:
+    """The chunk ids that citations stand for, each once, in order: an index of ``by_index`` (map index -> id), else an id itself.
+
+    An index comes first where a number could be both; what is neither is dropped, and a null list is empty.
+    """
+    ids = F.map_values(by_index)
+    named = F.transform(citations, lambda x: F.coalesce(F.try_element_at(by_index, x), F.when(F.array_contains(ids, x), x)))
+    return F.coalesce(F.array_distinct(F.array_compact(named)), F.array().cast("array<bigint>"))
+
+
 def connected(labelled: DataFrame, found: DataFrame, graph: str) -> DataFrame:
     """(graph, id, label, type, citations): nodes that an edge touches, with the citations of their edges."""
     touch = found.select(graph, F.explode(F.array("source", "target")).alias("id"), "citations")

@@ -50,8 +50,10 @@ def postings(docs: DataFrame, id_col: str, fields: dict[str, Column]) -> DataFra
     """(bucket, term, field, doc, tf, len), clustered by bucket and sorted by term: as it is to be written."""
     rows = _by_field(docs, id_col, fields).select("doc", "field", F.size("tokens").alias("len"), F.explode("tokens").alias("term"))
     counted = rows.groupBy("doc", "field", "len", "term").agg(F.count("*").alias("tf"))
-    # Terms of a bucket are spread over tasks by the document, so a frequent term does not land in one of them.
-    spread = counted.withColumn("bucket", bucket_of(F.col("term"))).repartition("bucket", F.pmod(F.xxhash64("doc"), F.lit(8)))
+    # Terms of a bucket are spread over tasks by the document, so a frequent term does not land in one of them; a session with
+    # more shuffle partitions than buckets spreads them wider.
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    spread = counted.withColumn("bucket", bucket_of(F.col("term"))).repartition("bucket", F.pmod(F.xxhash64("doc"), F.lit(max(8, parts // BUCKETS))))
     return spread.sortWithinPartitions("bucket", "term").select("term", "field", "doc", "tf", "len", "bucket")
 
 

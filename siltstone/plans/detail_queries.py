@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from siltstone.operators import answer, druglabels, fusion, graph, hydration, ingestion, lexical
+from siltstone.functions import text as T
+from siltstone.operators import answer, druglabels, fusion, graph, hydration, ingestion, kgraph, lexical
 from siltstone.plans.catalogue import BM25, TERMS, corpus
 from siltstone.plans.registry import joined, longs, md5, query, r6
 from siltstone.plans.stream_queries import arrived
@@ -105,6 +106,26 @@ def history_prompt(t):
     return answer.recent(t("conversations"), "conv_id", "turn", "text", 12).select("conv_id", "turn", md5(F.array_join("history", "\n")).alias("h"))
 
 
+@query(r"""SELECT conv_id, turn, CASE WHEN length(h) > 5 THEN md5(h) END AS h FROM (SELECT conv_id, turn, regexp_replace(regexp_replace(regexp_replace(text, '[ \t]+', ' ', 'g'), '\n{3,}', chr(10) || chr(10), 'g'), '^\s+|\s+$', '', 'g') AS h FROM conversations WHERE role = 'assistant')""")
+def history_prose(t):
+    """Answers end in markers, a notice and further questions, which are gone again."""
+    more = F.when(F.col("turn") % 4 == 1, "**Follow-up questions:**\n- why?").when(F.col("turn") % 4 == 2, "## You might also want to know\nwhy").otherwise("Related  questions: why?")
+    dirty = F.concat("text", F.lit(" [3][12]\nThis is for information only, please ask.\n\n\n"), more)
+    return t("conversations").where("role = 'assistant'").select("conv_id", "turn", md5(T.history_entry(dirty)).alias("h"))
+
+
+@query("""WITH m AS (SELECT l_orderkey AS k, l_linenumber AS n, min(l_partkey) AS id FROM lineitem GROUP BY ALL), c AS (SELECT k, unnest([2, -7, max(id), 1, 2]) AS x, unnest([1, 2, 3, 4, 5]) AS p FROM m GROUP BY k),
+r AS (SELECT c.k, p, coalesce(m.id, CASE WHEN EXISTS (SELECT 1 FROM m o WHERE o.k = c.k AND o.id = x) THEN x END) AS id FROM c LEFT JOIN m ON m.k = c.k AND m.n = x),
+s AS (SELECT k, id, min(p) AS p FROM r WHERE id IS NOT NULL GROUP BY ALL)
+SELECT d.k AS l_orderkey, coalesce(string_agg(CAST(id AS VARCHAR), ',' ORDER BY p), '') AS ids FROM (SELECT DISTINCT k FROM m) d LEFT JOIN s USING (k) GROUP BY d.k""")
+def citation_ids(t):
+    """Lines cite their order's parts by number, by id and by a number that there is not."""
+    lines = t("lineitem").groupBy("l_orderkey", F.col("l_linenumber").cast("long").alias("n")).agg(F.min("l_partkey").alias("id"))
+    held = lines.groupBy("l_orderkey").agg(F.map_from_entries(F.collect_list(F.struct("n", "id"))).alias("m"), F.max("id").alias("last"))
+    cited = F.array(F.lit(2).cast("long"), F.lit(-7).cast("long"), F.col("last"), F.lit(1).cast("long"), F.lit(2).cast("long"))
+    return held.select("l_orderkey", joined(kgraph.evidence(cited, F.col("m"))).alias("ids"))
+
+
 # Runs over targets: suppliers are targets, parts compounds, the orders of a part its papers.
 
 _RUN = """f AS (SELECT l_suppkey AS t, l_partkey AS c, min((l_orderkey, l_linenumber)) AS o FROM lineitem GROUP BY ALL), k AS (SELECT t, c, row_number() OVER (PARTITION BY t ORDER BY o, c) AS place FROM f),

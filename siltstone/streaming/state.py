@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -73,14 +74,62 @@ def cache_replay(events: DataFrame, key: str, second: str, order: str, ttl: floa
 
 
 def slot_replay(events: DataFrame, key: str, action: str, order: str, slots: int = SLOTS) -> DataFrame:
-    """(key, order, granted, held): ``acquire`` is refused while ``slots`` are held; other actions release one."""
+    """(key, order, granted, held): ``acquire`` is refused while ``slots`` are held; other actions release one.
 
-    def step(held: int, row) -> tuple[int, tuple[bool, int]]:
-        ok = held < slots if row[1] == "acquire" else held > 0
-        held += (1 if row[1] == "acquire" else -1) if ok else 0
-        return held, (ok, held)
+    Rows lie in ranges of key and order, so a hot key has as many tasks as it needs.  What a run of rows does to the number
+    held is a step between two bounds, and such steps compose to one: each range tells what it does to the key that it ends
+    with, a scan over the ranges gives what each begins with, and a second pass fills the rows in.  A null key is a key.
+    """
+    kinds = {f.name: f.dataType.simpleString() for f in events.schema.fields}
+    take = F.coalesce(F.col(action) == "acquire", F.lit(False))
+    rows = events.select(key, order, take.alias("_take"), F.to_json(F.struct(F.col(key).alias("k"))).alias("_key"))
+    laid = rows.repartitionByRange(key, order).sortWithinPartitions(key, order).withColumn("_range", F.spark_partition_id()).checkpoint()
+
+    def effects(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        place = first = last = None
+        low, high, shift = 0, slots, 0
+        for frame in frames:
+            keys = frame["_key"].to_numpy()
+            if not len(keys):
+                continue
+            if first is None:
+                place, first, last = int(frame["_range"].iloc[0]), keys[0], keys[0]
+            other = np.flatnonzero(keys != keys[-1])
+            begin = int(other[-1]) + 1 if len(other) else 0
+            if begin or keys[0] != last:
+                low, high, shift = 0, slots, 0
+            last = keys[-1]
+            for up in frame["_take"].to_numpy()[begin:].tolist():
+                if up:
+                    low, high, shift = min(low + 1, slots), min(high + 1, slots), shift + 1
+                else:
+                    low, high, shift = max(low - 1, 0), max(high - 1, 0), shift - 1
+        if first is not None:
+            yield pd.DataFrame({"place": [place], "first": [first], "last": [last], "low": [low], "high": [high], "shift": [shift]})
+
+    # As many rows as ranges.
+    found = laid.mapInPandas(effects, "place int, first string, last string, low int, high int, shift long").collect()
+    begins, carried = {}, (None, 0)
+    for r in sorted(found, key=lambda r: r["place"]):
+        held = begins[r["place"]] = carried[1] if r["first"] == carried[0] else 0
+        held = held if r["first"] == r["last"] else 0
+        carried = r["last"], min(r["high"], max(r["low"], held + r["shift"]))
+
+    def fill(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        last, held = None, 0
+        for frame in frames:
+            granted, after = [], []
+            for k, up, place in zip(frame["_key"].tolist(), frame["_take"].tolist(), frame["_range"].tolist(), strict=True):
+                if k != last:
+                    held = begins[place] if last is None else 0
+                    last = k
+                ok = held < slots if up else held > 0
+                held += (1 if up else -1) if ok else 0
+                granted.append(ok)
+                after.append(held)
+            yield pd.DataFrame({key: frame[key], order: frame[order], "granted": granted, "held": after})
 
-    return _folded(events.select(key, action, order), key, [order], step, 0, [("granted", "boolean"), ("held", "int")], [key, order])
+    return laid.mapInPandas(fill, f"`{key}` {kinds[key]}, `{order}` {kinds[order]}, granted boolean, held int")
 
 
 def gaps(events: DataFrame, key: str, ts: str, order: str, least_seconds: float) -> DataFrame:

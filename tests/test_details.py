@@ -5,9 +5,10 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from siltstone.operators import druglabels, graph, hydration, ingestion
+from siltstone.functions import text as T
+from siltstone.operators import druglabels, graph, hydration, ingestion, kgraph
 from siltstone.sources import compounds, connectors
-from siltstone.streaming import processors
+from siltstone.streaming import processors, state
 
 
 def test_phrases(spark):
@@ -99,3 +100,36 @@ def test_queue_stream_over_restarts(spark, tmp_path):
     assert [got[n] for n in (1, 2, 6, 7)] == [("fetching", 0, True), ("parsing", 0, True), ("indexed", 0, True), ("indexed", 0, False)]
     assert [got[n] for n in (3, 4, 8, 9, 10)] == [("queued", 0, False), ("fetching", 0, True), ("queued", 0, False), ("fetching", 0, True), ("error", 1, True)]
     assert got[11] == ("skipped", 0, True)
+
+
+def test_slots_of_a_hot_key_over_ranges(spark):
+    """A key with most rows lies in several ranges; every row is as a replay in one loop gives it."""
+    rows = [("hot" if k % 10 < 7 else None if k % 10 == 7 else f"k{k % 5}", "acquire" if k * k % 7 in (1, 2) or k % 400 < 30 else "release", k) for k in range(4000)]
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    spark.conf.set("spark.sql.shuffle.partitions", "9")
+    try:
+        events = spark.createDataFrame(rows, "k string, a string, id long")
+        got = {r["id"]: (r["granted"], r["held"]) for r in state.slot_replay(events, "k", "a", "id", 3).collect()}
+        assert state.slot_replay(events.where("false"), "k", "a", "id").count() == 0
+        parts = events.repartitionByRange("k", "id").where("k = 'hot'").select(F.spark_partition_id()).distinct().count()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+    held, want = {}, {}
+    for k, what, n in rows:
+        before = held.get(k, 0)
+        held[k] = min(before + 1, 3) if what == "acquire" else max(before - 1, 0)
+        want[n] = (held[k] != before, held[k])
+    assert parts > 3 and got == want
+
+
+def test_answer_prose(spark):
+    rows = ["One [1].\n\n\n\nTwo\t\t[2] three.\nThis is for INFORMATION only, ask.\n\n### Suggested questions\n1. why", "you might also want\nto know: x", "A follow-up questions list stays.", None, "Ok [1]"]
+    df = spark.createDataFrame([(t,) for t in rows], "t string")
+    assert [r[0] for r in df.select(T.answer_prose(F.col("t"))).collect()] == ["One .\n\nTwo three.", "", "A follow-up questions list stays.", "", "Ok"]
+    assert [r[0] is None for r in df.select(T.history_entry(F.col("t"))).collect()] == [False, True, False, True, True]
+
+
+def test_evidence_by_index_or_id(spark):
+    df = spark.createDataFrame([({1: 70, 2: 1}, [1, 70, 2, 9, 1]), ({}, [1]), ({1: 70}, None)], "m map<long,long>, c array<long>")
+    assert [r[0] for r in df.select(kgraph.evidence(F.col("c"), F.col("m"))).collect()] == [[70, 1], [], []]
