@@ -54,7 +54,7 @@ def job_states(updates: DataFrame, job: str, order: str) -> DataFrame:
 def polled(requests: DataFrame, jobs: DataFrame, job: str, now: str, ttl_seconds: int) -> DataFrame:
     """``requests`` with the code and state of their job: 200, or 404 for one that is unknown or older than ``ttl_seconds``."""
     joined = requests.join(jobs.withColumn("_known", F.lit(True)), job, "left")
-    alive = F.coalesce(F.col("_known") & (F.timestamp_diff("SECOND", F.col("created"), F.col(now)) <= ttl_seconds), F.lit(False))
+    alive = F.coalesce(F.col("_known") & (F.timestamp_diff("MICROSECOND", F.col("created"), F.col(now)) <= ttl_seconds * 1_000_000), F.lit(False))
     shown = [F.when(alive, F.col(c)).alias(c) for c in jobs.columns if c not in (job, "created")]
     return joined.select(*requests.columns, F.when(alive, 200).otherwise(404).alias("code"), *shown)
 
