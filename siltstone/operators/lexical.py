@@ -12,6 +12,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from siltstone.sources.tables import text_tasks
+
 K1, B, BUCKETS = 1.2, 0.75, 16
 # English stop words of the analyser.
 STOP_WORDS = [
@@ -48,13 +50,17 @@ def _by_field(docs: DataFrame, id_col: str, fields: dict[str, Column]) -> DataFr
 
 def postings(docs: DataFrame, id_col: str, fields: dict[str, Column]) -> DataFrame:
     """(bucket, term, field, doc, tf, len), clustered by bucket and sorted by term: as it is to be written."""
-    rows = _by_field(docs, id_col, fields).select("doc", "field", F.size("tokens").alias("len"), F.explode("tokens").alias("term"))
-    counted = rows.groupBy("doc", "field", "len", "term").agg(F.count("*").alias("tf"))
-    # Terms of a bucket are spread over tasks by the document, so a frequent term does not land in one of them; a session with
-    # more shuffle partitions than buckets spreads them wider.
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    spread = counted.withColumn("bucket", bucket_of(F.col("term"))).repartition("bucket", F.pmod(F.xxhash64("doc"), F.lit(max(8, parts // BUCKETS))))
-    return spread.sortWithinPartitions("bucket", "term").select("term", "field", "doc", "tf", "len", "bucket")
+    # Tokens are counted where their document is: sorted, a term is a run.  Its rows stay in that task, which is bounded by its
+    # documents' tokens, so a frequent term does not land in one and nothing but texts is exchanged.
+    joined = docs.select(F.col(id_col).alias("doc"), *(F.array_join(c, " ").alias(f) for f, c in fields.items()))
+    docs = joined.repartition(text_tasks(docs), "doc")
+    split = {f: F.filter(F.split(f, " "), lambda t: t != "") for f in fields}
+    rows = _by_field(docs, "doc", split).where(F.size("tokens") > 0).select("doc", "field", F.size("tokens").alias("len"), F.array_sort("tokens").alias("s"))
+    starts = F.filter(F.sequence(F.lit(0), F.size("s") - 1), lambda i: (i == 0) | (F.get("s", i) != F.get("s", i - 1)))
+    runs = rows.select("doc", "field", "len", "s", starts.alias("at"))
+    run = F.transform("at", lambda p, k: F.struct(F.get("s", p).alias("term"), (F.coalesce(F.get("at", k + 1), F.col("len")) - p).cast("long").alias("tf")))
+    counted = runs.select("doc", "field", "len", F.explode(run).alias("r")).select("doc", "field", "len", "r.term", "r.tf", bucket_of(F.col("r.term")).alias("bucket"))
+    return counted.sortWithinPartitions("bucket", "term").select("term", "field", "doc", "tf", "len", "bucket")
 
 
 def statistics(docs: DataFrame, id_col: str, fields: dict[str, Column]) -> DataFrame:

@@ -15,6 +15,17 @@ def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def dealt(rows: DataFrame, key: str, each: int = 1 << 20) -> DataFrame:
+    """``rows`` dealt by a key to as many tasks as they need for about ``each`` rows: what a task holds does not grow with the table."""
+    return rows.repartition(max(1, -(-rows.count() // each)), key)
+
+
+def text_tasks(rows: DataFrame, each: int = 32 << 20) -> int:
+    """How many tasks take about ``each`` bytes of the rows' strings."""
+    texts = [F.sum(F.octet_length(f.name)) for f in rows.schema.fields if f.dataType.typeName() == "string"]
+    return max(1, -(-sum(n or 0 for n in rows.agg(*texts).first()) // each)) if texts else 1
+
+
 def pending(work: DataFrame, done: DataFrame, key: str | list[str]) -> DataFrame:
     """Rows of ``work`` without the next stage's output (NOT EXISTS)."""
     return work.join(done.select(*([key] if isinstance(key, str) else key)), key, "left_anti")

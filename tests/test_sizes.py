@@ -2,10 +2,29 @@
 
 from pyspark.sql import functions as F
 
-from siltstone.operators import keys
+from siltstone.operators import keys, lexical
+from siltstone.sources import tables
 
 
 def test_a_job_ends_within_the_second(spark):
     asked = spark.createDataFrame([(1, 7, "2024-01-11 00:00:00"), (2, 7, "2024-01-11 00:00:00.4"), (3, 8, "2024-01-01 00:00:00")], "event long, job long, at string").withColumn("at", F.to_timestamp("at"))
     jobs = spark.createDataFrame([(7, "2024-01-01 00:00:00", "pending")], "job long, created string, status string").withColumn("created", F.to_timestamp("created"))
     assert {r["event"]: r["code"] for r in keys.polled(asked, jobs, "job", "at", 864000).collect()} == {1: 200, 2: 404, 3: 404}
+
+
+def exchanges(df):
+    return df._jdf.queryExecution().executedPlan().toString().count("Exchange ")
+
+
+def test_postings_exchange_texts_only(spark):
+    docs = spark.createDataFrame([(1, "b a b", "x"), (2, None, ""), (3, "A c", "a a")], "id long, t string, u string")
+    made = lexical.postings(docs, "id", {"t": lexical.tokens(F.col("t")), "u": lexical.tokens(F.col("u"))})
+    assert exchanges(made) == 1
+    got = sorted((r["doc"], r["field"], r["term"], r["tf"], r["len"]) for r in made.collect())
+    assert got == [(1, "t", "a", 1, 3), (1, "t", "b", 2, 3), (1, "u", "x", 1, 1), (3, "t", "a", 1, 2), (3, "t", "c", 1, 2), (3, "u", "a", 2, 2)]
+
+
+def test_a_task_gets_as_many_texts_as_it_can_hold(spark):
+    docs = spark.range(2000).select("id", F.repeat(F.lit("x"), 100).alias("t"))
+    assert tables.text_tasks(docs) == 1 and tables.text_tasks(docs, 10_000) == 20
+    assert tables.dealt(docs, "id", 100).rdd.getNumPartitions() == 20
