@@ -16,6 +16,8 @@ from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from siltstone.sources.tables import dealt, row_tasks
+
 DAMPING, ROUNDS, TOP_ENTITIES, TOLERANCE, SECOND_TOLERANCE = 0.9, 30, 50, 1e-6, 1e-3
 #: Nodes of a block of ranks (1 MB) and edges of a unit (about 10 MB), on average.
 BLOCK_NODES, UNIT_EDGES, SLOT_BITS = 1 << 17, 1 << 19, 32
@@ -24,7 +26,8 @@ BLOCK_NODES, UNIT_EDGES, SLOT_BITS = 1 << 17, 1 << 19, 32
 def pairs(members: DataFrame, group: str, member: str) -> DataFrame:
     """(group, a, b) for the distinct lower-cased members of each group, a < b."""
     # Dealt by group once: the distinct rows and both sides of the join lie as they are needed.
-    one = members.where(F.col(member).isNotNull()).select(F.col(group).alias("g"), F.lower(member).alias("e")).repartition("g").distinct()
+    one = members.where(F.col(member).isNotNull()).select(F.col(group).alias("g"), F.lower(member).alias("e"))
+    one = dealt(one, "g").distinct()
     other = one.select("g", F.col("e").alias("b"))
     return one.withColumnRenamed("e", "a").join(other, "g").where("a < b")
 
@@ -36,7 +39,8 @@ def heading_rows(links: DataFrame, names: DataFrame, paper: str, heading: str, n
     """
     label = names.select(F.col(heading).alias("x"), F.lower(name).alias("lx"))
     # Dealt by paper once, with the names: a heading is named before its pairs are made, not after.
-    left = links.select(F.col(paper).alias("p"), F.col(heading).alias("x")).distinct().join(label, "x").repartition("p")
+    left = links.select(F.col(paper).alias("p"), F.col(heading).alias("x")).distinct().join(label, "x")
+    left = dealt(left, "p")
     right = left.select("p", F.col("x").alias("y"), F.col("lx").alias("ly"))
     both = left.join(right, "p").where("x < y")
     return both.select(F.least("lx", "ly").alias("a"), F.greatest("lx", "ly").alias("b"), F.col("p").alias("source"))
@@ -84,8 +88,10 @@ def increment(rows: DataFrame, members: DataFrame, group: str, member: str) -> D
 def symmetric(graph: DataFrame, least: int = 2) -> DataFrame:
     """(src, dst, weight) in both directions of edges of ``least`` weight or more, self-loops once."""
     kept = graph.where(F.col("weight") >= least)
-    back = kept.where("a <> b").select(F.col("b").alias("src"), F.col("a").alias("dst"), "weight")
-    return kept.select(F.col("a").alias("src"), F.col("b").alias("dst"), "weight").unionByName(back)
+    # Both directions come from one row, so that the edges are not computed twice.
+    there, back = (F.struct(F.col(x).alias("src"), F.col(y).alias("dst")) for x, y in (("a", "b"), ("b", "a")))
+    ways = F.explode(F.when(F.col("a") != F.col("b"), F.array(there, back)).otherwise(F.array(there)))
+    return kept.select(ways.alias("way"), "weight").select("way.src", "way.dst", "weight")
 
 
 def personalised_pagerank(edges: DataFrame, seeds: list[str], rounds: int = ROUNDS, damping: float = DAMPING, tolerance: float = TOLERANCE, one_task_edges: int = UNIT_EDGES, block_nodes: int = BLOCK_NODES, unit_edges: int = UNIT_EDGES) -> DataFrame:
@@ -231,8 +237,10 @@ def top_entities(ranks: DataFrame, n: int = TOP_ENTITIES) -> DataFrame:
 
 def chunk_boosts(members: DataFrame, ranks: DataFrame, chunk: str, member: str, boost: float = 1.0) -> DataFrame:
     """(chunk, boost): sum of the ranks of a chunk's distinct entities.  ``ranks`` are the few top entities."""
-    one = members.select(F.col(chunk).alias("chunk"), F.lower(member).alias("node")).distinct()
-    return one.join(F.broadcast(ranks), "node").groupBy("chunk").agg((boost * F.sum("rank")).alias("boost"))
+    # Only what the ranks name is dealt, once by chunk, to as many tasks as all members would need.
+    some = members.select(F.col(chunk).alias("chunk"), F.lower(member).alias("node")).join(F.broadcast(ranks), "node")
+    one = some.repartition(row_tasks(members), "chunk").dropDuplicates(["chunk", "node"])
+    return one.groupBy("chunk").agg((boost * F.sum("rank")).alias("boost"))
 
 
 def descendants(terms: DataFrame, roots: DataFrame, term: str, paths: str) -> DataFrame:

@@ -15,9 +15,14 @@ def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
-def dealt(rows: DataFrame, key: str, each: int = 1 << 20) -> DataFrame:
-    """``rows`` dealt by a key to as many tasks as they need for about ``each`` rows: what a task holds does not grow with the table."""
-    return rows.repartition(max(1, -(-rows.count() // each)), key)
+def row_tasks(rows: DataFrame, each: int = 1 << 19) -> int:
+    """How many tasks take about ``each`` of the rows, so that what a task holds does not grow with the table."""
+    return max(1, -(-rows.count() // each))
+
+
+def dealt(rows: DataFrame, key: str, each: int = 1 << 19) -> DataFrame:
+    """``rows`` dealt by a key to tasks of about ``each`` rows."""
+    return rows.repartition(row_tasks(rows, each), key)
 
 
 def text_tasks(rows: DataFrame, each: int = 32 << 20) -> int:

@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from siltstone.operators import keys, lexical
+from siltstone.operators import graph, keys, lexical
 from siltstone.sources import tables
 
 
@@ -13,7 +13,7 @@ def test_a_job_ends_within_the_second(spark):
 
 
 def exchanges(df):
-    return df._jdf.queryExecution().executedPlan().toString().count("Exchange ")
+    return df._jdf.queryExecution().executedPlan().toString().replace("BroadcastExchange", "").count("Exchange ")
 
 
 def test_postings_exchange_texts_only(spark):
@@ -28,3 +28,23 @@ def test_a_task_gets_as_many_texts_as_it_can_hold(spark):
     docs = spark.range(2000).select("id", F.repeat(F.lit("x"), 100).alias("t"))
     assert tables.text_tasks(docs) == 1 and tables.text_tasks(docs, 10_000) == 20
     assert tables.dealt(docs, "id", 100).rdd.getNumPartitions() == 20
+
+
+def test_pairs_and_boosts_are_dealt_by_their_rows(spark, monkeypatch):
+    monkeypatch.setattr(tables.row_tasks, "__defaults__", (100,))
+    monkeypatch.setattr(tables.dealt, "__defaults__", (100,))
+    members = spark.range(1000).select((F.col("id") % 250).alias("c"), F.concat(F.lit("E"), F.col("id") % 7).alias("e"))
+    found = graph.pairs(members, "c", "e")
+    assert "hashpartitioning(g" in (plan := found._jdf.queryExecution().executedPlan().toString()) and ", 10), REPARTITION_BY_NUM" in plan
+    ranks = spark.createDataFrame([("e1", 0.5), ("e3", 0.25)], "node string, rank double")
+    boosts = graph.chunk_boosts(members, ranks, "c", "e")
+    assert exchanges(boosts) == 1
+    names = {c: {f"e{k % 7}" for k in (c, c + 250, c + 500, c + 750)} for c in range(250)}
+    held = {c: ("e1" in n) * 0.5 + ("e3" in n) * 0.25 for c, n in names.items() if n & {"e1", "e3"}}
+    assert {r["chunk"]: r["boost"] for r in boosts.collect()} == held
+
+
+def test_both_directions_come_from_one_row(spark):
+    edges = graph.symmetric(spark.createDataFrame([("a", "b", 3), ("c", "c", 2), ("a", "d", 1)], "a string, b string, weight long"))
+    assert sorted(map(tuple, edges.collect())) == [("a", "b", 3), ("b", "a", 3), ("c", "c", 2)]
+    assert "Union" not in edges._jdf.queryExecution().executedPlan().toString()
