@@ -135,7 +135,8 @@ w AS (SELECT doc_id, line, term, ln(1 + count(*)) AS w FROM (SELECT doc_id, line
 
 def line_weights(t) -> DataFrame:
     # Texts are dealt by document, so that their words need no shuffle until terms are counted over documents.
-    lines = t("documents").repartition("doc_id").select("doc_id", F.posexplode(F.split("text", "\n")).alias("line", "s"))
+    docs = t("documents").select("doc_id", "text")
+    lines = docs.repartition(tables.text_tasks(docs, 8 << 20), "doc_id").select("doc_id", F.posexplode(F.split("text", "\n")).alias("line", "s"))
     counted = lines.select("doc_id", "line", F.explode(lexical.tokens(F.col("s"))).alias("term")).groupBy("doc_id", "line", "term").agg(F.count("*").alias("tf"))
     return counted.withColumn("w", vectors.saturate(F.col("tf")))
 
@@ -238,8 +239,9 @@ _ASKED_FOR = ["thanedble", "worthless", "disgusting", "ofonrereer", "forrendsten
 
 def doc_members(t) -> DataFrame:
     """(chunk, doc, entity) of all paragraphs."""
-    words = para_rows(t).select((F.col("doc") * 100000 + F.col("idx")).alias("chunk"), "doc", F.explode(lexical.tokens(F.col("s"))).alias("entity"))
-    return words.where(F.length("entity") >= 9).distinct()
+    # Distinct in each paragraph's row: nothing is exchanged for it.
+    words = F.array_distinct(F.filter(lexical.tokens(F.col("s")), lambda w: F.length(w) >= 9))
+    return para_rows(t).select((F.col("doc") * 100000 + F.col("idx")).alias("chunk"), "doc", F.explode(words).alias("entity"))
 
 
 def doc_edges(t) -> DataFrame:

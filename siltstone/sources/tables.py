@@ -16,8 +16,8 @@ def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 
 def row_tasks(rows: DataFrame, each: int = 1 << 19) -> int:
-    """How many tasks take about ``each`` of the rows, so that what a task holds does not grow with the table."""
-    return max(1, -(-rows.count() // each))
+    """How many tasks take about ``each`` of the rows, one a core at least, so that what a task holds does not grow with the table."""
+    return max(rows.sparkSession.sparkContext.defaultParallelism, -(-rows.count() // each))
 
 
 def dealt(rows: DataFrame, key: str, each: int = 1 << 19) -> DataFrame:

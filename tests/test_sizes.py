@@ -3,7 +3,9 @@
 from pyspark.sql import functions as F
 
 from siltstone.operators import graph, keys, lexical
+from siltstone.plans import catalogue
 from siltstone.sources import tables
+from siltstone.sources.store import Tables
 
 
 def test_a_job_ends_within_the_second(spark):
@@ -48,3 +50,12 @@ def test_both_directions_come_from_one_row(spark):
     edges = graph.symmetric(spark.createDataFrame([("a", "b", 3), ("c", "c", 2), ("a", "d", 1)], "a string, b string, weight long"))
     assert sorted(map(tuple, edges.collect())) == [("a", "b", 3), ("b", "a", 3), ("c", "c", 2)]
     assert "Union" not in edges._jdf.queryExecution().executedPlan().toString()
+
+
+def test_few_rows_use_every_core(spark):
+    assert tables.row_tasks(spark.range(10)) == spark.sparkContext.defaultParallelism
+
+
+def test_line_weights_are_dealt_by_bytes(spark, sf):
+    made = catalogue.line_weights(Tables(spark, sf))
+    assert "REPARTITION_BY_NUM" in made._jdf.queryExecution().executedPlan().toString() and exchanges(made) == 1
