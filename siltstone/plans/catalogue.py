@@ -300,7 +300,10 @@ def window_chunks_snap(t):
 
 @query(f"WITH {_PARA}, f AS (SELECT doc, s, min(idx) AS idx FROM c GROUP BY doc, s) SELECT doc, row_number() OVER (PARTITION BY doc ORDER BY idx) - 1 AS chunk_index, md5(s) AS h FROM f")
 def append_chunks(t):
-    first = para_rows(t).groupBy("doc", "s").agg(F.min("idx").alias("idx"))
+    # Texts are dealt by document once: a paragraph's first place and its number are found where it lies.
+    docs = t("documents").select("doc_id", "text")
+    rows = docs.repartition(tables.text_tasks(docs), "doc_id").select(F.col("doc_id").alias("doc"), F.explode(chunking.paragraphs(F.col("text"), "\n")).alias("p"))
+    first = rows.select("doc", F.col("p.paragraph_index").alias("idx"), F.col("p.text").alias("s")).groupBy("doc", "s").agg(F.min("idx").alias("idx"))
     place = F.row_number().over(Window.partitionBy("doc").orderBy("idx")) - 1
     every = first.withColumn("chunk_index", place).select("doc", "chunk_index", F.col("s").alias("chunk_text"))
     both = chunking.append_chunks(every.where("chunk_index < 2"), every, "doc")

@@ -59,3 +59,8 @@ def test_few_rows_use_every_core(spark):
 def test_line_weights_are_dealt_by_bytes(spark, sf):
     made = catalogue.line_weights(Tables(spark, sf))
     assert "REPARTITION_BY_NUM" in made._jdf.queryExecution().executedPlan().toString() and exchanges(made) == 1
+
+
+def test_paragraphs_of_a_document_are_numbered_where_they_lie(spark, sf):
+    plan = catalogue.append_chunks(Tables(spark, sf))._jdf.queryExecution().optimizedPlan().toString()
+    assert "RepartitionByExpression [doc_id" in plan
