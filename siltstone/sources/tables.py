@@ -26,9 +26,10 @@ def dealt(rows: DataFrame, key: str, each: int = 1 << 19) -> DataFrame:
 
 
 def text_tasks(rows: DataFrame, each: int = 32 << 20) -> int:
-    """How many tasks take about ``each`` bytes of the rows' strings."""
+    """How many tasks take about ``each`` bytes of the rows' strings, one a core at least."""
     texts = [F.sum(F.octet_length(f.name)) for f in rows.schema.fields if f.dataType.typeName() == "string"]
-    return max(1, -(-sum(n or 0 for n in rows.agg(*texts).first()) // each)) if texts else 1
+    least = rows.sparkSession.sparkContext.defaultParallelism
+    return max(least, -(-sum(n or 0 for n in rows.agg(*texts).first()) // each)) if texts else least
 
 
 def pending(work: DataFrame, done: DataFrame, key: str | list[str]) -> DataFrame:

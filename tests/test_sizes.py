@@ -28,7 +28,7 @@ def test_postings_exchange_texts_only(spark):
 
 def test_a_task_gets_as_many_texts_as_it_can_hold(spark):
     docs = spark.range(2000).select("id", F.repeat(F.lit("x"), 100).alias("t"))
-    assert tables.text_tasks(docs) == 1 and tables.text_tasks(docs, 10_000) == 20
+    assert tables.text_tasks(docs) == spark.sparkContext.defaultParallelism and tables.text_tasks(docs, 10_000) == 20
     assert tables.dealt(docs, "id", 100).rdd.getNumPartitions() == 20
 
 
