@@ -5,7 +5,7 @@ from __future__ import annotations
 import json
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from siltstone.functions.text import slug
@@ -102,44 +102,67 @@ def grouped(labels: DataFrame, graph: str, label: str, spec: str, providers: dic
     return synthesised(listed.where("n >= 2"), F.col("_spec"), "labels", providers, "groups").select(graph, "groups")
 
 
+#: What an exported payload holds.
+PAYLOAD = "struct<nodes:array<struct<id:string,label:string,type:string>>,edges:array<struct<source:string,predicate:string,target:string,citations:array<bigint>>>>"
+
+
 def exported(found: DataFrame, labelled: DataFrame, graph: str) -> DataFrame:
-    """(graph, payload): the session's nodes and edges as one JSON text, in order of their ids."""
+    """(graph, payload, edges): the session's nodes and edges as one JSON text, in order of their ids, and the edges it was made of."""
     listed = lambda df, cols: df.groupBy(graph).agg(F.sort_array(F.collect_list(F.struct(*cols))).alias("x"))
     n = listed(labelled, ["id", "label", "type"]).withColumnRenamed("x", "nodes")
     e = listed(found, ["source", "predicate", "target", "citations"]).withColumnRenamed("x", "edges")
-    return n.join(e, graph, "left").select(graph, F.to_json(F.struct("nodes", "edges")).alias("payload"))
+    return n.join(e, graph, "left").select(graph, F.to_json(F.struct("nodes", "edges")).alias("payload"), "edges")
+
+
+def payload(text: Column) -> Column:
+    """The nodes and edges of an exported text; null for one that cannot be read."""
+    return F.from_json(text, PAYLOAD)
 
 
 def restored(payloads: DataFrame, graph: str) -> tuple[DataFrame, DataFrame]:
     """(edges, nodes) of exported payloads; a text that cannot be read gives none."""
-    kind = "struct<nodes:array<struct<id:string,label:string,type:string>>,edges:array<struct<source:string,predicate:string,target:string,citations:array<bigint>>>>"
-    read = payloads.select(graph, F.from_json("payload", kind).alias("p"))
+    read = payloads.select(graph, payload(F.col("payload")).alias("p"))
     return read.select(graph, F.explode("p.edges").alias("e")).select(graph, "e.*"), read.select(graph, F.explode("p.nodes").alias("n")).select(graph, "n.*")
 
 
+def whole(sent: DataFrame, graph: str) -> DataFrame:
+    """(graph) of ``exported`` rows whose edges are all in the payload again; text and edges are compared where they lie."""
+    read = sent.where("edges is not null").select(graph, "edges", payload(F.col("payload"))["edges"].alias("back"))
+    return read.where((F.col("edges") == F.col("back")) | (F.size(F.array_except("edges", "back")) == 0)).select(graph)
+
+
+def _firsts(of: str, key: str) -> Column:
+    """Of the structures in the sorted list ``of`` the first of each ``key``, by which they are sorted."""
+    return F.filter(of, lambda x, i: (i == 0) | (F.get(F.col(of), i - 1)[key] != x[key]))
+
+
 def nodes(relations: DataFrame, answers: DataFrame, graph: str, order: str, types: DataFrame | None = None) -> DataFrame:
     """(graph, id, label, label_lc, type): ends of relations that the answer's text contains, first spelling wins.
 
     ``relations`` is (graph, order, subject, predicate, object), ``answers`` (graph, answer), ``types`` (graph, label_lc, type).
     """
-    ends = relations.repartition(graph).select(graph, order, F.explode(F.array(F.struct(F.lit(0).alias("side"), F.btrim("subject").alias("label")), F.struct(F.lit(1).alias("side"), F.btrim("object").alias("label")))).alias("x"))
-    ends = ends.select(graph, F.struct(order, "x.side").alias("at"), "x.label", F.lower("x.label").alias("label_lc")).where("label <> ''")
-    first = ends.groupBy(graph, "label_lc").agg(F.min_by("label", "at").alias("label"), F.min("at").alias("at"))
-    grounded = first.join(answers, graph).where(F.contains(F.lower("answer"), F.col("label_lc")) & ~F.col("label_lc").isin(VAGUE_LABELS))
+    # A graph is what one answer gave: its ends are one sorted list.  All that is asked of it needs rows dealt by the
+    # graph alone, which large tables should be by their rows before.
+    end = lambda side, c: F.struct(F.lower(F.btrim(c)).alias("label_lc"), F.struct(order, F.lit(side).alias("side")).alias("at"), F.btrim(c).alias("label"))
+    both = F.flatten(F.collect_list(F.array(end(0, "subject"), end(1, "object"))))
+    ends = relations.groupBy(graph).agg(F.sort_array(F.filter(both, lambda x: x["label"] != "")).alias("ends"))
+    grounded = ends.select(graph, _firsts("ends", "label_lc").alias("ends")).join(answers.select(graph, F.lower("answer").alias("answer")), graph)
     if types is not None:
-        # A graph's types are a map beside its rows, so all that is asked of a graph needs it dealt by the graph alone.
-        known = _by_graph(types, graph, "label_lc", "type", "types")
-        grounded = grounded.join(known, graph, "left").withColumn("type", F.try_element_at("types", F.col("label_lc"))).drop("types")
-    kind = F.coalesce("type", F.lit("OTHER")) if types is not None else F.lit("OTHER")
-    named = grounded.select(graph, "label_lc", "label", "at", slug(F.col("label")).alias("id"), kind.alias("type"))
-    lead = Window.partitionBy(graph, "id").orderBy("at")
-    return named.select(graph, "id", F.first("label").over(lead).alias("label"), "label_lc", F.first("type").over(lead).alias("type"))
+        grounded = grounded.join(_by_graph(types, graph, "label_lc", "type", "types"), graph, "left")
+    kind = lambda x: F.coalesce(F.try_element_at(F.col("types"), x["label_lc"]), F.lit("OTHER")) if types is not None else F.lit("OTHER")
+    said = F.filter("ends", lambda x: F.contains(F.col("answer"), x["label_lc"]) & ~x["label_lc"].isin(VAGUE_LABELS))
+    named = F.transform(said, lambda x: F.struct(slug(x["label"]).alias("id"), x["at"].alias("at"), x["label_lc"].alias("label_lc"), x["label"].alias("label"), kind(x).alias("type")))
+    by_id = grounded.select(graph, F.sort_array(named).alias("named"))
+    lead = F.transform(_firsts("named", "id"), lambda x: F.struct(x["id"], F.struct(x["label"].alias("label"), x["type"].alias("type"))))
+    rows = by_id.select(graph, "named", F.map_from_entries(lead).alias("lead")).select(graph, "lead", F.explode("named").alias("x"))
+    rows = rows.select(graph, "x.id", "x.label_lc", F.col("lead")[F.col("x.id")].alias("l"))
+    return rows.select(graph, "id", "l.label", "label_lc", "l.type")
 
 
 def _by_graph(rows: DataFrame, graph: str, key: str, value: str, name: str) -> DataFrame:
-    """(graph, name): a map of each graph's keys; a graph is what one answer gave, so the map is small."""
-    one = rows.groupBy(graph, key).agg(F.min(value).alias(value))
-    return one.groupBy(graph).agg(F.map_from_entries(F.collect_list(F.struct(key, value))).alias(name))
+    """(graph, name): a map of each graph's keys to their least value; a graph is what one answer gave, so the map is small."""
+    listed = rows.where(F.col(value).isNotNull()).groupBy(graph).agg(F.sort_array(F.collect_list(F.struct(key, value))).alias("_all"))
+    return listed.select(graph, F.map_from_entries(_firsts("_all", key)).alias(name))
 
 
 def edges(relations: DataFrame, labelled: DataFrame, graph: str, order: str) -> DataFrame:
@@ -148,7 +171,7 @@ def edges(relations: DataFrame, labelled: DataFrame, graph: str, order: str) ->
     ``relations`` has citations as array<long>; citations of equal edges unite in the order first seen.
     """
     pred = F.lower(F.btrim("predicate"))
-    rows = relations.repartition(graph).select(graph, order, F.lower(F.btrim("subject")).alias("source_lc"), F.lower(F.btrim("object")).alias("target_lc"), pred.alias("pred"), "citations")
+    rows = relations.select(graph, order, F.lower(F.btrim("subject")).alias("source_lc"), F.lower(F.btrim("object")).alias("target_lc"), pred.alias("pred"), "citations")
     rows = rows.where((F.col("pred") != "") & ~F.col("pred").isin(VAGUE_PREDICATES)).join(_by_graph(labelled, graph, "label_lc", "id", "ids"), graph)
     rows = rows.select(graph, order, F.try_element_at("ids", F.col("source_lc")).alias("source"), F.try_element_at("ids", F.col("target_lc")).alias("target"), "pred", "citations").where("source <> target")
     short = F.array_join(F.slice(F.split("pred", r"\s+"), 1, 3), " ")

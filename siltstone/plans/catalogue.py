@@ -649,7 +649,8 @@ def _relations(t) -> DataFrame:
     rows = t("lineitem").join(t("part"), F.col("l_partkey") == F.col("p_partkey"))
     subject = F.when(F.col("l_linenumber") == 5, "Cells").otherwise(F.upper("p_name"))
     predicate = F.when(F.col("l_returnflag") == "A", " Affects ").otherwise(F.concat(F.lit("Flows "), "l_returnflag", F.lit(" by the way")))
-    return rows.select(F.col("l_orderkey").alias("graph"), (F.col("l_linenumber") * 10000000 + F.col("l_partkey")).alias("at"), subject.alias("subject"), predicate.alias("predicate"), F.col("p_brand").alias("object"), F.array(F.col("l_linenumber").cast("long")).alias("citations"))
+    found = rows.select(F.col("l_orderkey").alias("graph"), (F.col("l_linenumber") * 10000000 + F.col("l_partkey")).alias("at"), subject.alias("subject"), predicate.alias("predicate"), F.col("p_brand").alias("object"), F.array(F.col("l_linenumber").cast("long")).alias("citations"))
+    return tables.dealt_as(found, "graph", t("lineitem"))
 
 
 _REL = "rel AS (SELECT l_orderkey AS graph, CASE WHEN l_linenumber = 5 THEN 'Cells' ELSE upper(p_name) END AS s, p_brand AS o, CASE WHEN l_returnflag = 'A' THEN 'affects' ELSE 'flows ' || lower(l_returnflag) || ' by' END AS pred, l_linenumber AS c FROM lineitem JOIN part ON l_partkey = p_partkey)"

@@ -25,6 +25,12 @@ def dealt(rows: DataFrame, key: str, each: int = 1 << 19) -> DataFrame:
     return rows.repartition(row_tasks(rows, each), key)
 
 
+def dealt_as(rows: DataFrame, key: str, like: DataFrame, each: int = 1 << 19) -> DataFrame:
+    """``rows`` dealt by a key to as many tasks as the rows of ``like`` need, and not fewer than other shuffles have."""
+    least = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartition(max(least, row_tasks(like, each)), key)
+
+
 def text_tasks(rows: DataFrame, each: int = 32 << 20) -> int:
     """How many tasks take about ``each`` bytes of the rows' strings, one a core at least."""
     texts = [F.sum(F.octet_length(f.name)) for f in rows.schema.fields if f.dataType.typeName() == "string"]

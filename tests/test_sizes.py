@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from siltstone.operators import graph, keys, lexical
+from siltstone.operators import graph, keys, kgraph, lexical
 from siltstone.plans import catalogue
 from siltstone.sources import tables
 from siltstone.sources.store import Tables
@@ -64,3 +64,25 @@ def test_line_weights_are_dealt_by_bytes(spark, sf):
 def test_paragraphs_of_a_document_are_numbered_where_they_lie(spark, sf):
     plan = catalogue.append_chunks(Tables(spark, sf))._jdf.queryExecution().optimizedPlan().toString()
     assert "RepartitionByExpression [doc_id" in plan
+
+
+def test_a_session_is_made_once_and_dealt_by_its_rows(spark, sf, monkeypatch):
+    monkeypatch.setattr(tables.row_tasks, "__defaults__", (100,))
+    monkeypatch.setattr(tables.dealt_as, "__defaults__", (100,))
+    plan = catalogue.QUERIES["session_round_trip"](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    assert "RepartitionByExpression [graph" in plan and ", 60" in plan and plan.count("RepartitionByExpression") == 7
+
+
+def test_a_text_without_an_edge_is_found(spark):
+    e = "array<struct<source:string,predicate:string,target:string,citations:array<bigint>>>"
+    text = '{"edges": [{"source": "a", "predicate": "p", "target": "b", "citations": [1]}]}'
+    rows = spark.createDataFrame([(1, text, [("a", "p", "b", [1])]), (2, text, [("a", "p", "b", [1]), ("b", "p", "a", [2])]), (3, "{", [("a", "p", "b", [1])]), (4, text, None), (5, text, [("a", "p", "b", [2])])], f"g long, payload string, edges {e}")
+    assert [r["g"] for r in kgraph.whole(rows, "g").collect()] == [1]
+
+
+def test_names_of_a_graph_by_sorted_lists(spark):
+    rel = spark.createDataFrame([(1, 2, "Red-x", "Blue"), (1, 1, "red x", " "), (1, 3, "RED X", "Far"), (2, 1, None, "Blue")], "g long, at long, subject string, object string")
+    said = spark.createDataFrame([(1, "red x, red-x and blue"), (2, "none")], "g long, answer string")
+    kinds = spark.createDataFrame([(1, "red x", "DRUG"), (1, "red x", "GENE"), (1, "blue", None)], "g long, label_lc string, type string")
+    got = sorted(map(tuple, kgraph.nodes(rel, said, "g", "at", kinds).select("g", "id", "label", "label_lc", "type").collect()))
+    assert got == [(1, "blue", "Blue", "blue", "OTHER"), (1, "red-x", "red x", "red x", "DRUG"), (1, "red-x", "red x", "red-x", "DRUG")]
