@@ -9,6 +9,7 @@ from siltstone.functions import text as T
 from siltstone.operators import answer, ingestion
 from siltstone.plans.registry import md5, query
 from siltstone.sources import records
+from siltstone.sources.tables import text_tasks
 
 # Literature XML: every tenth entry is a book, every thirteenth has no title; dates come in four forms.
 
@@ -44,7 +45,8 @@ def article_xml(t):
     )
     book = F.concat(F.lit("<PubmedBookArticle><BookDocument><PMID Version=\"1\">"), id_, F.lit("</PMID></BookDocument></PubmedBookArticle>"))
     entry = F.struct("doc_id", F.when(F.col("doc_id") % 10 == 9, book).otherwise(article).alias("e"))
-    sets = t("documents").groupBy(F.floor(F.col("doc_id") / 50)).agg(F.sort_array(F.collect_list(entry)).alias("es"))
+    docs = t("documents").withColumn("_set", F.floor(F.col("doc_id") / 50))
+    sets = docs.repartition(text_tasks(docs), "_set").groupBy("_set").agg(F.sort_array(F.collect_list(entry)).alias("es"))
     return sets.select(F.concat(F.lit("<?xml version=\"1.0\"?><PubmedArticleSet>"), F.array_join(F.col("es.e"), "\n"), F.lit("</PubmedArticleSet>")).alias("xml"))
 
 

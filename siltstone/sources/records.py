@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from siltstone.functions.text import SECTIONS, section_type
-from siltstone.sources.tables import first_element, first_text
+from siltstone.sources.tables import first_element, first_text, parsed
 
 # Month names, marks inside a text of a literature record, and elements of a full text that are not prose.
 MONTHS = {m: k + 1 for k, m in enumerate("jan feb mar apr may jun jul aug sep oct nov dec".split())}
@@ -28,7 +28,11 @@ ARTICLE_XML = (
 
 def _flat(text: Column) -> Column:
     """Runs of white space as one space; null for nothing."""
-    return F.nullif(F.btrim(F.regexp_replace(text, r"\s+", " ")), F.lit(""))
+    return F.nullif(_squeezed(text), F.lit(""))
+
+
+def _squeezed(text: Column) -> Column:
+    return F.btrim(F.regexp_replace(text, r"\s+", " "))
 
 
 def _date(d: Column) -> Column:
@@ -53,12 +57,12 @@ def articles(batches: DataFrame, xml: str) -> DataFrame:
     A record that is not well-formed, or has no valid id or title, is left out, the others of its document are not.
     """
     # Marks inside a text would make its element a structure; without them it is read as a value.
-    rows = raw_articles(batches, xml).select("raw", F.from_xml(F.regexp_replace("raw", INLINE, ""), ARTICLE_XML).alias("r"))
+    rows = parsed(raw_articles(batches, xml), "r", F.from_xml(F.regexp_replace("raw", INLINE, ""), ARTICLE_XML))
     m, a = F.col("r.MedlineCitation"), F.col("r.MedlineCitation.Article")
     pmid = F.coalesce(m["PMID"]["_VALUE"], F.col("r.PMID._VALUE"))
     title = _flat(F.coalesce(a["ArticleTitle"], F.col("r.ArticleTitle")))
     texts = F.coalesce(a["Abstract"], F.col("r.Abstract"))["AbstractText"]
-    parts = F.filter(F.transform(texts, lambda t: F.struct(t["_Label"].alias("label"), _flat(t["_VALUE"]).alias("text"))), lambda t: t["text"].isNotNull())
+    parts = F.filter(F.transform(texts, lambda t: F.struct(t["_Label"].alias("label"), _squeezed(t["_VALUE"]).alias("text"))), lambda t: t["text"] != "")
     labelled = F.filter(parts, lambda t: t["label"].isNotNull())
     orcid = lambda x: F.nullif(F.regexp_extract(F.coalesce(F.try_element_at(x["Identifier"], F.lit(1)), F.lit("")), r"(\d{4}-\d{4}-\d{4}-\d{3}[\dX])\s*$", 1), F.lit(""))
     author = lambda x: F.struct(x["LastName"].alias("last"), F.nullif(F.left(x["Initials"], F.lit(20)), F.lit("")).alias("initials"), orcid(x).alias("orcid"))

@@ -38,6 +38,15 @@ def text_tasks(rows: DataFrame, each: int = 32 << 20) -> int:
     return max(least, -(-sum(n or 0 for n in rows.agg(*texts).first()) // each)) if texts else least
 
 
+def parsed(rows: DataFrame, name: str, value: Column) -> DataFrame:
+    """``rows`` with a column that costs much to make, a parsed text, made once a row whatever is asked of its fields.
+
+    Conditions on fields would go below a plain column and parse each row again, as often as they name one; below a
+    generated column none goes.
+    """
+    return rows.select("*", F.explode(F.array(value)).alias(name))
+
+
 def pending(work: DataFrame, done: DataFrame, key: str | list[str]) -> DataFrame:
     """Rows of ``work`` without the next stage's output (NOT EXISTS)."""
     return work.join(done.select(*([key] if isinstance(key, str) else key)), key, "left_anti")

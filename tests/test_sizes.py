@@ -86,3 +86,15 @@ def test_names_of_a_graph_by_sorted_lists(spark):
     kinds = spark.createDataFrame([(1, "red x", "DRUG"), (1, "red x", "GENE"), (1, "blue", None)], "g long, label_lc string, type string")
     got = sorted(map(tuple, kgraph.nodes(rel, said, "g", "at", kinds).select("g", "id", "label", "label_lc", "type").collect()))
     assert got == [(1, "blue", "Blue", "blue", "OTHER"), (1, "red-x", "red x", "red x", "DRUG"), (1, "red-x", "red x", "red-x", "DRUG")]
+
+
+def test_a_parsed_text_is_parsed_once(spark, sf):
+    for name, parser in (("article_records", "from_xml"), ("article_split", "from_xml")):
+        plan = catalogue.QUERIES[name](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count(parser) == 1 and "RepartitionByExpression [_set" in plan
+
+
+def test_an_unread_text_is_a_row(spark):
+    rows = tables.parsed(spark.createDataFrame([(1, '{"a": 2}'), (2, None)], "id long, t string"), "p", F.from_json("t", "a int"))
+    assert sorted((r["id"], r["p"] and r["p"]["a"]) for r in rows.collect()) == [(1, 2), (2, None)]
+    assert [r["id"] for r in rows.where("p.a > 1").collect()] == [1]
