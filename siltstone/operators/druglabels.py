@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from siltstone.functions.text import prose
 from siltstone.operators.fuzzy import ACCEPT, similarity, trigrams
 from siltstone.operators.upserts import insert_ignore
+from siltstone.sources.store import shared_folder
+from siltstone.sources.tables import parsed, text_tasks
 
 # Heading parts of a compound page and the field they fill, the more specific ones first.
 HEADING_RULES = {
@@ -68,21 +70,24 @@ def page_sections(pages: DataFrame, id_col: str, raw: str) -> DataFrame:
     """(``id_col``, bucket, texts): texts over 15 characters under recognised headings of a nested JSON page, in the page's order.
 
     A section is {TOCHeading, Information: [{Value: {StringWithMarkup: [{String}]}}], Section: [...]}.  Levels are walked until
-    no page has one left, which a look at each level decides.
+    no page has one left, which a look at each level decides.  Pages are dealt by their bytes, as the files they are read from may be
+    few, and what a level leaves to the next one is checkpointed, so each section is parsed once.
     """
     info = "Information:array<struct<Value:struct<StringWithMarkup:array<struct<String:string>>>>>"
     kind = f"struct<TOCHeading:string,{info},Section:array<string>>"
-    level = pages.select(id_col, F.array().cast("array<int>").alias("at"), F.from_json(raw, kind).alias("s"))
-    found = None
+    shared_folder(pages.sparkSession)
+    pages = pages.select(id_col, F.col(raw).alias("j"))
+    left, found = pages.repartition(text_tasks(pages), id_col).select(id_col, F.array().cast("array<int>").alias("at"), "j"), None
     while True:
-        here = level.select(id_col, "at", bucket_of(F.col("s.TOCHeading")).alias("bucket"), F.flatten(F.col("s.Information.Value.StringWithMarkup")).alias("t")).where("bucket is not null")
-        here = here.select(id_col, "at", "bucket", F.filter(F.col("t.String"), lambda x: F.length(x) > 15).alias("t"))
+        texts = F.filter(F.flatten(F.col("s.Information.Value.StringWithMarkup"))["String"], lambda x: F.length(x) > 15)
+        level = parsed(left, "s", F.from_json("j", kind)).select(id_col, "at", bucket_of(F.col("s.TOCHeading")).alias("bucket"), texts.alias("t"), F.col("s.Section").alias("next")).checkpoint()
+        here = level.where("bucket is not null and size(t) > 0").select(id_col, "at", "bucket", "t")
         found = here if found is None else found.unionByName(here)
-        if level.where(F.size("s.Section") > 0).isEmpty():
+        if level.where(F.size("next") > 0).isEmpty():
             break
-        level = level.select(id_col, "at", F.posexplode("s.Section").alias("i", "j")).select(id_col, F.concat("at", F.array("i")).alias("at"), F.from_json("j", kind).alias("s"))
+        left = level.select(id_col, "at", F.posexplode("next").alias("i", "j")).select(id_col, F.concat("at", F.array("i")).alias("at"), "j")
     listed = F.sort_array(F.collect_list(F.struct("at", "t")))
-    return found.where(F.size("t") > 0).groupBy(id_col, "bucket").agg(F.flatten(F.transform(listed, lambda x: x["t"])).alias("texts"))
+    return found.groupBy(id_col, "bucket").agg(F.flatten(F.transform(listed, lambda x: x["t"])).alias("texts"))
 
 
 def article_sections(docs: DataFrame, id_col: str, text: str) -> DataFrame:

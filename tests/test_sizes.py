@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from siltstone.operators import graph, keys, kgraph, lexical
+from siltstone.operators import druglabels, graph, keys, kgraph, lexical
 from siltstone.plans import catalogue
 from siltstone.sources import tables
 from siltstone.sources.store import Tables
@@ -98,3 +98,10 @@ def test_an_unread_text_is_a_row(spark):
     rows = tables.parsed(spark.createDataFrame([(1, '{"a": 2}'), (2, None)], "id long, t string"), "p", F.from_json("t", "a int"))
     assert sorted((r["id"], r["p"] and r["p"]["a"]) for r in rows.collect()) == [(1, 2), (2, None)]
     assert [r["id"] for r in rows.where("p.a > 1").collect()] == [1]
+
+
+def test_sections_of_a_page_are_parsed_once_and_dealt(spark):
+    pages = spark.createDataFrame([(1, '{"TOCHeading": "MOA", "Section": [{"TOCHeading": "The MOA", "Information": [{"Value": {"StringWithMarkup": [{"String": "a text of some length"}, {"String": "short"}]}}]}]}'), (2, "{"), (3, None)], "id long, raw string").coalesce(1)
+    found = druglabels.page_sections(pages, "id", "raw")
+    assert "from_json" not in found._jdf.queryExecution().optimizedPlan().toString()
+    assert [tuple(r) for r in found.collect()] == [(1, "mechanism", ["a text of some length"])]
