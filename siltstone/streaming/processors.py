@@ -1,16 +1,17 @@
-"""Keys and jobs as streams: state with timers for each key, by transformWithStateInPandas.
+"""Keys and jobs as streams: state with timers for each key, by transformWithState.
 
 Rows of a key are taken by event time inside a micro-batch; batches must come in that order, as they do from a queue that is
 partitioned by key.  What a key holds is a few values, and a timer of event time clears it when it is over.  Streams need the
-RocksDB state store (``with_state_store``) and a watermark on the event time.
+RocksDB state store (``with_state_store``) and a watermark on the event time.  A key mostly brings few rows to a batch, so
+they are taken as rows, not as a frame a key, and its state is read once: what a key costs is what a run takes.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import ExpiredTimerInfo, StatefulProcessor, StatefulProcessorHandle, TimerValues
 
 from siltstone.operators.keys import KEEPALIVE_SECONDS
@@ -34,13 +35,18 @@ def with_state_store(spark: SparkSession) -> SparkSession:
     return own
 
 
-def _in_order(frames: Iterator[pd.DataFrame], by: list[str]) -> pd.DataFrame:
-    """The rows of a key of this batch, in order; a micro-batch bounds them."""
-    return pd.concat(list(frames), ignore_index=True).sort_values(by, kind="stable", ignore_index=True)
+def _in_order(rows: Iterator[Row], by: list[str]) -> list[Row]:
+    """The rows of a key of this batch, in order, nulls last; a micro-batch bounds them."""
+    return sorted(rows, key=lambda r: [(r[c] is None, r[c]) for c in by])
 
 
-def _seconds(times: pd.Series) -> list[float]:
-    return (times.astype("datetime64[us]").astype("int64") / 1e6).tolist()
+def _seconds(row: Row) -> float:
+    return (-(1 << 63) if row["_us"] is None else row["_us"]) / 1e6
+
+
+def _timed(events: DataFrame, ts: str) -> DataFrame:
+    """``events`` with their time in microseconds beside it."""
+    return events.withColumn("_us", F.unix_micros(ts))
 
 
 class KeyCache(StatefulProcessor):
@@ -54,26 +60,28 @@ class KeyCache(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle, self.until = handle, handle.getValueState("until", "until double")
+        self.row = Row(self.key, self.order, "hit")
 
-    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:
-        frame = _in_order(rows, [self.ts, self.order])
-        until = before = self.until.get()[0] if self.until.exists() else None
-        hits = []
-        for now, what in zip(_seconds(frame[self.ts]), frame[self.action], strict=True):
+    def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues: TimerValues) -> Iterator[Row]:
+        held = self.until.get()
+        until = before = held[0] if held else None
+        for row in _in_order(rows, ["_us", self.order]):
+            now, what = _seconds(row), row[self.action]
             hit = what != "invalidate" and until is not None and now < until
             if not hit:
                 until = None if what in ("invalidate", "missing") else now + self.ttl
-            hits.append(hit)
+            yield self.row(key[0], row[self.order], hit)
         if until is None:
-            self.until.clear()
+            if held:
+                self.until.clear()
         elif until != before:
             self.until.update((until,))
             self.handle.registerTimer(int(until * 1000) + 1)
-        yield pd.DataFrame({self.key: key[0], self.order: frame[self.order], "hit": hits})
 
-    def handleExpiredTimer(self, key: tuple, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[pd.DataFrame]:
+    def handleExpiredTimer(self, key: tuple, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[Row]:
         # A later fill has a timer of its own.
-        if self.until.exists() and self.until.get()[0] * 1000 <= expiredTimerInfo.getExpiryTimeInMs():
+        held = self.until.get()
+        if held and held[0] * 1000 <= expiredTimerInfo.getExpiryTimeInMs():
             self.until.clear()
         return iter(())
 
@@ -97,14 +105,14 @@ class JobStore(StatefulProcessor):
         self.handle = handle
         self.fields = handle.getMapState("fields", "field string", "value string")
         self.begun = handle.getValueState("begun", "created double, upto long")
-
-    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:
-        frame = _in_order(rows, [self.order])
-        known = {f: self.fields.getValue((f,))[0] for f in self.FIELDS if self.fields.containsKey((f,))} if self.begun.exists() else {}
-        old, seconds, upto = dict(known), _seconds(frame[self.ts]), None
-        created = self.begun.get()[0] if self.begun.exists() else None
-        for row, now in zip(frame.to_dict("records"), seconds, strict=True):
-            created = now if created is None else min(created, now)
+        self.row = Row(self.key, *self.FIELDS, "upto")
+
+    def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues: TimerValues) -> Iterator[Row]:
+        begun = self.begun.get()
+        known = {f: value[0] for (f,), value in self.fields.iterator()} if begun else {}
+        old, upto, created = dict(known), None, begun[0] if begun else None
+        for row in _in_order(rows, [self.order]):
+            created = _seconds(row) if created is None else min(created, _seconds(row))
             if known.get("status") in FINAL:
                 continue
             known |= {f: row[f] for f in self.FIELDS if isinstance(row[f], str)}
@@ -114,19 +122,20 @@ class JobStore(StatefulProcessor):
                 self.fields.updateValue((f,), (value,))
         if upto is None:
             return
-        if self.ttl is not None and not self.begun.exists():
+        if self.ttl is not None and not begun:
             self.handle.registerTimer(int((created + self.ttl) * 1000))
         self.begun.update((created, upto))
         yield self._row(key, known, upto)
 
-    def handleExpiredTimer(self, key: tuple, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[pd.DataFrame]:
-        upto = int(self.begun.get()[1]) if self.begun.exists() else 0
+    def handleExpiredTimer(self, key: tuple, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[Row]:
+        begun = self.begun.get()
+        upto = int(begun[1]) if begun else 0
         self.fields.clear()
         self.begun.clear()
         yield self._row(key, {"status": "expired"}, upto)
 
-    def _row(self, key: tuple, known: dict[str, str], upto: int) -> pd.DataFrame:
-        return pd.DataFrame({self.key: [key[0]], **{f: [known.get(f, "pending" if f == "status" else None)] for f in self.FIELDS}, "upto": [upto]})
+    def _row(self, key: tuple, known: dict[str, str], upto: int) -> Row:
+        return self.row(key[0], *(known.get(f, "pending" if f == "status" else None) for f in self.FIELDS), upto)
 
     def close(self) -> None:
         pass
@@ -139,16 +148,16 @@ class KeepAlive(StatefulProcessor):
         self.key, self.ts, self.order, self.seconds = key, ts, order, seconds
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.last = handle.getValueState("last", "last double")
-
-    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:
-        frame = _in_order(rows, [self.ts, self.order])
-        last, beats = self.last.get()[0] if self.last.exists() else None, []
-        for now in _seconds(frame[self.ts]):
-            beats.append(0 if last is None else max(0, -int(-round(now - last, 6) // self.seconds) - 1))
+        self.last, self.row = handle.getValueState("last", "last double"), Row(self.key, self.order, "beats")
+
+    def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues: TimerValues) -> Iterator[Row]:
+        held = self.last.get()
+        last = held[0] if held else None
+        for row in _in_order(rows, ["_us", self.order]):
+            now = _seconds(row)
+            yield self.row(key[0], row[self.order], 0 if last is None else max(0, -int(-round(now - last, 6) // self.seconds) - 1))
             last = now
         self.last.update((last,))
-        yield pd.DataFrame({self.key: key[0], self.order: frame[self.order], "beats": beats})
 
     def close(self) -> None:
         pass
@@ -158,21 +167,21 @@ def key_cache_stream(events: DataFrame, key: str, ts: str, order: str, action: s
     """(key, order, hit) of each look-up of the stream ``events``, which has a watermark on ``ts``."""
     kinds = {f.name: f.dataType.simpleString() for f in events.schema.fields}
     out = f"{key} {kinds[key]}, {order} {kinds[order]}, hit boolean"
-    return events.groupBy(key).transformWithStateInPandas(KeyCache(key, ts, order, action, ttl), out, "Append", "EventTime")
+    return _timed(events, ts).groupBy(key).transformWithState(KeyCache(key, ts, order, action, ttl), out, "Append", "EventTime")
 
 
 def job_stream(updates: DataFrame, key: str, ts: str, order: str, ttl: float | None = None) -> DataFrame:
     """(key, status, stage, payload, error, upto) after each batch; the row with the largest ``upto`` is a job's state."""
     kind = updates.schema[key].dataType.simpleString()
     out = f"{key} {kind}, status string, stage string, payload string, error string, upto long"
-    return updates.groupBy(key).transformWithStateInPandas(JobStore(key, ts, order, ttl), out, "Append", "EventTime")
+    return _timed(updates, ts).groupBy(key).transformWithState(JobStore(key, ts, order, ttl), out, "Append", "EventTime")
 
 
 def keepalive_stream(events: DataFrame, key: str, ts: str, order: str, seconds: float = KEEPALIVE_SECONDS) -> DataFrame:
     """(key, order, beats) of each event of the stream."""
     kinds = {f.name: f.dataType.simpleString() for f in events.schema.fields}
     out = f"{key} {kinds[key]}, {order} {kinds[order]}, beats long"
-    return events.groupBy(key).transformWithStateInPandas(KeepAlive(key, ts, order, seconds), out, "Append", "None")
+    return _timed(events, ts).groupBy(key).transformWithState(KeepAlive(key, ts, order, seconds), out, "Append", "None")
 
 
 class WorkQueue(StatefulProcessor):
@@ -186,26 +195,24 @@ class WorkQueue(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle, self.held = handle, handle.getValueState("held", "status string, retries long, since double")
+        self.row = Row(self.key, self.order, "status", "retries", "moved")
 
-    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:
-        frame = _in_order(rows, [self.ts, self.order])
-        before = status, retries, since = self.held.get() if self.held.exists() else ("queued", 0, 0.0)
-        found = []
-        for now, action in zip(_seconds(frame[self.ts]), frame[self.action], strict=True):
+    def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues: TimerValues) -> Iterator[Row]:
+        before = status, retries, since = self.held.get() or ("queued", 0, 0.0)
+        for row in _in_order(rows, ["_us", self.order]):
+            now, action = _seconds(row), row[self.action]
             if status in TRANSITIONAL and now - since > self.stale:
                 status = "queued"
             to = MOVES.get((status, action))
             if to:
                 status, retries, since = to, retries + (to == "error"), now
-            found.append((status, retries, to is not None))
+            yield self.row(key[0], row[self.order], status, retries, to is not None)
         if (status, retries, since) != before:
             self.held.update((status, retries, since))
             if status in TRANSITIONAL:
                 self.handle.registerTimer(int((since + self.stale) * 1000) + 1)
-        got = pd.DataFrame(found, columns=["status", "retries", "moved"])
-        yield pd.concat([pd.DataFrame({self.key: key[0], self.order: frame[self.order]}), got], axis=1)
 
-    def handleExpiredTimer(self, key: tuple, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[pd.DataFrame]:
+    def handleExpiredTimer(self, key: tuple, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[Row]:
         status, retries, since = self.held.get()
         # A claim made since then has a timer of its own.
         if status in TRANSITIONAL and (since + self.stale) * 1000 < expiredTimerInfo.getExpiryTimeInMs():
@@ -220,7 +227,7 @@ def queue_stream(events: DataFrame, key: str, ts: str, order: str, action: str,
     """(key, order, status, retries, moved) after each event of the stream, which has a watermark on ``ts``."""
     kinds = {f.name: f.dataType.simpleString() for f in events.schema.fields}
     out = f"{key} {kinds[key]}, {order} {kinds[order]}, status string, retries long, moved boolean"
-    return events.groupBy(key).transformWithStateInPandas(WorkQueue(key, ts, order, action, stale), out, "Append", "EventTime")
+    return _timed(events, ts).groupBy(key).transformWithState(WorkQueue(key, ts, order, action, stale), out, "Append", "EventTime")
 
 
 def run_available(stream: DataFrame, sink: str, checkpoint: str) -> None:

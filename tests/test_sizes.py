@@ -1,11 +1,13 @@
 """Cases that show only in larger tables."""
 
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from siltstone.operators import druglabels, graph, keys, kgraph, lexical
 from siltstone.plans import catalogue
 from siltstone.sources import tables
 from siltstone.sources.store import Tables
+from siltstone.streaming import processors
 
 
 def test_a_job_ends_within_the_second(spark):
@@ -105,3 +107,37 @@ def test_sections_of_a_page_are_parsed_once_and_dealt(spark):
     found = druglabels.page_sections(pages, "id", "raw")
     assert "from_json" not in found._jdf.queryExecution().optimizedPlan().toString()
     assert [tuple(r) for r in found.collect()] == [(1, "mechanism", ["a text of some length"])]
+
+
+class Held:
+    """A state of one value that counts how often it is asked."""
+
+    def __init__(self, value=None):
+        self.value, self.asked = value, 0
+
+    def getValueState(self, name, schema):
+        return self
+
+    def get(self):
+        self.asked += 1
+        return self.value
+
+    def exists(self):
+        self.asked += 1
+        return self.value is not None
+
+    def update(self, value):
+        self.value = value
+
+    def registerTimer(self, at):
+        pass
+
+
+def test_a_key_of_a_stream_is_rows_and_reads_its_state_once():
+    event = Row("k", "_us", "n", "what")
+    rows = [event(1, 9_000_000, 3, "claim"), event(1, 2_000_000, 1, "claim"), event(1, 2_000_000, 2, "fail")]
+    for made, last in ((processors.KeepAlive("k", "ts", "n", 3.0), 2), (processors.KeyCache("k", "ts", "n", "what", 60), True), (processors.WorkQueue("k", "ts", "n", "what"), True)):
+        held = Held()
+        made.init(held)
+        got = [r.asDict() for r in made.handleInputRows((1,), iter(rows), None)]
+        assert [r["n"] for r in got] == [1, 2, 3] and list(got[-1].values())[-1] == last and held.asked == 1
