@@ -5,13 +5,17 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from siltstone.sources.tables import dealt_as
+
 
 def hydrated(chunks: DataFrame, papers: DataFrame, journals: DataFrame, links: DataFrame, authors: DataFrame, paper: str, journal: str, author: str, position: str, name: str) -> DataFrame:
     """``chunks`` with the columns of their paper, its journal's (null if unknown) and ``authors``: names by position.
 
     A chunk without a paper goes; a paper without journal or authors stays.  Authors that have no row are left out, of a
-    link that repeats one counts.  Names are listed once a paper, and only for papers that have a chunk here.
+    link that repeats one counts.  Names are listed once a paper, and only for papers that have a chunk here.  All is dealt by
+    the paper to as many tasks as the links need, so what a task sorts does not grow with the tables.
     """
+    chunks, papers, links = (dealt_as(rows, paper, links) for rows in (chunks, papers, links))
     wanted = chunks.select(paper).distinct()
     held = links.join(wanted, paper, "left_semi").select(paper, author, position).distinct().join(authors.select(author, name), author)
     listed = F.transform(F.sort_array(F.collect_list(F.struct(position, author, name))), lambda a: a[name])

@@ -141,3 +141,10 @@ def test_a_key_of_a_stream_is_rows_and_reads_its_state_once():
         made.init(held)
         got = [r.asDict() for r in made.handleInputRows((1,), iter(rows), None)]
         assert [r["n"] for r in got] == [1, 2, 3] and list(got[-1].values())[-1] == last and held.asked == 1
+
+
+def test_hydration_is_dealt_by_the_links_of_papers(spark, sf, monkeypatch):
+    monkeypatch.setattr(tables.row_tasks, "__defaults__", (100,))
+    monkeypatch.setattr(tables.dealt_as, "__defaults__", (100,))
+    plan = catalogue.QUERIES["hydrate_journals"](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("RepartitionByExpression [l_orderkey") == 5 and ", 60" in plan
